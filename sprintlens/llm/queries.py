@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import exact_dedup, mixture, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op5_mixture": mixture.op5_mixture,
+        "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality_rules.sql()}
+    return {
+        "op5_mixture": mixture.sql(),
+        "op8_exact_dedup": exact_dedup.sql(),
+        "op10_quality_rules": quality_rules.sql(),
+    }
