@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixture, quality_rules
+from . import exact_dedup, mixture, quality_rules, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_simhash": simhash.op2_simhash,
         "op5_mixture": mixture.op5_mixture,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
