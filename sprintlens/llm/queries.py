@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixture, quality_rules, simhash
+from . import exact_dedup, mixture, packing, quality_rules, simhash
 
 
 def queries() -> dict:
     return {
         "op2_simhash": simhash.op2_simhash,
         "op5_mixture": mixture.op5_mixture,
+        "op6_packing": packing.op6_packing,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
