@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixture, packing, quality_rules, simhash
+from . import exact_dedup, mixture, packing, quality_rules, simhash, substring_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op5_mixture": mixture.op5_mixture,
         "op6_packing": packing.op6_packing,
+        "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
