@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixture, packing, quality_rules, simhash, substring_dedup
+from . import exact_dedup, mixture, packing, quality_model, quality_rules, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_simhash": simhash.op2_simhash,
+        "op3_quality_model": quality_model.op3_quality_model,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_mixture": mixture.op5_mixture,
         "op6_packing": packing.op6_packing,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
