@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -32,44 +33,139 @@ from .common import Scratch, table, tokenizer_path
 
 WINDOW, END, SLOTS = 2048, 1, 1024
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a task remembers, and the longest word remembered, in bytes.
-CACHE, CACHED_WORD = 200_000, 64
+#: A special token of the vocabulary, which parts words that are encoded together.
+SEPARATOR = "<|endoftext|>"
+#: What the vocabulary ends the last token of a run of letters with, and marks that may follow one.
+WORD_END, MARKS = "</w>", b".,;:!?"
+#: Words whose ids a task remembers, the longest word remembered, and characters of texts done together.
+CACHE, CACHED_WORD, TOGETHER = 1_000_000, 64, 1 << 21
 
 
 class _Ids(dict):
-    """The little-endian ids of a word, remembered."""
+    """The little-endian ids of words, remembered.
+
+    The tokenizer drops white space and takes runs of letters and runs of marks apart, so
+    words, and the marks after a word, can be encoded on their own. What is new in a group
+    of texts is encoded in one call."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.separator = self.tokenizer.token_to_id(SEPARATOR)
+        known = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(known.values()) + 1, bool)
+        self.last[[i for t, i in known.items() if t.endswith(WORD_END)]] = True
+        self.marks: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _put(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray, skip: int) -> None:
+        body, at = ids.tobytes(), 0
+        for w, to in zip(words, ends.tolist(), strict=True):
+            self[w] = body[4 * at : 4 * to]
+            at = to + skip
+
+    def _parted(self, words: list[bytes]) -> None:
+        """Learns any words, by a separator between them."""
+        for w in [w for w in words if b"<|" in w]:
+            self[w] = self._encode(w.decode()).tobytes()
+        if words := [w for w in words if b"<|" not in w]:
+            ids = self._encode(f" {SEPARATOR} ".join(w.decode() for w in words))
+            self._put(words, ids, np.append(np.flatnonzero(ids == self.separator), len(ids)), 1)
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Learns words: letters by their last tokens, letters with marks from both parts, others by a separator."""
+        plain, marked, odd = set(), [], []
+        for w in new:
+            if (ids := self.older.get(w)) is not None:
+                self[w] = ids
+                continue
+            core = w.rstrip(MARKS)
+            text = core.decode()
+            if text.isalpha() and (text.isascii() or text.lower().isalpha()):
+                if len(core) < len(w):
+                    marked.append((w, core))
+                if core in self.older:
+                    self[core] = self.older[core]
+                elif core not in self:
+                    plain.add(core)
+            else:
+                odd.append(w)
+        if plain := list(plain):
+            ids = self._encode(b" ".join(plain).decode())
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(plain):
+                self._put(plain, ids, ends, 0)
+            else:
+                self._parted(plain)
+        self._parted(odd)
+        for w, core in marked:
+            tail = w[len(core) :]
+            ids = self.marks.get(tail)
+            if ids is None:
+                ids = self._encode(tail.decode()).tobytes()
+                if len(tail) <= 4:
+                    self.marks[tail] = ids
+            self[w] = self[core] + ids
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        if len(self) >= CACHE:  # what isn't met again until the next time goes
+            self.older = dict(self)
+            self.clear()
+        split, at = [], [0]
+        for t in texts:
+            body = (t or "").encode()
+            # the tokenizer composes accents before it lowers letters, so those texts are left to it
+            split += (body if b"\xcc" in body or b"\xcd" in body else body.lower()).split()
+            at.append(len(split))
+        parts = list(map(self.get, split))
+        gaps = [k for k, x in enumerate(parts) if x is None]
+        if gaps:
+            new = {split[k] for k in gaps}
+            self._learn(new)
+            for k in gaps:
+                parts[k] = self[split[k]]
+            for w in new:
+                if len(w) > CACHED_WORD:
+                    self.pop(w, None)
+                    self.pop(w.rstrip(MARKS), None)
+        return [b"".join(parts[i:j]) for i, j in zip(at, at[1:], strict=False)]
+
+
+@lru_cache(maxsize=1)
+def _ids(vocabulary: str) -> _Ids:
+    """One memory a Python worker, which outlives its tasks."""
+    return _Ids(vocabulary)
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHED_WORD:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = ids
-        return ids
 
-    def text(self, text: str | None) -> bytes:
-        """Ids of a text. The tokenizer drops white space, so words can be encoded one by one."""
-        return b"".join(map(self.__getitem__, (text or "").encode().split()))
+def _together(ids: list, texts: list) -> Iterator[tuple[list, list]]:
+    """Runs of rows of about TOGETHER characters."""
+    first, held = 0, 0
+    for k, t in enumerate(texts, 1):
+        held += len(t or "")
+        if held >= TOGETHER or k == len(texts):
+            yield ids[first:k], texts[first:k]
+            first, held = k, 0
 
 
 def _pieces(vocabulary, window: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(vocabulary.value)
+        ids = _ids(vocabulary.value)
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             doc, start, length, crc, tokens = [], [], [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                body = ids.text(t) + end
-                n = len(body) // 4
-                for s in range(0, n, window):
-                    part = body[4 * s : 4 * (s + window)]
-                    doc.append(d), start.append(s), length.append(len(part) // 4), crc.append(zlib.crc32(part)), tokens.append(n)
+            for docs, texts in _together(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for d, body in zip(docs, ids.texts(texts), strict=True):
+                    body += end
+                    n = len(body) // 4
+                    for s in range(0, n, window):
+                        part = body[4 * s : 4 * (s + window)]
+                        doc.append(d), start.append(s), length.append(len(part) // 4), crc.append(zlib.crc32(part)), tokens.append(n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.int64()) for x in (doc, start, length, crc, tokens)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             )
