@@ -1,8 +1,53 @@
-"""Pipeline over documents; its stages are added as their operators are."""
+"""Pipeline over ``documents``: rules, exact dedup, near dedup, source mix, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
+and reread as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sprintlens.llm import exact_dedup, mixture, packing, quality_rules, simhash
+from sprintlens.llm.common import Scratch
+
+
+def _quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs)
+
+
+def _exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_one(docs)
+
+
+def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def _mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixture.mixed(docs)
+
+
+def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", _quality_rules),
+    ("exact_dedup", _exact_dedup),
+    ("near_dedup", _near_dedup),
+    ("mixture", _mixture),
+    ("packing", _packing),
+]
+
+#: XXH64 fingerprints and tokenization have no SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn, each over all that the one before it kept."""
+    at = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = at.write(stage(spark, docs, sf_dir), f"{k}-{name}")
+    return docs

@@ -5,8 +5,15 @@ from __future__ import annotations
 from . import exact_dedup, mixture, packing, quality_model, quality_rules, simhash, substring_dedup, toxicity
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
         "op2_simhash": simhash.op2_simhash,
         "op3_quality_model": quality_model.op3_quality_model,
         "op4_toxicity": toxicity.op4_toxicity,
