@@ -103,6 +103,9 @@ def measured(docs: DataFrame, text: str = "text", carry: list[str] | None = None
         F.lit(0),
         lambda a, x: a + x,
     )
+    # a filter pushed below this projection would run the array functions once an element;
+    # a condition that isn't deterministic, and always holds, keeps filters above it
+    covered = F.when(F.monotonically_increasing_id() >= 0, covered)
     names = ["n_words", "word_chars", "n_symbols", "n_marks", "n_lines", "n_dup_lines", "n_stop_words"]
     return df.select("__row", *names, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
