@@ -38,7 +38,7 @@ SEPARATOR = "<|endoftext|>"
 #: What the vocabulary ends the last token of a run of letters with, and marks that may follow one.
 WORD_END, MARKS = "</w>", b".,;:!?"
 #: Words whose ids a task remembers, the longest word remembered, and characters of texts done together.
-CACHE, CACHED_WORD, TOGETHER = 1_000_000, 64, 1 << 21
+CACHE, CACHED_WORD, TOGETHER = 700_000, 64, 1 << 21
 
 
 class _Ids(dict):
