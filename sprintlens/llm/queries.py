@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixture, packing, quality_model, quality_rules, simhash, substring_dedup, toxicity
+from . import exact_dedup, fixity, mixture, packing, quality_model, quality_rules, simhash, substring_dedup, toxicity, url_filters
 
 
 def _pipeline(spark, sf_dir):
@@ -14,6 +14,7 @@ def _pipeline(spark, sf_dir):
 def queries() -> dict:
     return {
         "pipeline": _pipeline,
+        "op1_url_filters": url_filters.op1_url_filters,
         "op2_simhash": simhash.op2_simhash,
         "op3_quality_model": quality_model.op3_quality_model,
         "op4_toxicity": toxicity.op4_toxicity,
@@ -21,13 +22,16 @@ def queries() -> dict:
         "op6_packing": packing.op6_packing,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_merkle_fixity": fixity.op9_merkle_fixity,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filters": url_filters.sql(),
         "op5_mixture": mixture.sql(),
         "op8_exact_dedup": exact_dedup.sql(),
+        "op9_merkle_fixity": fixity.sql(),
         "op10_quality_rules": quality_rules.sql(),
     }
