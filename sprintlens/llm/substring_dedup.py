@@ -26,6 +26,7 @@ document after all others. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -42,48 +43,92 @@ from .common import Scratch, drops_shuffles, table
 WINDOW, INNER = 20, 10
 BATCHES, FANOUT, HOT = 2, 2, 4096
 _LAST = (1 << 63) - 1
-#: Words whose hashes a task remembers.
-CACHE = 500_000
+_STEP = 0x9E3779B97F4A7C15
+_BYTE = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8).digest() for b in range(256)), "<u8").copy()
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+class _Powers:
+    """Powers of the rolling hash's odd base and of its inverse modulo 2**64, as far as needed."""
 
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-def chosen(words: list[bytes], hashes: _Hashes, window: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each inner run of words, and for each window the position of its chosen run."""
-    n = len(words)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    h = np.zeros(n - inner + 1, np.uint64)
-    for j in range(inner):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[j : n - inner + 1 + j]
+    def to(self, n: int) -> None:
+        if len(self.up) < n:
+            size = max(n, 1 << 16, 2 * len(self.up))
+            for name, base in (("up", _STEP), ("down", pow(_STEP, -1, 1 << 64))):
+                x = np.full(size, base, np.uint64)
+                x[0] = 1
+                setattr(self, name, np.cumprod(x))
+
+
+_powers = _Powers()
+
+
+class _Laid:
+    """A text's words joined by one space, with where each starts and ends."""
+
+    def __init__(self, text: str | None):
+        self.body = b" ".join((text or "").encode().split())
+        self.bytes = np.frombuffer(self.body, np.uint8)
+        gaps = np.flatnonzero(self.bytes == 32)
+        self.starts = np.concatenate(([0], gaps + 1))
+        self.ends = np.append(gaps, len(self.body))
+        self.n = len(self.starts) if self.body else 0
+
+
+def chosen(laid: _Laid, window: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each inner run of words, and for each window the position of its chosen run.
+
+    A run's hash comes from prefix sums over the bytes. The low bits give way to the
+    position, so that the least of a window tells where it is; runs that tie have one hash."""
+    _powers.to(len(laid.body) + 1)
+    sums = np.zeros(len(laid.body) + 1, np.uint64)
+    np.cumsum(_BYTE[laid.bytes] * _powers.up[: len(laid.body)], out=sums[1:])
+    first = laid.starts[: laid.n - inner + 1]
+    h = (sums[laid.ends[inner - 1 :]] - sums[first]) * _powers.down[first]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    m = n - window + 1
-    best, at = h[:m].copy(), np.zeros(m, np.int64)
-    for j in range(1, window - inner + 1):  # the rightmost of equal ones
-        less = h[j : j + m] <= best
-        np.copyto(best, h[j : j + m], where=less)
-        at[less] = j
-    return h, at + np.arange(m)
+    runs = window - inner + 1
+    low = (1 << runs.bit_length()) - 1
+    h &= np.uint64(~low & (1 << 64) - 1)
+    at = np.arange(len(h))
+    least, span = h | (at & low).astype(np.uint64), 1
+    while 2 * span <= runs:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < runs:
+        least = np.minimum(least[: span - runs], least[runs - span :])
+    at = at[: len(least)]
+    return h.view(np.int64), at + (((least & np.uint64(low)).astype(np.int64) - at) & low)
+
+
+def _near_ties(h: np.ndarray, reach: int) -> np.ndarray:
+    """Positions of equal hashes within reach: overlapping windows with equal words choose one of them, and it must count as met twice."""
+    tied = np.zeros(len(h), bool)
+    for d in range(1, min(reach, len(h) - 1) + 1):
+        same = h[d:] == h[:-d]
+        if same.any():
+            tied[d:] |= same
+            tied[:-d] |= same
+    return np.flatnonzero(tied)
+
+
+def _changes(c: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
 
 
 def _anchors(window: int, inner: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for b in batches:
             hs, ids, at = [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = (t or "").encode().split()
-                if len(w) >= window:
-                    h, c = chosen(w, hashes, window, inner)
-                    c = c[np.concatenate(([True], c[1:] != c[:-1]))]
-                    hs.append(h[c].view(np.int64)), at.append(c), ids.append(np.full(len(c), d))
+                laid = _Laid(t)
+                if laid.n >= window:
+                    h, c = chosen(laid, window, inner)
+                    c = np.union1d(c[_changes(c)], _near_ties(h, window - inner))
+                    hs.append(h[c]), at.append(c), ids.append(np.full(len(c), d))
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(at).astype(np.int32))], ["h", "id", "pos"])
 
@@ -94,7 +139,7 @@ def _windows(window: int, inner: int, hot: int):
     """The digests of the windows around candidate positions: a row a position, or a row a window where hot."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, digest = _Hashes(), xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_128_digest
         for b in batches:
             key, slot, ids, starts, blobs, held = [], [], [], [], [], 0
 
@@ -104,29 +149,29 @@ def _windows(window: int, inner: int, hot: int):
                     ["key", "slot", "id", "start", "digests"],
                 )
 
-            for d, t, at, count in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                w = (t or "").encode().split()
-                if len(w) < window:
+            spots, counts = b.column(2), b.column(3)
+            offsets, spots, counts = np.asarray(spots.offsets), np.asarray(spots.values), np.asarray(counts.values)
+            for k, (d, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                laid = _Laid(t)
+                if laid.n < window:
                     continue
-                h, c = chosen(w, hashes, window, inner)
-                lo = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+                h, c = chosen(laid, window, inner)
+                at, n_at = spots[offsets[k] : offsets[k + 1]], counts[offsets[k] : offsets[k + 1]]
+                n_of = np.zeros(len(h), np.int64)
+                n_of[at] = n_at
+                lo = _changes(c)
                 hi = np.append(lo[1:], len(c))
-                n_of = dict(zip(at, count, strict=True))
-                body = b" ".join(w)
-                ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-                first = np.concatenate(([0], ends[:-1])).tolist()
-                ends = (ends - 1).tolist()
-                for i, j, p in zip(lo.tolist(), hi.tolist(), c[lo].tolist(), strict=True):
-                    n = n_of.get(p)
-                    if n is None:
-                        continue
-                    own = [digest(body[first[s] : ends[s + window - 1]]) for s in range(i, j)]
+                met = np.flatnonzero(n_of[c[lo]])
+                p = c[lo[met]]
+                body, first, ends = laid.body, laid.starts.tolist(), laid.ends[window - 1 :].tolist()
+                for i, j, x, n in zip(lo[met].tolist(), hi[met].tolist(), h[p].tolist(), n_of[p].tolist(), strict=True):
+                    own = [digest(body[u:v]) for u, v in zip(first[i:j], ends[i:j], strict=True)]
                     if n <= hot:
-                        key.append(int(h[p].view(np.int64))), slot.append(-1), ids.append(d), starts.append(i), blobs.append(b"".join(own))
+                        key.append(x), slot.append(-1), ids.append(d), starts.append(i), blobs.append(b"".join(own))
                     else:
                         s = xxhash.xxh3_64_intdigest(d.to_bytes(8, "little", signed=True)) % -(-n // hot)
-                        for k, x in enumerate(own):
-                            key.append(int.from_bytes(x[:8], "little", signed=True)), slot.append(s), ids.append(d), starts.append(i + k), blobs.append(x)
+                        for m, x in enumerate(own):
+                            key.append(int.from_bytes(x[:8], "little", signed=True)), slot.append(s), ids.append(d), starts.append(i + m), blobs.append(x)
                     held += 16 * len(own)
                 if held > 8 << 20:
                     yield out()
