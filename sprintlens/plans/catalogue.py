@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_history
+from . import q_history, q_sprints, q_text
 
-_MODULES = (q_history,)
+_MODULES = (q_history, q_text, q_sprints)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
