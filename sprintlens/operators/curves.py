@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.rng import normal, uniform
 from ..functions.scalars import minute
@@ -19,29 +20,20 @@ STEP, MIN_MINUTES = 5, 50
 def grids(commits: DataFrame, step: int = STEP, min_minutes: int = MIN_MINUTES, span_extra: int = 1) -> DataFrame:
     """author_id, base_minute, n_minutes, steps and counts (one a step) of authors with enough distinct minutes.
 
-    A distinct minute counts once. span_extra tells the two grid lengths apart: 1 for the
-    point-process models, 0 for the hidden Markov model. The dense array is made from the
-    author's sorted step numbers, so no empty step is a row."""
+    A distinct minute counts once; the array is dense but no empty step is ever a row. span_extra tells the two grid lengths apart: 1 for the
+    point-process models, 0 for the hidden Markov model."""
     m = commits.select("author_id", minute(F.col("authored_at")).alias("m")).distinct()
-    g = m.groupBy("author_id").agg(F.array_sort(F.collect_list("m")).alias("ms")).filter(F.size("ms") >= min_minutes)
-    base, last = F.get("ms", F.lit(0)), F.try_element_at("ms", F.lit(-1))
-    span = F.greatest(F.lit(1), last - base) if span_extra == 0 else last - base + span_extra
-    steps = (F.ceil(span / step) + 1).cast("int")
-    g = g.select("author_id", base.alias("base_minute"), F.size("ms").alias("n_minutes"), steps.alias("steps"), F.transform("ms", lambda x: F.floor((x - base) / step).cast("int")).alias("at"))
-    # a histogram by run lengths: one pass over the sorted steps, zeros between them
-    dense = F.aggregate(
-        F.sequence(F.lit(0), F.size("at") - 1),
-        F.struct(F.lit(-1).alias("last"), F.array().cast("array<array<int>>").alias("runs")),
-        lambda acc, i: F.struct(
-            F.get("at", i).alias("last"),
-            F.when(F.get("at", i) == acc["last"], acc["runs"]).otherwise(
-                F.concat(acc["runs"], F.array(F.array_repeat(F.lit(0), F.get("at", i) - acc["last"] - 1), F.array(F.size(F.filter("at", lambda y: y == F.get("at", i))))))
-            ).alias("runs"),
-        ),
-    )
-    counts = F.flatten(dense["runs"])
-    counts = F.concat(counts, F.array_repeat(F.lit(0), F.col("steps") - F.size(counts)))
-    return g.select("author_id", "base_minute", "n_minutes", "steps", counts.alias("counts"))
+    own = Window.partitionBy("author_id")
+    m = m.select("author_id", "m", F.min("m").over(own).alias("base_minute"), F.max("m").over(own).alias("last"), F.count(F.lit(1)).over(own).alias("n_minutes"))
+    span = F.greatest(F.lit(1), F.col("last") - F.col("base_minute")) if span_extra == 0 else F.col("last") - F.col("base_minute") + span_extra
+    at = F.floor((F.col("m") - F.col("base_minute")) / step).cast("int")
+    m = m.filter(F.col("n_minutes") >= min_minutes).withColumns({"steps": (F.ceil(span / step) + 1).cast("int"), "at": at})
+    n = m.groupBy("author_id", "base_minute", "n_minutes", "steps", "at").agg(F.count(F.lit(1)).cast("int").alias("k"))
+    g = n.groupBy("author_id", "base_minute", "n_minutes", "steps").agg(F.array_sort(F.collect_list(F.struct("at", "k"))).alias("met"))
+    # the zeros since the last met step, then its count; the zeros after the last one
+    runs = F.transform("met", lambda x, i: F.concat(F.array_repeat(F.lit(0), x["at"] - F.coalesce(F.get("met", i - 1)["at"], F.lit(-1)) - 1), F.array(x["k"])))
+    tail = F.array_repeat(F.lit(0), F.col("steps") - 1 - F.try_element_at("met", F.lit(-1))["at"])
+    return g.select("author_id", "base_minute", "n_minutes", "steps", F.concat(F.flatten(runs), tail).alias("counts"))
 
 
 def excitation(counts: Column, mu: float, alpha: float, beta: float, step: int) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_history, q_sprints, q_text
+from . import q_curves, q_dist, q_history, q_sprints, q_text
 
-_MODULES = (q_history, q_text, q_sprints)
+_MODULES = (q_history, q_text, q_curves, q_dist, q_sprints)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
