@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_curves, q_dist, q_history, q_sprints, q_text
+from . import q_curves, q_dist, q_history, q_sprints, q_stream, q_text
 
-_MODULES = (q_history, q_text, q_curves, q_dist, q_sprints)
+_MODULES = (q_history, q_text, q_curves, q_dist, q_sprints, q_stream)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -64,13 +64,17 @@ def sprint_day(ts: Column) -> Column:
 
 
 def domain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_domain_events(table(spark, sf_dir, "events"))
+
+
+def as_domain_events(events: DataFrame) -> DataFrame:
     """seq, type, sprint_id, item_id, day, delta, new_status, scope_factor, payload of every event."""
     k = F.col("event_id") % 100
     kind = (
         F.when(k <= 1, "configured").when(k <= 39, "added").when(k <= 49, "removed").when(k <= 74, "status").when(k <= 84, "scope").otherwise("availability")
     )
     status = F.element_at(F.array(F.lit("todo"), F.lit("in_progress"), F.lit("done")), (F.col("event_id") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"),
         kind.alias("type"),
         (F.col("user_id") % 10).alias("sprint_id"),
