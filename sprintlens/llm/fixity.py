@@ -52,10 +52,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", VERSION).text(path).filter("value <> ''")
     cut = F.instr("value", "\r\n\r\n")
     head, rest = F.substr("value", F.lit(1), cut + 1), F.substr("value", cut + 4)
-    body = F.regexp_replace(rest, "\r\n\r\n$", "")
+    body = F.regexp_replace(rest, "\r\n\r\n\\z", "")
 
     def field(name: str) -> Column:
-        return F.regexp_extract(head, f"(?im)^{name}: *(.*?)\r$", 1)
+        return F.regexp_extract(head, f"(?im)^{name}: *([^\r\n]*)", 1)
 
     df = raw.select(
         F.regexp_extract(field("WARC-Record-ID"), "<urn:page:([0-9-]+)>", 1).try_cast("bigint").alias("key"),
@@ -74,7 +74,8 @@ def manifest(records: DataFrame) -> DataFrame:
     """key, volume, offset, length and sha256 of each record, in the order of keys in a volume.
 
     A volume has at most VOLUME keys, so its running sum is a small sort."""
-    df = records.select("key", volume(F.col("key")).alias("volume"), (F.octet_length("record") + 4).cast("bigint").alias("length"), F.sha2("record", 256).alias("sha256"))
+    record = F.coalesce("record", F.lit(""))
+    df = records.select("key", volume(F.col("key")).alias("volume"), (F.octet_length(record) + 4).cast("bigint").alias("length"), F.sha2(record, 256).alias("sha256"))
     before = Window.partitionBy("volume").orderBy("key", "sha256").rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select("key", "volume", "offset", "length", "sha256")
 
