@@ -140,8 +140,9 @@ def code_features(changes: DataFrame) -> DataFrame:
     """id, tree (43 values) and graph (16 values) of changes (id, language, before_blobs, after_blobs).
 
     Python changes are parsed once for both; all others have zeros and skip the Python stage."""
+    kind = changes.schema["id"].dataType.simpleString()
     own = changes.filter("language = 'python'").select("id", F.map_entries("before_blobs").alias("b"), F.map_entries("after_blobs").alias("a"))
-    own = own.mapInArrow(_featured, "id bigint, tree array<float>, graph array<float>")
+    own = own.mapInArrow(_featured, f"id {kind}, tree array<float>, graph array<float>")
     rest = changes.filter("NOT language <=> 'python'").select(
         "id", F.array_repeat(F.lit(0.0).cast("float"), 3 * len(NODE_TYPES) + 4).alias("tree"), F.array_repeat(F.lit(0.0).cast("float"), 16).alias("graph")
     )

@@ -53,5 +53,5 @@ def summarise(sims: DataFrame, by: list[str], length: int) -> DataFrame:
     df = sims.groupBy(*by).agg(F.round(F.avg(F.when(F.col("done_day").isNotNull(), 1.0).otherwise(0.0)), 6).alias("p_end"), *by_day, q.alias("q"), day.alias("dq"))
     return df.select(
         *by, "p_end", *[f"p_day_{d}" for d in range(1, length + 1)],
-        F.round(F.col("q")[0], 4).alias("remaining_p50"), F.round(F.col("q")[1], 4).alias("remaining_p90"), F.floor(F.col("dq")[0]).cast("int").alias("day_p50"), F.floor(F.col("dq")[1]).cast("int").alias("day_p90"),
+        F.round(F.col("q")[0], 6).alias("remaining_p50"), F.round(F.col("q")[1], 6).alias("remaining_p90"), F.floor(F.col("dq")[0]).cast("int").alias("day_p50"), F.floor(F.col("dq")[1]).cast("int").alias("day_p90"),
     )

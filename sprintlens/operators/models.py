@@ -152,4 +152,4 @@ def predict(rows: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame(cols)
 
     kinds = [f"{t}_mdn {MIXTURE}" if k == "mdn" else f"{t}_quantile array<struct<q:double,v:double>>" for t, k in model.heads.items()]
-    return rows.select("id", "x").mapInPandas(task, ", ".join(["id bigint", *kinds]))
+    return rows.select("id", "x").mapInPandas(task, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *kinds]))

@@ -144,7 +144,7 @@ c AS (SELECT scenario, sprint_id, sim, day_index, (sum(daily) OVER (PARTITION BY
 r AS (SELECT t.scenario, t.sprint_id, t.sim, total, min(day_index) FILTER (cum >= total) AS done_day, greatest(0, total - coalesce(max(cum), 0)) AS remaining
   FROM t LEFT JOIN c ON c.scenario = t.scenario AND c.sprint_id = t.sprint_id AND c.sim = t.sim GROUP BY t.scenario, t.sprint_id, t.sim, total)
 SELECT scenario, sprint_id, round(avg(CASE WHEN done_day IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS p_end, {days},
-  round(quantile_cont(remaining / 10000.0::DOUBLE, 0.5), 4) AS remaining_p50, round(quantile_cont(remaining / 10000.0::DOUBLE, 0.9), 4) AS remaining_p90,
+  round(quantile_cont(remaining / 10000.0::DOUBLE, 0.5), 6) AS remaining_p50, round(quantile_cont(remaining / 10000.0::DOUBLE, 0.9), 6) AS remaining_p90,
   floor(quantile_cont(done_day::DOUBLE, 0.5))::INTEGER AS day_p50, floor(quantile_cont(done_day::DOUBLE, 0.9))::INTEGER AS day_p90 FROM r GROUP BY scenario, sprint_id"""
 
 
