@@ -15,6 +15,15 @@ from ..functions.rng import normal, uniform
 from ..functions.scalars import minute
 
 STEP, MIN_MINUTES = 5, 50
+#: Chains that are fitted in one numpy batch.
+TOGETHER = 64
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key over at least all cores: few rows, but much work on each."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, key)
 
 
 def grids(commits: DataFrame, step: int = STEP, min_minutes: int = MIN_MINUTES, span_extra: int = 1) -> DataFrame:
@@ -133,65 +142,87 @@ def time_features(base: int, steps: int, step: int) -> np.ndarray:
     return np.stack([np.sin(day), np.cos(day), np.sin(week), np.cos(week), np.arange(steps) / max(1, steps - 1)], 1)
 
 
-def hmm_forward(y: np.ndarray, s: np.ndarray, e: np.ndarray, c: float, eps: float = 1e-6) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood, state posteriors and expected transitions of the two-state chain.
-
-    State 0 codes and commits with probability c; s and e are the chances to start and to
-    end coding at each step. Scaled forward and backward recursions."""
-    n = len(y)
-    b = np.stack([np.where(y > 0, c, 1 - c), np.where(y > 0, eps, 1 - eps)], 1)
-    a = np.empty((n, 2, 2))
-    a[:, 0, 0], a[:, 0, 1], a[:, 1, 0], a[:, 1, 1] = 1 - e, e, s, 1 - s
-    f, scale = np.empty((n, 2)), np.empty(n)
-    cur = np.array([0.5, 0.5])
+def hmm_forward(y: np.ndarray, s: np.ndarray, e: np.ndarray, c: np.ndarray, lengths: np.ndarray, eps: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihoods, posteriors of coding and expected transitions of many two-state chains at once.
+
+    Arrays are (chain, step), padded after each chain's length. State 0 codes and commits
+    with probability c; s and e are the chances to start and to end coding at each step.
+    Scaled forward and backward recursions; padding passes states on unchanged."""
+    k, n = y.shape
+    inside = np.arange(n) < lengths[:, None]
+    b = np.stack([np.where(y > 0, c[:, None], 1 - c[:, None]), np.where(y > 0, eps, 1 - eps)], 2)
+    b[~inside] = 1.0
+    goes = np.arange(n) < lengths[:, None] - 1
+    a = np.empty((k, n, 2, 2))
+    a[..., 0, 0], a[..., 0, 1], a[..., 1, 0], a[..., 1, 1] = 1 - e, e, s, 1 - s
+    a[~goes] = np.eye(2)
+    f, scale = np.empty((k, n, 2)), np.empty((k, n))
+    cur = np.full((k, 2), 0.5)
     for t in range(n):
-        cur = (cur if t == 0 else cur @ a[t - 1]) * b[t]
-        scale[t] = cur.sum()
-        cur = cur / scale[t]
-        f[t] = cur
-    back = np.ones((n, 2))
+        if t:
+            cur = cur[:, :1] * a[:, t - 1, 0] + cur[:, 1:] * a[:, t - 1, 1]
+        cur = cur * b[:, t]
+        scale[:, t] = cur.sum(1)
+        cur = cur / scale[:, t, None]
+        f[:, t] = cur
+    back = np.ones((k, n, 2))
     for t in range(n - 2, -1, -1):
-        back[t] = a[t] @ (b[t + 1] * back[t + 1]) / scale[t + 1]
+        w = b[:, t + 1] * back[:, t + 1] / scale[:, t + 1, None]
+        back[:, t] = a[:, t, :, 0] * w[:, :1] + a[:, t, :, 1] * w[:, 1:]
     gamma = f * back
-    moves = f[:-1, :, None] * a[:-1] * (b[1:] * back[1:])[:, None, :] / scale[1:, None, None]
-    return float(np.log(scale).sum()), gamma, moves
+    moves = f[:, :-1, :, None] * a[:, :-1] * (b[:, 1:] * back[:, 1:])[:, :, None, :] / scale[:, 1:, None, None]
+    moves[~goes[:, :-1]] = 0.0
+    return np.log(scale).sum(1), gamma, moves
 
 
-def hmm_fit(y: np.ndarray, base: int, step: int, epochs: int = 60, hidden: int = 8, rate: float = 0.02, seed: int = 0) -> tuple[float, np.ndarray]:
-    """Log likelihood and coding probabilities of the chain with a small transition net over time features.
+def hmm_fit(ys: list[np.ndarray], bases: list[int], step: int, epochs: int = 60, hidden: int = 8, rate: float = 0.02, seed: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Log likelihood and coding probabilities of each chain, with a small transition net of its own over time features.
 
     Fisher's identity turns posteriors into the likelihood's gradient, so each epoch is one
-    forward-backward pass and one pass through the net, with Adam and a clipped norm."""
+    forward-backward pass and one pass through the nets, with Adam and a clipped norm. All
+    chains move together; each starts from the same draws, so company doesn't matter."""
+    k, lengths = len(ys), np.array([len(y) for y in ys])
+    n = int(lengths.max())
+    y, x = np.zeros((k, n)), np.zeros((k, n, 5))
+    for i, (v, base) in enumerate(zip(ys, bases, strict=True)):
+        y[i, : len(v)], x[i, : len(v)] = v, time_features(base, len(v), step)
+    inside = (np.arange(n) < lengths[:, None])[..., None]
     r = np.random.default_rng(seed)
-    x = time_features(base, len(y), step)
-    shapes = {"w1": (5, hidden), "b1": (hidden,), "w2": (hidden, hidden), "b2": (hidden,), "w3": (hidden, 2), "b3": (2,), "c": (1,)}
-    p = {k: r.standard_normal(v) * (v[0] ** -0.5 if k[0] == "w" else 0.0) for k, v in shapes.items()}
+    shapes = {"w1": (5, hidden), "b1": (1, hidden), "w2": (hidden, hidden), "b2": (1, hidden), "w3": (hidden, 2), "b3": (1, 2), "c": (1, 1)}
+    p = {q: np.repeat((r.standard_normal(v) * (v[0] ** -0.5 if q[0] == "w" else 0.0))[None], k, 0) for q, v in shapes.items()}
     p["b3"] += np.array([-3.0, -2.0])
-    m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
+    m, v = ({q: np.zeros_like(a) for q, a in p.items()} for _ in range(2))
 
     def chances():
         h1 = np.tanh(x @ p["w1"] + p["b1"])
         h2 = np.tanh(h1 @ p["w2"] + p["b2"])
         o = np.clip(1 / (1 + np.exp(-(h2 @ p["w3"] + p["b3"]))), 1e-6, 1 - 1e-6)
-        return h1, h2, o, float(np.clip(1 / (1 + np.exp(-p["c"][0])), 1e-6, 1 - 1e-6))
+        return h1, h2, o, np.clip(1 / (1 + np.exp(-p["c"][:, 0, 0])), 1e-6, 1 - 1e-6)
+
+    def turned(a):
+        return np.swapaxes(a, 1, 2)
 
     for t in range(1, epochs + 1):
         h1, h2, o, c = chances()
-        _, gamma, moves = hmm_forward(y, o[:, 0], o[:, 1], c)
+        _, gamma, moves = hmm_forward(y, o[..., 0], o[..., 1], c, lengths)
         do = np.zeros_like(o)
-        do[:-1, 0] = moves[:, 1, 0] - o[:-1, 0] * (moves[:, 1, 0] + moves[:, 1, 1])
-        do[:-1, 1] = moves[:, 0, 1] - o[:-1, 1] * (moves[:, 0, 0] + moves[:, 0, 1])
-        d2 = (do @ p["w3"].T) * (1 - h2**2)
-        d1 = (d2 @ p["w2"].T) * (1 - h1**2)
-        g = {"w3": h2.T @ do, "b3": do.sum(0), "w2": h1.T @ d2, "b2": d2.sum(0), "w1": x.T @ d1, "b1": d1.sum(0), "c": np.array([float((gamma[:, 0] * (y - c)).sum())])}
-        norm = math.sqrt(sum(float((q * q).sum()) for q in g.values()))
-        for k in p:
-            q = g[k] * min(1.0, 5 / (norm + 1e-9))
-            m[k], v[k] = 0.9 * m[k] + 0.1 * q, 0.999 * v[k] + 0.001 * q * q
-            p[k] = p[k] + rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        do[:, :-1, 0] = moves[..., 1, 0] - o[:, :-1, 0] * (moves[..., 1, 0] + moves[..., 1, 1])
+        do[:, :-1, 1] = moves[..., 0, 1] - o[:, :-1, 1] * (moves[..., 0, 0] + moves[..., 0, 1])
+        d2 = (do @ turned(p["w3"])) * (1 - h2**2)
+        d1 = (d2 @ turned(p["w2"])) * (1 - h1**2)
+        g = {
+            "w3": turned(h2) @ do, "b3": do.sum(1, keepdims=True), "w2": turned(h1) @ d2, "b2": d2.sum(1, keepdims=True), "w1": turned(x) @ d1, "b1": d1.sum(1, keepdims=True),
+            "c": (gamma[..., :1] * (y[..., None] - c[:, None, None]) * inside).sum(1, keepdims=True),
+        }
+        norm = np.sqrt(sum((q * q).sum((1, 2)) for q in g.values()))
+        clip = np.minimum(1.0, 5 / (norm + 1e-9))[:, None, None]
+        for q in p:
+            d = g[q] * clip
+            m[q], v[q] = 0.9 * m[q] + 0.1 * d, 0.999 * v[q] + 0.001 * d * d
+            p[q] = p[q] + rate * (m[q] / (1 - 0.9**t)) / (np.sqrt(v[q] / (1 - 0.999**t)) + 1e-8)
     _, _, o, c = chances()
-    ll, gamma, _ = hmm_forward(y, o[:, 0], o[:, 1], c)
-    return ll, gamma[:, 0]
+    ll, gamma, _ = hmm_forward(y, o[..., 0], o[..., 1], c, lengths)
+    return ll, [gamma[i, :q, 0] for i, q in enumerate(lengths)]
 
 
 def fitted(grid: DataFrame, model: str, step: int = STEP, **options) -> DataFrame:
@@ -199,23 +230,30 @@ def fitted(grid: DataFrame, model: str, step: int = STEP, **options) -> DataFram
 
     One row an author comes in, so authors are dealt over tasks and fitted in batches."""
 
+    def hawkes(f: pd.DataFrame) -> Iterator[tuple]:
+        for a, base, counts in zip(f["author_id"], f["base_minute"], f["counts"], strict=True):
+            y = np.asarray(counts, float)
+            times = np.repeat(np.arange(len(y)), y.astype(int)) * float(step)
+            mu, alpha, beta, ll = hawkes_fit(times, max(1.0, float((len(y) - 1) * step)), **options)
+            g, prob = 0.0, []
+            for n in y:
+                g = g * math.exp(-beta * step) + n
+                prob.append(1 - math.exp(-min(700.0, alpha * g / max(1e-6, mu))))
+            yield a, base, step, prob, mu, alpha, beta, ll, "hawkes"
+
+    def hmm(f: pd.DataFrame) -> Iterator[tuple]:
+        f = f.iloc[np.argsort([len(c) for c in f["counts"]], kind="stable")]  # chains of like length share their padding
+        for i in range(0, len(f), TOGETHER):
+            part = f.iloc[i : i + TOGETHER]
+            ll, probs = hmm_fit([np.minimum(np.asarray(c, float), 1) for c in part["counts"]], [int(x) for x in part["base_minute"]], step, **options)
+            for a, base, x, p in zip(part["author_id"], part["base_minute"], ll.tolist(), probs, strict=True):
+                yield a, base, step, p.tolist(), None, None, None, x, "hmm"
+
+    names = ["author_id", "base_minute", "step_minutes", "coding_prob", "mu", "alpha", "beta", "log_likelihood", "model_version"]
+
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for a, base, counts in zip(f["author_id"], f["base_minute"], f["counts"], strict=True):
-                y = np.asarray(counts, float)
-                if model == "hawkes":
-                    times = np.repeat(np.arange(len(y)), y.astype(int)) * float(step)
-                    mu, alpha, beta, ll = hawkes_fit(times, max(1.0, float((len(y) - 1) * step)), **options)
-                    g, prob = 0.0, []
-                    for n in y:
-                        g = g * math.exp(-beta * step) + n
-                        prob.append(1 - math.exp(-min(700.0, alpha * g / max(1e-6, mu))))
-                    rows.append((a, base, step, prob, mu, alpha, beta, ll, "hawkes"))
-                else:
-                    ll, prob = hmm_fit(np.minimum(y, 1), int(base), step, **options)
-                    rows.append((a, base, step, prob.tolist(), None, None, None, ll, "hmm"))
-            yield pd.DataFrame(rows, columns=["author_id", "base_minute", "step_minutes", "coding_prob", "mu", "alpha", "beta", "log_likelihood", "model_version"])
+            yield pd.DataFrame(list((hawkes if model == "hawkes" else hmm)(f)), columns=names)
 
     schema = "author_id bigint, base_minute bigint, step_minutes int, coding_prob array<double>, mu double, alpha double, beta double, log_likelihood double, model_version string"
-    return grid.select("author_id", "base_minute", "counts").mapInPandas(task, schema)
+    return spread(grid.select("author_id", "base_minute", "counts"), "author_id").mapInPandas(task, schema)

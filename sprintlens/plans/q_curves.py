@@ -27,7 +27,7 @@ gg AS (SELECT dd.author_id, dd.i, coalesce(k, 0)::INTEGER AS y FROM dd LEFT JOIN
 
 
 def _grid(spark, sf):
-    return C.grids(T.commits(spark, sf), HOUR)
+    return C.spread(C.grids(T.commits(spark, sf), HOUR), "author_id")
 
 
 def q16(spark, sf):
@@ -121,7 +121,7 @@ DRAWS = 3
 
 
 def q20(spark, sf):
-    j = _slices(spark, sf).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    j = C.spread(_slices(spark, sf), "commit_id").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
     minutes = C.sample_minutes(F.col("part"), F.lit(0), F.col("n"), 5, F.col("gap_minutes").cast("double"), 1, "label", F.col("commit_id"), F.col("sample"))
     return j.withColumn("x", minutes).select("commit_id", "sample", F.round("x", 4).alias("minutes"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("x") / 60)), 6).alias("y_hours"))
 

@@ -13,7 +13,7 @@ TOKEN_SQL = S.TOKEN_ASCII
 
 def q13(spark, sf):
     t = S.tokens(F.col("text"))
-    return T.table(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("token_md5"))
+    return T.spread_table(spark, sf, "documents", "doc_id").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("token_md5"))
 
 
 Q13 = f"""
@@ -22,7 +22,7 @@ FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{TOKEN_SQL}') AS t
 
 
 def q14(spark, sf):
-    return X.vocabulary(T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return X.vocabulary(T.spread_table(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("id"), "text"))
 
 
 Q14 = f"""
@@ -32,7 +32,7 @@ SELECT term, tf, df, row_number() OVER (ORDER BY term) - 1 AS col FROM v"""
 
 
 def q15(spark, sf):
-    docs = T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = T.spread_table(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("id"), "text")
     return X.token_counts(docs, X.vocabulary(docs)).select(F.col("id").alias("doc_id"), "col", "n")
 
 
@@ -82,7 +82,7 @@ def q45(spark, sf):
     safe = F.transform(words, lambda w: F.concat(F.lit("v_"), F.lower(w)))
     before = F.concat(F.lit("import os\ndef f(x):\n"), F.array_join(F.transform(safe, lambda w: F.concat(F.lit("    "), w, F.lit(" = g(x)\n"))), ""), F.lit("    return x\n"))
     after = F.concat(F.lit("import os\nfrom a.b import c\ndef f(x):\n"), F.array_join(F.transform(safe, lambda w: F.concat(F.lit("    if x:\n        "), w, F.lit(" = h(x)\n"))), ""), F.lit("    return x\n"))
-    rows = T.table(spark, sf, "documents").select(
+    rows = T.spread_table(spark, sf, "documents", "doc_id").select(
         F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 == 0, "java").otherwise("python").alias("language"), F.create_map(F.lit("m.py"), before).alias("before_blobs"), F.create_map(F.lit("m.py"), after).alias("after_blobs")
     )
     return X.code_features(rows)

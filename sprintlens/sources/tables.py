@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table for work on single rows: dealt by key if its files give fewer tasks than there are cores."""
+    df = table(spark, sf_dir, name)
+    n = spark.sparkContext.defaultParallelism
+    return df.repartition(n, key) if df.rdd.getNumPartitions() < n else df
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """commit_id, author_id, authored_at, kind, value of every event."""
     return table(spark, sf_dir, "events").select(

@@ -166,9 +166,19 @@ def test_normal_cdf(spark):
 def test_fits():
     r = np.random.default_rng(1)
     y = (np.arange(300) % 50 < 10).astype(float) * (r.random(300) < 0.6)
-    ll, gamma, _ = C.hmm_forward(y, np.full(300, 0.05), np.full(300, 0.1), 0.4)
-    assert ((gamma >= 0) & (gamma <= 1)).all() and np.allclose(gamma.sum(1), 1)
-    assert C.hmm_fit(y, 0, 5, epochs=25)[0] > C.hmm_fit(y, 0, 5, epochs=1)[0]
+    rates = np.full((1, 300), 0.05), np.full((1, 300), 0.1)
+    ll, gamma, _ = C.hmm_forward(y[None], *rates, np.array([0.4]), np.array([300]))
+    assert ((gamma >= 0) & (gamma <= 1 + 1e-12)).all() and np.allclose(gamma.sum(2), 1)
+    assert C.hmm_fit([y], [0], 5, epochs=25)[0] > C.hmm_fit([y], [0], 5, epochs=1)[0]
+    # neither padding nor company changes a fit
+    alone, together = C.hmm_fit([y[:120]], [0], 5, epochs=5), C.hmm_fit([y, y[:120]], [0, 0], 5, epochs=5)
+    assert alone[0][0] == pytest.approx(together[0][1]) and np.allclose(alone[1][0], together[1][1])
+    # the gradient by Fisher's identity: a step up the start chance's logit moves the likelihood as it says
+    _, _, moves = C.hmm_forward(y[None], *rates, np.array([0.4]), np.array([300]))
+    g = (moves[0, :, 1, 0] - 0.05 * moves[0, :, 1].sum(1)).sum()
+    up = 1 / (1 + math.exp(-(math.log(0.05 / 0.95) + 1e-5)))
+    more = C.hmm_forward(y[None], np.full((1, 300), up), rates[1], np.array([0.4]), np.array([300]))[0]
+    assert float(more[0] - ll[0]) / 1e-5 == pytest.approx(g, rel=1e-2)
     times = np.sort(np.concatenate([t + r.exponential(3, 8) for t in np.arange(0, 1000, 100.0)]))
     mu, alpha, beta, ll = C.hawkes_fit(times, 1000.0)
     plain = len(times) * math.log(len(times) / 1000) - len(times)
