@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, join_groups, table
+from .common import Scratch, join_groups, spread_table
 
 #: Shortest, average (a power of two) and longest chunk in bytes.
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 4096, 8192, 65536
@@ -144,7 +144,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(spread_table(spark, sf_dir, "documents", "doc_id"))
 
 
 def sql(docs: str = "documents") -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, table, words
+from .common import Scratch, spread_table, words
 
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -108,7 +108,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixture(spread_table(spark, sf_dir, "documents", "doc_id")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def sql(docs: str = "documents") -> str:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, table, tokenizer_path
+from .common import Scratch, spread_table, tokenizer_path
 
 WINDOW, END, SLOTS = 2048, 1, 1024
 VOCABULARY = "word_bpe_49k.json"
@@ -260,4 +260,4 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, sl
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(spread_table(spark, sf_dir, "documents", "doc_id"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread_table, table
 from .quality_rules import STOP_WORDS
 from .sampling import bucket, labelled
 
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
 
 
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id")
     fold = bucket(F.col("doc_id"), FOLDS)
     model = train(docs, table(spark, sf_dir, "labels"), usable=fold != HELD_OUT)
     scored = score(docs, model)

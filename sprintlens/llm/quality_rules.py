@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, table, words
+from .common import WORD_BREAK, spread_table, words
 
 WINDOW = 8
 
@@ -137,7 +137,7 @@ def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"]).select(
+    return quality_rules(spread_table(spark, sf_dir, "documents", "doc_id"), carry=["doc_id"]).select(
         F.col("__row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 

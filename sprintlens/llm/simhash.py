@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_groups, table
+from .common import Scratch, join_groups, spread_table
 from .components import components
 
 SHINGLE, SEED, DISTANCE, BLOCKS = 3, 42, 3, 6
@@ -205,4 +205,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return near_dedup(spread_table(spark, sf_dir, "documents", "doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, drops_shuffles, table
+from .common import Scratch, drops_shuffles, spread_table
 
 WINDOW, INNER = 20, 10
 BATCHES, FANOUT, HOT = 2, 2, 4096
@@ -309,4 +309,4 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDO
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return substring_dedup(spread_table(spark, sf_dir, "documents", "doc_id")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread_table, table
 from .sampling import bucket, labelled
 
 BOUND, MAX_CHARS = 1600, 12_000
@@ -275,7 +275,7 @@ def score(docs: DataFrame, network: Network | None) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id")
     fold = bucket(F.col("doc_id"), FOLDS)
     scored = score(docs, train(docs, table(spark, sf_dir, "labels"), usable=fold != HELD_OUT))
     return scored.select("doc_id", F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
