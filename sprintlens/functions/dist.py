@@ -142,3 +142,9 @@ def quantile_valid(d: Column) -> Column:
 
 def quantile_sample(d: Column, *key) -> Column:
     return quantile_at(d, uniform(*key))
+
+
+def lognormal_from_quantiles(p50: Column, p90: Column) -> Column:
+    """mu and sigma of the lognormal with these quantiles; null unless 0 < p50 <= p90."""
+    ok = (p50 > 0) & (p90 >= p50)
+    return F.when(ok, F.struct(F.log(p50).alias("mu"), (F.log(p90 / p50) / 1.2815515655446004).alias("sigma")))

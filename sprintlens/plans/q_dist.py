@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import dist as D
+from ..functions.rng import normal_sql, uniform_sql
 from ..functions.scalars import lognormal_quantiles
 from ..operators import models as N
 from ..sources import tables as T
@@ -143,7 +144,31 @@ def q49(spark, sf):
     return N.predict(rows, N.train(rows, {"y": "mdn", "z": "quantile"}, epochs=8))
 
 
+def q54(spark, sf):
+    """A draw from each event's quantile distribution and the lognormal with its p50 and p90."""
+    d = T.table(spark, sf, "events").filter("event_id % 17 <> 0").select("event_id", _quantiles().alias("d"))
+    ln = D.lognormal_from_quantiles(F.get("d", F.lit(0))["v"], F.get("d", F.lit(2))["v"])
+    return d.select("event_id", F.round(D.quantile_sample(F.col("d"), 5, F.col("event_id")), 7).alias("draw"), F.round(ln["mu"], 6).alias("mu"), F.round(ln["sigma"], 6).alias("sigma"))
+
+
+_U = uniform_sql("'5|' || event_id")
+Q54 = f"""
+WITH d AS (SELECT event_id, {_U} AS u, value / 100 AS a, value / 100 * 1.5::DOUBLE AS b, value / 100 * 2 AS c FROM events WHERE event_id % 17 <> 0)
+SELECT event_id, round(CASE WHEN u < 0.5 THEN a WHEN u < 0.8 THEN a + (b - a) * (u - 0.5::DOUBLE) / (0.8::DOUBLE - 0.5::DOUBLE) WHEN u < 0.9 THEN b + (c - b) * (u - 0.8::DOUBLE) / (0.9::DOUBLE - 0.8::DOUBLE) ELSE c END, 7) AS draw,
+  CASE WHEN a > 0 THEN round(ln(a), 6) END AS mu, CASE WHEN a > 0 THEN round(ln(c / a) / 1.2815515655446004::DOUBLE, 6) END AS sigma FROM d"""
+
+
+def q55(spark, sf):
+    """A clipped draw from each vector's mixture."""
+    m = _mixtures(spark, sf)
+    return m.select("vec_id", F.round(D.mixture_sample(F.col("m"), 6, F.col("vec_id")), 6).alias("draw"))
+
+
+_N, _C = normal_sql("'6|' || vec_id"), uniform_sql("'6|' || vec_id || '|c'")
+Q55 = f"WITH {MIX} SELECT vec_id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN w <= {_C} * (w + (1 - w)) THEN m2 + s2 * {_N} ELSE m1 + s1 * {_N} END)), 6) AS draw FROM m"
+
 QUERIES = {
+    "q54_quantile_samples": (q54, Q54), "q55_mixture_samples": (q55, Q55),
     "q25_quantile_dist": (q25, Q25), "q26_clipped_mixture_mean": (q26, Q26), "q27_truncated_cdf": (q27, Q27), "q28_lognormal_fit": (q28, Q28), "q29_story_points": (q29, Q29),
     "q31_pinball_loss": (q31, Q31), "q32_mdn_nll": (q32, Q32), "q33_quantile_head": (q33, Q33), "q48_mdn_train": (q48, None), "q49_multitask_train": (q49, None),
 }

@@ -227,7 +227,31 @@ def q51(spark, sf):
 Q51 = """
 SELECT event_type AS kind, event_id AS commit_id, row_number() OVER w AS place, (row_number() OVER w - 1) // 8 AS chunk FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)"""
 
+def q52(spark, sf):
+    li = T.table(spark, sf, "lineitem")
+    df = H.assembled_prs(T.pull_requests(spark, sf), T.pr_commits(spark, sf), li.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("number")))
+    return df.select("number", "author_id", "created_at", "merged_at", "review_rounds", F.size("commits").cast("bigint").alias("n_commits"), F.coalesce(F.array_max("commits"), F.lit(-1)).alias("last_sha"))
+
+
+Q52 = f"""
+SELECT p.*, coalesce(r, 0)::BIGINT AS review_rounds, coalesce(c, 0)::BIGINT AS n_commits, coalesce(m, -1)::BIGINT AS last_sha FROM ({PRS}) p
+LEFT JOIN (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS r, count(DISTINCT l_partkey) AS c, max(l_partkey) AS m FROM lineitem GROUP BY l_orderkey) ON l_orderkey = number"""
+
+GLOBS = ["*Brand#1[0-9]/*", "*.md"]
+
+
+def q53(spark, sf):
+    """Paths that no exclude glob matches and whose language passes the filter."""
+    p = T.paths(spark, sf).withColumn("language", S.language(F.array("path")))
+    return p.filter(~S.glob_condition(F.col("path"), GLOBS) & S.matches(F.col("language"), ["python", "re:^java$"], [])).select("p_partkey", "path", "language", S.safe_name(F.col("path")).alias("file"), F.sha1("path").alias("hash"))
+
+
+Q53 = f"""
+WITH p AS (SELECT p_partkey, {PATH} AS path FROM part), l AS (SELECT *, CASE WHEN ends_with(path, '.py') THEN 'python' WHEN ends_with(path, '.java') THEN 'java' WHEN ends_with(path, '.js') OR ends_with(path, '.ts') THEN 'javascript' ELSE 'unknown' END AS language FROM p)
+SELECT p_partkey, path, language, translate(path, '/#: ', '____') AS file, sha1(path) AS hash FROM l WHERE NOT (path GLOB '*Brand#1[0-9]/*' OR path GLOB '*.md') AND language IN ('python', 'java')"""
+
 QUERIES = {
+    "q52_pr_assembly": (q52, Q52), "q53_path_filters": (q53, Q53),
     "q01_commit_pairs": (q01, Q01), "q02_author_activity": (q02, Q02), "q03_author_filter": (q03, Q03), "q04_language_inference": (q04, Q04),
     "q05_last_write_wins": (q05, Q05), "q06_insert_ignore": (q06, Q06), "q07_commit_cap": (q07, Q07), "q08_review_counts": (q08, Q08),
     "q09_pr_metrics_by_sha": (q09, Q09), "q10_pr_commit_lists": (q10, Q10), "q11_cycle_time": (q11, Q11), "q12_delivery_labels": (q12, Q12),

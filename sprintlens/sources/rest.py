@@ -105,3 +105,17 @@ def current_milestones(spark: SparkSession, repos: list[str], transport: Transpo
     top = m.groupBy("repo").agg(F.min_by(F.struct("number", "title", "due_on"), F.struct(F.col("due_on").isNull(), "due_on", "number")).alias("m"))
     end = F.coalesce(F.to_date("m.due_on"), F.current_date())
     return top.select("repo", F.concat("repo", F.lit("#milestone-"), "m.number").alias("sprint_id"), "m.title", F.date_sub(end, days).alias("start_date"), end.alias("end_date"), F.lit(days + 1).alias("length_days"))
+
+
+def repo_id(transport: Transport, repo: str, base: str = "") -> int:
+    """The numeric id of owner/name."""
+    body = get(transport, f"{base}/repos/{repo}", {})
+    if not isinstance(body, dict) or "id" not in body:
+        raise ApiError(f"{repo}: no id")
+    return int(body["id"])
+
+
+def issue_estimates(spark: SparkSession, issues: DataFrame, estimates: DataFrame) -> DataFrame:
+    """issues (repo, issue_number) with estimate_value, null where there is none."""
+    best = estimates.groupBy("repo", "issue_number").agg(F.max("estimate_value").alias("estimate_value"))
+    return issues.join(best, ["repo", "issue_number"], "left")
