@@ -166,9 +166,9 @@ class Network:
             g[f"U{d}"], g[f"W{d}"], g[f"b{d}"] = du, x.T @ dgates[d], dgates[d].sum(0)
         dx = sum(dgates[d] @ p[f"W{d}"].T for d in (0, 1))
         g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
+        sizes = np.fromiter((len(c) for _, c in rows), np.int64, len(rows))
         np.add.at(g["word"], [w for w, _ in rows], dx)
-        for k, (_, c) in enumerate(rows):
-            np.add.at(g["char"], c, dx[k] / len(c))
+        np.add.at(g["char"], [x for _, c in rows for x in c], np.repeat(dx / sizes[:, None], sizes, axis=0))
         g["word"][0] = g["char"][0] = 0
         return g, loss
 
