@@ -3,7 +3,8 @@
 A window is ``WINDOW`` consecutive words. Of each window the index holds the hash of one
 inner run of ``INNER`` words, the least by hash among the window's runs (winnowing), so
 equal windows always share their indexed hash while only about a sixth of all positions is
-indexed. The index is a log of immutable runs, each a table bucketed and sorted by hash.
+indexed. The index is a log of immutable runs, each a table of hashes and counts, bucketed
+and sorted by hash; the positions themselves are postings that stay where they were made.
 Documents come in batches of rising doc_id. A batch
 
 1. becomes a new run,
@@ -16,7 +17,9 @@ Documents come in batches of rising doc_id. A batch
 Decisions on older documents never change, so a later batch needs the index and the older
 texts that share a hash with it, nothing else.
 
-A hash met over ``HOT`` times is not handled as one group: its windows are dealt by their
+Counts are combined before they are shuffled, and postings meet repeated hashes in a join
+that splits off heavy hashes, so a passage that a third of all documents hold gathers in
+no task. A hash met over ``HOT`` times is not handled as one group either: its windows are dealt by their
 own digests and by doc_id, first within each slot, then among the slots' firsts.
 
 A null text has no words. Texts shorter than a window lose nothing. Rows that repeat a
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, drops_shuffles, spread_table
+from .common import Scratch, drops_shuffles, join_groups, spread_table
 
 WINDOW, INNER = 20, 10
 BATCHES, FANOUT, HOT = 2, 2, 4096
@@ -235,7 +238,7 @@ def _kept(window: int):
 
 
 class FingerprintIndex:
-    """A log of runs (h, id, pos), each bucketed and sorted by h, so that joins and counts by h move nothing."""
+    """A log of runs (h, n), each bucketed and sorted by h, so that they are merge-joined without a shuffle."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
@@ -246,17 +249,21 @@ class FingerprintIndex:
         self._n = 0
 
     def bucketed(self, df: DataFrame) -> DataFrame:
+        """Writes rows of distinct h as a run."""
         self._n += 1
         name = f"{self.name}_{self._n}"
         with drops_shuffles(self.spark):
             df.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.at.root}/{name}").saveAsTable(name)
         return self.spark.table(name)
 
+    def run_of(self, postings: DataFrame) -> DataFrame:
+        return self.bucketed(postings.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
+
     def repeated(self, run: DataFrame) -> DataFrame:
         """h and its count n over run and all older runs, of hashes of run that are met twice or more."""
-        counts = run.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        counts = run
         for k, old in enumerate(self.runs):
-            counts = counts.join(old.groupBy("h").agg(F.count(F.lit(1)).alias(f"n{k}")), "h", "left")
+            counts = counts.join(old.withColumnRenamed("n", f"n{k}"), "h", "left")
         n = reduce(lambda a, k: a + F.coalesce(F.col(f"n{k}"), F.lit(0)), range(len(self.runs)), F.col("n"))
         return self.bucketed(counts.select("h", n.alias("n")).filter("n > 1"))
 
@@ -266,13 +273,12 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merges the runs once there are enough of them."""
         if len(self.runs) >= self.fanout:
-            self.runs = [self.bucketed(reduce(DataFrame.unionByName, self.runs))]
+            self.runs = [self.bucketed(reduce(DataFrame.unionByName, self.runs).groupBy("h").agg(F.sum("n").alias("n")))]
 
 
-def _repeated_ranges(docs: DataFrame, run: DataFrame, index: FingerprintIndex, at: Scratch, name: str, window: int, inner: int, hot: int) -> DataFrame:
-    """Ranges (id, lo, hi) of starts of repeated windows; docs has id and text of the batch and all older rows."""
-    found = index.repeated(run)
-    spots = reduce(DataFrame.unionByName, [r.join(found, "h").select("id", "pos", "n") for r in (run, *index.runs)])
+def _repeated_ranges(docs: DataFrame, postings: DataFrame, found: DataFrame, at: Scratch, name: str, window: int, inner: int, hot: int) -> DataFrame:
+    """Ranges (id, lo, hi) of starts of repeated windows; docs and postings are those of the batch and all older ones."""
+    spots = join_groups(postings, found, "h", "n", postings.count()).select("id", "pos", "n")
     spots = spots.groupBy("id").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n"))
     rows = docs.join(spots, "id").select("id", "text", "at", "n")
     rows = rows.mapInArrow(_windows(window, inner, hot), "key bigint, slot int, id bigint, start int, digests binary")
@@ -292,12 +298,13 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDO
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("id"))
     cuts = docs.select(F.percentile_approx("id", [k / batches for k in range(1, batches)]).alias("c")).first()["c"] if batches > 1 else []
     bounds = [None, *sorted(set(cuts or [])), None]
-    parts = []
+    parts, postings = [], []
     for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
         older = docs if hi is None else docs.filter(F.col("id") <= hi)
         batch = older if lo is None else older.filter(F.col("id") > lo)
-        run = index.bucketed(batch.select("id", "text").mapInArrow(_anchors(window, inner), "h bigint, id bigint, pos int"))
-        ranges = _repeated_ranges(older.select("id", "text"), run, index, at, f"marks{k}", window, inner, hot)
+        postings.append(at.write(batch.select("id", "text").mapInArrow(_anchors(window, inner), "h bigint, id bigint, pos int"), f"postings{k}"))
+        run = index.run_of(postings[-1])
+        ranges = _repeated_ranges(older.select("id", "text"), reduce(DataFrame.unionByName, postings), index.repeated(run), at, f"marks{k}", window, inner, hot)
         if lo is not None:
             ranges = ranges.filter(F.col("id") > lo)
         parts.append(ranges)
