@@ -49,7 +49,8 @@ def capacity(events: DataFrame) -> DataFrame:
     running sum of deltas; two windows over one sort."""
     conf = configured(events)
     av = events.filter("type = 'availability'").select("seq", "day", "delta")
-    j = av.join(F.broadcast(conf.select("sprint_id", "conf_seq")), F.col("seq") > F.col("conf_seq"))
+    # every delta reaches every sprint configured before it; the engine broadcasts the smaller side only if it is small
+    j = av.join(conf.select("sprint_id", "conf_seq"), F.col("seq") > F.col("conf_seq"))
     w = Window.partitionBy("sprint_id", "day").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     j = j.withColumn("total", F.sum("delta").over(w))
     return j.groupBy("sprint_id", "day").agg(

@@ -37,7 +37,7 @@ INCLUDE, EXCLUDE = ["re:^(asia|europe)/", " NATION_1"], ["re:7$", "nation_18/"]
 
 def q03(spark, sf):
     s, n, r = (T.table(spark, sf, x) for x in ("supplier", "nation", "region"))
-    df = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    df = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     df = df.select("s_suppkey", F.concat_ws("/", "r_name", "n_name", "s_name").alias("repo"))
     return df.filter(S.matches(F.col("repo"), [p.strip() for p in INCLUDE], EXCLUDE))
 
