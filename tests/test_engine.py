@@ -301,3 +301,19 @@ def test_pipeline_over_a_repository(spark, tmp_path):
     assert f["p_day_1"] == 0.0 and f["p_end"] == 1.0
     with pytest.raises(ValueError):
         p.run(("nonsense",))
+
+
+def test_keyed_table(spark, tmp_path):
+    from sprintlens.sources.sinks import KeyedTable
+
+    t = KeyedTable(spark, str(tmp_path / "t"), "repo string, number int, state string", ["repo", "number"])
+    rows = lambda *r: spark.createDataFrame(list(r), t.schema)
+    assert t.read().count() == 0
+    t.upsert(rows(("a", 1, "open"), ("a", 2, "open")))
+    t.upsert(rows(("a", 2, "closed"), ("b", 1, "open")))
+    t.insert_ignore(rows(("a", 1, "late"), ("c", 1, "new")))
+    assert sorted(map(tuple, t.read().collect())) == [("a", 1, "open"), ("a", 2, "closed"), ("b", 1, "open"), ("c", 1, "new")]
+    os.remove(tmp_path / "t" / "v3" / "_SUCCESS")  # a writer that died
+    assert t.read().count() == 3 and t.version() == 2
+    t.upsert(rows(("d", 1, "x")))
+    assert t.read().count() == 4
