@@ -32,36 +32,51 @@ DIM, STATE, WORD_ROWS, CHAR_ROWS = 12, 8, 1 << 14, 1 << 12
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.02, 5
 FOLDS, HELD_OUT, CUTOFF = 3, 1, 0.7
 #: Words whose inputs a task remembers, and windows scored at once.
-CACHE, CHUNK = 200_000, 4096
+CACHE, CHUNK = 400_000, 2048
 
 _EDGE = b" .,;:!?\"'()[]{}<>|#*$%&@_+=-~`^/\\"
 
 
-def word_rows(word: bytes) -> tuple[int, list[int]]:
-    """Rows of the word vector and of the character vectors; row 0 is padding's."""
-    low = word.lower()
-    core = low.strip(_EDGE) or low
+def core_rows(core: bytes) -> tuple[int, list[int]]:
+    """Rows of a lower-case word's vector and of its character vectors; row 0 is padding's."""
     marked = b"<" + core + b">"
     chars = [1 + zlib.crc32(marked[i : i + 3]) % (CHAR_ROWS - 1) for i in range(max(1, len(marked) - 2))]
     return 1 + zlib.crc32(core) % (WORD_ROWS - 1), chars[:64]
 
 
 class Vocabulary:
-    """Numbers words in the order met; number 0 is padding."""
+    """Numbers words in the order met, without case and marks at their edges; number 0 is padding."""
 
     def __init__(self):
         self.number: dict[bytes, int] = {}
+        self.count = 1
         self.rows: list[tuple[int, list[int]]] = [(0, [0])]
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        out = np.empty(len(words), np.int64)
-        number = self.number
-        for k, w in enumerate(words):
-            i = number.get(w)
-            if i is None:
-                i = number[w] = len(self.rows)
-                self.rows.append(word_rows(w))
-            out[k] = i
+    def _add(self, word: bytes) -> int:
+        core = word.strip(_EDGE) or word
+        i = self.number.get(core)
+        if i is None:
+            i = self.number[core] = self.count
+            self.rows.append(core_rows(core))
+            self.count += 1
+        self.number[word] = i
+        return i
+
+    def of(self, text: str | None) -> np.ndarray:
+        """The numbers of a text's words."""
+        words = (text or "").encode().lower().split()
+        out = list(map(self.number.get, words))
+        if None in out:
+            out = [self._known(w) if i is None else i for w, i in zip(words, out, strict=True)]
+        return np.array(out, np.int64)
+
+    def _known(self, word: bytes) -> int:
+        i = self.number.get(word)
+        return self._add(word) if i is None else i
+
+    def taken(self) -> list[tuple[int, list[int]]]:
+        """The rows since the last call, which are given up."""
+        out, self.rows = self.rows, []
         return out
 
 
@@ -198,7 +213,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED)
     if len(set(y.tolist())) < 2:
         return None
     words = Vocabulary()
-    bags = [windowed(words.of((t or "").encode().split())) for t in texts]
+    bags = [windowed(words.of(t)) for t in texts]
     net, r = Network(seed), np.random.default_rng(seed)
     adam = Adam(net.p, RATE)
     pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
@@ -226,36 +241,44 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED)
     return net
 
 
+class _Memory:
+    """Words met by a task and their projected inputs, in arrays that double when full."""
+
+    def __init__(self, net: Network):
+        self.net, self.words, self.n = net, Vocabulary(), 0
+        self.gates = [np.empty((1 << 14, 3 * STATE), np.float32) for _ in (0, 1)]
+
+    def grown(self) -> list[np.ndarray]:
+        rows = self.words.taken()
+        if rows:
+            while self.n + len(rows) > len(self.gates[0]):
+                self.gates = [np.concatenate((g, np.empty_like(g))) for g in self.gates]
+            for g, new in zip(self.gates, self.net.projected(self.net.inputs(rows)), strict=True):
+                g[self.n : self.n + len(rows)] = new
+            self.n += len(rows)
+        return self.gates
+
+
 def _scored(network):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = network.value
-        words, gates = Vocabulary(), [np.zeros((0, 3 * STATE), np.float32)] * 2
+        memory = getattr(net, "memory", None) or _Memory(net)  # a worker's tasks share the network and what it has met
         for b in batches:
             texts = b.column(1).to_pylist()
             out = np.full(len(texts), -np.inf, np.float32)
             held, owner, n = [], [], 0
-
-            def flush():
-                nonlocal gates, held, owner, n
-                done = len(gates[0])
-                if len(words.rows) > done:
-                    new = net.projected(net.inputs(words.rows[done:]))
-                    gates = [np.concatenate((a, x)) for a, x in zip(gates, new, strict=True)]
-                ids, own = np.concatenate(held), np.concatenate(owner)
-                for i in range(0, len(ids), CHUNK):
-                    np.maximum.at(out, own[i : i + CHUNK], net.forward(gates, ids[i : i + CHUNK]))
-                held, owner, n = [], [], 0
-
             for k, t in enumerate(texts):
-                w = windowed(words.of((t or "").encode().split()))
+                w = windowed(memory.words.of(t))
                 held.append(w), owner.append(np.full(len(w), k))
                 n += len(w)
-                if n >= CHUNK:
-                    flush()
-                    if len(words.rows) > CACHE:
-                        words, gates = Vocabulary(), [np.zeros((0, 3 * STATE), np.float32)] * 2
-            if n:
-                flush()
+                if n >= CHUNK or k + 1 == len(texts):
+                    gates, ids, own = memory.grown(), np.concatenate(held), np.concatenate(owner)
+                    for i in range(0, len(ids), CHUNK):
+                        np.maximum.at(out, own[i : i + CHUNK], net.forward(gates, ids[i : i + CHUNK]))
+                    held, owner, n = [], [], 0
+                    if len(memory.words.number) > CACHE:
+                        memory = _Memory(net)
+            net.memory = memory
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-out.astype(float))))], ["doc_id", "score"])
 
     return task

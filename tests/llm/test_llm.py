@@ -231,6 +231,19 @@ def test_substrings_against_brute_force(spark, sf, options):
     assert substrings(docs, **options) == brute_substrings([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_substrings_batch_after_batch(spark, sf):
+    """An index that is kept between calls gives what one call gives."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    want = brute_substrings([(r.doc_id, r.text) for r in docs.collect()])
+    index = substring_dedup.FingerprintIndex(spark)
+    got = {}
+    for lo, hi in ((-1, 60), (60, 130), (130, 10**9)):
+        new = docs.filter((F.col("doc_id") > lo) & (F.col("doc_id") <= hi))
+        got |= substrings(new, batches=1, index=index, older=docs.filter(F.col("doc_id") <= lo))
+    assert got == want
+    index.close()
+
+
 def test_substrings_odd(odd, none):
     assert substrings(odd, hot=5) == brute_substrings([(d, t) for d, t, _ in ODD])
     assert substrings(none) == {}
@@ -253,6 +266,11 @@ def tokenizer():
     return Tokenizer.from_file(tokenizer_path(packing.VOCABULARY))
 
 
+@pytest.fixture(scope="module")
+def word_ids(tokenizer):
+    return packing._Ids(tokenizer.to_str())
+
+
 def check_packing(got, docs, tokenizer):
     want = sorted([*(tokenizer.encode(t or "", add_special_tokens=False).ids), 1] for _, t in docs)
     by_doc, by_seq = defaultdict(list), defaultdict(list)
@@ -290,11 +308,9 @@ def test_packing_odd(odd, none, tokenizer):
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([*"abcHÉéİΣσß 's'tre\t\n\r\x0b\x0c\x1c\x1f\x85\xa0　́̈<|>09.,!漢👍", "<|endoftext|>", "H̱", ", ", "'ve "]), max_size=40))
-def test_words_encode_apart(tokenizer, parts):
+def test_words_encode_apart(tokenizer, word_ids, parts):
     text = "".join(parts)
-    ids = packing._Ids(tokenizer.to_str()) if not hasattr(test_words_encode_apart, "ids") else test_words_encode_apart.ids
-    test_words_encode_apart.ids = ids
-    assert ids.texts([text, "x", text])[2] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert word_ids.texts([text, "x", text])[2] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @settings(max_examples=60, deadline=None)
@@ -342,7 +358,7 @@ def test_network_gradients():
     net = toxicity.Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     words = toxicity.Vocabulary()
-    ids = np.stack([toxicity.windowed(words.of(t.split()))[0] for t in (b"a bad word " * 9, b"short one")])
+    ids = np.stack([toxicity.windowed(words.of(t))[0] for t in ("a bad word " * 9, "short one")])
     y = np.array([1.0, 0.0])
     g, _ = net.gradients(words.rows, ids, y)
     for k, at in (("U0", (1, 2)), ("U1", (3, 20)), ("W0", (2, 5)), ("A", (4, 1)), ("v", (2,)), ("o", (3,)), ("b1", (17,)), ("word", (words.rows[1][0], 2)), ("char", (words.rows[1][1][0], 1))):
