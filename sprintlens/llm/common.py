@@ -101,12 +101,9 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataF
 
 
 def tokenizer_path(name: str) -> str:
-    """Where a public vocabulary file lies: $TOKENIZER_DIR, the installed package, or /opt/tokenizers."""
+    """Where a public vocabulary file lies: in $TOKENIZER_DIR, else in the installed package."""
     if folder := os.environ.get("TOKENIZER_DIR"):
         return f"{folder}/{name}"
-    try:
-        import public_tokenizers
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return f"/opt/tokenizers/{name}"
+    return public_tokenizers.path(name)
