@@ -243,11 +243,20 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
         self.at = Scratch(spark, "fingerprints")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # hashes and counts are about an eighth of their texts, so fewer and larger buckets than shuffle partitions
+        self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
         self.name = f"fingerprints_{uuid.uuid4().hex}"
         self.runs: list[DataFrame] = []
+        self.postings: list[DataFrame] = []
         self._n = 0
 
+    def close(self) -> None:
+        """Drops the runs and postings; only for an index that nothing will use again."""
+        for k in range(1, self._n + 1):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{k}")
+        self.at.delete("")
+        self.runs, self.postings = [], []
+
     def bucketed(self, df: DataFrame) -> DataFrame:
         """Writes rows of distinct h as a run."""
         self._n += 1
@@ -265,7 +274,7 @@ class FingerprintIndex:
         for k, old in enumerate(self.runs):
             counts = counts.join(old.withColumnRenamed("n", f"n{k}"), "h", "left")
         n = reduce(lambda a, k: a + F.coalesce(F.col(f"n{k}"), F.lit(0)), range(len(self.runs)), F.col("n"))
-        return self.bucketed(counts.select("h", n.alias("n")).filter("n > 1"))
+        return self.at.write(counts.select("h", n.alias("n")).filter("n > 1"), f"repeated{len(self.postings)}")
 
     def append(self, run: DataFrame) -> None:
         self.runs.append(run)
@@ -279,37 +288,54 @@ class FingerprintIndex:
 def _repeated_ranges(docs: DataFrame, postings: DataFrame, found: DataFrame, at: Scratch, name: str, window: int, inner: int, hot: int) -> DataFrame:
     """Ranges (id, lo, hi) of starts of repeated windows; docs and postings are those of the batch and all older ones."""
     spots = join_groups(postings, found, "h", "n", postings.count()).select("id", "pos", "n")
-    spots = spots.groupBy("id").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n"))
+    # written apart, so that the postings' shuffle is gone before the texts' begins
+    spots = at.write(spots.groupBy("id").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n")), f"spots-{name}")
     rows = docs.join(spots, "id").select("id", "text", "at", "n")
     rows = rows.mapInArrow(_windows(window, inner, hot), "key bigint, slot int, id bigint, start int, digests binary")
     rows = rows.repartition("key", "slot").sortWithinPartitions("key", "slot", "id", "start")
     marks = at.write(rows.mapInArrow(_repeats, "id bigint, lo int, hi int, first binary"), name)
+    at.delete(f"spots-{name}")
     ranges = marks.filter("first IS NULL").select("id", "lo", "hi")
     among = Window.partitionBy("first").orderBy("id", "lo")
     late = marks.filter("first IS NOT NULL").withColumn("k", F.dense_rank().over(among)).filter("k > 1").select("id", "lo", "hi")
     return ranges.unionByName(late)
 
 
-def substring_dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, inner: int = INNER, hot: int = HOT, fanout: int = FANOUT) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text of every row of docs."""
+def substring_dedup(
+    docs: DataFrame,
+    batches: int = BATCHES,
+    window: int = WINDOW,
+    inner: int = INNER,
+    hot: int = HOT,
+    fanout: int = FANOUT,
+    index: FingerprintIndex | None = None,
+    older: DataFrame | None = None,
+) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_text of every row of docs.
+
+    An index that is passed in goes on growing and stays open: pass it again with the next
+    documents, and with ``older``, all those before, whose doc_ids are smaller."""
     spark = docs.sparkSession
     at = Scratch(spark, "substring")
-    index = FingerprintIndex(spark, fanout=fanout)
-    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("id"))
+    kept_open, index = index is not None, index or FingerprintIndex(spark, fanout=fanout)
+    key = F.coalesce("doc_id", F.lit(_LAST)).alias("id")
+    docs = docs.select("doc_id", "text", key)
     cuts = docs.select(F.percentile_approx("id", [k / batches for k in range(1, batches)]).alias("c")).first()["c"] if batches > 1 else []
     bounds = [None, *sorted(set(cuts or [])), None]
-    parts, postings = [], []
+    parts = []
     for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        older = docs if hi is None else docs.filter(F.col("id") <= hi)
-        batch = older if lo is None else older.filter(F.col("id") > lo)
-        postings.append(at.write(batch.select("id", "text").mapInArrow(_anchors(window, inner), "h bigint, id bigint, pos int"), f"postings{k}"))
-        run = index.run_of(postings[-1])
-        ranges = _repeated_ranges(older.select("id", "text"), reduce(DataFrame.unionByName, postings), index.repeated(run), at, f"marks{k}", window, inner, hot)
-        if lo is not None:
-            ranges = ranges.filter(F.col("id") > lo)
-        parts.append(ranges)
+        upto = docs if hi is None else docs.filter(F.col("id") <= hi)
+        batch = (upto if lo is None else upto.filter(F.col("id") > lo)).select("id", "text")
+        seen = upto.select("id", "text") if older is None else older.select(key, "text").unionByName(upto.select("id", "text"))
+        postings = batch.mapInArrow(_anchors(window, inner), "h bigint, id bigint, pos int")
+        index.postings.append(index.at.write(postings, f"postings{len(index.postings)}"))
+        run = index.run_of(index.postings[-1])
+        ranges = _repeated_ranges(seen, reduce(DataFrame.unionByName, index.postings), index.repeated(run), at, f"marks{k}", window, inner, hot)
+        parts.append(ranges if lo is None else ranges.filter(F.col("id") > lo))
         index.append(run)
         index.compact()
+    if not kept_open:
+        index.close()
     gone = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     rows = docs.join(gone, "id", "left").select("doc_id", "text", "lo", "hi")
     return rows.mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
