@@ -11,7 +11,7 @@ Documents come in batches of rising doc_id. A batch
 2. is merge-joined with the older runs, bucket by bucket, for hashes seen before,
 3. is verified: around those hashes only, the real windows of the batch and of the older
    documents are compared by 128-bit digests of their words; all but the first by
-   (doc_id, start) are repeats,
+   (doc_id, tie, start) are repeats,
 4. and once ``FANOUT`` runs have piled up they are compacted into one.
 
 Decisions on older documents never change, so a later batch needs the index and the older
@@ -20,11 +20,12 @@ texts that share a hash with it, nothing else.
 Counts are combined before they are shuffled, and postings meet repeated hashes in a join
 that splits off heavy hashes, so a passage that a third of all documents hold gathers in
 no task. A hash met over ``HOT`` times is not handled as one group either: its windows are dealt by their
-own digests and by doc_id, first within each slot, then among the slots' firsts.
+own digests and by row, first within each slot, then among the slots' firsts.
 
-A null text has no words. Texts shorter than a window lose nothing. Rows that repeat a
-doc_id are one document and don't repeat each other. Rows without a doc_id count as one
-document after all others. Only ``doc_id`` and ``text`` are read.
+Every row is a document of its own. Where doc_id does not tell rows apart, as it is null or
+repeated, a tie does: the text's digest and a number, so that equal ids go by digest, and
+null ones come after all others. A null text has no words. Texts shorter than a window lose
+nothing. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -125,15 +126,18 @@ def _changes(c: np.ndarray) -> np.ndarray:
 def _anchors(window: int, inner: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, ids, at = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            hs, rows, at = [], [], []
+            for k, t in enumerate(b.column(2).to_pylist()):
                 laid = _Laid(t)
                 if laid.n >= window:
                     h, c = chosen(laid, window, inner)
                     c = np.union1d(c[_changes(c)], _near_ties(h, window - inner))
-                    hs.append(h[c]), at.append(c), ids.append(np.full(len(c), d))
+                    hs.append(h[c]), at.append(c), rows.append(np.full(len(c), k))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(at).astype(np.int32))], ["h", "id", "pos"])
+                own = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(hs)), b.column(0).take(own), b.column(1).take(own), pa.array(np.concatenate(at).astype(np.int32))], ["h", "id", "tie", "pos"]
+                )
 
     return task
 
@@ -144,17 +148,18 @@ def _windows(window: int, inner: int, hot: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for b in batches:
-            key, slot, ids, starts, blobs, held = [], [], [], [], [], 0
+            key, slot, rows, starts, blobs, held = [], [], [], [], [], 0
 
             def out():
+                own = pa.array(rows, pa.int64())
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), pa.array(slot, pa.int32()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(blobs, pa.binary())],
-                    ["key", "slot", "id", "start", "digests"],
+                    [pa.array(key, pa.int64()), pa.array(slot, pa.int32()), b.column(0).take(own), b.column(1).take(own), pa.array(starts, pa.int32()), pa.array(blobs, pa.binary())],
+                    ["key", "slot", "id", "tie", "start", "digests"],
                 )
 
-            spots, counts = b.column(2), b.column(3)
+            spots, counts = b.column(3), b.column(4)
             offsets, spots, counts = np.asarray(spots.offsets), np.asarray(spots.values), np.asarray(counts.values)
-            for k, (d, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            for k, (d, tie, t) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)):
                 laid = _Laid(t)
                 if laid.n < window:
                     continue
@@ -170,15 +175,15 @@ def _windows(window: int, inner: int, hot: int):
                 for i, j, x, n in zip(lo[met].tolist(), hi[met].tolist(), h[p].tolist(), n_of[p].tolist(), strict=True):
                     own = [digest(body[u:v]) for u, v in zip(first[i:j], ends[i:j], strict=True)]
                     if n <= hot:
-                        key.append(x), slot.append(-1), ids.append(d), starts.append(i), blobs.append(b"".join(own))
+                        key.append(x), slot.append(-1), rows.append(k), starts.append(i), blobs.append(b"".join(own))
                     else:
-                        s = xxhash.xxh3_64_intdigest(d.to_bytes(8, "little", signed=True)) % -(-n // hot)
+                        s = xxhash.xxh3_64_intdigest(d.to_bytes(8, "little", signed=True) + tie) % -(-n // hot)
                         for m, x in enumerate(own):
-                            key.append(int.from_bytes(x[:8], "little", signed=True)), slot.append(s), ids.append(d), starts.append(i + m), blobs.append(x)
+                            key.append(int.from_bytes(x[:8], "little", signed=True)), slot.append(s), rows.append(k), starts.append(i + m), blobs.append(x)
                     held += 16 * len(own)
                 if held > 8 << 20:
                     yield out()
-                    key, slot, ids, starts, blobs, held = [], [], [], [], [], 0
+                    key, slot, rows, starts, blobs, held = [], [], [], [], [], 0
             if key:
                 yield out()
 
@@ -186,32 +191,33 @@ def _windows(window: int, inner: int, hot: int):
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of key, slot, id and start: repeated windows as ranges of starts, and the firsts of hot slots."""
+    """From rows in the order of key, slot, id, tie and start: repeated windows as ranges of starts, and the firsts of hot slots."""
     group, seen = None, {}
     for b in batches:
-        ids, lo, hi, first = [], [], [], []
-        for k, s, d, start, blob in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+        rows, lo, hi, first = [], [], [], []
+        for r, (k, s, d, tie, start, blob) in enumerate(zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)):
             if group != (k, s):
                 group, seen = (k, s), {}
             n, me = len(blob) // 16, None
             run = -1
             for i in range(n):
                 x = blob[16 * i : 16 * i + 16]
-                me = (d, start + i)
+                me = (d, tie, start + i)
                 if seen.setdefault(x, me) != me:
                     if run < 0:
                         run = i
                 else:
                     if run >= 0:
-                        ids.append(d), lo.append(start + run), hi.append(start + i - 1), first.append(None)
+                        rows.append(r), lo.append(start + run), hi.append(start + i - 1), first.append(None)
                         run = -1
                     if s >= 0:
-                        ids.append(d), lo.append(start), hi.append(start), first.append(x)
+                        rows.append(r), lo.append(start), hi.append(start), first.append(x)
             if run >= 0:
-                ids.append(d), lo.append(start + run), hi.append(start + n - 1), first.append(None)
-        if ids:
+                rows.append(r), lo.append(start + run), hi.append(start + n - 1), first.append(None)
+        if rows:
+            own = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(first, pa.binary())], ["id", "lo", "hi", "first"]
+                [b.column(2).take(own), b.column(3).take(own), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(first, pa.binary())], ["id", "tie", "lo", "hi", "first"]
             )
 
 
@@ -248,6 +254,7 @@ class FingerprintIndex:
         self.name = f"fingerprints_{uuid.uuid4().hex}"
         self.runs: list[DataFrame] = []
         self.postings: list[DataFrame] = []
+        self.tied: list[DataFrame] = []
         self._n = 0
 
     def close(self) -> None:
@@ -255,7 +262,7 @@ class FingerprintIndex:
         for k in range(1, self._n + 1):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{k}")
         self.at.delete("")
-        self.runs, self.postings = [], []
+        self.runs, self.postings, self.tied = [], [], []
 
     def bucketed(self, df: DataFrame) -> DataFrame:
         """Writes rows of distinct h as a run."""
@@ -287,20 +294,41 @@ class FingerprintIndex:
 
 def _repeated_ranges(docs: DataFrame, postings: DataFrame, found: DataFrame, at: Scratch, name: str, window: int, inner: int, hot: int) -> DataFrame:
     """Ranges (id, lo, hi) of starts of repeated windows; docs and postings are those of the batch and all older ones."""
-    spots = join_groups(postings, found, "h", "n", postings.count()).select("id", "pos", "n")
+    spots = join_groups(postings, found, "h", "n", postings.count()).select("id", "tie", "pos", "n")
     # written apart, so that the postings' shuffle is gone before the texts' begins
-    spots = at.write(spots.groupBy("id").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n")), f"spots-{name}")
-    rows = docs.join(spots, "id").select("id", "text", "at", "n")
-    rows = rows.mapInArrow(_windows(window, inner, hot), "key bigint, slot int, id bigint, start int, digests binary")
-    rows = rows.repartition("key", "slot").sortWithinPartitions("key", "slot", "id", "start")
-    marks = at.write(rows.mapInArrow(_repeats, "id bigint, lo int, hi int, first binary"), name)
+    spots = at.write(spots.groupBy("id", "tie").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n")), f"spots-{name}")
+    rows = docs.join(spots, ["id", "tie"]).select("id", "tie", "text", "at", "n")
+    rows = rows.mapInArrow(_windows(window, inner, hot), "key bigint, slot int, id bigint, tie binary, start int, digests binary")
+    rows = rows.repartition("key", "slot").sortWithinPartitions("key", "slot", "id", "tie", "start")
+    marks = at.write(rows.mapInArrow(_repeats, "id bigint, tie binary, lo int, hi int, first binary"), name)
     at.delete(f"spots-{name}")
-    ranges = marks.filter("first IS NULL").select("id", "lo", "hi")
-    among = Window.partitionBy("first").orderBy("id", "lo")
-    late = marks.filter("first IS NOT NULL").withColumn("k", F.dense_rank().over(among)).filter("k > 1").select("id", "lo", "hi")
+    ranges = marks.filter("first IS NULL").select("id", "tie", "lo", "hi")
+    among = Window.partitionBy("first").orderBy("id", "tie", "lo")
+    late = marks.filter("first IS NOT NULL").withColumn("k", F.dense_rank().over(among)).filter("k > 1").select("id", "tie", "lo", "hi")
     return ranges.unionByName(late)
 
 
+def _told_apart(docs: DataFrame, at: Scratch, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, text, id and tie of every row, and of these the rows with a tie, which are written.
+
+    Rows that doc_id tells apart have an empty tie. Numbers hold only within one written
+    copy, so the others are read from there ever after."""
+    plain = docs.select("doc_id", "text", _id(), F.lit(b"").alias("tie"))
+    repeats = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    all_tied = not repeats.isEmpty()
+    unclear = docs if all_tied else docs.filter("doc_id IS NULL")
+    if not all_tied and unclear.select("doc_id").isEmpty():
+        return plain, None
+    number = F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
+    tie = F.unhex(F.concat(F.md5(F.coalesce("text", F.lit(""))), number))
+    tied = at.write(unclear.select("doc_id", "text", _id(), tie.alias("tie")), name)
+    return (tied if all_tied else plain.filter("doc_id IS NOT NULL").unionByName(tied)), tied
+
+
+def _id() -> Column:
+    return F.coalesce("doc_id", F.lit(_LAST)).alias("id")
+
+
 def substring_dedup(
     docs: DataFrame,
     batches: int = BATCHES,
@@ -314,20 +342,22 @@ def substring_dedup(
     """doc_id, n_words, n_removed and kept_text of every row of docs.
 
     An index that is passed in goes on growing and stays open: pass it again with the next
-    documents, and with ``older``, all those before, whose doc_ids are smaller."""
+    documents, and with ``older``, all those before, whose doc_ids are smaller (null counts
+    as the largest). Of these the index itself keeps the rows that need a tie."""
     spark = docs.sparkSession
     at = Scratch(spark, "substring")
     kept_open, index = index is not None, index or FingerprintIndex(spark, fanout=fanout)
-    key = F.coalesce("doc_id", F.lit(_LAST)).alias("id")
-    docs = docs.select("doc_id", "text", key)
+    docs, tied = _told_apart(docs, at, "tied")
+    known = [] if older is None else [older.select(_id(), F.lit(b"").alias("tie"), "text"), *(t.select("id", "tie", "text") for t in index.tied)]
+    index.tied += [tied] if tied is not None else []
     cuts = docs.select(F.percentile_approx("id", [k / batches for k in range(1, batches)]).alias("c")).first()["c"] if batches > 1 else []
     bounds = [None, *sorted(set(cuts or [])), None]
     parts = []
     for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
         upto = docs if hi is None else docs.filter(F.col("id") <= hi)
-        batch = (upto if lo is None else upto.filter(F.col("id") > lo)).select("id", "text")
-        seen = upto.select("id", "text") if older is None else older.select(key, "text").unionByName(upto.select("id", "text"))
-        postings = batch.mapInArrow(_anchors(window, inner), "h bigint, id bigint, pos int")
+        batch = (upto if lo is None else upto.filter(F.col("id") > lo)).select("id", "tie", "text")
+        seen = reduce(DataFrame.unionByName, known, upto.select("id", "tie", "text"))
+        postings = batch.mapInArrow(_anchors(window, inner), "h bigint, id bigint, tie binary, pos int")
         index.postings.append(index.at.write(postings, f"postings{len(index.postings)}"))
         run = index.run_of(index.postings[-1])
         ranges = _repeated_ranges(seen, reduce(DataFrame.unionByName, index.postings), index.repeated(run), at, f"marks{k}", window, inner, hot)
@@ -336,8 +366,8 @@ def substring_dedup(
         index.compact()
     if not kept_open:
         index.close()
-    gone = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    rows = docs.join(gone, "id", "left").select("doc_id", "text", "lo", "hi")
+    gone = reduce(DataFrame.unionByName, parts).groupBy("id", "tie").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    rows = docs.join(gone, ["id", "tie"], "left").select("doc_id", "text", "lo", "hi")
     return rows.mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 

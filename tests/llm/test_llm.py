@@ -256,6 +256,29 @@ def test_substrings_of_periodic_texts(spark, texts):
     assert substrings(spark.createDataFrame(docs, "doc_id bigint, text string"), hot=4) == brute_substrings(docs)
 
 
+@pytest.mark.parametrize("options", [{}, {"batches": 3, "hot": 2}])
+def test_substrings_of_rows_that_doc_id_does_not_tell_apart(spark, options):
+    """Null and repeated ids: each row is a document, in the order of doc_id and text digest."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 30), ("b", 90), ("c", 25), ("d", 60)))
+    docs = [(1, c), (None, a), (None, f"{b} {a}"), (None, f"{b} {c}"), (None, d), (None, d), (7, b), (7, f"{d} tail"), (7, f"{d} tail"), (7, None)]
+    for own in (docs, [x for x in docs if x[0] != 7]):  # with and without repeated ids
+        ordered = sorted(own, key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5((x[1] or "").encode()).digest()))
+        want, ids = defaultdict(list), dict(enumerate(x[0] for x in ordered))
+        for k, v in brute_substrings([(k, t) for k, (_, t) in enumerate(ordered)]).items():
+            want[ids[k]] = sorted(want[ids[k]] + v)
+        assert substrings(spark.createDataFrame(own, "doc_id bigint, text string"), **options) == want
+
+
+def test_substrings_index_knows_repeated_ids_of_older_calls(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    first = spark.createDataFrame([(1, a), (1, b)], "doc_id bigint, text string")
+    index = substring_dedup.FingerprintIndex(spark)
+    substrings(first, batches=1, index=index)
+    got = substrings(spark.createDataFrame([(2, f"x {b}"), (3, a)], "doc_id bigint, text string"), batches=1, index=index, older=first)
+    assert [got[k][0][:2] for k in (2, 3)] == [(61, 60), (60, 60)]
+    index.close()
+
+
 # -- packing -------------------------------------------------------------------------
 
 
