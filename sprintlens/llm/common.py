@@ -89,6 +89,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return done.unionByName(rest.join(light.hint("merge"), key).select(*rows.columns, *value))
 
 
+def numbered(docs: DataFrame, at: Scratch) -> DataFrame | None:
+    """The rows written with a number __row, if doc_id is null or repeated somewhere, else None.
+
+    __tie is a digest of the whole row, which puts rows of one doc_id into an order."""
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id IS NULL OR n > 1").isEmpty():
+        return None
+    whole = F.md5(F.to_json(F.struct(*[docs[c] for c in docs.columns])))
+    return at.write(docs.select("*", F.monotonically_increasing_id().alias("__row"), whole.alias("__tie")), "numbered")
+
+
+def kept_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Of numbered rows those whose __row is in kept, with the columns that they had."""
+    return rows.join(kept.select("__row"), "__row", "left_semi").drop("__row", "__tie")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,9 +6,10 @@ identifiers, its recipe, and documents are equal exactly when their recipes are.
 move once, as chunks, to verify that equal identifiers mean equal bytes; after that only
 recipes are grouped and joined.
 
-Null and empty texts have the empty recipe and form one group. Rows that repeat a doc_id
-are one document: each is returned and shares the decision. Of a group the largest doc_id
-stays (null doc_id only if there is no other). Only ``doc_id`` and ``text`` are read.
+Null and empty texts have the empty recipe and form one group. Of a group the largest doc_id
+stays (null doc_id only if there is no other). ``exact_dedup`` decides by doc_id, so that
+rows of one doc_id and text have one decision; ``keep_one`` decides by row and keeps exactly
+one of each group. ``exact_dedup`` reads only ``doc_id`` and ``text``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, join_groups, spread_table
+from .common import Scratch, join_groups, kept_rows, numbered, spread_table
 
 #: Shortest, average (a power of two) and longest chunk in bytes.
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 4096, 8192, 65536
@@ -76,25 +77,27 @@ def _recipes(size: int, sizes: tuple[int, int, int]):
     return task
 
 
-def _chunks(size: int, sizes: tuple[int, int, int]):
+def _chunks(size: int, sizes: tuple[int, int, int], named: bool):
+    """A row for each chunk of a text, with the text's digest where named."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, pos, digests, bodies, held = [], [], [], [], 0
+            texts, pos, digests, bodies, held = [], [], [], [], 0
 
             def out():
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(digests, pa.binary()), pa.array(bodies, pa.binary())],
-                    ["doc_id", "pos", "digest", "body"],
-                )
-
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k, c in enumerate(cut((t or "").encode(), *sizes)):
-                    ids.append(i), pos.append(k), digests.append(_digest(c, size)), bodies.append(c)
+                columns = [pa.array(pos, pa.int32()), pa.array(digests, pa.binary()), pa.array(bodies, pa.binary())]
+                return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *columns] if named else columns, ["text_sha256"] * named + ["pos", "digest", "body"])
+
+            for t in b.column(0).to_pylist():
+                body = (t or "").encode()
+                name = hashlib.sha256(body).hexdigest() if named else None
+                for k, c in enumerate(cut(body, *sizes)):
+                    texts.append(name), pos.append(k), digests.append(_digest(c, size)), bodies.append(c)
                     held += len(c)
                 if held > 8 << 20:
                     yield out()
-                    ids, pos, digests, bodies, held = [], [], [], [], 0
-            if ids:
+                    texts, pos, digests, bodies, held = [], [], [], [], 0
+            if pos:
                 yield out()
 
     return task
@@ -110,10 +113,12 @@ def exact_dedup(docs: DataFrame, digest_size: int = DIGEST, sizes: tuple[int, in
     read = docs.select("doc_id", "text")
     recipes = at.write(read.mapInArrow(_recipes(digest_size, sizes), "doc_id bigint, text_sha256 string, recipe binary"), "recipes")
 
-    chunks = read.mapInArrow(_chunks(digest_size, sizes), "doc_id bigint, pos int, digest binary, body binary")
+    columns = "pos int, digest binary, body binary"
+    chunks = read.select("text").mapInArrow(_chunks(digest_size, sizes, False), columns)
     distinct = chunks.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
     clash = at.write(distinct.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "clash")
     if not clash.isEmpty():
+        chunks = read.select("text").mapInArrow(_chunks(digest_size, sizes, True), f"text_sha256 string, {columns}")
         recipes = at.write(_told_apart(recipes, chunks, clash, digest_size), "resolved")
 
     groups = at.write(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
@@ -126,21 +131,25 @@ def _told_apart(recipes: DataFrame, chunks: DataFrame, clash: DataFrame, size: i
     """Recipes in which a chunk of a clashing digest carries its rank among the digest's bodies."""
     own = chunks.join(clash, "digest", "left_semi")
     rank = own.select("digest", "body").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("digest").orderBy("body")))
-    named = own.join(rank, ["digest", "body"]).select("doc_id", F.struct("pos", "rank").alias("at"))
-    per_doc = named.distinct().groupBy("doc_id").agg(F.map_from_entries(F.collect_list("at")).alias("ranks"))
+    named = own.join(rank, ["digest", "body"]).select("text_sha256", F.struct("pos", "rank").alias("at"))
+    per_text = named.distinct().groupBy("text_sha256").agg(F.map_from_entries(F.collect_list("at")).alias("ranks"))
     n = (F.octet_length("recipe") / size).cast("int")
     part = F.transform(
         F.sequence(F.lit(0), n - 1),
         lambda i: F.lpad(F.coalesce(F.try_element_at("ranks", i), F.lit(0)).cast("string"), 10, "0"),
     )
     tail = F.when(n > 0, F.array_join(part, "")).otherwise(F.lit(""))
-    return recipes.join(per_doc, "doc_id", "left").select("doc_id", "text_sha256", F.concat("recipe", tail.cast("binary")).alias("recipe"))
+    return recipes.join(per_text, "text_sha256", "left").select("doc_id", "text_sha256", F.concat("recipe", tail.cast("binary")).alias("recipe"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The input's rows, all columns as they were, without dropped copies."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """The input's rows, all columns as they were, of each group of equal texts exactly one."""
+    rows = numbered(docs, Scratch(docs.sparkSession, "exact-rows"))
+    if rows is None:
+        return docs.join(exact_dedup(docs).filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    found = exact_dedup(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "keep_id")
+    best = found.join(rows.select("__row", "doc_id", "__tie"), "__row").groupBy("keep_id").agg(F.max(F.struct("doc_id", "__tie", "__row")).alias("best"))
+    return kept_rows(rows, best.select("best.__row"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Fingerprints: 64 bits by majority over the XXH64 hashes (seed 42) of the 3-word shingles
 of the lower-cased text. Copies collapse first: from there on a fingerprint is one node,
-named by its smallest doc_id. Two fingerprints that differ in at most 3 bits agree on at
+whatever doc_ids its rows have. Two fingerprints that differ in at most 3 bits agree on at
 least 3 of 6 blocks, so each is filed under the 20 triples of blocks, about 32 bits a key,
 and only fingerprints under one key are compared. A key with more than ``SPLIT``
 fingerprints is filed again under triples of its other bits: at most 17 bits are then
@@ -12,9 +12,10 @@ A bucket yields a spanning forest of its links, never all its pairs: small bucke
 bit counts, large ones by bit flips (a within 1 flip, b within 2 flips of one value), which
 is linear in the bucket. The forest has the links' components, so no link is lost.
 
-Null, empty and blank texts have fingerprint zero and link like any other. Rows that
-repeat a doc_id are returned each, in one component. Only ``doc_id`` and ``text`` are
-read; an empty table gives an empty result.
+Null, empty and blank texts have fingerprint zero and link like any other. A component is
+named by its smallest doc_id, null if it has none. Each row is in the component of its own
+text; ``keep_one`` decides by row and keeps exactly one of each component. ``near_dedup``
+reads only ``doc_id`` and ``text``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_groups, spread_table
+from .common import Scratch, join_groups, kept_rows, numbered, spread_table
 from .components import components
 
 SHINGLE, SEED, DISTANCE, BLOCKS = 3, 42, 3, 6
@@ -192,16 +193,23 @@ def near_dedup(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """doc_id, fp (signed) and component_id of every row of docs."""
     at = Scratch(docs.sparkSession, "simhash")
     fps = at.write(fingerprints(docs), "fingerprints")
-    nodes = at.write(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
-    part = components(near_links(nodes.filter("node IS NOT NULL").select("fp", "node"), at, split))
-    classes = nodes.join(part, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "n")
+    nodes = at.write(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    part = at.write(components(near_links(nodes.select("fp", F.col("fp").alias("node")), at, split)).withColumnRenamed("node", "fp"), "part")
+    names = part.join(nodes, "fp").groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    named = join_groups(part, at.write(names, "names"), "component", "size", part.count()).select("fp", "component_id", F.lit(True).alias("in_part"))
+    classes = nodes.join(named, "fp", "left").select("fp", F.when(F.col("in_part"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), "n")
     return join_groups(fps, at.write(classes, "classes"), "fp", "n", fps.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The input's rows, all columns as they were, of the first document of each component."""
-    kept = near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """The input's rows, all columns as they were, of each component the one of the smallest doc_id (null counts as the largest)."""
+    rows = numbered(docs, Scratch(docs.sparkSession, "simhash-rows"))
+    if rows is None:
+        return docs.join(near_dedup(docs).filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    found = near_dedup(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__tie", "__row")
+    best = found.join(rows.select("__row", "doc_id", "__tie"), "__row").groupBy("component_id").agg(F.min(order).alias("best"))
+    return kept_rows(rows, best.select("best.__row"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,28 @@ def test_dense_and_flip_paths_agree(seed):
         simhash.DENSE = old
 
 
+def test_each_row_is_decided_without_a_doc_id(spark):
+    """Null and repeated ids: of each group one row stays, and near copies link through rows without an id."""
+    base = " ".join(f"w{i}" for i in range(400))
+    fp, near = brute_fingerprint(base), []
+    for k in range(400):  # texts of one changed word, up to two links away from the first
+        t = base.replace(f"w{k} ", "other ", 1)
+        near.append((t, brute_fingerprint(t)))
+    b, fb = next((t, f) for t, f in near if 0 < (f ^ fp).bit_count() <= 3)
+    c = next((t for t in (b.replace(f"w{k} ", "more ", 1) for k in range(400)) if 0 < (brute_fingerprint(t) ^ fb).bit_count() <= 3 < (brute_fingerprint(t) ^ fp).bit_count()), None)
+    assert c
+    docs = [(5, base), (None, b), (9, c), (None, "only null"), (None, "only null"), (None, base), (3, "x y z"), (3, "x y z"), (3, "a text of its own"), (None, "x y z"), (None, None), (None, "")]
+    df = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(docs)], "doc_id bigint, text string, at int")
+    kept = [(r.doc_id, r.text or "") for r in exact_dedup.keep_one(df).collect()]
+    assert sorted(kept, key=repr) == sorted([(5, base), (None, b), (9, c), (None, "only null"), (3, "x y z"), (3, "a text of its own"), (None, "")], key=repr)
+    kept = [(r.doc_id, r.text or "") for r in simhash.keep_one(df).collect()]
+    assert sorted(kept, key=repr) == sorted([(5, base), (None, "only null"), (3, "x y z"), (3, "a text of its own"), (None, "")], key=repr)
+    assert {r.component_id for r in simhash.near_dedup(df).collect() if r.doc_id in (5, 9)} == {5}
+    a, b = "a" * 40 + "b" * 40, "a" * 40 + "c" * 40
+    short = exact_dedup.exact_dedup(spark.createDataFrame([(None, a), (None, b), (7, a), (7, b)] + [(None, f"{i}" * 30) for i in range(9)], "doc_id bigint, text string"), 1, (8, 16, 64))
+    assert sorted(r.group_size for r in short.collect()) == [1] * 9 + [2] * 4
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
