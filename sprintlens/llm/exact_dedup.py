@@ -147,9 +147,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = numbered(docs, Scratch(docs.sparkSession, "exact-rows"))
     if rows is None:
         return docs.join(exact_dedup(docs).filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    found = exact_dedup(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "keep_id")
-    best = found.join(rows.select("__row", "doc_id", "__tie"), "__row").groupBy("keep_id").agg(F.max(F.struct("doc_id", "__tie", "__row")).alias("best"))
-    return kept_rows(rows, best.select("best.__row"))
+    found = exact_dedup(rows.select(F.col("row").alias("doc_id"), "body.text")).select(F.col("doc_id").alias("row"), "keep_id")
+    best = found.join(rows.select("row", "body.doc_id", "tie"), "row").groupBy("keep_id").agg(F.max(F.struct("doc_id", "tie", "row")).alias("best"))
+    return kept_rows(rows, best.select("best.row"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,42 @@
 """WARC fixity audit by Merkle trees.
 
-Records lie in volumes in the order of their keys; an archive's manifest has the volume,
-offset, length and SHA-256 of each. Over each volume's ordered records stands a tree: a
-node hashes the digests of up to ``FANOUT`` children, the volumes' roots are leaves of
-further levels up to one root. Two replicas are compared from the root down: of each level
-only the children of nodes that differ are looked at, until the damaged records are found.
-A replica sends one digest if it is whole and a path of nodes a damaged record if not.
-
-A record's place in its volume is its slot (key modulo ``VOLUME``), so a missing record
-changes its own branch and shifts nothing. Repeated records share a slot, whose digest is
-that of the sorted digests with their counts. Null keys lie in volume -1. Null bodies are
-empty. Empty replicas have no nodes: against an empty one all records are missing or
-extra. Only the named columns are read.
+A replica's manifest has a row for each distinct record: its key, its volume (``VOLUME``
+keys in a row), its offset there, its length, its SHA-256 and how many copies it has. Over
+the manifest stands a tree. Its leaves are slots, one a key; a node covers an ordered range
+of slots and hashes, in order, its up to ``FANOUT`` children's places, byte lengths and
+digests, so the offset ranges below it are under the hash as well: an offset is the sum of
+the lengths before it. As places are relative to a node, a missing or longer record changes
+its own branch and shifts no other one. Level 2 holds the volumes' roots, and levels go on
+up to one root. Two replicas are compared from the root down: of each level only the
+children of nodes that differ are looked at, until the damaged slots are found, and within
+those the records.
+
+Edge cases. A slot can hold any number of records: its digest is the hash of sums over its
+records' digests, which combine before the shuffle, so a key that a third of all records
+have is not gathered. Records without a key have a tree of their own, placed by digest;
+they lie in no volume, so their volume and offset are null. Any 64-bit key has a place,
+negative ones included. Null bodies are empty. Equal records are one row with its copies.
+An empty replica has no nodes: against it all records are missing or extra. Of the input
+only ``key`` and ``record`` are read, whatever else there is.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, table
 
-FANOUT, VOLUME = 16, 4096
+FANOUT, FANOUT_BITS = 64, 6
+VOLUME, VOLUME_BITS = 4096, 12
+#: Records of one key are summed by this many hexadecimal digits of their digest before they are put in order.
+BAND_DIGITS = 3
 VERSION = "WARC/1.0\r\n"
 
 
@@ -43,152 +57,215 @@ def as_records(pages: DataFrame, key: str = "page_id", url: str = "url", body: s
 
 def write_warc(records: DataFrame, path: str) -> None:
     """Writes records as WARC text, volumes whole and in order; a record ends with two line breaks."""
-    df = records.withColumn("__v", volume(F.col("key"))).repartitionByRange("__v").sortWithinPartitions("__v", "key")
-    df.select("record").write.option("lineSep", "\r\n\r\n").text(path)
+    rows = records.select(volume(F.col("key")).alias("v"), F.col("key").alias("k"), F.coalesce("record", F.lit("")).alias("r"))
+    rows.repartitionByRange("v").sortWithinPartitions("v", "k").select("r").write.option("lineSep", "\r\n\r\n").text(path)
+
+
+_HEAD = re.compile(rb"WARC/1\.[01]\r?\n(?:[^\r\n]+\r?\n)*\r?\n")
+_FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)\r?$", re.M)
+
+
+def plain_warc(content: bytes) -> bytes:
+    """The bytes of a WARC file, gzip members (one a record, or any) undone."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        out.append(member.decompress(content) + member.flush())
+        content = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
+def split_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """Header fields (lower-cased names), block and whether it is as long as declared, of each record.
+
+    The declared length tells where a record ends, so a block may hold anything. Only where
+    a record is cut short or its length is wrong is the next version line searched for."""
+    at, head = 0, _HEAD.search(content)
+    while head:
+        fields = {k.decode().lower(): v.decode(errors="replace") for k, v in _FIELD.findall(head.group())}
+        at, size = head.end(), fields.get("content-length", "")
+        end = at + int(size) if size.isdigit() else -1
+        after = _HEAD.match(content, end + 4) if 0 <= end <= len(content) and content[end : end + 4] == b"\r\n\r\n" else None
+        if after or end >= 0 and content[end:].strip(b"\r\n") == b"" and end <= len(content):
+            yield fields, content[at:end], True
+            head = after
+        else:
+            head = _HEAD.search(content, at)
+            yield fields, content[at : head.start() if head else len(content)].removesuffix(b"\r\n\r\n"), False
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["key", "record_id", "type", "url", "body", "whole"]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_()]
+    for b in batches:
+        for content in b.column(0).to_pylist():
+            rows, held = [], 0
+            for fields, block, whole in split_warc(plain_warc(content)):
+                name = fields.get("warc-record-id", "").strip("<>")
+                page = re.fullmatch(r"urn:page:(-?\d{1,18})", name)
+                rows.append((int(page[1]) if page else None, name, fields.get("warc-type", ""), fields.get("warc-target-uri", ""), block, whole))
+                held += len(block)
+                if held > 16 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """key, url, body and whole (the length is as declared) of each record of WARC text files."""
-    raw = spark.read.option("lineSep", VERSION).text(path).filter("value <> ''")
-    cut = F.instr("value", "\r\n\r\n")
-    head, rest = F.substr("value", F.lit(1), cut + 1), F.substr("value", cut + 4)
-    body = F.regexp_replace(rest, "\r\n\r\n\\z", "")
-
-    def field(name: str) -> Column:
-        return F.regexp_extract(head, f"(?im)^{name}: *([^\r\n]*)", 1)
-
-    df = raw.select(
-        F.regexp_extract(field("WARC-Record-ID"), "<urn:page:([0-9-]+)>", 1).try_cast("bigint").alias("key"),
-        field("WARC-Target-URI").alias("url"),
-        body.alias("body"),
-        field("Content-Length").try_cast("bigint").alias("__n"),
-    )
-    return df.withColumn("whole", F.coalesce(F.octet_length("body") == F.col("__n"), F.lit(False))).drop("__n")
+    """key (null unless the id is urn:page:<number>), record_id, type, url, body and whole of each record.
+
+    Reads WARC 1.0 and 1.1, plain or gzipped, with records of any type. A file is one task's
+    work, so files should have the usual size of up to about a gigabyte."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(_records, "key bigint, record_id string, type string, url string, body binary, whole boolean")
 
 
 def volume(key: Column) -> Column:
-    return F.coalesce(F.floor(key / VOLUME), F.lit(-1)).cast("bigint")
+    return F.shiftright(key, VOLUME_BITS)
 
 
 def manifest(records: DataFrame) -> DataFrame:
-    """key, volume, offset, length and sha256 of each record, in the order of keys in a volume.
+    """key, place, volume, offset, length, sha256 and copies of each distinct record.
 
-    A volume has at most VOLUME keys, so its running sum is a small sort."""
+    Offsets are two-level running sums: over the keys and digest bands of a volume, of which
+    there are at most VOLUME times 16**BAND_DIGITS, then inside a band."""
     record = F.coalesce("record", F.lit(""))
-    df = records.select("key", volume(F.col("key")).alias("volume"), (F.octet_length(record) + 4).cast("bigint").alias("length"), F.sha2(record, 256).alias("sha256"))
-    before = Window.partitionBy("volume").orderBy("key", "sha256").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select("key", "volume", "offset", "length", "sha256")
+    df = records.select("key", F.octet_length(record).cast("bigint").alias("bytes"), F.sha2(record, 256).alias("sha256"))
+    df = df.groupBy("key", "sha256").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies"))
+    # a record takes four more bytes for the line breaks that end it
+    df = df.select("key", "sha256", (F.col("bytes") + 4).alias("length"), "copies", volume(F.col("key")).alias("volume"), F.substr("sha256", F.lit(1), F.lit(BAND_DIGITS)).alias("band"))
+    size = F.sum(F.col("length") * F.col("copies"))
+    before = Window.unboundedPreceding, -1
+    bands = df.filter("key IS NOT NULL").groupBy("volume", "key", "band").agg(size.alias("n"))
+    ahead = bands.select("volume", "key", "band", F.coalesce(F.sum("n").over(Window.partitionBy("volume").orderBy("key", "band").rowsBetween(*before)), F.lit(0)).alias("ahead"))
+    inside = F.coalesce(size.over(Window.partitionBy("volume", "key", "band").orderBy("sha256").rowsBetween(*before)), F.lit(0))
+    keyed = df.filter("key IS NOT NULL").withColumn("inside", inside).join(ahead, ["volume", "key", "band"])
+    keyed = keyed.select("key", F.col("key").alias("place"), "volume", (F.col("ahead") + F.col("inside")).alias("offset"), "length", "sha256", "copies")
+    digits = F.conv(F.substr("sha256", F.lit(1), F.lit(15)), 16, 10).cast("bigint")
+    none = F.lit(None).cast("bigint")
+    loose = df.filter("key IS NULL").select("key", digits.alias("place"), none.alias("volume"), none.alias("offset"), "length", "sha256", "copies")
+    return keyed.unionByName(loose)
+
+
+def _slots(entries: DataFrame) -> DataFrame:
+    """side, keyed, n, length and digest of each slot, from sums over its records."""
+    whole = F.sha2(F.concat_ws("*", "sha256", "length", "copies"), 256)
+    words = [F.sum(F.conv(F.substr("h", F.lit(1 + 16 * k), F.lit(16)), 16, 10).cast("decimal(20,0)")) for k in range(4)]
+    rows = entries.select("side", F.col("key").isNotNull().alias("keyed"), F.col("place").alias("n"), (F.col("length") * F.col("copies")).alias("bytes"), whole.alias("h"))
+    return rows.groupBy("side", "keyed", "n").agg(F.sum("bytes").alias("length"), F.sha2(F.concat_ws(":", *words), 256).alias("digest"))
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
-    """The nodes above: each hashes the digests of its up to FANOUT children in order."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "digest"))), lambda x: F.concat_ws(":", x["n"], x["digest"]))
-    up = nodes.groupBy(F.col("volume"), F.floor(F.col("n") / FANOUT).alias("p")).agg(F.sha2(F.array_join(ordered, ","), 256).alias("digest"))
-    return up.select("volume", F.col("p").alias("n"), "digest")
-
-
-def tree(entries: DataFrame, at: Scratch, name: str) -> list[DataFrame]:
-    """Levels of (volume, n, digest): record slots first, the root last."""
-    slot = F.coalesce(F.pmod("key", F.lit(VOLUME)), F.lit(0)).alias("n")
-    once = entries.groupBy("volume", slot, "sha256").agg(F.count(F.lit(1)).alias("c"))
-    same = F.array_sort(F.collect_list(F.concat_ws("*", "sha256", "c")))
-    levels = [at.write(once.groupBy("volume", "n").agg(F.sha2(F.array_join(same, ","), 256).alias("digest")), f"{name}0")]
-    width = VOLUME
-    while width > 1:
-        levels.append(at.write(_parents(levels[-1]), f"{name}{len(levels)}"))
-        width = -(-width // FANOUT)
-    # above the volumes' roots: one tree over all volumes, under the volume number -2
-    top = levels[-1].select(F.lit(-2).cast("bigint").alias("volume"), (F.col("volume") + 1).alias("n"), "digest")
-    widest = top.agg(F.max("n")).first()[0]
-    while widest:
-        top = at.write(_parents(top), f"{name}{len(levels)}")
-        levels.append(top)
-        widest //= FANOUT
-    return levels
-
-
-def _differ(a: DataFrame, b: DataFrame) -> DataFrame:
-    """volume and n of the nodes that only one side has or that differ."""
-    b = b.select("volume", "n", F.col("digest").alias("other"))
-    return a.join(b, ["volume", "n"], "full").filter(~F.col("digest").eqNullSafe(F.col("other"))).select("volume", "n")
-
-
-def damaged_slots(a: list[DataFrame], b: list[DataFrame], at: Scratch) -> DataFrame:
-    """volume and n of the record slots that differ, found from the root down."""
-    inner = 1  # levels inside a volume, its root included
-    width = VOLUME
-    while width > 1:
-        inner, width = inner + 1, -(-width // FANOUT)
-    depth = max(len(a), len(b))
-    if len(a) != len(b):  # trees of different height share no upper nodes: start at the volumes' roots
-        found = _differ(a[inner - 1], b[inner - 1])
-        depth = inner
-    else:
-        found = _differ(a[-1], b[-1])
-    found = at.write(found, f"differ{depth - 1}")
-    for k in range(depth - 2, -1, -1):
-        if k == inner - 1:  # from the tree over volumes to the volumes' roots
-            parent = found.select(F.col("n").alias("p"))
-            low = [x[k].withColumn("p", F.floor((F.col("volume") + 1) / FANOUT)).join(parent, "p", "left_semi") for x in (a, b)]
-        else:
-            parent = found.select("volume", F.col("n").alias("p"))
-            low = [x[k].withColumn("p", F.floor(F.col("n") / FANOUT)).join(parent, ["volume", "p"], "left_semi") for x in (a, b)]
-        found = at.write(_differ(*low), f"differ{k}")
+    """The nodes above: each hashes places, lengths and digests of its up to FANOUT children in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("n", "length", "digest")))
+    text = F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["n"], x["length"], x["digest"])), ",")
+    up = nodes.groupBy("side", "keyed", F.shiftright("n", FANOUT_BITS).alias("p")).agg(F.sum("length").alias("length"), F.sha2(text, 256).alias("digest"))
+    return up.select("side", "keyed", F.col("p").alias("n"), "length", "digest")
+
+
+def levels_above(entries: DataFrame) -> int:
+    """How many levels stand over the slots until only the places 0 and -1 are left."""
+    bits = max((x if x >= 0 else -x - 1).bit_length() if x is not None else 0 for x in entries.agg(F.min("place"), F.max("place")).first())
+    return -(-bits // FANOUT_BITS)
+
+
+def trees(entries: DataFrame, at: Scratch) -> list[DataFrame]:
+    """The replicas' trees (side tells them apart) as levels of (side, keyed, n, length, digest), slots first.
+
+    They are equally high. The last level has up to four nodes a replica, which stand for its root."""
+    out = [at.write(_slots(entries), "level0")]
+    for k in range(levels_above(entries)):
+        out.append(at.write(_parents(out[-1]), f"level{k + 1}"))
+    return out
+
+
+def _differ(nodes: DataFrame) -> DataFrame:
+    """keyed and n of the nodes that only one side has or that differ."""
+    node = F.struct("length", "digest")
+    left, right = (F.max(F.when(F.col("side") == k, node)) for k in (0, 1))
+    return nodes.groupBy("keyed", "n").agg(left.alias("l"), right.alias("r")).filter("NOT l <=> r").select("keyed", "n")
+
+
+def damaged_slots(levels: list[DataFrame]) -> DataFrame:
+    """keyed and n of the slots that differ: from the root down, the children of nodes that differ."""
+    found = _differ(levels[-1])
+    for nodes in levels[-2::-1]:
+        parent = found.select("keyed", F.col("n").alias("p"))
+        found = _differ(nodes.withColumn("p", F.shiftright("n", FANOUT_BITS)).join(parent, ["keyed", "p"], "left_semi"))
     return found
 
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
-    """key, volume, offset, length, sha256 and verdict of the records of two replicas.
+    """key, volume, offset, length, sha256, copies and verdict of the records of two replicas.
 
-    left and right hold key and record. Records on both sides are ok; of the others the
-    left ones are corrupt (another record has the key on the right) or missing, and right
-    ones whose key is not on the left are extra. Offsets are those of the own replica."""
+    left and right hold key and record. Copies that both sides have are ok. Of what is left
+    over, the left's copies are corrupt if the right has others under the key, else missing;
+    the right's are altered if the left has others under the key, else extra. A record with
+    more copies on one side has two rows. Offsets are those of the own replica."""
     at = Scratch(left.sparkSession, "fixity")
     a, b = at.write(manifest(left), "left"), at.write(manifest(right), "right")
-    slots = damaged_slots(tree(a, at, "a"), tree(b, at, "b"), at)
-    place = F.coalesce(F.pmod("key", F.lit(VOLUME)), F.lit(0))
-    own = [x.withColumn("n", place).join(slots, ["volume", "n"], "left_semi") for x in (a, b)]
-    counted = [x.groupBy(F.col("volume").alias("v"), F.col("n").alias("s"), "sha256").agg(F.count(F.lit(1)).alias(c)) for x, c in zip(own, ("ca", "cb"), strict=True)]
-    matched = counted[0].join(counted[1], ["v", "s", "sha256"], "left").select("v", "s", F.col("sha256").alias("h"), F.coalesce(F.col("ca") <= F.col("cb"), F.lit(False)).alias("same"))
-    there = own[1].select(F.col("volume").alias("v"), F.col("n").alias("s")).distinct().withColumn("there", F.lit(True))
-    bad = matched.filter("NOT same").join(there, ["v", "s"], "left").select("v", "s", "h", F.when(F.col("there"), "corrupt").otherwise("missing").alias("found"))
-    out = a.withColumn("n", place)
-    out = out.join(bad, (out["volume"] == bad["v"]) & (out["n"] == bad["s"]) & (out["sha256"] == bad["h"]), "left")
-    out = out.select("key", "volume", "offset", "length", "sha256", F.coalesce("found", F.lit("ok")).alias("verdict"))
-    extra = own[1].join(own[0].select("volume", "n").distinct(), ["volume", "n"], "left_anti")
-    return out.unionByName(extra.select("key", "volume", "offset", "length", "sha256", F.lit("extra").alias("verdict")))
+    both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
+    slots = at.write(damaged_slots(trees(both, at)).select("keyed", F.col("n").alias("place")), "slots")
+    value = ["key", "volume", "offset", "length", "sha256", "copies"]
+    spot = ["keyed", "place", "sha256"]
+    own = [x.withColumn("keyed", F.col("key").isNotNull()).join(slots, ["keyed", "place"], "left_semi") for x in (a, b)]
+    whole = a.withColumn("keyed", F.col("key").isNotNull()).join(slots, ["keyed", "place"], "left_anti").select(*value, F.lit("ok").alias("verdict"))
+    parts = []
+    for mine, other in (own, own[::-1]):
+        found = mine.join(other.select(*spot, F.col("copies").alias("there")), spot, "left")
+        parts.append(found.select("keyed", "place", *value, F.least("copies", F.coalesce("there", F.lit(0))).alias("same")))
+    here, there = (p.filter("copies > same") for p in parts)
+    shared = parts[0].filter("same > 0").select(*value[:-1], F.col("same").alias("copies"), F.lit("ok").alias("verdict"))
+
+    def surplus(mine: DataFrame, other: DataFrame, matched: str, alone: str) -> DataFrame:
+        # records without a key aren't versions of each other
+        others = other.filter("keyed").select("keyed", "place").distinct().withColumn("met", F.lit(True))
+        rows = mine.join(others, ["keyed", "place"], "left")
+        offset = (F.col("offset") + F.col("length") * F.col("same")).alias("offset")
+        return rows.select("key", "volume", offset, "length", "sha256", (F.col("copies") - F.col("same")).alias("copies"), F.when(F.col("met"), matched).otherwise(alone).alias("verdict"))
+
+    return whole.unionByName(shared).unionByName(surplus(here, there, "corrupt", "missing")).unionByName(surplus(there, here, "altered", "extra"))
 
 
 def replica(records: DataFrame) -> DataFrame:
     """A damaged copy: of 97 keys one has a byte changed, of 389 one is gone, of 509 one has moved to a new key."""
     k = F.col("key")
     bad = F.concat(F.substr("record", F.lit(1), F.length("record") - 1), F.lit("~"))
-    df = records.filter(F.pmod(k, F.lit(389)) != 7)
+    df = records.filter(F.coalesce(F.pmod(k, F.lit(389)) != 7, F.lit(True)))
     return df.select(F.when(F.pmod(k, F.lit(509)) == 11, k + 10_000_000).otherwise(k).alias("key"), F.when(F.pmod(k, F.lit(97)) == 5, bad).otherwise(F.col("record")).alias("record"))
 
 
 def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages has no second replica: the query audits a copy with planted damage."""
     records = as_records(table(spark, sf_dir, "pages"))
     return audit(records, replica(records))
 
 
 def sql(pages: str = "pages") -> str:
-    """The same verdicts by comparing all digests, for DuckDB."""
-
-    def entries(name: str) -> str:
-        return f"""SELECT key, floor(key / {VOLUME}::DOUBLE)::BIGINT AS volume, (octet_length(encode(record)) + 4)::BIGINT AS length, sha256(record) AS sha256 FROM {name}"""
+    """The same verdicts by comparing the digests of all records, for DuckDB."""
 
     def placed(name: str) -> str:
-        return f"""SELECT key, volume, coalesce(sum(length) OVER (PARTITION BY volume ORDER BY key, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", length, sha256 FROM ({entries(name)})"""
+        return f"""
+  SELECT *, CASE WHEN key IS NOT NULL THEN coalesce(sum(length * copies) OVER (PARTITION BY volume ORDER BY key, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT END AS "offset"
+  FROM (SELECT key, (key - (key % {VOLUME} + {VOLUME}) % {VOLUME}) // {VOLUME} AS volume, (octet_length(encode(any_value(record))) + 4)::BIGINT AS length, sha256(record) AS sha256, count(*)::BIGINT AS copies FROM {name} GROUP BY key, sha256(record))"""
+
+    def side(mine: str, other: str, matched: str, alone: str) -> str:
+        return f"""
+  SELECT key, volume, "offset" + length * least(copies, o) AS "offset", length, sha256, copies - least(copies, o) AS copies,
+    CASE WHEN EXISTS (SELECT 1 FROM {other} y LEFT JOIN {mine} z ON z.key IS NOT DISTINCT FROM y.key AND z.sha256 = y.sha256 WHERE y.key = x.key AND y.copies > coalesce(z.copies, 0)) THEN '{matched}' ELSE '{alone}' END AS verdict
+  FROM (SELECT m.*, coalesce(t.copies, 0) AS o FROM {mine} m LEFT JOIN {other} t ON t.key IS NOT DISTINCT FROM m.key AND t.sha256 = m.sha256) x WHERE copies > o"""
 
-    head = "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10)"
+    head = "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10)"
     return f"""
 WITH r AS (SELECT page_id AS key, {head} || coalesce(html, '') AS record FROM {pages}),
 s AS (
-  SELECT CASE WHEN key % 509 = 11 THEN key + 10000000 ELSE key END AS key,
-    CASE WHEN key % 97 = 5 THEN substr(record, 1, length(record) - 1) || '~' ELSE record END AS record
-  FROM r WHERE key % 389 <> 7),
-a AS ({placed('r')}), b AS ({placed('s')})
-SELECT a.*, CASE WHEN b.key IS NULL THEN 'missing' WHEN a.sha256 = b.sha256 THEN 'ok' ELSE 'corrupt' END AS verdict FROM a LEFT JOIN b USING (key)
-UNION ALL
-SELECT b.*, 'extra' AS verdict FROM b ANTI JOIN a USING (key)"""
+  SELECT CASE WHEN (key % 509 + 509) % 509 = 11 THEN key + 10000000 ELSE key END AS key,
+    CASE WHEN (key % 97 + 97) % 97 = 5 THEN substr(record, 1, length(record) - 1) || '~' ELSE record END AS record
+  FROM r WHERE coalesce((key % 389 + 389) % 389 <> 7, true)),
+a AS MATERIALIZED ({placed('r')}), b AS MATERIALIZED ({placed('s')})
+SELECT a.key, a.volume, a."offset", a.length, a.sha256, least(a.copies, b.copies) AS copies, 'ok' AS verdict FROM a JOIN b ON a.key IS NOT DISTINCT FROM b.key AND a.sha256 = b.sha256
+UNION ALL {side('a', 'b', 'corrupt', 'missing')}
+UNION ALL {side('b', 'a', 'altered', 'extra')}"""

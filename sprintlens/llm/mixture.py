@@ -8,12 +8,15 @@ while the running sum of their sizes is nearer to the rest with them than withou
 
 The running sum inside a source is two-level: a monotone map of the key to (0, 1) deals a
 source's rows over BANDS bands, band totals are summed first, then rows within a band, so
-a source with a third of all rows is never sorted in one task.
+a source with a third of all rows is never sorted in one task. The number of bands follows
+the number of rows. Targets come from two-level running sums over the sources, of which
+there may be as many as domains.
 
 Null and empty texts have size 0 and are taken as often as the whole epochs say, with no
-words. Ties in the key go by doc_id. Rows repeating a doc_id are taken alike, each by its
-own running sum. Only ``doc_id``, ``text`` and ``source`` are read. An empty table gives
-an empty result.
+words. Ties in the key go by doc_id, size and text; rows that tie in all of them are alike,
+so reruns agree. A row without doc_id is drawn by its text. Rows repeating a doc_id are
+taken each by its own place. Only ``doc_id``, ``text`` and ``source`` are read; ``mixed``
+carries all columns, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, spread_table, words
+from .common import Scratch, numbered, running_sums, spread_table, words
 
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
-BANDS = 1024
+#: Bands a source: at least so many, and so many rows a band on average.
+BANDS, BAND_ROWS = 1024, 50_000
 SEED = "mix-1"
 
 
@@ -37,57 +41,53 @@ def quality_weight(text: Column) -> Column:
     return F.lit(0.5) + F.lit(0.5) * other / F.greatest(F.length(text), F.lit(1))
 
 
-def sample_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
-    """-ln(u) / weight; u in (0, 1) from an md5 of seed and doc_id."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("bigint")
+def sample_key(identity: Column, weight: Column, seed: str = SEED) -> Column:
+    """-ln(u) / weight; u in (0, 1) from an md5 of seed and identity."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), identity)), 1, 12), 16, 10).cast("bigint")
     return -F.log((bits + F.lit(0.5)) / F.lit(float(16**12))) / weight
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
+def targets(sizes: DataFrame, at: Scratch, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
     """source_size and target of each source, from one row of (source, source_size) each.
 
     The shares level out where the weights of uncapped sources, times one level, use what
     capped ones leave: the first source in the order of cap / weight that stays below its
-    cap gives the level. One row a source, so the sort is small."""
-    by = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.row_number().over(by) - 1) % len(weights)) + 1)
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    df = sizes.withColumn("weight", w.cast("bigint")).withColumn("cap", repeats * F.col("source_size"))
-    df = df.withColumns(
-        {
-            "before": F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "rest": F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)),
-            "total": F.sum("source_size").over(Window.partitionBy()),
-        }
-    )
-    level = (F.col("total") - F.col("before")) / F.col("rest")
-    df = df.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
-    level = F.min(F.when(F.col("open"), F.struct((F.col("cap") / F.col("weight")).alias("r"), F.col("level").alias("v")))).over(Window.partitionBy())["v"]
-    df = df.withColumn("v", level)
-    target = F.when(F.col("v").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("v") * F.col("weight")))
-    return df.select("source", "source_size", target.alias("target"))
-
-
-def mixture(docs: DataFrame, seed: str = SEED, bands: int = BANDS) -> DataFrame:
-    """doc_id, size, source_size, target, epochs (whole takes), picked and taken words of each row."""
+    cap gives the level."""
+    name = F.col("source").asc_nulls_last()
+    df = running_sums(sizes.withColumn("one", F.lit(1)), at, "by-name", [name], ["one"])
+    weight = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("one_before") % len(weights) + 1).cast("int")).cast("bigint")
+    df = df.select("source", "source_size", weight.alias("weight"), (repeats * F.col("source_size")).alias("cap"))
+    df = df.withColumn("ratio", F.col("cap") / F.col("weight"))
+    df = running_sums(df, at, "by-ratio", [F.col("ratio"), name], ["cap", "weight"])
+    total, all_weights = df.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(total) - F.col("cap_before")) / (F.lit(all_weights) - F.col("weight_before"))
+    level = df.select("ratio", "weight", "cap", level.alias("level")).filter("level * weight <= cap").agg(F.min(F.struct("ratio", "level"))["level"]).first()[0]
+    cap = F.col("cap").cast("double")
+    return df.select("source", "source_size", (cap if level is None else F.least(cap, F.lit(level) * F.col("weight"))).alias("target"))
+
+
+def mixture(docs: DataFrame, seed: str = SEED, bands: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, epochs (whole takes), picked and taken words of each row, and the columns to carry."""
     spark = docs.sparkSession
     at = Scratch(spark, "mix")
     size = F.size(words(F.col("text"))).cast("bigint")
-    key = sample_key(F.col("doc_id"), quality_weight(F.col("text")), seed)
-    rows = docs.select("doc_id", "source", size.alias("size"), key.alias("key"))
+    tie = F.md5(F.coalesce("text", F.lit("")))
+    key = sample_key(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), tie)), quality_weight(F.col("text")), seed)
+    rows = at.write(docs.select("doc_id", "source", size.alias("size"), key.alias("key"), tie.alias("tie"), F.struct(F.lit(0).alias("none"), *carry).alias("carried")), "rows")
+    bands = bands or max(BANDS, rows.count() // BAND_ROWS)
     # 1 - exp(-3/4 key) rises with the key and spreads the rows of any weight over the bands
     band = F.least(F.lit(bands - 1), F.floor((F.lit(1.0) - F.exp(F.lit(-0.75) * F.col("key"))) * bands)).cast("int")
-    rows = at.write(rows.withColumn("band", band), "rows")
+    rows = rows.withColumn("band", band)
 
     bandsums = at.write(rows.groupBy("source", "band").agg(F.sum("size").alias("n")), "bands")
-    per_source = at.write(targets(bandsums.groupBy("source").agg(F.sum("n").alias("source_size"))), "targets")
+    per_source = at.write(targets(bandsums.groupBy("source").agg(F.sum("n").alias("source_size")), at), "targets")
     order = Window.partitionBy("source").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     ahead = bandsums.withColumn("ahead", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
     ahead = at.write(
         ahead.join(per_source, ahead["source"].eqNullSafe(per_source["source"])).select(ahead["source"].alias("s"), ahead["band"].alias("b"), "ahead", "source_size", "target"), "ahead"
     )
 
-    within = Window.partitionBy("source", "band").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "band").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(ahead, rows["source"].eqNullSafe(ahead["s"]) & (rows["band"] == ahead["b"]))
     epochs = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("bigint")
@@ -96,15 +96,21 @@ def mixture(docs: DataFrame, seed: str = SEED, bands: int = BANDS) -> DataFrame:
     picked = (F.col("ahead") + F.col("inside")) + F.col("size") / 2 < F.col("rest")
     rows = rows.withColumn("picked", picked & (F.col("size") > 0))
     taken = F.col("size") * (F.col("epochs") + F.col("picked").cast("bigint"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "picked", taken.alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "picked", taken.alias("taken"), *[F.col("carried")[c].alias(c) for c in carry])
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The input's rows, all columns as they were, each as often as the mix takes it."""
-    times = mixture(docs).filter("taken > 0").select(F.col("doc_id").alias("__id"), (F.col("epochs") + F.col("picked").cast("bigint")).alias("__times"))
-    times = times.groupBy("__id").agg(F.max("__times").alias("__times"))
-    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    rows = numbered(docs, Scratch(docs.sparkSession, "mix-rows"))
+    if rows is None:
+        rows = docs.select("doc_id", F.struct("*").alias("body"))
+        takes = mixture(docs.select("doc_id", "text", "source"))
+        on = "doc_id"
+    else:
+        takes = mixture(rows.select("body.doc_id", "body.text", "body.source", "row"), carry=("row",))
+        on = "row"
+    times = takes.filter("taken > 0").select(on, (F.col("epochs") + F.col("picked").cast("bigint")).cast("int").alias("times"))
+    return rows.join(times, on).select("body", F.explode(F.sequence(F.lit(1), F.col("times")))).select("body.*")
 
 
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +127,8 @@ WITH d AS (
     len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size
   FROM {docs}),
 k AS (
-  SELECT doc_id, source, size,
-    -ln((('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / {16**12}::DOUBLE)
+  SELECT doc_id, source, size, md5(t) AS tie,
+    -ln((('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '#' || md5(t))), 1, 12))::BIGINT + 0.5::DOUBLE) / {16**12}::DOUBLE)
       / (0.5::DOUBLE + 0.5::DOUBLE * length(translate(t, '{chars}', ''))::DOUBLE / greatest(length(t), 1)::DOUBLE) AS key
   FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
@@ -136,7 +142,7 @@ t AS (SELECT source, source_size, CASE WHEN v IS NULL THEN cap::DOUBLE ELSE leas
 r AS (
   SELECT k.doc_id, k.source, size, source_size, target,
     CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END::BIGINT AS epochs,
-    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS LAST, size, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   (size * (epochs + CASE WHEN size > 0 AND ahead + size / 2 < target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken

@@ -4,11 +4,13 @@ Documents are tokenized, end with id ``END`` and are cut at every full window; w
 over has one of the lengths 1 .. window-1. A window is filled for the longest length that
 still has pieces: a subset sum over a big-integer bitset finds the reachable total closest
 to the window, the counts are traced back, and the found multiset is used as often as the
-pieces allow. The plan knows lengths and counts only, so it is a few thousand numbers for
+pieces allow. A sequence is padded to the window unless its length is a power of two; where
+no total fills the window, the greatest reachable power of two is taken, which pads nothing. The plan knows lengths and counts only, so it is a few thousand numbers for
 any corpus; pieces find their place in it by their rank among the pieces of equal length.
 
-Ranks are two-level (counts per hash slot of the doc_id, then rows of a slot), so a length
-that a third of all pieces have is not sorted in one task.
+Ranks are two-level (counts per hash slot of a piece, then rows of a slot), so a length
+that a third of all pieces have is not sorted in one task; the number of slots follows the
+number of pieces.
 
 Null and empty texts are the single id END. Rows that repeat a doc_id are packed each. Ties
 in rank are between equal pieces. Only ``doc_id`` and ``text`` are read; an empty table
@@ -31,7 +33,9 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, spread_table, tokenizer_path
 
-WINDOW, END, SLOTS = 2048, 1, 1024
+WINDOW, END = 2048, 1
+#: Slots a length: at least so many, and so many pieces a slot on average.
+SLOTS, SLOT_ROWS = 1024, 50_000
 VOCABULARY = "word_bpe_49k.json"
 #: A special token of the vocabulary, which parts words that are encoded together.
 SEPARATOR = "<|endoftext|>"
@@ -120,8 +124,8 @@ class _Ids(dict):
         split, at = [], [0]
         for t in texts:
             body = (t or "").encode()
-            # the tokenizer composes accents before it lowers letters, so those texts are left to it
-            split += (body if b"\xcc" in body or b"\xcd" in body else body.lower()).split()
+            # the tokenizer composes accents and finds special tokens before it lowers letters, so those texts are left to it
+            split += (body if b"\xcc" in body or b"\xcd" in body or b"<|" in body else body.lower()).split()
             at.append(len(split))
         parts = list(map(self.get, split))
         gaps = [k for k, x in enumerate(parts) if x is None]
@@ -180,8 +184,8 @@ def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY)
     return docs.select("doc_id", "text").mapInArrow(_pieces(spec, window), schema)
 
 
-def closest(counts: dict[int, int], room: int) -> dict[int, int]:
-    """The multiset of lengths, within counts, whose sum comes closest to room from below.
+def closest(counts: dict[int, int], room: int, stops: tuple[int, ...] = ()) -> dict[int, int]:
+    """The multiset of lengths, within counts, that fills room; else the greatest stop; else what comes closest to room.
 
     One bitset a length: bit s is set if the lengths so far can sum to s. Longer lengths
     come first and the search ends when room itself is reached."""
@@ -196,6 +200,8 @@ def closest(counts: dict[int, int], room: int) -> dict[int, int]:
         if reach >> room & 1:
             break
     total, out = reach.bit_length() - 1, {}
+    if total < room:
+        total = max((s for s in stops if reach >> s & 1), default=total)
     for length, before in reversed(steps):
         n = 0
         while not before >> total & 1:
@@ -208,10 +214,11 @@ def closest(counts: dict[int, int], room: int) -> dict[int, int]:
 def plan(counts: dict[int, int], window: int = WINDOW) -> np.ndarray:
     """Rows (length, first rank, copies a sequence, first sequence, offset), by length and rank."""
     counts, used, sequence, rows = dict(counts), dict.fromkeys(counts, 0), 0, []
+    powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
     while counts:
         longest = max(counts)
         counts[longest] -= 1
-        found = closest(counts, window - longest)
+        found = closest(counts, window - longest, tuple(p - longest for p in powers if p >= longest))
         counts[longest] += 1
         found[longest] = found.get(longest, 0) + 1
         times = min(counts[x] // n for x, n in found.items())
@@ -241,18 +248,19 @@ def _placed(steps):
     return task
 
 
-def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, slots: int = SLOTS) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, slots: int | None = None) -> DataFrame:
     """The pieces of every row of docs with their sequence_id and offset."""
     spark = docs.sparkSession
     at = Scratch(spark, "pack")
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")
-    cut = at.write(pieces(docs, window, vocabulary).withColumn("slot", slot), "pieces")
+    cut = at.write(pieces(docs, window, vocabulary), "pieces")
+    slots = slots or max(SLOTS, cut.count() // SLOT_ROWS)
+    cut = cut.withColumn("slot", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(slots)).cast("int"))
     sums = at.write(cut.groupBy("length", "slot").agg(F.count(F.lit(1)).alias("n")), "counts")
     counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most window rows
     steps = spark.sparkContext.broadcast(plan(counts, window))
     before = Window.partitionBy("length").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     ahead = sums.select("length", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("length", "slot").orderBy("doc_id", "start")
+    within = Window.partitionBy("length", "slot").orderBy("doc_id", "start", "ids_crc32")
     ranked = cut.withColumn("nth", F.row_number().over(within)).join(ahead, ["length", "slot"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("ahead") + F.col("nth") - 1).alias("rank"))
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"

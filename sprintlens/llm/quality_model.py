@@ -192,7 +192,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable=None, bound: int = BOUND) -> AdditiveModel:
     """Fits on a sample of at most about ``bound`` labelled documents a class; only features reach the driver."""
     usable = F.lit(True) if usable is None else usable
-    rows = labelled(docs, labels, label, usable, bound).select("doc_id", "text", "y").mapInArrow(_featured, "doc_id bigint, x array<double>, y int").collect()
+    rows = labelled(docs, labels, label, usable, bound).mapInArrow(_featured, "doc_id bigint, x array<double>, y int").collect()
     rows = sorted(rows, key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["y"] for r in rows], float))

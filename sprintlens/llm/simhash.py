@@ -92,55 +92,43 @@ def finer_masks(mask: int) -> list[int]:
     return [mask | sum(c) for c in combinations(pieces, BLOCKS - DISTANCE)]
 
 
-class _Forest:
-    """Union-find over a bucket's positions."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-    def roots(self) -> np.ndarray:
-        return np.array([self.find(i) for i in range(len(self.up))])
+def _hook(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Joins the components of positions a and b; up names each position's component, before and after."""
+    while True:
+        x, y = up[a], up[b]
+        apart = x != y
+        if not apart.any():
+            return up
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up[up] != up).any():
+            up = up[up]
 
 
 def linked(fp: np.ndarray) -> np.ndarray:
     """For each of a bucket's distinct fingerprints the first one of its component there."""
     n = len(fp)
-    f = _Forest(n)
+    up = np.arange(n)
     if n <= DENSE:
-        i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= DISTANCE, 1))
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            f.join(a, b)
-        return f.roots()
+        return _hook(up, *np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= DISTANCE, 1)))
     varied = np.bitwise_or.reduce(fp ^ fp[0])
     bits = [np.uint64(1 << k) for k in range(64) if int(varied) >> k & 1]
     one = [np.uint64(0), *bits]
     two = [*one, *(a | b for a, b in combinations(bits, 2))]
+    # all values within one flip, each once with the first position near it, whose component holds all the others near it
     value = np.concatenate([fp ^ m for m in one])
     owner = np.tile(np.arange(n), len(one))
     order = np.argsort(value, kind="stable")
     value, owner = value[order], owner[order]
     first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-    head = np.repeat(owner[first], np.diff(np.append(first, len(value))))
-    for a, b in set(zip(owner.tolist(), head.tolist(), strict=True)):
-        f.join(a, b)
-    keys, heads = value[first], owner[first]
+    heads = owner[first]
+    up = _hook(up, owner, np.repeat(heads, np.diff(np.append(first, len(value)))))
+    keys = value[first]
     for m in two:
         at = np.minimum(np.searchsorted(keys, fp ^ m), len(keys) - 1)
         hit = np.flatnonzero(keys[at] == (fp ^ m))
-        for a, b in zip(hit.tolist(), heads[at[hit]].tolist(), strict=True):
-            f.join(a, b)
-    return f.roots()
+        up = _hook(up, hit, heads[at[hit]])
+    return up
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +185,7 @@ def near_dedup(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     part = at.write(components(near_links(nodes.select("fp", F.col("fp").alias("node")), at, split)).withColumnRenamed("node", "fp"), "part")
     names = part.join(nodes, "fp").groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
     named = join_groups(part, at.write(names, "names"), "component", "size", part.count()).select("fp", "component_id", F.lit(True).alias("in_part"))
+    at.delete("shared"), at.delete("crowded")
     classes = nodes.join(named, "fp", "left").select("fp", F.when(F.col("in_part"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), "n")
     return join_groups(fps, at.write(classes, "classes"), "fp", "n", fps.count()).select("doc_id", "fp", "component_id")
 
@@ -206,10 +195,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = numbered(docs, Scratch(docs.sparkSession, "simhash-rows"))
     if rows is None:
         return docs.join(near_dedup(docs).filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    found = near_dedup(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__tie", "__row")
-    best = found.join(rows.select("__row", "doc_id", "__tie"), "__row").groupBy("component_id").agg(F.min(order).alias("best"))
-    return kept_rows(rows, best.select("best.__row"))
+    found = near_dedup(rows.select(F.col("row").alias("doc_id"), "body.text")).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "row")
+    best = found.join(rows.select("row", "body.doc_id", "tie"), "row").groupBy("component_id").agg(F.min(order).alias("best"))
+    return kept_rows(rows, best.select("best.row"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

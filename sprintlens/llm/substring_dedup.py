@@ -3,50 +3,61 @@
 A window is ``WINDOW`` consecutive words. Of each window the index holds the hash of one
 inner run of ``INNER`` words, the least by hash among the window's runs (winnowing), so
 equal windows always share their indexed hash while only about a sixth of all positions is
-indexed. The index is a log of immutable runs, each a table of hashes and counts, bucketed
-and sorted by hash; the positions themselves are postings that stay where they were made.
-Documents come in batches of rising doc_id. A batch
+indexed. The index lies under a folder and outlives the session that made it: a new
+``FingerprintIndex`` of the same path goes on where the last whole batch ended. It holds
+
+* runs: immutable tables of hashes and counts, and of postings (hash, batch, document,
+  position), both bucketed and sorted by hash; the postings of heavy hashes, of which there
+  are few, lie apart, so that no bucket gathers one;
+* the texts of each batch, bucketed by document;
+* a manifest, written last, that names the tables which count.
+
+A batch of documents
 
 1. becomes a new run,
 2. is merge-joined with the older runs, bucket by bucket, for hashes seen before,
 3. is verified: around those hashes only, the real windows of the batch and of the older
-   documents are compared by 128-bit digests of their words; all but the first by
-   (doc_id, tie, start) are repeats,
-4. and once ``FANOUT`` runs have piled up they are compacted into one.
-
-Decisions on older documents never change, so a later batch needs the index and the older
-texts that share a hash with it, nothing else.
-
-Counts are combined before they are shuffled, and postings meet repeated hashes in a join
-that splits off heavy hashes, so a passage that a third of all documents hold gathers in
-no task. A hash met over ``HOT`` times is not handled as one group either: its windows are dealt by their
-own digests and by row, first within each slot, then among the slots' firsts.
-
-Every row is a document of its own. Where doc_id does not tell rows apart, as it is null or
-repeated, a tie does: the text's digest and a number, so that equal ids go by digest, and
-null ones come after all others. A null text has no words. Texts shorter than a window lose
-nothing. Only ``doc_id`` and ``text`` are read.
+   documents that hold them are compared by 128-bit digests of their words; all but the
+   first by (batch, document, start) are repeats,
+4. and wherever ``FANOUT`` runs of one level have piled up they are compacted into one of
+   the next level.
+
+Decisions on older documents never change. A batch reads the older runs and texts in their
+buckets, without a shuffle; only postings of matched hashes and the texts that hold them go
+further. So an add costs one sequential pass over the index and work in proportion to the
+batch and to what it matches.
+
+Counts are combined before they are shuffled, and the postings of heavy hashes meet them in
+a broadcast, so a passage that a third of all documents hold gathers in no task. A hash met
+over ``HOT`` times is not handled as one group either: its windows are dealt by their own
+digests and by document, first within each slot, then among the slots' firsts.
+
+Every row is a document of its own. Where doc_id is null or repeated in a batch, its rows
+are numbered in the order of doc_id (null last), text digest and place. A null text has no
+words. Texts shorter than a window lose nothing. Only ``doc_id`` and ``text`` are read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, drops_shuffles, join_groups, spread_table
+from .common import HEAVY_SHARE, TASK_ROWS, Scratch, drops_shuffles, shared_root, table
 
 WINDOW, INNER = 20, 10
-BATCHES, FANOUT, HOT = 2, 2, 4096
-_LAST = (1 << 63) - 1
+BATCHES, FANOUT, HOT = 3, 2, 4096
 _STEP = 0x9E3779B97F4A7C15
 _BYTE = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8).digest() for b in range(256)), "<u8").copy()
 
@@ -127,17 +138,15 @@ def _anchors(window: int, inner: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hs, rows, at = [], [], []
-            for k, t in enumerate(b.column(2).to_pylist()):
+            for k, t in enumerate(b.column(1).to_pylist()):
                 laid = _Laid(t)
                 if laid.n >= window:
                     h, c = chosen(laid, window, inner)
                     c = np.union1d(c[_changes(c)], _near_ties(h, window - inner))
                     hs.append(h[c]), at.append(c), rows.append(np.full(len(c), k))
             if hs:
-                own = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hs)), b.column(0).take(own), b.column(1).take(own), pa.array(np.concatenate(at).astype(np.int32))], ["h", "id", "tie", "pos"]
-                )
+                own = b.column(0).take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), own, pa.array(np.concatenate(at).astype(np.int32))], ["h", "id", "pos"])
 
     return task
 
@@ -148,25 +157,21 @@ def _windows(window: int, inner: int, hot: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for b in batches:
-            key, slot, rows, starts, blobs, held = [], [], [], [], [], 0
+            key, slot, ids, starts, blobs, held = [], [], [], [], [], 0
 
             def out():
-                own = pa.array(rows, pa.int64())
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), pa.array(slot, pa.int32()), b.column(0).take(own), b.column(1).take(own), pa.array(starts, pa.int32()), pa.array(blobs, pa.binary())],
-                    ["key", "slot", "id", "tie", "start", "digests"],
-                )
+                columns = [pa.array(key, pa.int64()), pa.array(slot, pa.int32()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(blobs, pa.binary())]
+                return pa.RecordBatch.from_arrays(columns, ["key", "slot", "id", "start", "digests"])
 
-            spots, counts = b.column(3), b.column(4)
+            spots, counts = b.column(2), b.column(3)
             offsets, spots, counts = np.asarray(spots.offsets), np.asarray(spots.values), np.asarray(counts.values)
-            for k, (d, tie, t) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)):
+            for k, (d, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 laid = _Laid(t)
                 if laid.n < window:
                     continue
                 h, c = chosen(laid, window, inner)
-                at, n_at = spots[offsets[k] : offsets[k + 1]], counts[offsets[k] : offsets[k + 1]]
                 n_of = np.zeros(len(h), np.int64)
-                n_of[at] = n_at
+                n_of[spots[offsets[k] : offsets[k + 1]]] = counts[offsets[k] : offsets[k + 1]]
                 lo = _changes(c)
                 hi = np.append(lo[1:], len(c))
                 met = np.flatnonzero(n_of[c[lo]])
@@ -175,50 +180,53 @@ def _windows(window: int, inner: int, hot: int):
                 for i, j, x, n in zip(lo[met].tolist(), hi[met].tolist(), h[p].tolist(), n_of[p].tolist(), strict=True):
                     own = [digest(body[u:v]) for u, v in zip(first[i:j], ends[i:j], strict=True)]
                     if n <= hot:
-                        key.append(x), slot.append(-1), rows.append(k), starts.append(i), blobs.append(b"".join(own))
+                        key.append(x), slot.append(-1), ids.append(d), starts.append(i), blobs.append(b"".join(own))
                     else:
-                        s = xxhash.xxh3_64_intdigest(d.to_bytes(8, "little", signed=True) + tie) % -(-n // hot)
+                        s = xxhash.xxh3_64_intdigest(d.to_bytes(8, "little", signed=True)) % -(-n // hot)
                         for m, x in enumerate(own):
-                            key.append(int.from_bytes(x[:8], "little", signed=True)), slot.append(s), rows.append(k), starts.append(i + m), blobs.append(x)
+                            key.append(int.from_bytes(x[:8], "little", signed=True)), slot.append(s), ids.append(d), starts.append(i + m), blobs.append(x)
                     held += 16 * len(own)
                 if held > 8 << 20:
                     yield out()
-                    key, slot, rows, starts, blobs, held = [], [], [], [], [], 0
+                    key, slot, ids, starts, blobs, held = [], [], [], [], [], 0
             if key:
                 yield out()
 
     return task
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of key, slot, id, tie and start: repeated windows as ranges of starts, and the firsts of hot slots."""
-    group, seen = None, {}
-    for b in batches:
-        rows, lo, hi, first = [], [], [], []
-        for r, (k, s, d, tie, start, blob) in enumerate(zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)):
-            if group != (k, s):
-                group, seen = (k, s), {}
-            n, me = len(blob) // 16, None
-            run = -1
-            for i in range(n):
-                x = blob[16 * i : 16 * i + 16]
-                me = (d, tie, start + i)
-                if seen.setdefault(x, me) != me:
-                    if run < 0:
-                        run = i
-                else:
-                    if run >= 0:
-                        rows.append(r), lo.append(start + run), hi.append(start + i - 1), first.append(None)
+def _repeats(newest: int):
+    """From rows in the order of key, slot, batch, id and start: the newest batch's repeated windows as ranges of starts, and the firsts of hot slots."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, seen = None, {}
+        for b in batches:
+            rows, lo, hi, first = [], [], [], []
+            for r, (k, s, batch, d, start, blob) in enumerate(zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)):
+                if group != (k, s):
+                    group, seen = (k, s), {}
+                n, run = len(blob) // 16, -1
+                for i in range(n):
+                    x = blob[16 * i : 16 * i + 16]
+                    me = (batch, d, start + i)
+                    if seen.setdefault(x, me) != me:
+                        if run < 0:
+                            run = i
+                    else:
+                        if run >= 0 and batch == newest:
+                            rows.append(r), lo.append(start + run), hi.append(start + i - 1), first.append(None)
                         run = -1
-                    if s >= 0:
-                        rows.append(r), lo.append(start), hi.append(start), first.append(x)
-            if run >= 0:
-                rows.append(r), lo.append(start + run), hi.append(start + n - 1), first.append(None)
-        if rows:
-            own = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(2).take(own), b.column(3).take(own), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(first, pa.binary())], ["id", "tie", "lo", "hi", "first"]
-            )
+                        if s >= 0:
+                            rows.append(r), lo.append(start), hi.append(start), first.append(x)
+                if run >= 0 and batch == newest:
+                    rows.append(r), lo.append(start + run), hi.append(start + n - 1), first.append(None)
+            if rows:
+                own = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(2).take(own), b.column(3).take(own), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(first, pa.binary())], ["batch", "id", "lo", "hi", "first"]
+                )
+
+    return task
 
 
 def _kept(window: int):
@@ -243,133 +251,219 @@ def _kept(window: int):
     return task
 
 
+def _keyed(docs: DataFrame, at: Scratch) -> DataFrame:
+    """id, doc_id and text of every row; ids tell rows apart and rise with doc_id.
+
+    Numbers hold only within one written copy, so rows that need them are read from there."""
+    docs = docs.select("doc_id", "text")
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id IS NULL OR n > 1").isEmpty():
+        return docs.select(F.col("doc_id").alias("id"), "doc_id", "text")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("place")]
+    placed = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("tie"), F.monotonically_increasing_id().alias("place"))
+    ordered = at.write(placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", F.monotonically_increasing_id().alias("id")), f"keyed-{uuid.uuid4().hex}")
+    return ordered.select("id", "doc_id", "text")
+
+
+@dataclass
+class _Run:
+    """Tables of a run by name: counts (h, n) and light postings, and the postings and list of heavy hashes."""
+
+    level: int
+    total: int
+    counts: str
+    light: str
+    heavy: str
+    heavy_list: str
+
+
+#: Columns and bucket column of the index's tables, by kind.
+_TABLES = {"counts": ("h bigint, n bigint", "h"), "light": ("h bigint, batch int, id bigint, pos int", "h"), "found": ("h bigint, n bigint", "h"), "texts": ("id bigint, doc_id bigint, text string", "id")}
+
+
 class FingerprintIndex:
-    """A log of runs (h, n), each bucketed and sorted by h, so that they are merge-joined without a shuffle."""
-
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
-        self.at = Scratch(spark, "fingerprints")
-        # hashes and counts are about an eighth of their texts, so fewer and larger buckets than shuffle partitions
-        self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-        self.name = f"fingerprints_{uuid.uuid4().hex}"
-        self.runs: list[DataFrame] = []
-        self.postings: list[DataFrame] = []
-        self.tied: list[DataFrame] = []
-        self._n = 0
+    """The index under a path, by default one of its own under the shared folder. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, window: int = WINDOW, inner: int = INNER, hot: int = HOT, buckets: int | None = None):
+        self.spark, self.fanout, self.hot = spark, fanout, hot
+        self.path = (path or f"{shared_root(spark)}/fingerprints-{uuid.uuid4().hex}").rstrip("/")
+        self.window, self.inner, self.buckets = window, inner, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[_Run] = []
+        self.texts: list[str] = []  # of each batch
+        self.version = 0
+        self._made: set[str] = set()
+        self._open()
+
+    # -- manifest and tables -----------------------------------------------------------
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _open(self) -> None:
+        """Takes up the last manifest that was written whole."""
+        fs, root = self._fs(f"{self.path}/manifest")
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        whole = [int(n) for n in names if n.isdigit() and fs.exists(self._fs(f"{self.path}/manifest/{n}/_SUCCESS")[1])]
+        if whole:
+            self.version = max(whole)
+            d = json.loads(self.spark.read.text(f"{self.path}/manifest/{self.version}").first()[0])
+            self.window, self.inner, self.buckets = d["window"], d["inner"], d["buckets"]
+            self.texts, self.runs = d["texts"], [_Run(**r) for r in d["runs"]]
+
+    def _commit(self) -> None:
+        """Writes the manifest, from which on the batch counts; then drops tables that no manifest names."""
+        d = {"window": self.window, "inner": self.inner, "buckets": self.buckets, "texts": self.texts, "runs": [asdict(r) for r in self.runs]}
+        self.spark.createDataFrame([(json.dumps(d),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/{self.version + 1}")
+        self.version += 1
+        used = {x for r in self.runs for x in (r.counts, r.light, r.heavy, r.heavy_list)} | set(self.texts)
+        for name in list(self._made - used):
+            self._drop(name)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        fs, p = self._fs(f"{self.path}/{name}")
+        fs.delete(p, True)
+        self._made.discard(name)
 
     def close(self) -> None:
-        """Drops the runs and postings; only for an index that nothing will use again."""
-        for k in range(1, self._n + 1):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{k}")
-        self.at.delete("")
-        self.runs, self.postings, self.tied = [], [], []
-
-    def bucketed(self, df: DataFrame) -> DataFrame:
-        """Writes rows of distinct h as a run."""
-        self._n += 1
-        name = f"{self.name}_{self._n}"
+        """Deletes the index; only for one that nothing will use again."""
+        for name in self._made | set(self.texts) | {x for r in self.runs for x in (r.counts, r.light)}:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        fs, p = self._fs(self.path)
+        fs.delete(p, True)
+        self.runs, self.texts, self._made = [], [], set()
+
+    def _write(self, df: DataFrame, kind: str) -> str:
+        """Writes a table and returns its name: bucketed and sorted, or plain if the kind has no bucket column."""
+        name = f"fingerprints_{kind}_{uuid.uuid4().hex}"
+        self._made.add(name)
         with drops_shuffles(self.spark):
-            df.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.at.root}/{name}").saveAsTable(name)
+            if kind in _TABLES:
+                by = _TABLES[kind][1]
+                df.repartition(self.buckets, by).write.bucketBy(self.buckets, by).sortBy(by).option("path", f"{self.path}/{name}").saveAsTable(name)
+            else:
+                df.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _table(self, name: str) -> DataFrame:
+        """A table of the index; one that another session wrote is registered first."""
+        kind = name.split("_")[1]
+        if kind not in _TABLES:
+            return self.spark.read.schema("h bigint, batch int, id bigint, pos int" if kind == "heavy" else "h bigint").parquet(f"{self.path}/{name}")
+        if not self.spark.catalog.tableExists(name):
+            columns, by = _TABLES[kind]
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
         return self.spark.table(name)
 
-    def run_of(self, postings: DataFrame) -> DataFrame:
-        return self.bucketed(postings.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
+    # -- runs --------------------------------------------------------------------------
 
-    def repeated(self, run: DataFrame) -> DataFrame:
+    def _run(self, postings: DataFrame, counts: DataFrame, level: int) -> _Run:
+        """A run of postings (written) with counts (h, n) of their hashes."""
+        name = self._write(counts, "counts")
+        counts = self._table(name)
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        # fewer than total / least hashes are heavy, so their list is broadcast
+        least = min(total * HEAVY_SHARE, TASK_ROWS)
+        listed = self._write(counts.filter(F.col("n") > least).select("h"), "list")
+        heavy = F.broadcast(self._table(listed))
+        return _Run(level, total, name, self._write(postings.join(heavy, "h", "left_anti"), "light"), self._write(postings.join(heavy, "h", "left_semi"), "heavy"), listed)
+
+    def _repeated(self, run: _Run) -> DataFrame:
         """h and its count n over run and all older runs, of hashes of run that are met twice or more."""
-        counts = run
+        counts = self._table(run.counts)
         for k, old in enumerate(self.runs):
-            counts = counts.join(old.withColumnRenamed("n", f"n{k}"), "h", "left")
+            counts = counts.join(self._table(old.counts).withColumnRenamed("n", f"n{k}"), "h", "left")
         n = reduce(lambda a, k: a + F.coalesce(F.col(f"n{k}"), F.lit(0)), range(len(self.runs)), F.col("n"))
-        return self.at.write(counts.select("h", n.alias("n")).filter("n > 1"), f"repeated{len(self.postings)}")
-
-    def append(self, run: DataFrame) -> None:
+        return self._table(self._write(counts.select("h", n.alias("n")).filter("n > 1"), "found"))
+
+    def _met(self, run: _Run, found: DataFrame) -> DataFrame:
+        """batch, id, pos and n of the run's postings whose hash is found."""
+        listed = found.join(F.broadcast(self._table(run.heavy_list)), "h", "left_semi")
+        both = self._table(run.light).join(found.hint("merge"), "h").unionByName(self._table(run.heavy).join(F.broadcast(listed), "h"))
+        return both.select("batch", "id", "pos", "n")
+
+    def _compact(self) -> None:
+        """Merges runs of one level, wherever there are enough of them, into one of the next."""
+        level = 0
+        while any(r.level >= level for r in self.runs):
+            own = [r for r in self.runs if r.level == level]
+            if len(own) >= self.fanout:
+                postings = reduce(DataFrame.unionByName, [self._table(x) for r in own for x in (r.light, r.heavy)])
+                counts = reduce(DataFrame.unionByName, [self._table(r.counts) for r in own]).groupBy("h").agg(F.sum("n").alias("n"))
+                self.runs = [r for r in self.runs if r.level != level] + [self._run(postings, counts, level + 1)]
+            level += 1
+
+    # -- batches -----------------------------------------------------------------------
+
+    def find(self, docs: DataFrame, at: Scratch) -> tuple[int, DataFrame]:
+        """Adds a batch; its number, and the ranges (id, lo, hi) of starts of its repeated windows."""
+        k = len(self.texts)
+        name = self._write(_keyed(docs, at), "texts")
+        anchors = self._table(name).select("id", "text").mapInArrow(_anchors(self.window, self.inner), "h bigint, id bigint, pos int")
+        anchors = at.write(anchors.select("h", F.lit(k).alias("batch"), "id", "pos"), f"anchors{k}")
+        run = self._run(anchors, anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")), 0)
+        at.delete(f"anchors{k}")
+        found = self._repeated(run)
+        spots = reduce(DataFrame.unionByName, [self._met(r, found) for r in (*self.runs, run)])
+        spots = spots.groupBy("batch", "id").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n"))
+        spots = at.write(spots, f"spots{k}", "batch")
+        self.texts.append(name)
         self.runs.append(run)
-
-    def compact(self) -> None:
-        """Merges the runs once there are enough of them."""
-        if len(self.runs) >= self.fanout:
-            self.runs = [self.bucketed(reduce(DataFrame.unionByName, self.runs).groupBy("h").agg(F.sum("n").alias("n")))]
-
-
-def _repeated_ranges(docs: DataFrame, postings: DataFrame, found: DataFrame, at: Scratch, name: str, window: int, inner: int, hot: int) -> DataFrame:
-    """Ranges (id, lo, hi) of starts of repeated windows; docs and postings are those of the batch and all older ones."""
-    spots = join_groups(postings, found, "h", "n", postings.count()).select("id", "tie", "pos", "n")
-    # written apart, so that the postings' shuffle is gone before the texts' begins
-    spots = at.write(spots.groupBy("id", "tie").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n")), f"spots-{name}")
-    rows = docs.join(spots, ["id", "tie"]).select("id", "tie", "text", "at", "n")
-    rows = rows.mapInArrow(_windows(window, inner, hot), "key bigint, slot int, id bigint, tie binary, start int, digests binary")
-    rows = rows.repartition("key", "slot").sortWithinPartitions("key", "slot", "id", "tie", "start")
-    marks = at.write(rows.mapInArrow(_repeats, "id bigint, tie binary, lo int, hi int, first binary"), name)
-    at.delete(f"spots-{name}")
-    ranges = marks.filter("first IS NULL").select("id", "tie", "lo", "hi")
-    among = Window.partitionBy("first").orderBy("id", "tie", "lo")
-    late = marks.filter("first IS NOT NULL").withColumn("k", F.dense_rank().over(among)).filter("k > 1").select("id", "tie", "lo", "hi")
-    return ranges.unionByName(late)
-
-
-def _told_apart(docs: DataFrame, at: Scratch, name: str) -> tuple[DataFrame, DataFrame | None]:
-    """doc_id, text, id and tie of every row, and of these the rows with a tie, which are written.
-
-    Rows that doc_id tells apart have an empty tie. Numbers hold only within one written
-    copy, so the others are read from there ever after."""
-    plain = docs.select("doc_id", "text", _id(), F.lit(b"").alias("tie"))
-    repeats = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    all_tied = not repeats.isEmpty()
-    unclear = docs if all_tied else docs.filter("doc_id IS NULL")
-    if not all_tied and unclear.select("doc_id").isEmpty():
-        return plain, None
-    number = F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
-    tie = F.unhex(F.concat(F.md5(F.coalesce("text", F.lit(""))), number))
-    tied = at.write(unclear.select("doc_id", "text", _id(), tie.alias("tie")), name)
-    return (tied if all_tied else plain.filter("doc_id IS NOT NULL").unionByName(tied)), tied
-
-
-def _id() -> Column:
-    return F.coalesce("doc_id", F.lit(_LAST)).alias("id")
-
-
-def substring_dedup(
-    docs: DataFrame,
-    batches: int = BATCHES,
-    window: int = WINDOW,
-    inner: int = INNER,
-    hot: int = HOT,
-    fanout: int = FANOUT,
-    index: FingerprintIndex | None = None,
-    older: DataFrame | None = None,
-) -> DataFrame:
+        self._compact()
+        self._commit()
+
+        held = sorted(r["batch"] for r in spots.select("batch").distinct().collect())  # one row a batch
+        parts = []
+        for j in held:
+            rows = self._table(self.texts[j]).join(spots.filter(F.col("batch") == j).select("id", "at", "n"), "id").select("id", "text", "at", "n")
+            rows = rows.mapInArrow(_windows(self.window, self.inner, self.hot), "key bigint, slot int, id bigint, start int, digests binary")
+            parts.append(rows.select("key", "slot", F.lit(j).alias("batch"), "id", "start", "digests"))
+        schema = "batch int, id bigint, lo int, hi int, first binary"
+        if not parts:
+            return k, self.spark.createDataFrame([], "id bigint, lo int, hi int")
+        rows = reduce(DataFrame.unionByName, parts).repartition("key", "slot").sortWithinPartitions("key", "slot", "batch", "id", "start")
+        marks = at.write(rows.mapInArrow(_repeats(k), schema), f"marks{k}")
+        at.delete(f"spots{k}")
+        among = Window.partitionBy("first").orderBy("batch", "id", "lo")
+        late = marks.filter("first IS NOT NULL").withColumn("k", F.dense_rank().over(among)).filter("k > 1")
+        return k, marks.filter("first IS NULL").unionByName(late.drop("k")).filter(F.col("batch") == k).select("id", "lo", "hi")
+
+    def kept(self, batch: int, ranges: DataFrame) -> DataFrame:
+        """doc_id, n_words, n_removed and kept_text of every row of a batch."""
+        gone = ranges.groupBy("id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+        rows = self._table(self.texts[batch]).join(gone, "id", "left").select("doc_id", "text", "lo", "hi")
+        return rows.mapInArrow(_kept(self.window), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """doc_id, n_words, n_removed and kept_text of every row of docs, judged after all that was added before."""
+        at = Scratch(self.spark, "substring")
+        k, ranges = self.find(docs, at)
+        out = at.write(self.kept(k, ranges), "kept")
+        at.delete(f"marks{k}")
+        return out
+
+
+def substring_dedup(docs: DataFrame, batches: int = BATCHES, **options) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of every row of docs.
 
-    An index that is passed in goes on growing and stays open: pass it again with the next
-    documents, and with ``older``, all those before, whose doc_ids are smaller (null counts
-    as the largest). Of these the index itself keeps the rows that need a tie."""
-    spark = docs.sparkSession
-    at = Scratch(spark, "substring")
-    kept_open, index = index is not None, index or FingerprintIndex(spark, fanout=fanout)
-    docs, tied = _told_apart(docs, at, "tied")
-    known = [] if older is None else [older.select(_id(), F.lit(b"").alias("tie"), "text"), *(t.select("id", "tie", "text") for t in index.tied)]
-    index.tied += [tied] if tied is not None else []
-    cuts = docs.select(F.percentile_approx("id", [k / batches for k in range(1, batches)]).alias("c")).first()["c"] if batches > 1 else []
-    bounds = [None, *sorted(set(cuts or [])), None]
-    parts = []
-    for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        upto = docs if hi is None else docs.filter(F.col("id") <= hi)
-        batch = (upto if lo is None else upto.filter(F.col("id") > lo)).select("id", "tie", "text")
-        seen = reduce(DataFrame.unionByName, known, upto.select("id", "tie", "text"))
-        postings = batch.mapInArrow(_anchors(window, inner), "h bigint, id bigint, tie binary, pos int")
-        index.postings.append(index.at.write(postings, f"postings{len(index.postings)}"))
-        run = index.run_of(index.postings[-1])
-        ranges = _repeated_ranges(seen, reduce(DataFrame.unionByName, index.postings), index.repeated(run), at, f"marks{k}", window, inner, hot)
-        parts.append(ranges if lo is None else ranges.filter(F.col("id") > lo))
-        index.append(run)
-        index.compact()
-    if not kept_open:
+    The rows go through an index of its own in batches of rising doc_id (null last); options
+    are those of the index. All but the result is deleted in the end."""
+    at, result = Scratch(docs.sparkSession, "substring"), Scratch(docs.sparkSession, "substring-kept")
+    index = FingerprintIndex(docs.sparkSession, **options)
+    try:
+        last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+        cuts = docs.select(F.percentile_approx(last, [k / batches for k in range(1, batches)]).alias("c")).first()["c"] if batches > 1 else []
+        bounds = [None, *sorted(set(cuts or [])), None]
+        found = []
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            upto = docs if hi is None else docs.filter(last <= hi)
+            found.append(index.find(upto if lo is None else upto.filter(last > lo), at))
+        parts = [result.write(index.kept(k, ranges), f"kept{k}") for k, ranges in found]
+        return reduce(DataFrame.unionByName, parts)
+    finally:
         index.close()
-    gone = reduce(DataFrame.unionByName, parts).groupBy("id", "tie").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    rows = docs.join(gone, ["id", "tie"], "left").select("doc_id", "text", "lo", "hi")
-    return rows.mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+        at.delete()
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(spread_table(spark, sf_dir, "documents", "doc_id")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -1,13 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling.
 
 A word enters as the sum of a hashed word vector and the mean of hashed vectors of its
-character triples. Both directions run over windows of ``WIDTH`` words, ``STRIDE`` apart,
+character triples; a word of over ``LONG`` bytes counts as several, which overlap so that
+each triple is in one of them. Both directions run over windows of ``WIDTH`` words, ``STRIDE`` apart,
 attention pools a window's states and a text scores as its most toxic window; all
 windows of the whole text are scored. The network is numpy throughout: training on the
 driver from a bounded sample, scoring in tasks over batches of windows.
 
-Labels come from at most ``BOUND`` documents a class of at most ``MAX_CHARS`` characters.
-A document's label trains its highest scoring window, after two rounds on random windows.
+Labels come from at most ``BOUND`` documents a class; one of over ``MAX_CHARS`` characters
+is learnt from random runs of ``RUN`` characters over all of it, as many as make up
+``MAX_CHARS``. A document's label trains its highest scoring window, after two rounds on random windows.
 Null and empty texts are one window of padding. Without labels of both classes every
 score is one half. Rows that repeat a doc_id are scored each. Only ``doc_id`` and ``text``
 of the documents are read.
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import spread_table, table
 from .sampling import bucket, labelled
 
-BOUND, MAX_CHARS = 1600, 12_000
+BOUND, MAX_CHARS, RUN = 1600, 12_000, 1500
+#: Bytes of the longest word that is one.
+LONG = 64
 WIDTH, STRIDE = 32, 16
 DIM, STATE, WORD_ROWS, CHAR_ROWS = 12, 8, 1 << 14, 1 << 12
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.02, 5
@@ -41,7 +45,22 @@ def core_rows(core: bytes) -> tuple[int, list[int]]:
     """Rows of a lower-case word's vector and of its character vectors; row 0 is padding's."""
     marked = b"<" + core + b">"
     chars = [1 + zlib.crc32(marked[i : i + 3]) % (CHAR_ROWS - 1) for i in range(max(1, len(marked) - 2))]
-    return 1 + zlib.crc32(core) % (WORD_ROWS - 1), chars[:64]
+    return 1 + zlib.crc32(core) % (WORD_ROWS - 1), chars
+
+
+def parts(word: bytes) -> list[bytes]:
+    """A long word as overlapping runs of LONG bytes."""
+    return [word[i : i + LONG] for i in range(0, len(word) - 2, LONG - 2)]
+
+
+def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """n rows, row k the sum of those of ``rows`` whose ``at`` is k."""
+    order = np.argsort(at, kind="stable")
+    own = at[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[own[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
 
 
 class Vocabulary:
@@ -67,7 +86,14 @@ class Vocabulary:
         words = (text or "").encode().lower().split()
         out = list(map(self.number.get, words))
         if None in out:
-            out = [self._known(w) if i is None else i for w, i in zip(words, out, strict=True)]
+            met, out = zip(words, out, strict=True), []
+            for w, i in met:
+                if i is not None:
+                    out.append(i)
+                elif len(w) <= LONG:
+                    out.append(self._known(w))
+                else:
+                    out += map(self._known, parts(w))
         return np.array(out, np.int64)
 
     def _known(self, word: bytes) -> int:
@@ -166,24 +192,26 @@ class Network:
         de = ds[:, :, None] * p["v"] * (1 - e * e)
         g["A"] = np.einsum("tni,tnj->ij", both, de)
         dboth = dboth + de @ p["A"].T
-        dgates = [np.zeros_like(q) for q in gates]
+        dgates = []
         for d in (0, 1):
             u, du, dh = p[f"U{d}"], np.zeros_like(p[f"U{d}"]), np.zeros((len(ids), STATE), np.float32)
+            steps = np.empty((WIDTH, len(ids), 3 * STATE), gates[d].dtype)
             for _, t, h, z, r, c, qc in reversed([s for s in saved if s[0] == d]):
                 dh = dh + dboth[t][:, d * STATE : (d + 1) * STATE]
                 dc = dh * (1 - z) * (1 - c * c)
                 dz = dh * (h - c) * z * (1 - z)
                 dr = dc * qc * r * (1 - r)
                 dq = np.concatenate((dz, dr, dc * r), 1)
-                np.add.at(dgates[d], ids[:, t], np.concatenate((dz, dr, dc), 1))
+                steps[t] = np.concatenate((dz, dr, dc), 1)
                 du += h.T @ dq
                 dh = dh * z + dq @ u.T
+            dgates.append(_sums(ids.T.ravel(), steps.reshape(-1, 3 * STATE), len(x)))
             g[f"U{d}"], g[f"W{d}"], g[f"b{d}"] = du, x.T @ dgates[d], dgates[d].sum(0)
         dx = sum(dgates[d] @ p[f"W{d}"].T for d in (0, 1))
-        g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
         sizes = np.fromiter((len(c) for _, c in rows), np.int64, len(rows))
-        np.add.at(g["word"], [w for w, _ in rows], dx)
-        np.add.at(g["char"], [x for _, c in rows for x in c], np.repeat(dx / sizes[:, None], sizes, axis=0))
+        flat = np.fromiter((x for _, c in rows for x in c), np.int64, int(sizes.sum()))
+        g["word"] = _sums(np.fromiter((w for w, _ in rows), np.int64, len(rows)), dx, WORD_ROWS)
+        g["char"] = _sums(flat, np.repeat(dx / sizes[:, None], sizes, axis=0).astype(dx.dtype), CHAR_ROWS)
         g["word"][0] = g["char"][0] = 0
         return g, loss
 
@@ -284,9 +312,25 @@ def _scored(network):
     return task
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable=None, bound: int = BOUND, max_chars: int = MAX_CHARS) -> Network | None:
+def shortened(text: str | None, doc_id: int) -> str:
+    """A text of up to MAX_CHARS characters as it is; of a longer one random runs over all of it."""
+    text = text or ""
+    if len(text) <= MAX_CHARS:
+        return text
+    starts = np.sort(np.random.default_rng(doc_id & (1 << 63) - 1).integers(0, len(text) - RUN + 1, MAX_CHARS // RUN))
+    return " ".join(text[i : i + RUN] for i in starts.tolist())
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [shortened(t, d) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2)], ["doc_id", "text", "y"])
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable=None, bound: int = BOUND) -> Network | None:
     usable = F.lit(True) if usable is None else usable
-    rows = sorted(labelled(docs, labels, label, usable, bound, max_chars).collect(), key=lambda r: r["doc_id"])
+    rows = labelled(docs, labels, label, usable, bound).mapInArrow(_sampled, "doc_id bigint, text string, y int").collect()
+    rows = sorted(rows, key=lambda r: r["doc_id"])
     return fit([r["text"] for r in rows], np.array([r["y"] for r in rows]))
 
 

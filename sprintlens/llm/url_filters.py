@@ -6,12 +6,16 @@ pattern. A capture is judged by the entries that were active when it was fetched
 longest host suffix wins, then the longest path prefix, then the latest entry, then the
 smaller action name. A capture that no active entry matches is allowed.
 
-Hosts are few next to captures, so suffixes are matched once a distinct host, which gives
-each host its timeline of intervals; captures then meet their host's timeline by a join
-that no frequent host can skew, and the as-of step is an array filter.
-
-Null, empty and malformed URLs have no host and are allowed. Captures without a time match
-no interval. Repeated captures are judged each; repeated entries count once. Entries
+A pattern's intervals are its timeline, one row a pattern. Hosts are few next to captures,
+so suffixes are matched once a distinct host: a host gets the suffixes that the list has of
+it, with the lengths of their path prefixes, never their entries. The captures of such
+hosts then look up the few patterns that can match them, path cut at those lengths, in the
+timelines, and the as-of step picks what is active at the fetch time. The three joins (on
+suffix, host and pattern) split off heavy keys, so neither ``com``, nor a host with a third
+of all captures, nor one with very many entries gathers in a task.
+
+Null, empty and malformed URLs have no host and are allowed. Very long hosts and paths cost
+no more than the longest listed ones. Captures without a time match no interval. Repeated captures are judged each; repeated entries count once. Entries
 without a pattern or date are ignored. Extra columns are carried; the result's own are
 ``host``, ``entry``, ``action`` and ``blocked``, which take the place of equally named ones.
 """
@@ -56,10 +60,11 @@ def path_of(url: Column) -> Column:
     return F.when(path == "", "/").otherwise(path)
 
 
-def suffixes(host: Column) -> Column:
-    """The host and every part of it after a dot."""
+def suffixes(host: Column, most: int) -> Column:
+    """The host's last labels, up to ``most``, and every part of them after a dot."""
     labels = F.split(host, "\\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    first = F.greatest(F.lit(1), F.size(labels) - (most - 1))
+    return F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -70,14 +75,20 @@ def intervals(entries: DataFrame) -> DataFrame:
     return df.withColumn("until", F.lead("since").over(by)).filter("until IS NULL OR until > since")
 
 
-def timelines(hosts: DataFrame, entries: DataFrame) -> DataFrame:
-    """For each host that entries match: its intervals, as an array in order of preference."""
-    parts = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("suffix"))
-    spans = parts.join(intervals(entries), "suffix")
-    span = F.struct(
-        (-F.length("suffix")).alias("a"), (-F.length("prefix")).alias("b"), "suffix", "prefix", "action", "since", "until"
-    )
-    return spans.groupBy("host").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+def timelines(entries: DataFrame) -> DataFrame:
+    """pattern (suffix and prefix) and its intervals (since, until, action), which don't overlap."""
+    span = F.struct("since", "until", "action")
+    return intervals(entries).groupBy(F.struct("suffix", "prefix").alias("pattern")).agg(F.collect_list(span).alias("spans"))
+
+
+def listed_hosts(hosts: DataFrame, lines: DataFrame, at: Scratch) -> DataFrame:
+    """host, n and candidates (suffix, lengths of its prefixes) of those hosts (host, n) that have a listed suffix."""
+    lengths = lines.groupBy(F.col("pattern.suffix").alias("suffix")).agg(F.collect_set(F.length("pattern.prefix")).alias("lengths"))
+    most = lines.agg(F.max(F.size(F.split("pattern.suffix", "\\.")))).first()[0] or 1
+    parts = at.write(hosts.select("host", F.explode(suffixes(F.col("host"), most)).alias("suffix")), "parts")
+    groups = at.write(parts.groupBy("suffix").agg(F.count(F.lit(1)).alias("held")).join(lengths, "suffix"), "suffixes")
+    met = join_groups(parts, groups, "suffix", "held", parts.count())
+    return hosts.join(met.groupBy("host").agg(F.collect_list(F.struct("suffix", "lengths")).alias("candidates")), "host")
 
 
 def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_on") -> DataFrame:
@@ -85,24 +96,30 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     at = Scratch(captures.sparkSession, "urls")
     own = ("host", "entry", "action", "blocked")
     names = [c for c in captures.columns if c not in own]
-    rows = captures.select(F.struct(*names).alias("__row"), host_of(F.col(url)).alias("host"))
-    rows = at.write(rows, "rows")
-    hosts = at.write(rows.groupBy("host").agg(F.count(F.lit(1)).alias("__n")), "hosts")
-    lines = timelines(hosts.select("host"), entries)
-    groups = at.write(hosts.join(lines, "host", "left"), "timelines")
-    joined = join_groups(rows, groups, "host", "__n", rows.count())
-    when, path = F.col(f"__row.{fetched}"), path_of(F.col(f"__row.{url}"))
-    active = F.filter(
-        "spans",
-        lambda x: (x["since"] <= when) & (x["until"].isNull() | (x["until"] > when)) & F.startswith(path, x["prefix"]),
-    )
-    best = joined.select("__row", "host", F.get(active, F.lit(0)).alias("__best"))
-    return best.select(
-        "__row.*",
+    body = F.struct(*names, F.lit(0).alias("__none")).alias("body")
+    rows = at.write(captures.select(body, host_of(F.col(url)).alias("host"), F.monotonically_increasing_id().alias("id")), "rows")
+    lines = at.write(timelines(entries), "timelines")
+    hosts = at.write(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
+    listed = at.write(listed_hosts(hosts, lines, at), "listed")
+    seen = rows.select("id", "host", path_of(F.col("body")[url]).alias("path"), F.col("body")[fetched].alias("when"))
+    seen = join_groups(seen, listed, "host", "n", rows.count())
+
+    def patterns(c: Column) -> Column:
+        fit = F.filter(c["lengths"], lambda n: n <= F.length("path"))
+        return F.transform(fit, lambda n: F.struct(c["suffix"].alias("suffix"), F.substr("path", F.lit(1), n).alias("prefix")))
+
+    keys = at.write(seen.select("id", "when", F.explode(F.flatten(F.transform("candidates", patterns))).alias("pattern")), "keys")
+    groups = at.write(keys.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).join(lines, "pattern"), "patterns")
+    active = F.filter("spans", lambda x: (x["since"] <= F.col("when")) & (x["until"].isNull() | (x["until"] > F.col("when"))))
+    hits = join_groups(keys, groups, "pattern", "n", keys.count()).select("id", "pattern", F.get(active, F.lit(0))["action"].alias("action")).filter("action IS NOT NULL")
+    rank = F.struct(-F.length("pattern.suffix"), -F.length("pattern.prefix"))
+    best = hits.groupBy("id").agg(F.min_by(F.struct("pattern", "action"), rank).alias("best"))
+    return rows.join(best, "id", "left").select(
+        *[F.col("body")[c].alias(c) for c in names],
         "host",
-        F.concat("__best.suffix", "__best.prefix").alias("entry"),
-        F.coalesce("__best.action", F.lit("allow")).alias("action"),
-        F.coalesce(F.col("__best.action") == "block", F.lit(False)).alias("blocked"),
+        F.concat("best.pattern.suffix", "best.pattern.prefix").alias("entry"),
+        F.coalesce("best.action", F.lit("allow")).alias("action"),
+        F.coalesce(F.col("best.action") == "block", F.lit(False)).alias("blocked"),
     )
 
 
