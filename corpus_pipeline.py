@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sprintlens.llm import exact_dedup, mixture, packing, quality_rules, simhash
-from sprintlens.llm.common import Scratch
+from sprintlens.llm.common import Scratch, passing
 
 
 def _quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, each over all that the one before it kept."""
-    at = Scratch(spark, "pipeline")
+    """The stages in turn, each over all that the one before it kept; a stage's tables go when the next ones are whole."""
+    at, last = Scratch(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = at.write(stage(spark, docs, sf_dir), f"{k}-{name}")
+        with passing():
+            docs = at.write(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if last is not None:
+            at.delete(last)
+        last = f"{k}-{name}"
     return docs
