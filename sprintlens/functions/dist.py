@@ -6,9 +6,9 @@ weights, means, stds and bounds low and high (null: open).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,33 +85,52 @@ def mixture_valid(m: Column) -> Column:
     return F.coalesce((n > 0) & (n == F.size(m["means"])) & (n == F.size(m["stds"])) & (F.abs(_sum(m["weights"]) - 1) <= 1e-4), F.lit(False))
 
 
+def _np_cdf(z: np.ndarray) -> np.ndarray:
+    """normal_cdf for arrays."""
+    t = 1 / (1 + CDF_P * np.abs(z))
+    tail = np.exp(-z * z / 2) * 0.3989422804014327 * np.polyval((*CDF_B[::-1], 0.0), t)
+    return np.where(z >= 0, 1 - tail, tail)
+
+
+def mixture_quantiles(w: np.ndarray, mu: np.ndarray, sd: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: float) -> np.ndarray:
+    """q-quantiles of mixtures (a row each, unused components of weight 0) by 80 bisections of the truncated cdf; nan bounds are open."""
+    used = w > 0
+    open_lo, open_hi = np.isnan(lo), np.isnan(hi)
+    a = np.where(open_lo, np.where(used, mu - 6 * sd, np.inf).min(1), lo)
+    b = np.where(open_hi, np.where(used, mu + 6 * sd, -np.inf).max(1), hi)
+    if q <= 0 or q >= 1:
+        return np.where(open_lo, -np.inf, lo) if q <= 0 else np.where(open_hi, np.inf, hi)
+
+    def cdf(x: np.ndarray) -> np.ndarray:
+        return (w * _np_cdf((x[:, None] - mu) / sd)).sum(1)
+
+    c0, c1 = np.where(open_lo, 0.0, cdf(a)), np.where(open_hi, 1.0, cdf(b))
+    aim = c0 + q * np.maximum(1e-12, c1 - c0)
+    for _ in range(80):
+        mid = (a + b) / 2
+        below = cdf(mid) < aim
+        a, b = np.where(below, mid, a), np.where(below, b, mid)
+    return (a + b) / 2
+
+
 def mixture_quantile(q: float):
-    """A pandas UDF: the q-quantile of mixture structs by 80 bisections of the truncated cdf."""
-
-    def cdf(weights, means, stds, x) -> float:
-        return sum(w * 0.5 * math.erfc((mu - x) / (s * math.sqrt(2))) for w, mu, s in zip(weights, means, stds, strict=True))
-
-    def one(r) -> float | None:
-        w, mu, sd, lo, hi = (r[k] for k in ("weights", "means", "stds", "low", "high"))
-        open_lo, open_hi = lo is None or lo != lo, hi is None or hi != hi
-        a = min(m - 6 * s for m, s in zip(mu, sd, strict=True)) if open_lo else lo
-        b = max(m + 6 * s for m, s in zip(mu, sd, strict=True)) if open_hi else hi
-        if q <= 0:
-            return -math.inf if open_lo else lo
-        if q >= 1:
-            return math.inf if open_hi else hi
-        c0, c1 = 0.0 if open_lo else cdf(w, mu, sd, lo), 1.0 if open_hi else cdf(w, mu, sd, hi)
-        for _ in range(80):
-            mid = (a + b) / 2
-            if (cdf(w, mu, sd, mid) - c0) / max(1e-12, c1 - c0) < q:
-                a = mid
-            else:
-                b = mid
-        return (a + b) / 2
+    """A pandas UDF: the q-quantile of mixture structs, a batch at once; null without components."""
+
+    def padded(x: pd.Series, width: int, fill: float) -> np.ndarray:
+        out = np.full((len(x), width), fill)
+        for i, v in enumerate(x):
+            out[i, : len(v)] = v
+        return out
 
     @F.pandas_udf("double")
     def quantile(m: pd.DataFrame) -> pd.Series:
-        return pd.Series([one(r) for r in m.to_dict("records")], dtype=float)
+        ok = m["weights"].map(lambda v: v is not None and len(v) > 0).to_numpy(bool)
+        out, m = np.full(len(m), np.nan), m[ok]
+        if len(m):
+            width = int(m["weights"].map(len).max())
+            w, mu, sd = (padded(m[c], width, x) for c, x in (("weights", 0.0), ("means", 0.0), ("stds", 1.0)))
+            out[ok] = mixture_quantiles(w, mu, sd, m["low"].to_numpy(float, na_value=np.nan), m["high"].to_numpy(float, na_value=np.nan), q)
+        return pd.Series(out).where(pd.Series(ok), None)
 
     return quantile
 
@@ -148,3 +167,37 @@ def lognormal_from_quantiles(p50: Column, p90: Column) -> Column:
     """mu and sigma of the lognormal with these quantiles; null unless 0 < p50 <= p90."""
     ok = (p50 > 0) & (p90 >= p50)
     return F.when(ok, F.struct(F.log(p50).alias("mu"), (F.log(p90 / p50) / 1.2815515655446004).alias("sigma")))
+
+
+#: An effort payload, either quantiles or a mixture by its type.
+PAYLOAD = "struct<type:string,quantiles:map<string,double>,weights:array<double>,means:array<double>,stds:array<double>,low:double,high:double>"
+
+
+def encode_quantiles(d: Column) -> Column:
+    """The JSON payload of a quantile distribution, its keys as text."""
+    return F.to_json(F.struct(F.lit("quantiles").alias("type"), F.map_from_arrays(F.transform(d, lambda x: x["q"].cast("string")), F.transform(d, lambda x: x["v"])).alias("quantiles")))
+
+
+def encode_mixture(m: Column) -> Column:
+    """The JSON payload of a mixture; open bounds are left out."""
+    return F.to_json(F.struct(F.lit("gmm").alias("type"), *[m[c].alias(c) for c in ("weights", "means", "stds", "low", "high")]))
+
+
+def decoded(payload: Column) -> Column:
+    """A JSON payload as a struct; null if it isn't one."""
+    return F.from_json(payload, PAYLOAD)
+
+
+def payload_quantiles(p: Column) -> Column:
+    """The quantile distribution of a decoded payload, sorted by its keys."""
+    return F.array_sort(F.transform(F.map_entries(p["quantiles"]), lambda e: F.struct(e["key"].cast("double").alias("q"), e["value"].alias("v"))))
+
+
+def payload_valid(p: Column) -> Column:
+    """Whether a decoded payload is a distribution that can be drawn from."""
+    return F.when(p["type"] == "quantiles", quantile_valid(payload_quantiles(p))).when(p["type"] == "gmm", mixture_valid(p)).otherwise(False)
+
+
+def payload_sample(p: Column, *key) -> Column:
+    """A draw from a valid payload."""
+    return F.when(p["type"] == "quantiles", quantile_sample(payload_quantiles(p), *key)).otherwise(mixture_sample(p, *key))

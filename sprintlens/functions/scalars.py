@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Standard normal quantiles, token pattern, weights of the delivery label, suffixes of languages.
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 #: Standard normal quantiles of 0.5, 0.8 and 0.9.
 Z50, Z80, Z90 = 0.0, 0.8416212335729143, 1.2815515655446004
@@ -103,3 +104,10 @@ def lognormal_quantiles(mean: Column, cv: float) -> tuple[Column, Column, Column
 def parse_iso(text: Column) -> Column:
     """ISO-8601 text, Z allowed, as a timestamp; null if malformed."""
     return F.try_to_timestamp(text)
+
+
+def merged_paths(first: Column, second: Column) -> Column:
+    """Two lists of paths as one, in order; where both have any, repeats go."""
+    a, b = F.coalesce(first, F.array().cast("array<string>")), F.coalesce(second, F.array().cast("array<string>"))
+    both = F.concat(a, b)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.array_distinct(both)).otherwise(both)

@@ -45,94 +45,165 @@ def grids(commits: DataFrame, step: int = STEP, min_minutes: int = MIN_MINUTES,
     return g.select("author_id", "base_minute", "n_minutes", "steps", F.concat(F.flatten(runs), tail).alias("counts"))
 
 
-def excitation(counts: Column, mu: float, alpha: float, beta: float, step: int) -> Column:
-    """Coding probability of each step from a decaying sum of counts (Hawkes intensity above its base)."""
-    decay = math.exp(-beta * step)
+def slice_bounds(a: Column, b: Column, base: Column, step: int, length: Column) -> tuple[Column, Column]:
+    """First step and number of steps of [a, b) on a curve, both ends clamped to it."""
 
-    def rise(acc: Column, n: Column) -> Column:
-        g = acc["g"] * decay + n
-        return F.struct(g.alias("g"), F.concat(acc["p"], F.array(_probability(F.lit(alpha) * g, F.lit(mu)))).alias("p"))
+    def at(m: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.floor((m - base) / step), length - 1)).cast("int")
 
-    start = F.struct(F.lit(0.0).alias("g"), F.array().cast("array<double>").alias("p"))
-    return F.aggregate(counts, start, rise)["p"]
+    i, j = at(F.least(a, b)), at(F.greatest(a, b))
+    return i, j - i
 
 
-def _probability(above: Column, base: Column) -> Column:
-    return F.lit(1.0) - F.exp(-F.greatest(F.lit(0.0), above) / F.greatest(F.lit(1e-6), base))
+#: Slices of up to so many steps are drawn coin by coin.
+COINS = 256
 
 
-def ekf_filter(counts: Column, step: int, process_var: float = 0.05) -> Column:
-    """Filtered log intensities of an extended Kalman filter over Poisson counts, by a fold."""
+def pair_slices(pairs: DataFrame, curves: DataFrame, step: int) -> DataFrame:
+    """The pairs of authors with a curve (``with_sums``), with first, n, mean and var of their minutes, and part.
 
-    def move(acc: Column, y: Column) -> Column:
-        p = acc["p"] + process_var
-        lam = F.exp(acc["m"]) * float(step)
-        gain = p * lam / F.greatest(F.lit(1e-12), lam * p * lam + F.greatest(F.lit(1e-6), lam))
-        m = acc["m"] + gain * (y - lam)
-        return F.struct(m.alias("m"), ((F.lit(1.0) - gain * lam) * p).alias("p"), F.concat(acc["all"], F.array(m)).alias("all"))
+    Mean and variance are differences of the curve's running sums, two look-ups whatever the
+    gap; part, the slice itself, is there for up to COINS steps only. So no row carries more."""
+    j = pairs.join(curves.select("author_id", "base_minute", "coding_prob", "mean_sums", "var_sums"), "author_id")
+    first, n = slice_bounds(F.col("parent_minute"), F.col("child_minute"), F.col("base_minute"), step, F.size("coding_prob"))
+    j = j.select(*pairs.columns, first.alias("first"), n.alias("n"), "coding_prob", "mean_sums", "var_sums")
 
-    start = F.struct(F.lit(0.0).alias("m"), F.lit(1.0).alias("p"), F.array().cast("array<double>").alias("all"))
-    return F.aggregate(counts, start, move)["all"]
+    def between(sums: str) -> Column:
+        return F.get(sums, F.col("first") + F.col("n")) - F.get(sums, F.col("first"))
 
+    part = F.when(F.col("n").between(1, COINS), F.slice("coding_prob", F.col("first") + 1, F.greatest(F.lit(0), F.col("n"))))
+    return j.select(*pairs.columns, "first", "n", (between("mean_sums") * step).alias("mean"), (between("var_sums") * (step * step)).alias("var"), part.alias("part"))
 
-def slice_bounds(a: Column, b: Column, base: Column, step: int, length: Column) -> tuple[Column, Column]:
-    """First step and number of steps of [a, b) on a curve, both ends clamped to it."""
 
-    def at(m: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.floor((m - base) / step), length - 1)).cast("int")
+def sample_minutes(step: int, gap: Column, *key) -> Column:
+    """A draw of coding minutes for a row of pair_slices: a coin a step up to COINS steps, beyond that a clipped normal."""
+    coins = F.aggregate(F.transform("part", lambda p, i: F.when(uniform(*key, i) < p, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) * float(step)
+    bell = F.greatest(F.lit(0.0), F.least(gap, F.col("mean") + F.sqrt(F.greatest(F.lit(0.0), F.col("var"))) * normal(*key)))
+    return F.when(F.col("n") <= 0, F.lit(0.0)).when(F.col("n") <= COINS, coins).otherwise(bell)
+
+
+# -- kernels over whole curves: linear in the steps, in batches of authors ------------
 
-    i, j = at(F.least(a, b)), at(F.greatest(a, b))
-    return i, j - i
 
+def scan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x with x[i] = a[i] * x[i-1] + b[i]: blocks side by side, then carried from block to block, about 2 sqrt(n) vector steps."""
+    n = len(a)
+    w = max(1, math.isqrt(max(0, n - 1)) + 1)
+    a, b = (np.concatenate((v, np.zeros(w * w - n))).reshape(w, w) for v in (a, b))
+    x, p = np.empty((w, w)), np.empty((w, w))
+    at, through = np.zeros(w), np.ones(w)
+    for j in range(w):
+        at, through = a[:, j] * at + b[:, j], through * a[:, j]
+        x[:, j], p[:, j] = at, through
+    carry = 0.0
+    for k in range(w):
+        x[k] += p[k] * carry
+        carry = x[k, -1]
+    return x.ravel()[:n]
 
-def expected_minutes(curve: Column, first: Column, n: Column, step: int) -> tuple[Column, Column]:
-    """Mean and variance of the coding minutes in a slice of a curve."""
-    part = F.slice(curve, first + 1, n)
-    mean = F.aggregate(part, F.lit(0.0), lambda s, p: s + p)
-    var = F.aggregate(part, F.lit(0.0), lambda s, p: s + p * (F.lit(1.0) - p))
-    return mean * step, var * (step * step)
 
+def ekf(counts: np.ndarray, step: int, process_var: float = 0.05) -> np.ndarray:
+    """Filtered log intensities of an extended Kalman filter over Poisson counts."""
+    m, p, dt, out = 0.0, 1.0, float(step), []
+    for y in counts.tolist():
+        p += process_var
+        lam = math.exp(m) * dt
+        gain = p * lam / max(1e-12, lam * p * lam + max(1e-6, lam))
+        m += gain * (y - lam)
+        p *= 1 - gain * lam
+        out.append(m)
+    return np.array(out)
 
-def sample_minutes(curve: Column, first: Column, n: Column, step: int, gap: Column, *key) -> Column:
-    """A draw of coding minutes: a coin a step up to 256 steps, beyond that a clipped normal."""
-    part = F.slice(curve, first + 1, n)
-    coins = F.aggregate(F.transform(part, lambda p, i: F.when(uniform(*key, i) < p, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) * float(step)
-    mean, var = expected_minutes(curve, first, n, step)
-    bell = F.greatest(F.lit(0.0), F.least(gap, mean + F.sqrt(var) * normal(*key)))
-    return F.when(n <= 0, F.lit(0.0)).when(n <= 256, coins).otherwise(bell)
+
+def _above(x: np.ndarray, base: float) -> np.ndarray:
+    """Probability from the part of an intensity above its base."""
+    return 1 - np.exp(-np.maximum(0.0, x - base) / max(1e-6, base))
+
+
+def _mapped(grid: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
+    """fn over numpy arrays of each row's columns, dealt by author; the first column is kept as the key."""
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [fn(*row) for row in zip(*(f[c] for c in columns), strict=True)]
+            yield pd.DataFrame(rows, columns=[x.strip().split(" ")[0] for x in schema.split(",")])
+
+    return spread(grid.select(*columns), columns[0]).mapInPandas(task, schema)
+
+
+def filtered(grid: DataFrame, step: int = STEP, process_var: float = 0.05) -> DataFrame:
+    """author_id, base_minute, steps, last (log intensity), baseline (its 20 % quantile as intensity, at least 1e-6) and coding_prob by the filter."""
+
+    def one(author, base, counts):
+        m = ekf(np.asarray(counts, float), step, process_var)
+        x = np.exp(m)
+        low = max(1e-6, float(np.quantile(x, 0.2)))
+        return author, base, len(m), float(m[-1]), low, _above(x, low)
+
+    return _mapped(grid, ["author_id", "base_minute", "counts"], one, "author_id bigint, base_minute bigint, steps int, last double, baseline double, coding_prob array<double>")
+
+
+def excited(grid: DataFrame, mu: float, alpha: float, beta: float, step: int = STEP) -> DataFrame:
+    """author_id, base_minute, steps and coding_prob from a decaying sum of counts (intensity above its base)."""
+
+    def one(author, base, counts):
+        g = scan(np.full(len(counts), math.exp(-beta * step)), np.asarray(counts, float))
+        return author, base, len(g), 1 - np.exp(-np.minimum(700.0, alpha * g / max(1e-6, mu)))
+
+    return _mapped(grid, ["author_id", "base_minute", "counts"], one, "author_id bigint, base_minute bigint, steps int, coding_prob array<double>")
+
+
+def with_sums(curves: DataFrame) -> DataFrame:
+    """author_id, base_minute, coding_prob, and running sums of p and p (1 - p) with a 0 in front."""
+
+    def one(author, base, prob):
+        p = np.asarray(prob, float)
+        return author, base, p, np.concatenate(([0.0], np.cumsum(p))), np.concatenate(([0.0], np.cumsum(p * (1 - p))))
+
+    return _mapped(curves, ["author_id", "base_minute", "coding_prob"], one, "author_id bigint, base_minute bigint, coding_prob array<double>, mean_sums array<double>, var_sums array<double>")
 
 
 # -- fitted models: one author a group, numpy inside ---------------------------------
 
 
-def hawkes_fit(times: np.ndarray, horizon: float, iterations: int = 200) -> tuple[float, float, float, float]:
-    """mu, alpha, beta and log likelihood of an exponential-kernel process by expectation maximisation.
+def hawkes_fit(times: list[np.ndarray], horizons: list[float], iterations: int = 200) -> list[np.ndarray]:
+    """mu, alpha, beta and log likelihood of exponential-kernel processes by expectation maximisation, an array each.
 
     The kernel is alpha * exp(-beta * t); see Veen and Schoenberg (2008). Pair weights of
-    all earlier events come from two recursions, so a round is linear in the events."""
-    n = len(times)
-    rate = n / max(horizon, 1e-9)
-    mu, alpha, beta = rate / 2, rate / 2, 1.0
-    gaps = np.diff(times)
+    all earlier events come from two linear recursions. The processes lie one after the
+    other in one array, a recursion's factor being 0 at each first event, so that a round is
+    a few vector steps for all of them."""
+    sizes = np.array([len(t) for t in times])
+    own = np.repeat(np.arange(len(times)), sizes)
+    at, ends = np.concatenate(times), np.maximum(1e-9, np.array(horizons, float))
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    gaps = np.concatenate(([0.0], np.diff(at)))
+    gaps[first] = 0.0
+    inner = np.ones(len(at))
+    inner[first] = 0.0
+
+    def total(x: np.ndarray) -> np.ndarray:
+        return np.bincount(own, x, len(times))
+
+    def kernel(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f = inner * np.exp(-beta[own] * gaps)
+        return f, scan(f, f)  # the kernel's sum over earlier events
+
+    mu, alpha, beta = sizes / ends / 2, sizes / ends / 2, np.ones(len(times))
     for _ in range(iterations):
-        g, d = np.zeros(n), np.zeros(n)  # kernel sum, and kernel sum weighted by age
-        for i in range(1, n):
-            f = math.exp(-beta * gaps[i - 1])
-            g[i] = f * (1 + g[i - 1])
-            d[i] = f * (gaps[i - 1] * (1 + g[i - 1]) + d[i - 1])
-        lam = mu + alpha * g
-        kids = float((alpha * g / lam).sum())
-        age = float((alpha * d / lam).sum())
-        tail = 1 - np.exp(-beta * (horizon - times))
-        mu = max(1e-12, float((mu / lam).sum()) / horizon)
-        branching = kids / max(1e-12, float(tail.sum()))
-        beta = min(50.0, max(1e-6, kids / max(1e-12, age)))
-        alpha = max(1e-12, branching * beta)
-    g = np.zeros(n)
-    for i in range(1, n):
-        g[i] = math.exp(-beta * gaps[i - 1]) * (1 + g[i - 1])
-    ll = float(np.log(np.maximum(1e-12, mu + alpha * g)).sum()) - mu * horizon - alpha / beta * float((1 - np.exp(-beta * (horizon - times))).sum())
-    return mu, alpha, beta, ll
+        f, g = kernel(beta)
+        earlier = np.concatenate(([0.0], g[:-1]))
+        d = scan(f, f * gaps * (1 + earlier))  # the same, weighted by age
+        lam = mu[own] + alpha[own] * g
+        kids, age = total(alpha[own] * g / lam), total(alpha[own] * d / lam)
+        tail = total(1 - np.exp(-beta[own] * (ends[own] - at)))
+        mu = np.maximum(1e-12, total(mu[own] / lam) / ends)
+        beta = np.clip(kids / np.maximum(1e-12, age), 1e-6, 50.0)
+        alpha = np.maximum(1e-12, kids / np.maximum(1e-12, tail) * beta)
+    lam = mu[own] + alpha[own] * kernel(beta)[1]
+    tail = total(1 - np.exp(-beta[own] * (ends[own] - at)))
+    ll = total(np.log(np.maximum(1e-12, lam))) - mu * ends - alpha / beta * tail
+    return [mu, alpha, beta, ll]
 
 
 def time_features(base: int, steps: int, step: int) -> np.ndarray:
@@ -231,15 +302,14 @@ def fitted(grid: DataFrame, model: str, step: int = STEP, **options) -> DataFram
     One row an author comes in, so authors are dealt over tasks and fitted in batches."""
 
     def hawkes(f: pd.DataFrame) -> Iterator[tuple]:
-        for a, base, counts in zip(f["author_id"], f["base_minute"], f["counts"], strict=True):
-            y = np.asarray(counts, float)
-            times = np.repeat(np.arange(len(y)), y.astype(int)) * float(step)
-            mu, alpha, beta, ll = hawkes_fit(times, max(1.0, float((len(y) - 1) * step)), **options)
-            g, prob = 0.0, []
-            for n in y:
-                g = g * math.exp(-beta * step) + n
-                prob.append(1 - math.exp(-min(700.0, alpha * g / max(1e-6, mu))))
-            yield a, base, step, prob, mu, alpha, beta, ll, "hawkes"
+        for i in range(0, len(f), TOGETHER):
+            part = f.iloc[i : i + TOGETHER]
+            ys = [np.asarray(c, float) for c in part["counts"]]
+            times = [np.repeat(np.arange(len(y)), y.astype(int)) * float(step) for y in ys]
+            values = hawkes_fit(times, [max(1.0, float((len(y) - 1) * step)) for y in ys], **options)
+            for a, base, y, mu, alpha, beta, ll in zip(part["author_id"], part["base_minute"], ys, *(v.tolist() for v in values), strict=True):
+                g = scan(np.full(len(y), math.exp(-beta * step)), y)
+                yield a, base, step, 1 - np.exp(-np.minimum(700.0, alpha * g / max(1e-6, mu))), mu, alpha, beta, ll, "hawkes"
 
     def hmm(f: pd.DataFrame) -> Iterator[tuple]:
         f = f.iloc[np.argsort([len(c) for c in f["counts"]], kind="stable")]  # chains of like length share their padding

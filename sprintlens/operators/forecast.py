@@ -17,26 +17,38 @@ DEFAULT_THROUGHPUT = tuple(float(x) for x in range(1, 11))
 
 
 def bootstrap(samples: tuple[float, ...], *key) -> Column:
-    """A draw from the samples."""
+    """A draw from the samples, of which there are a few; simulate takes tables of any length."""
     return F.element_at(F.array(*[F.lit(float(x)) for x in samples]), (F.floor(uniform(*key) * len(samples)) + 1).cast("int"))
 
 
+def _drawn(days: DataFrame, samples: tuple[float, ...] | DataFrame, *key) -> DataFrame:
+    """days with a bootstrap draw in ``daily``; samples may be a table with a column x.
+
+    A table is numbered in the order of x, and draws meet their numbers in a join."""
+    if not isinstance(samples, DataFrame):
+        return days.withColumn("daily", bootstrap(samples, *key))
+    n = samples.count()
+    if not n:
+        return days.withColumn("daily", bootstrap(DEFAULT_THROUGHPUT, *key))
+    numbered = samples.select((F.row_number().over(Window.orderBy("x")) - 1).cast("bigint").alias("k"), F.col("x").alias("daily"))
+    return days.withColumn("k", F.floor(uniform(*key) * n)).join(numbered, "k").drop("k")
+
+
 def lognormal(mu: Column, sigma: Column, *key) -> Column:
     return F.exp(mu + sigma * normal(*key))
 
 
-def simulate(items: DataFrame, calendar: DataFrame, samples: tuple[float, ...], n_sims: int, seed: int, effort: Column, by: list[str]) -> DataFrame:
+def simulate(items: DataFrame, calendar: DataFrame, samples: tuple[float, ...] | DataFrame, n_sims: int, seed: int, effort: Column, by: list[str]) -> DataFrame:
     """by, sim, total, done_day (null: not done) and remaining of each simulation.
 
     items: by, item_id, status, factor and what effort uses, ``sim`` included. calendar: by,
     day_index, is_working, cap. Draws don't depend on by beyond the entities' own keys."""
-    sims = items.sparkSession.range(n_sims).withColumnRenamed("id", "sim")
-    # n_sims is a parameter and the range the small side
-    open_items = items.filter("status <> 'done'").crossJoin(F.broadcast(sims))
+    sims = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_sims - 1).cast("bigint")))
+    open_items = items.filter("status <> 'done'").withColumn("sim", sims)
     total = open_items.groupBy(*by, "sim").agg(F.sum(F.round(effort * F.greatest(F.lit(0.0), F.col("factor")) * 10000).cast("bigint")).alias("total"))
-    days = calendar.filter("is_working AND cap > 0").crossJoin(F.broadcast(sims))
-    draw = F.least(bootstrap(samples, seed, "throughput", F.col("day_index"), F.col("sim")), F.col("cap"))
-    days = days.withColumn("daily", F.round(draw * 10000).cast("bigint"))
+    days = calendar.filter("is_working AND cap > 0").withColumn("sim", sims)
+    days = _drawn(days, samples, seed, "throughput", F.col("day_index"), F.col("sim"))
+    days = days.withColumn("daily", F.round(F.least("daily", "cap") * 10000).cast("bigint"))
     w = Window.partitionBy(*by, "sim").orderBy("day_index").rowsBetween(Window.unboundedPreceding, 0)
     cum = days.select(*by, "sim", "day_index", "daily", F.sum("daily").over(w).alias("cum"))
     j = total.join(cum, [*by, "sim"], "left")

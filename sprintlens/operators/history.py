@@ -42,13 +42,13 @@ def newest(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= n).drop("__k")
 
 
-def commit_pairs(commits: DataFrame) -> DataFrame:
-    """Each commit with its author's previous one, gap in minutes and the clipped label in hours."""
+def commit_pairs(commits: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each commit with its author's previous one, gap in minutes and the clipped label in hours; carry: its own columns to keep."""
     w = Window.partitionBy("author_id").orderBy("authored_at", "commit_id")
     at = minute(F.col("authored_at"))
-    df = commits.select("author_id", "commit_id", F.lag("commit_id").over(w).alias("parent_id"), F.lag(at).over(w).alias("parent_minute"), at.alias("child_minute"))
+    df = commits.select("author_id", "commit_id", F.lag("commit_id").over(w).alias("parent_id"), F.lag(at).over(w).alias("parent_minute"), at.alias("child_minute"), *carry)
     gap = F.col("child_minute") - F.col("parent_minute")
-    return df.filter("parent_id IS NOT NULL").select("author_id", "parent_id", "commit_id", "parent_minute", "child_minute", gap.alias("gap_minutes"), F.round(clipped(gap / 60), 6).alias("label_hours"))
+    return df.filter("parent_id IS NOT NULL").select("author_id", "parent_id", "commit_id", "parent_minute", "child_minute", gap.alias("gap_minutes"), F.round(clipped(gap / 60), 6).alias("label_hours"), *carry)
 
 
 def activity(commits: DataFrame, min_minutes: int = 50) -> DataFrame:

@@ -8,7 +8,7 @@ moment, availability reaches every sprint configured before.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,46 +16,85 @@ DEFAULT_CAPACITY = 8.0
 
 
 def configured(events: DataFrame) -> DataFrame:
-    """sprint_id, conf_seq and start_day of each sprint's last configuration."""
-    return events.filter("type = 'configured'").groupBy("sprint_id").agg(F.max("seq").alias("conf_seq"), F.max_by("day", "seq").alias("start_day"))
+    """sprint_id, conf_seq, start_day, and length_days and working_days if the events have them, of each sprint's last configuration."""
+    extra = [F.max_by(c, "seq").alias(c) for c in ("length_days", "working_days") if c in events.columns]
+    return events.filter("type = 'configured'").groupBy("sprint_id").agg(F.max("seq").alias("conf_seq"), F.max_by("day", "seq").alias("start_day"), *extra)
 
 
-def membership(events: DataFrame) -> DataFrame:
+#: Numbers of the events that stand for a state before the first event.
+_PRIOR_CONF, _PRIOR_ADD, _FIRST = -2, -1, -3
+
+
+def membership(events: DataFrame, prior: DataFrame | None = None, prior_conf: DataFrame | None = None) -> DataFrame:
     """sprint_id, item_id and start_seq of the items that sprints hold in the end.
 
-    One pass: removals and additions of an item meet in one aggregate by sprint and item."""
-    conf = configured(events)
-    own = events.filter("type IN ('added', 'removed')").join(conf, "sprint_id").filter("seq > conf_seq")
+    prior (sprint_id, item_id) and prior_conf (sprint_id) are the state before the events,
+    whose numbers are not negative; items held since then start at -1. One pass: removals
+    and additions of an item meet in one aggregate by sprint and item."""
+    conf = configured(events).select("sprint_id", "conf_seq")
+    moves = events.filter("type IN ('added', 'removed')").select("sprint_id", "item_id", "type", "seq")
+    if prior_conf is not None:
+        conf = conf.unionByName(prior_conf.select("sprint_id", F.lit(_PRIOR_CONF).cast("bigint").alias("conf_seq"))).groupBy("sprint_id").agg(F.max("conf_seq").alias("conf_seq"))
+    if prior is not None:
+        moves = moves.unionByName(prior.select("sprint_id", "item_id", F.lit("added").alias("type"), F.lit(_PRIOR_ADD).cast("bigint").alias("seq")))
+    own = moves.join(conf, "sprint_id").filter("seq > conf_seq")
     w = Window.partitionBy("sprint_id", "item_id")
     own = own.withColumn("drop_seq", F.max(F.when(F.col("type") == "removed", F.col("seq"))).over(w))
-    added = own.filter("type = 'added' AND seq > coalesce(drop_seq, -1)")
+    added = own.filter((F.col("type") == "added") & (F.col("seq") > F.coalesce("drop_seq", F.lit(_FIRST))))
     return added.groupBy("sprint_id", "item_id").agg(F.min("seq").alias("start_seq"))
 
 
-def item_state(events: DataFrame) -> DataFrame:
-    """sprint_id, item_id, status and factor of held items."""
-    held = membership(events)
+def item_state(events: DataFrame, prior: DataFrame | None = None, prior_conf: DataFrame | None = None) -> DataFrame:
+    """sprint_id, item_id, status and factor of held items; prior has these columns too."""
+    held = membership(events, prior, prior_conf)
+    if prior is None:
+        held = held.withColumns({"old_status": F.lit("todo"), "old_factor": F.lit(1.0)})
+    else:
+        old = prior.select("sprint_id", "item_id", F.lit(_PRIOR_ADD).cast("bigint").alias("start_seq"), F.col("status").alias("old_status"), F.col("factor").alias("old_factor"))
+        held = held.join(old, ["sprint_id", "item_id", "start_seq"], "left")
     changes = events.filter("type IN ('status', 'scope')").select(F.col("item_id").alias("about"), F.col("seq").alias("at"), "type", "new_status", "scope_factor")
     j = held.join(changes, (F.col("item_id") == F.col("about")) & (F.col("at") > F.col("start_seq")), "left")
     status = F.max_by(F.when(F.col("type") == "status", F.col("new_status")), F.when(F.col("type") == "status", F.col("at")))
     factor = F.max_by(F.when(F.col("type") == "scope", F.col("scope_factor")), F.when(F.col("type") == "scope", F.col("at")))
-    return j.groupBy("sprint_id", "item_id").agg(F.coalesce(status, F.lit("todo")).alias("status"), F.greatest(F.lit(0.0), F.coalesce(factor, F.lit(1.0))).alias("factor"))
+    old = F.coalesce(F.any_value("old_status"), F.lit("todo")), F.coalesce(F.any_value("old_factor"), F.lit(1.0))
+    return j.groupBy("sprint_id", "item_id").agg(F.coalesce(status, old[0]).alias("status"), F.greatest(F.lit(0.0), F.coalesce(factor, old[1])).alias("factor"))
 
 
-def capacity(events: DataFrame) -> DataFrame:
+def capacity(events: DataFrame, prior: DataFrame | None = None, prior_conf: DataFrame | None = None) -> DataFrame:
     """sprint_id, day and available hours after all deltas, clamped at 0 at each step.
 
-    The walk x = max(0, x + delta) from 8 has the closed form S + max(8, -min S), with S the
-    running sum of deltas; two windows over one sort."""
-    conf = configured(events)
+    The walk x = max(0, x + delta) from x0 has the closed form S + max(x0, -min S), with S the
+    running sum of deltas since the sprint was configured. Each day's deltas are summed once,
+    forwards and backwards; a sprint looks up the first one after its configuration, by a
+    window over its day. So the work is deltas plus results, never deltas times sprints.
+    prior (sprint_id, day, available) is where days of sprints in prior_conf start from, else 8."""
+    conf = configured(events).select("sprint_id", "conf_seq", F.lit(False).alias("kept"))
+    if prior_conf is not None:
+        old = prior_conf.select("sprint_id").join(conf, "sprint_id", "left_anti")
+        conf = conf.unionByName(old.select("sprint_id", F.lit(_PRIOR_CONF).cast("bigint").alias("conf_seq"), F.lit(True).alias("kept")))
     av = events.filter("type = 'availability'").select("seq", "day", "delta")
-    # every delta reaches every sprint configured before it; the engine broadcasts the smaller side only if it is small
-    j = av.join(conf.select("sprint_id", "conf_seq"), F.col("seq") > F.col("conf_seq"))
-    w = Window.partitionBy("sprint_id", "day").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    j = j.withColumn("total", F.sum("delta").over(w))
-    return j.groupBy("sprint_id", "day").agg(
-        F.round(F.max_by("total", "seq") + F.greatest(F.lit(DEFAULT_CAPACITY), -F.min("total")), 4).alias("available")
+    up = Window.partitionBy("day").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("day").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = av.withColumn("total", F.sum("delta").over(up))
+    sums = sums.select("day", "seq", F.struct((F.col("total") - F.col("delta")).alias("before"), F.min("total").over(down).alias("low"), F.first("total").over(down).alias("end")).alias("at"))
+    # the days of all deltas: one array, at most as long as the calendar
+    days = av.agg(F.collect_set("day").alias("days")).scalar()
+    asked = conf.select("sprint_id", "kept", F.explode(days).alias("day"), F.col("conf_seq").alias("seq"))
+    both = sums.select("day", "seq", "at", F.lit(None).cast(asked.schema["sprint_id"].dataType).alias("sprint_id"), F.lit(None).cast("boolean").alias("kept")).unionByName(
+        asked.select("day", "seq", F.lit(None).cast(sums.schema["at"].dataType).alias("at"), "sprint_id", "kept")
     )
+    later = Window.partitionBy("day").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    met = both.withColumn("met", F.last("at", ignorenulls=True).over(later)).filter("kept IS NOT NULL AND met IS NOT NULL")
+    start = F.lit(DEFAULT_CAPACITY)
+    if prior is not None:
+        met = met.join(prior.select("sprint_id", "day", "available"), ["sprint_id", "day"], "left")
+        start = F.when(F.col("kept"), F.coalesce("available", start)).otherwise(start)
+    total, low = F.col("met.end") - F.col("met.before"), F.col("met.low") - F.col("met.before")
+    new = met.select("sprint_id", "day", F.round(total + F.greatest(start, -low), 4).alias("available"))
+    if prior is None:
+        return new
+    still = prior.join(conf.filter("kept").select("sprint_id"), "sprint_id", "left_semi").join(new, ["sprint_id", "day"], "left_anti")
+    return new.unionByName(still.select("sprint_id", "day", "available"))
 
 
 def latest_effort(events: DataFrame) -> DataFrame:
@@ -65,19 +104,28 @@ def latest_effort(events: DataFrame) -> DataFrame:
 
 
 def calendar(conf: DataFrame, caps: DataFrame, length: int = 10, working: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
-    """sprint_id, day_index (from 1), day, is_working and cap: declared, else 8 on working days."""
-    days = conf.select("sprint_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.date_add("start_day", i))).alias("i", "day"))
-    days = days.select("sprint_id", (F.col("i") + 1).alias("day_index"), "day", F.weekday("day").isin(*working).alias("is_working"))
+    """sprint_id, day_index (from 1), day, is_working and cap: declared, else 8 on working days.
+
+    conf's length_days and working_days count where it has them and they aren't null."""
+    own_length = F.coalesce("length_days", F.lit(length)) if "length_days" in conf.columns else F.lit(length)
+    own_working = F.coalesce("working_days", F.array(*map(F.lit, working))) if "working_days" in conf.columns else F.array(*map(F.lit, working))
+    steps = F.when(own_length > 0, F.sequence(F.lit(0), own_length - 1))
+    days = conf.select("sprint_id", own_working.alias("working"), F.posexplode(F.transform(steps, lambda i: F.date_add("start_day", i))).alias("i", "day"))
+    days = days.select("sprint_id", (F.col("i") + 1).alias("day_index"), "day", F.array_contains("working", F.weekday("day")).alias("is_working"))
     j = days.join(caps, ["sprint_id", "day"], "left")
     cap = F.greatest(F.lit(0.0), F.coalesce("available", F.when(F.col("is_working"), F.lit(DEFAULT_CAPACITY)).otherwise(0.0)))
     return j.select("sprint_id", "day_index", "day", "is_working", cap.alias("cap"))
 
 
-def time_off(caps: DataFrame, days: list, delta: float) -> DataFrame:
-    """Declared capacities with delta added on the days, at least 0; undeclared days keep their default."""
-    hit = F.col("day").isin(*[F.lit(d).cast("date") for d in days])
+def time_off(caps: DataFrame, delta: float, hit: Column) -> DataFrame:
+    """Declared capacities with delta added on the days that hit holds for, at least 0; undeclared days keep their default."""
     return caps.withColumn("available", F.when(hit, F.greatest(F.lit(0.0), F.col("available") + delta)).otherwise(F.col("available")))
 
 
+def on_days(days: list) -> Column:
+    """The condition of time_off for a list of dates."""
+    return F.col("day").isin(*[F.lit(d).cast("date") for d in days])
+
+
 def scope_growth(items: DataFrame, factor: float) -> DataFrame:
     return items.withColumn("factor", F.when(F.col("status") != "done", F.col("factor") * factor).otherwise(F.col("factor")))

@@ -43,12 +43,9 @@ FROM gg JOIN ss USING (author_id) GROUP BY author_id, base, steps"""
 
 
 def q17(spark, sf):
-    m = _grid(spark, sf).withColumn("m", C.ekf_filter(F.col("counts"), HOUR))
-    x = m.select("author_id", "steps", F.try_element_at("m", F.lit(-1)).alias("last"), F.explode(F.transform("m", F.exp)).alias("v"))
-    base = x.groupBy("author_id", "steps", "last").agg(F.greatest(F.lit(1e-6), F.percentile("v", F.lit(0.2))).alias("base"), F.collect_list("v").alias("vs"))
-    p = F.transform("vs", lambda v: F.lit(1.0) - F.exp(-F.greatest(F.lit(0.0), v - F.col("base")) / F.col("base")))
-    total = F.aggregate(p, F.lit(0.0), lambda a, q: a + q)
-    return base.select("author_id", "steps", F.round("last", 6).alias("last_log_intensity"), F.round("base", 6).alias("baseline"), F.round(total / F.col("steps"), 6).alias("mean_prob"))
+    g = C.filtered(C.grids(T.commits(spark, sf), HOUR), HOUR)
+    total = F.aggregate("coding_prob", F.lit(0.0), lambda a, q: a + q)
+    return g.select("author_id", "steps", F.round("last", 6).alias("last_log_intensity"), F.round("baseline", 6).alias("baseline"), F.round(total / F.col("steps"), 6).alias("mean_prob"))
 
 
 Q17 = f"""
@@ -66,9 +63,8 @@ FROM k JOIN b USING (author_id) JOIN ss USING (author_id) WHERE i >= 0 GROUP BY
 
 
 def q18(spark, sf):
-    p = C.excitation(F.col("counts"), MU, ALPHA, BETA, HOUR)
-    g = _grid(spark, sf).withColumn("p", p)
-    return g.select("author_id", F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) / F.col("steps"), 6).alias("mean_prob"), F.round(F.array_max("p"), 6).alias("max_prob"))
+    g = C.excited(C.grids(T.commits(spark, sf), HOUR), MU, ALPHA, BETA, HOUR)
+    return g.select("author_id", F.round(F.aggregate("coding_prob", F.lit(0.0), lambda a, x: a + x) / F.col("steps"), 6).alias("mean_prob"), F.round(F.array_max("coding_prob"), 6).alias("max_prob"))
 
 
 Q18 = f"""
@@ -83,18 +79,14 @@ def _slices(spark, sf):
     """Pairs of authors with a curve; the curve of step i is (i mod 12) / 12 on 5-minute steps."""
     commits = T.commits(spark, sf)
     at = minute(F.col("authored_at"))
-    ends = commits.groupBy("author_id").agg(F.min(at).alias("base"), F.max(at).alias("last"), F.count_distinct(at).alias("n")).filter(F.col("n") >= 50)
-    length = (F.ceil(F.greatest(F.lit(1), F.col("last") - F.col("base")) / 5) + 1).cast("int")
-    j = H.commit_pairs(commits).join(ends, "author_id")
-    first, n = C.slice_bounds(F.col("parent_minute"), F.col("child_minute"), F.col("base"), 5, length)
-    j = j.withColumns({"first": first, "n": n})
-    part = F.when(F.col("n") <= 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.col("first"), F.col("first") + F.greatest(F.lit(1), F.col("n")) - 1), lambda i: (i % 12) / F.lit(12.0)))
-    return j.withColumn("part", part)
+    ends = commits.groupBy("author_id").agg(F.min(at).alias("base_minute"), F.max(at).alias("last"), F.count_distinct(at).alias("n")).filter(F.col("n") >= 50)
+    steps = F.ceil(F.greatest(F.lit(1), F.col("last") - F.col("base_minute")) / 5).cast("int")
+    curves = ends.select("author_id", "base_minute", F.transform(F.sequence(F.lit(0), steps), lambda i: (i % 12) / F.lit(12.0)).alias("coding_prob"))
+    return C.pair_slices(H.commit_pairs(commits), C.with_sums(curves), 5)
 
 
 def q19(spark, sf):
-    mean, var = C.expected_minutes(F.col("part"), F.lit(0), F.col("n"), 5)
-    return _slices(spark, sf).select("commit_id", "first", "n", F.round(mean, 4).alias("mean_minutes"), F.round(var, 4).alias("var_minutes"))
+    return _slices(spark, sf).select("commit_id", "first", "n", F.round("mean", 4).alias("mean_minutes"), F.round("var", 4).alias("var_minutes"))
 
 
 SLICES = f"""
@@ -122,7 +114,7 @@ DRAWS = 3
 
 def q20(spark, sf):
     j = C.spread(_slices(spark, sf), "commit_id").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
-    minutes = C.sample_minutes(F.col("part"), F.lit(0), F.col("n"), 5, F.col("gap_minutes").cast("double"), 1, "label", F.col("commit_id"), F.col("sample"))
+    minutes = C.sample_minutes(5, F.col("gap_minutes").cast("double"), 1, "label", F.col("commit_id"), F.col("sample"))
     return j.withColumn("x", minutes).select("commit_id", "sample", F.round("x", 4).alias("minutes"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("x") / 60)), 6).alias("y_hours"))
 
 
@@ -196,7 +188,7 @@ WHERE isodow(t) <= 5 AND hour(t) >= 9 AND hour(t) < 17 AND {uniform_sql("'7|synt
 
 
 def q46(spark, sf):
-    return C.fitted(_grid(spark, sf), "hawkes", HOUR, iterations=60)
+    return C.fitted(C.grids(T.commits(spark, sf)), "hawkes")
 
 
 def q47(spark, sf):

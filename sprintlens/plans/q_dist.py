@@ -145,17 +145,18 @@ def q49(spark, sf):
 
 
 def q54(spark, sf):
-    """A draw from each event's quantile distribution and the lognormal with its p50 and p90."""
-    d = T.table(spark, sf, "events").filter("event_id % 17 <> 0").select("event_id", _quantiles().alias("d"))
+    """A draw from each event's quantile distribution, null where it isn't one, and the lognormal with its p50 and p90."""
+    d = T.table(spark, sf, "events").select("event_id", _quantiles().alias("d"))
     ln = D.lognormal_from_quantiles(F.get("d", F.lit(0))["v"], F.get("d", F.lit(2))["v"])
-    return d.select("event_id", F.round(D.quantile_sample(F.col("d"), 5, F.col("event_id")), 7).alias("draw"), F.round(ln["mu"], 6).alias("mu"), F.round(ln["sigma"], 6).alias("sigma"))
+    draw = F.when(D.quantile_valid(F.col("d")), D.quantile_sample(F.col("d"), 5, F.col("event_id")))
+    return d.select("event_id", F.round(draw, 7).alias("draw"), F.round(ln["mu"], 6).alias("mu"), F.round(ln["sigma"], 6).alias("sigma"))
 
 
 _U = uniform_sql("'5|' || event_id")
 Q54 = f"""
-WITH d AS (SELECT event_id, {_U} AS u, value / 100 AS a, value / 100 * 1.5::DOUBLE AS b, value / 100 * 2 AS c FROM events WHERE event_id % 17 <> 0)
-SELECT event_id, round(CASE WHEN u < 0.5 THEN a WHEN u < 0.8 THEN a + (b - a) * (u - 0.5::DOUBLE) / (0.8::DOUBLE - 0.5::DOUBLE) WHEN u < 0.9 THEN b + (c - b) * (u - 0.8::DOUBLE) / (0.9::DOUBLE - 0.8::DOUBLE) ELSE c END, 7) AS draw,
-  CASE WHEN a > 0 THEN round(ln(a), 6) END AS mu, CASE WHEN a > 0 THEN round(ln(c / a) / 1.2815515655446004::DOUBLE, 6) END AS sigma FROM d"""
+WITH d AS (SELECT event_id, {_U} AS u, value / 100 AS a, value / 100 * 1.5::DOUBLE AS b, CASE WHEN event_id % 17 = 0 THEN value / 100 * 0.5::DOUBLE ELSE value / 100 * 2 END AS c FROM events)
+SELECT event_id, CASE WHEN b >= a AND c >= b THEN round(CASE WHEN u < 0.5 THEN a WHEN u < 0.8 THEN a + (b - a) * (u - 0.5::DOUBLE) / (0.8::DOUBLE - 0.5::DOUBLE) WHEN u < 0.9 THEN b + (c - b) * (u - 0.8::DOUBLE) / (0.9::DOUBLE - 0.8::DOUBLE) ELSE c END, 7) END AS draw,
+  CASE WHEN a > 0 AND c >= a THEN round(ln(a), 6) END AS mu, CASE WHEN a > 0 AND c >= a THEN round(ln(c / a) / 1.2815515655446004::DOUBLE, 6) END AS sigma FROM d"""
 
 
 def q55(spark, sf):
@@ -167,7 +168,41 @@ def q55(spark, sf):
 _N, _C = normal_sql("'6|' || vec_id"), uniform_sql("'6|' || vec_id || '|c'")
 Q55 = f"WITH {MIX} SELECT vec_id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN w <= {_C} * (w + (1 - w)) THEN m2 + s2 * {_N} ELSE m1 + s1 * {_N} END)), 6) AS draw FROM m"
 
+def q56(spark, sf):
+    """Median and 90 % quantile of each vector's truncated mixture."""
+    return _mixtures(spark, sf).select("vec_id", *[F.round(D.mixture_quantile(q)(F.col("m")), 5).alias(n) for q, n in ((0.5, "p50"), (0.9, "p90"))])
+
+
+def _q56_sql() -> str:
+    def half(k: str) -> str:
+        return f"CASE WHEN {_raw(f'((a{k} + b{k}) / 2)')} < c0 + q{k} * greatest(1e-12, c1 - c0) THEN (a{k} + b{k}) / 2 ELSE a{k} END, CASE WHEN {_raw(f'((a{k} + b{k}) / 2)')} < c0 + q{k} * greatest(1e-12, c1 - c0) THEN b{k} ELSE (a{k} + b{k}) / 2 END"
+
+    return f"""
+WITH RECURSIVE {MIX},
+s AS (SELECT 0 AS i, *, {_raw('0')} AS c0, {_raw('1')} AS c1, 0.5::DOUBLE AS q1, 0.9::DOUBLE AS q2, 0.0::DOUBLE AS a1, 1.0::DOUBLE AS b1, 0.0::DOUBLE AS a2, 1.0::DOUBLE AS b2 FROM m
+  UNION ALL SELECT i + 1, vec_id, y, w, m1, m2, s1, s2, c0, c1, q1, q2, {half('1')}, {half('2')} FROM s WHERE i < 80)
+SELECT vec_id, round((a1 + b1) / 2, 5) AS p50, round((a2 + b2) / 2, 5) AS p90 FROM s WHERE i = 80"""
+
+
+def q57(spark, sf):
+    """Effort payloads of both kinds as JSON and back, drawn from and checked."""
+    m = _mixtures(spark, sf).select(F.col("vec_id").alias("id"), D.encode_mixture(F.col("m")).alias("body"))
+    q = T.table(spark, sf, "events").select((-F.col("event_id") - 1).alias("id"), D.encode_quantiles(_quantiles()).alias("body"))
+    p = F.col("p")
+    out = m.unionByName(q).select("id", D.decoded(F.col("body")).alias("p"))
+    valid = D.payload_valid(p)
+    return out.select("id", p["type"].alias("type"), valid.alias("valid"), F.round(F.when(valid, D.payload_sample(p, 8, F.col("id"))), 5).alias("draw"))
+
+
+_N8, _C8, _U8 = normal_sql("'8|' || vec_id"), uniform_sql("'8|' || vec_id || '|c'"), uniform_sql("'8|' || (-event_id - 1)")
+Q57 = f"""
+WITH {MIX},
+d AS (SELECT event_id, {_U8} AS u, value / 100 AS a, value / 100 * 1.5::DOUBLE AS b, CASE WHEN event_id % 17 = 0 THEN value / 100 * 0.5::DOUBLE ELSE value / 100 * 2 END AS c FROM events)
+SELECT vec_id AS id, 'gmm' AS type, true AS valid, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN w <= {_C8} * (w + (1 - w)) THEN m2 + s2 * {_N8} ELSE m1 + s1 * {_N8} END)), 5) AS draw FROM m
+UNION ALL SELECT -event_id - 1, 'quantiles', b >= a AND c >= b, CASE WHEN b >= a AND c >= b THEN round(CASE WHEN u < 0.5 THEN a WHEN u < 0.8 THEN a + (b - a) * (u - 0.5::DOUBLE) / (0.8::DOUBLE - 0.5::DOUBLE) WHEN u < 0.9 THEN b + (c - b) * (u - 0.8::DOUBLE) / (0.9::DOUBLE - 0.8::DOUBLE) ELSE c END, 5) END FROM d"""
+
 QUERIES = {
+    "q56_mixture_quantiles": (q56, _q56_sql()), "q57_payload_round_trip": (q57, Q57),
     "q54_quantile_samples": (q54, Q54), "q55_mixture_samples": (q55, Q55),
     "q25_quantile_dist": (q25, Q25), "q26_clipped_mixture_mean": (q26, Q26), "q27_truncated_cdf": (q27, Q27), "q28_lognormal_fit": (q28, Q28), "q29_story_points": (q29, Q29),
     "q31_pinball_loss": (q31, Q31), "q32_mdn_nll": (q32, Q32), "q33_quantile_head": (q33, Q33), "q48_mdn_train": (q48, None), "q49_multitask_train": (q49, None),

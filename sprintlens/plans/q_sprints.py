@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dist as D
 from ..functions.rng import normal_sql, uniform_sql
 from ..operators import forecast as M
 from ..operators import sprints as P
@@ -53,11 +54,8 @@ def _payloads(spark, sf):
     return T.table(spark, sf, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 53).alias("item_id"), F.when(F.col("event_id") % 13 == 0, "{broken").otherwise(body).alias("body"))
 
 
-PAYLOAD = "struct<type:string,quantiles:map<string,double>,weights:array<double>,means:array<double>,stds:array<double>,low:double,high:double>"
-
-
 def _decoded(spark, sf):
-    return _payloads(spark, sf).withColumn("payload", F.from_json("body", PAYLOAD))
+    return _payloads(spark, sf).withColumn("payload", D.decoded(F.col("body")))
 
 
 def q30(spark, sf):
@@ -92,7 +90,7 @@ def _scenarios(spark, sf):
     """Items and calendar of baseline, scope growth by 10 % and time off on each sprint's declared even days."""
     ev = _ev(spark, sf)
     items, conf, caps = P.item_state(ev), P.configured(ev), P.capacity(ev)
-    off = caps.withColumn("available", F.when(F.dayofmonth("day") % 2 == 0, F.greatest(F.lit(0.0), F.col("available") - 4)).otherwise(F.col("available")))
+    off = P.time_off(caps, -4.0, F.dayofmonth("day") % 2 == 0)
     base, grown = P.calendar(conf, caps, LENGTH), P.scope_growth(items, 1.1)
     named = lambda df, s: df.withColumn("scenario", F.lit(s))
     all_items = named(items, "baseline").unionByName(named(grown, "scope_growth")).unionByName(named(items, "time_off"))

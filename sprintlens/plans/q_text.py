@@ -73,21 +73,37 @@ Q24 = f"""
 WITH p AS (SELECT DISTINCT p_brand AS brand, {_P} AS path FROM part)
 SELECT brand, count(*) AS n_paths, md5(array_to_string(list_sort(list(DISTINCT translate(regexp_replace(path, '\\.[^./]*$', ''), '/', '.'))), ',')) AS modules_md5 FROM p GROUP BY brand"""
 
-#: Two versions of a module for each document: statements follow from its first words.
-_WORD = r"[A-Za-z]+"
+#: What parts a text into statements.
+_STOP = "[.\\n]+"
 
 
 def q45(spark, sf):
-    words = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD), F.lit(0)), 1, 24)
-    safe = F.transform(words, lambda w: F.concat(F.lit("v_"), F.lower(w)))
-    before = F.concat(F.lit("import os\ndef f(x):\n"), F.array_join(F.transform(safe, lambda w: F.concat(F.lit("    "), w, F.lit(" = g(x)\n"))), ""), F.lit("    return x\n"))
-    after = F.concat(F.lit("import os\nfrom a.b import c\ndef f(x):\n"), F.array_join(F.transform(safe, lambda w: F.concat(F.lit("    if x:\n        "), w, F.lit(" = h(x)\n"))), ""), F.lit("    return x\n"))
+    """Two versions of a module for each document, a statement a sentence of the whole text; its node counts and graph deltas."""
+    parts = F.filter(F.split(F.coalesce("text", F.lit("")), _STOP), lambda x: x.rlike("[A-Za-z]"))
+    names = F.transform(parts, lambda x: F.concat(F.lit("v_"), F.regexp_replace(F.lower(x), "[^a-z0-9]+", "_")))
+    before = F.concat(F.lit("import os\ndef f(x):\n"), F.array_join(F.transform(names, lambda w: F.concat(F.lit("    "), w, F.lit(" = g(x)\n"))), ""), F.lit("    return x\n"))
+    after = F.concat(F.lit("import os\nfrom a.b import c\ndef f(x):\n"), F.array_join(F.transform(names, lambda w: F.concat(F.lit("    if x:\n        "), w, F.lit(" = h(x)\n"))), ""), F.lit("    return x\n"))
     rows = T.spread_table(spark, sf, "documents", "doc_id").select(
         F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 == 0, "java").otherwise("python").alias("language"), F.create_map(F.lit("m.py"), before).alias("before_blobs"), F.create_map(F.lit("m.py"), after).alias("after_blobs")
     )
-    return X.code_features(rows)
+    f = X.code_features(rows)
+    counts = F.array_join(F.transform(F.slice("tree", 1, 3 * len(X.NODE_TYPES)), lambda x: x.cast("int").cast("string")), ",")
+    return f.select(F.col("id").alias("doc_id"), counts.alias("node_counts"), F.array_join(F.transform("graph", lambda x: x.cast("int").cast("string")), ",").alias("graph_delta"))
+
+
+def _q45_sql() -> str:
+    n = "n"
+    before = {"FunctionDef": "1", "Call": n, "Assign": n, "Return": "1", "Import": "1"}
+    after = {**before, "If": n, "ImportFrom": "1"}
+    change = {"If": n, "ImportFrom": "1"}
+    counts = " || ',' || ".join(f"{side.get(t, '0')}" for side in (before, after, change) for t in X.NODE_TYPES)
+    calls = "CASE WHEN n > 0 THEN '2,1,2,1,1,1,1,1' ELSE '0,0,0,0,0,0,0,0' END"
+    return f"""
+WITH d AS (SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.\n]+'), lambda x: regexp_matches(x, '[A-Za-z]'))) AS n FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '{",".join(["0"] * 3 * len(X.NODE_TYPES))}' ELSE {counts} END AS node_counts,
+  CASE WHEN doc_id % 7 = 0 THEN '{",".join(["0"] * 16)}' ELSE '2,1,3,2,1,0,1,0,' || {calls} END AS graph_delta FROM d"""
 
 
 QUERIES = {
-    "q13_tokenise": (q13, Q13), "q14_vocabulary": (q14, Q14), "q15_token_vectors": (q15, Q15), "q23_graph_delta": (q23, Q23), "q24_path_union": (q24, Q24), "q45_ast_features": (q45, None),
+    "q13_tokenise": (q13, Q13), "q14_vocabulary": (q14, Q14), "q15_token_vectors": (q15, Q15), "q23_graph_delta": (q23, Q23), "q24_path_union": (q24, Q24), "q45_ast_features": (q45, _q45_sql()),
 }
