@@ -1,4 +1,4 @@
-"""python -m sprintlens demo SF_DIR | init-config PATH | pipeline --config PATH [--stages A,B]"""
+"""python -m sprintlens demo | init-config PATH | pipeline --config PATH [--stages A,B]"""
 
 from __future__ import annotations
 
@@ -10,8 +10,11 @@ from pyspark.sql import SparkSession
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="sprintlens", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
-    demo = sub.add_parser("demo", help="forecast the sprints of the benchmark tables")
-    demo.add_argument("sf_dir")
+    demo = sub.add_parser("demo", help="train on synthetic history and forecast a sprint")
+    demo.add_argument("--seed", type=int, default=7)
+    demo.add_argument("--work-inference", choices=("hmm", "hawkes", "state_space"), default="hmm")
+    demo.add_argument("--predictor", choices=("mdn", "quantile", "multitask"), default="mdn")
+    demo.add_argument("--no-syntax", action="store_true", help="token features only")
     init = sub.add_parser("init-config", help="write the default settings; refuses to overwrite")
     init.add_argument("path")
     pipe = sub.add_parser("pipeline", help="run stages")
@@ -25,9 +28,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = SparkSession.builder.appName("sprintlens").getOrCreate()
     if a.command == "demo":
-        from .plans.q_sprints import q40
+        from .plans.demo import run
 
-        q40(spark, a.sf_dir).orderBy("scenario", "sprint_id").show(50, truncate=False)
+        for row in run(spark, a.seed, a.work_inference, a.predictor, not a.no_syntax).toJSON().collect():
+            print(row)
     else:
         from .plans.config import Config
         from .plans.stages import Pipeline

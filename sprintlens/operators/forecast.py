@@ -7,11 +7,16 @@ the running sum of its daily throughput reaches its total effort.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import dist as D
 from ..functions.rng import normal, uniform
+from . import sprints as P
 
 DEFAULT_THROUGHPUT = tuple(float(x) for x in range(1, 11))
 
@@ -67,3 +72,36 @@ def summarise(sims: DataFrame, by: list[str], length: int) -> DataFrame:
         *by, "p_end", *[f"p_day_{d}" for d in range(1, length + 1)],
         F.round(F.col("q")[0], 6).alias("remaining_p50"), F.round(F.col("q")[1], 6).alias("remaining_p90"), F.floor(F.col("dq")[0]).cast("int").alias("day_p50"), F.floor(F.col("dq")[1]).cast("int").alias("day_p90"),
     )
+
+
+#: What a scenario does to items and to capacities, by its name.
+Scenario = tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]
+BASELINE: dict[str, Scenario] = {"baseline": (lambda items: items, lambda caps: caps)}
+
+
+def sprint_forecasts(items: DataFrame, conf: DataFrame, caps: DataFrame, samples: tuple[float, ...] | DataFrame, n_sims: int, seed: int, scenarios: dict[str, Scenario] | None = None, length: int = 10) -> DataFrame:
+    """The forecast of each sprint in each scenario; scenarios that are given take the baseline's place.
+
+    Items carry ``effort``, a payload of quantiles or of a mixture; others are drawn from a
+    lognormal(0, 1). Sprints have their own length and working days. p_by_day has a value a
+    day of the sprint. A sprint without open items is complete on day 1."""
+    scenarios = scenarios or BASELINE
+    own = F.coalesce("length_days", F.lit(length)) if "length_days" in conf.columns else F.lit(length)
+    longest = conf.agg(F.max(own)).first()[0] or length
+
+    def union(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [p.withColumn("scenario", F.lit(n)) for n, p in zip(scenarios, parts, strict=True)])
+
+    all_items = union([f(items) for f, _ in scenarios.values()])
+    days = union([P.calendar(conf, g(caps), length) for _, g in scenarios.values()])
+    effort, key = F.col("effort"), (seed, "effort", F.col("item_id"), F.col("sim"))
+    draw = F.when(F.coalesce(D.payload_valid(effort), F.lit(False)), D.payload_sample(effort, *key)).otherwise(lognormal(F.lit(0.0), F.lit(1.0), *key))
+    by = ["scenario", "sprint_id"]
+    found = summarise(simulate(all_items, days, samples, n_sims, seed, F.greatest(F.lit(0.0), draw), by), by, longest)
+    all_days = F.array(*[F.coalesce(f"p_day_{k}", F.lit(1.0)) for k in range(1, longest + 1)])
+    sprints = union([conf.select("sprint_id", own.alias("own"))] * len(scenarios))
+    done = F.col("p_end").isNull()
+    return sprints.join(found, by, "left").select(
+        *by, F.coalesce("p_end", F.lit(1.0)).alias("p_end"), F.slice(all_days, 1, F.greatest(F.lit(0), F.col("own"))).alias("p_by_day"), F.coalesce("remaining_p50", F.lit(0.0)).alias("remaining_p50"), F.coalesce("remaining_p90", F.lit(0.0)).alias("remaining_p90"),
+        F.when(done, 1).otherwise(F.col("day_p50")).alias("day_p50"), F.when(done, 1).otherwise(F.col("day_p90")).alias("day_p90"),
+    )

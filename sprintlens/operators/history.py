@@ -72,11 +72,12 @@ def pr_metrics_by_sha(prs: DataFrame, pr_commits: DataFrame, reviews: DataFrame)
     return joined.groupBy("sha").agg(best.alias("p")).select("sha", "p.*")
 
 
-def assembled_prs(prs: DataFrame, pr_commits: DataFrame, reviews: DataFrame) -> DataFrame:
-    """prs (number, created_at, ..) that have a creation time, with review_rounds and commits.
+def assembled_prs(prs: DataFrame, pr_commits: DataFrame, reviews: DataFrame, keys: list[str] = ("number",)) -> DataFrame:
+    """prs (keys, created_at, ..) that have a creation time, with review_rounds and commits.
 
     Both sides are aggregated to a row a PR before they are joined."""
-    counts = reviews.groupBy("number").agg(F.count(F.lit(1)).alias("review_rounds"))
-    lists = pr_commits.distinct().groupBy("number").agg(F.array_sort(F.collect_list("sha")).alias("commits"))
-    df = prs.filter("created_at IS NOT NULL").join(counts, "number", "left").join(lists, "number", "left")
+    keys = list(keys)
+    counts = reviews.groupBy(*keys).agg(F.count(F.lit(1)).alias("review_rounds"))
+    lists = pr_commits.select(*keys, "sha").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("sha")).alias("commits"))
+    df = prs.filter("created_at IS NOT NULL").join(counts, keys, "left").join(lists, keys, "left")
     return df.withColumns({"review_rounds": F.coalesce("review_rounds", F.lit(0)), "commits": F.coalesce("commits", F.array().cast(lists.schema["commits"].dataType))})

@@ -7,7 +7,7 @@ weights and runs in tasks over batches.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -83,20 +83,43 @@ class Model:
         return Model(d["heads"], {k: np.array(v) for k, v in d["weights"].items()})
 
 
-def fit(x: np.ndarray, ys: dict[str, np.ndarray], heads: dict[str, str], epochs: int = 60, batch: int = 512, rate: float = 1e-3, seed: int = 0) -> Model:
-    """Adam over minibatches with a clipped norm; the losses of all heads are summed."""
+@dataclass
+class Checkpoint:
+    """Where a fit's state is kept between epochs: two functions, and after how many epochs it is written."""
+
+    load: Callable[[], str | None]
+    save: Callable[[str], None]
+    every: int = 5
+
+
+def _resumed(text: str | None, shapes: dict[str, tuple]) -> dict | None:
+    """A kept state, if there is one of these shapes."""
+    if not text:
+        return None
+    d = json.loads(text)
+    arrays = {part: {k: np.array(v) for k, v in d[part].items()} for part in ("w", "m", "v")}
+    return {**d, **arrays} if {k: a.shape for k, a in arrays["w"].items()} == shapes else None
+
+
+def fit(x: np.ndarray, ys: dict[str, np.ndarray], heads: dict[str, str], epochs: int = 60, batch: int = 512, rate: float = 1e-3, seed: int = 0, checkpoint: Checkpoint | None = None) -> Model:
+    """Adam over minibatches with a clipped norm; the losses of all heads are summed.
+
+    An epoch's order depends on seed and epoch alone, so a fit that is resumed from a
+    checkpoint ends where one without a break would."""
     r = np.random.default_rng(seed)
     sizes = (x.shape[1], *LAYERS)
     w = {}
     for k in range(len(LAYERS)):
-        w[f"w{k}"], w[f"b{k}"] = r.standard_normal((sizes[k], sizes[k + 1])) * np.sqrt(2 / sizes[k]), np.zeros(sizes[k + 1])
+        w[f"w{k}"], w[f"b{k}"] = r.standard_normal((sizes[k], sizes[k + 1])) * np.sqrt(2 / max(1, sizes[k])), np.zeros(sizes[k + 1])
     for t, kind in heads.items():
         n = 3 * COMPONENTS if kind == "mdn" else len(QUANTILES)
         w[f"w_{t}"], w[f"b_{t}"] = r.standard_normal((sizes[-1], n)) * np.sqrt(1 / sizes[-1]), r.standard_normal(n) * 0.1
-    model = Model(heads, w)
-    m, v, step = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0
-    for _ in range(epochs):
-        order, total = r.permutation(len(x)), 0.0
+    m, v, step, losses = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0, []
+    if checkpoint and (old := _resumed(checkpoint.load(), {k: a.shape for k, a in w.items()})):
+        w, m, v, step, losses = (old[k] for k in ("w", "m", "v", "step", "losses"))
+    model = Model(heads, w, losses)
+    for epoch in range(len(losses), epochs):
+        order, total = np.random.default_rng((seed, epoch)).permutation(len(x)), 0.0
         for i in range(0, len(x), batch):
             at = order[i : i + batch]
             hs = model.forward(x[at])
@@ -116,7 +139,10 @@ def fit(x: np.ndarray, ys: dict[str, np.ndarray], heads: dict[str, str], epochs:
                 a = a * min(1.0, 5 / (norm + 1e-12))
                 m[k], v[k] = 0.9 * m[k] + 0.1 * a, 0.999 * v[k] + 0.001 * a * a
                 w[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        model.losses.append(total / max(1, len(x)))
+        losses.append(total / max(1, len(x)))
+        if checkpoint and (len(losses) % checkpoint.every == 0 or len(losses) == epochs):
+            state = {part: {k: a.tolist() for k, a in arrays.items()} for part, arrays in (("w", w), ("m", m), ("v", v))}
+            checkpoint.save(json.dumps({**state, "step": step, "losses": losses}))
     return model
 
 

@@ -7,6 +7,7 @@ import hashlib
 import json
 import tomllib
 from dataclasses import dataclass, field
+from fnmatch import fnmatch
 from pathlib import Path
 from typing import get_type_hints
 
@@ -19,11 +20,51 @@ class Patterns:
 
 @dataclass(frozen=True)
 class Repos:
+    """Repositories by local globs, or (source "remote") by owner/name, cloned below the outputs."""
+
     source: str = "local"
     include_paths: list[str] = field(default_factory=list)
     exclude_paths: list[str] = field(default_factory=list)
+    more_include_paths: list[str] = field(default_factory=list)
+    include_remote: list[str] = field(default_factory=list)
+    exclude_remote: list[str] = field(default_factory=list)
+    url_template: str = "https://github.com/{owner}/{repo}.git"
+    mirror: bool = False
+    prune: bool = True
     max_commits_per_repo: int = 20_000
 
+    def paths(self) -> list[str]:
+        """Both lists of globs in order; repeats go where both have any."""
+        both = [*self.include_paths, *self.more_include_paths]
+        return list(dict.fromkeys(both)) if self.include_paths and self.more_include_paths else both
+
+    def remotes(self) -> list[str]:
+        """The owner/name entries that no exclude matches; malformed ones are skipped."""
+        return [r for r in self.include_remote if r.count("/") == 1 and not any(fnmatch(r, x) for x in self.exclude_remote)]
+
+
+@dataclass(frozen=True)
+class Hosting:
+    """Where pull requests are read from; the token is in the named environment variable."""
+
+    enabled: bool = False
+    base_url: str = "https://api.github.com"
+    token_env: str = "HOSTING_TOKEN"
+    pulls_since: str = ""
+    reviews: bool = True
+
+
+@dataclass(frozen=True)
+class Tracker:
+    """Where the estimates of the current milestone's issues are read from."""
+
+    enabled: bool = False
+    base_url: str = ""
+    token_env: str = "TRACKER_TOKEN"
+    title_prefix: str = ""
+    sprint_days: int = 10
+    working_days: list[int] = field(default_factory=lambda: [0, 1, 2, 3, 4])
+
 
 @dataclass(frozen=True)
 class Filters:
@@ -58,6 +99,7 @@ class Training:
     rng_seed: int = 123
     predictor_kind: str = "mdn"
     epochs: int = 60
+    save_every_epochs: int = 5
     pull_requests_path: str = ""
 
 
@@ -76,6 +118,8 @@ class Forecasting:
 class Config:
     repos: Repos = Repos()
     filters: Filters = Filters()
+    hosting: Hosting = Hosting()
+    tracker: Tracker = Tracker()
     outputs: Outputs = Outputs()
     curves: Curves = Curves()
     features: Features = Features()

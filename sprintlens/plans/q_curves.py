@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.rng import normal_sql, uniform, uniform_sql
+from ..functions.rng import normal_sql, uniform_sql
 from ..functions.scalars import minute
 from ..operators import curves as C
+from ..operators import features as X
 from ..operators import history as H
+from ..sources import synthetic as SYN
 from ..sources import tables as T
 
 HOUR = 60
@@ -167,18 +168,12 @@ k AS (SELECT author_id, -1::BIGINT AS i, 0.0::DOUBLE AS f0, 0.0::DOUBLE AS f1, 0
     FROM k JOIN gg ON gg.author_id = k.author_id AND gg.i = k.i + 1))
 SELECT author_id, round(arg_max(ll, i), 5) AS log_likelihood, round(arg_max(f0, i), 6) AS coding_now FROM k WHERE i >= 0 GROUP BY author_id"""
 
-AUTHORS, DAYS, CHANCE = 10, 35, 0.06
+AUTHORS, DAYS, CHANCE = SYN.AUTHORS, SYN.DAYS, SYN.CHANCE
 
 
 def q43(spark, sf):
     """Synthetic commits: a coin a 5-minute step in office hours; a PR for 8 commits of an author."""
-    steps = spark.range(AUTHORS * DAYS * 288).select(
-        F.floor(F.col("id") / (DAYS * 288)).alias("author_id"), F.timestamp_add("MINUTE", (F.col("id") % (DAYS * 288) * 5).cast("int"), F.expr("timestamp_ntz'2025-01-06 00:00:00'")).alias("at"), "id"
-    )
-    office = (F.weekday("at") < 5) & (F.hour("at") >= 9) & (F.hour("at") < 17)
-    hit = steps.filter(office & (uniform(7, "synthetic", F.col("id")) < CHANCE))
-    w = Window.partitionBy("author_id").orderBy("at")
-    return hit.select("author_id", F.date_format("at", "yyyy-MM-dd HH:mm").alias("authored_at"), F.floor((F.row_number().over(w) - 1) / 8).cast("bigint").alias("pr"))
+    return SYN.commits(spark).select("author_id", F.date_format("authored_at", "yyyy-MM-dd HH:mm").alias("authored_at"), "pr")
 
 
 Q43 = f"""
@@ -187,6 +182,13 @@ SELECT author_id, strftime(t, '%Y-%m-%d %H:%M') AS authored_at, (row_number() OV
 WHERE isodow(t) <= 5 AND hour(t) >= 9 AND hour(t) < 17 AND {uniform_sql("'7|synthetic|' || id")} < {CHANCE}::DOUBLE"""
 
 
+def q60(spark, sf):
+    """The synthetic commits' edits: their diffs and what they do to the module's syntax tree."""
+    rows = SYN.changes(SYN.commits(spark))
+    f = X.code_features(rows.select("id", F.lit("python").alias("language"), "before_blobs", "after_blobs"))
+    return rows.select("id", "author_id", "diff_text").join(f, "id")
+
+
 def q46(spark, sf):
     return C.fitted(C.grids(T.commits(spark, sf)), "hawkes")
 
@@ -197,5 +199,5 @@ def q47(spark, sf):
 
 QUERIES = {
     "q16_time_histogram": (q16, Q16), "q17_ekf_curve": (q17, Q17), "q18_hawkes_excitation": (q18, Q18), "q19_expected_minutes": (q19, Q19), "q20_label_samples": (q20, Q20),
-    "q21_time_features": (q21, Q21), "q22_hmm_forward": (q22, Q22), "q43_synthetic_commits": (q43, Q43), "q46_hawkes_fit": (q46, None), "q47_hmm_fit": (q47, None),
+    "q21_time_features": (q21, Q21), "q22_hmm_forward": (q22, Q22), "q43_synthetic_commits": (q43, Q43), "q60_synthetic_changes": (q60, None), "q46_hawkes_fit": (q46, None), "q47_hmm_fit": (q47, None),
 }

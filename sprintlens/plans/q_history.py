@@ -218,11 +218,17 @@ Q44 = "SELECT DISTINCT lang FROM documents"
 
 
 def q51(spark, sf):
-    """Chronological scan: position of each commit in its kind by time."""
+    """Chronological scan: position of each commit in its kind by time.
+
+    A kind can hold any share of the commits, so places are two-level: counts by day, then rows of a day."""
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy("kind").orderBy("authored_at", "commit_id")
-    return T.commits(spark, sf).select("kind", "commit_id", F.row_number().over(w).cast("bigint").alias("place"), (F.floor((F.row_number().over(w) - 1) / 8)).cast("bigint").alias("chunk"))
+    rows = T.commits(spark, sf).select("kind", "commit_id", "authored_at", F.to_date("authored_at").alias("day"))
+    days = rows.groupBy("kind", "day").agg(F.count(F.lit(1)).alias("n"))
+    ahead = days.select("kind", "day", F.coalesce(F.sum("n").over(Window.partitionBy("kind").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy("kind", "day").orderBy("authored_at", "commit_id"))
+    placed = rows.withColumn("inside", inside).join(ahead, ["kind", "day"]).withColumn("place", (F.col("ahead") + F.col("inside")).cast("bigint"))
+    return placed.select("kind", "commit_id", "place", F.floor((F.col("place") - 1) / 8).cast("bigint").alias("chunk"))
 
 
 Q51 = """
@@ -251,7 +257,21 @@ Q53 = f"""
 WITH p AS (SELECT p_partkey, {PATH} AS path FROM part), l AS (SELECT *, CASE WHEN ends_with(path, '.py') THEN 'python' WHEN ends_with(path, '.java') THEN 'java' WHEN ends_with(path, '.js') OR ends_with(path, '.ts') THEN 'javascript' ELSE 'unknown' END AS language FROM p)
 SELECT p_partkey, path, language, translate(path, '/#: ', '____') AS file, sha1(path) AS hash FROM l WHERE NOT (path GLOB '*Brand#1[0-9]/*' OR path GLOB '*.md') AND language IN ('python', 'java')"""
 
+def q59(spark, sf):
+    """Two lists of paths of each brand, merged in order."""
+    late = F.col("p_partkey") % 7 >= 4
+    g = T.paths(spark, sf).groupBy("brand").agg(F.array_sort(F.collect_set(F.when(~late, F.col("path")))).alias("a"), F.array_sort(F.collect_set(F.when(late, F.col("path")))).alias("b"))
+    m = S.merged_paths(F.col("a"), F.col("b"))
+    return g.select("brand", F.size(m).cast("bigint").alias("n_paths"), F.md5(F.array_join(m, ",")).alias("paths_md5"))
+
+
+Q59 = f"""
+WITH g AS (SELECT p_brand AS brand, coalesce(list_sort(list(DISTINCT {PATH}) FILTER (p_partkey % 7 < 4)), []) AS a, coalesce(list_sort(list(DISTINCT {PATH}) FILTER (p_partkey % 7 >= 4)), []) AS b FROM part GROUP BY p_brand),
+m AS (SELECT brand, list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))) AS m FROM g)
+SELECT brand, len(m)::BIGINT AS n_paths, md5(array_to_string(m, ',')) AS paths_md5 FROM m"""
+
 QUERIES = {
+    "q59_merged_paths": (q59, Q59),
     "q52_pr_assembly": (q52, Q52), "q53_path_filters": (q53, Q53),
     "q01_commit_pairs": (q01, Q01), "q02_author_activity": (q02, Q02), "q03_author_filter": (q03, Q03), "q04_language_inference": (q04, Q04),
     "q05_last_write_wins": (q05, Q05), "q06_insert_ignore": (q06, Q06), "q07_commit_cap": (q07, Q07), "q08_review_counts": (q08, Q08),

@@ -8,13 +8,21 @@ from ..streaming.bus import SprintStore
 from .q_sprints import EVENTS
 
 
-def q50(spark, sf):
-    """All events streamed through the store; its state in the end."""
+def _streamed(spark, sf):
+    """All events streamed through a store."""
     schema = T.table(spark, sf, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     store = SprintStore(spark, shared_dir(spark, "bus"))
     store.run(T.as_domain_events(raw))
-    return store.current()
+    return store
+
+
+def q50(spark, sf):
+    return _streamed(spark, sf).current()
+
+
+def q58(spark, sf):
+    return _streamed(spark, sf).state("caps")
 
 
-QUERIES = {"q50_bus_stream": (q50, f"WITH {EVENTS} SELECT * FROM item")}
+QUERIES = {"q50_bus_stream": (q50, f"WITH {EVENTS} SELECT * FROM item"), "q58_bus_capacity": (q58, f"WITH {EVENTS} SELECT * FROM cap")}

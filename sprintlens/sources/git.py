@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import subprocess
+import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from fnmatch import fnmatch
@@ -21,13 +22,17 @@ class GitError(RuntimeError):
     pass
 
 
-def git(*args: str, cwd: str | None = None) -> str:
-    done = subprocess.run(["git", *args], cwd=cwd, capture_output=True, text=True, errors="replace")
+def git_bytes(*args: str, cwd: str | None = None, stdin: str = "") -> bytes:
+    done = subprocess.run(["git", *args], cwd=cwd, capture_output=True, input=stdin.encode())
     if done.returncode:
-        raise GitError(f"git {args[0]}: {done.stderr.strip()[:500]}")
+        raise GitError(f"git {args[0]}: {done.stderr.decode(errors='replace').strip()[:500]}")
     return done.stdout
 
 
+def git(*args: str, cwd: str | None = None, stdin: str = "") -> str:
+    return git_bytes(*args, cwd=cwd, stdin=stdin).decode(errors="replace")
+
+
 def discover_repos(include: list[str], exclude: list[str] = ()) -> list[str]:
     """Sorted folders that match a glob, hold .git and match no exclude."""
     found = {os.path.abspath(p) for g in include for p in glob.glob(os.path.expanduser(g), recursive=True) if os.path.exists(os.path.join(p, ".git"))}
@@ -87,22 +92,54 @@ def mined_commits(spark: SparkSession, repos: list[str], max_commits: int | None
     return (r.option("max_commits", str(max_commits)) if max_commits else r).load()
 
 
-def with_changes(commits: DataFrame, blobs: bool = False) -> DataFrame:
-    """commits with diff_text and, for Python files, before_blobs and after_blobs; failures leave empty texts."""
-
-    def text(*args: str, cwd: str) -> str:
-        try:
-            return git(*args, cwd=cwd)
-        except GitError:
-            return ""
+def diffs(repo: str, shas: list[str]) -> dict[str, str]:
+    """The diff of each commit, in one pass over the repository; those that can't be read are left out."""
+    mark = f"commit-{uuid.uuid4().hex} "
+    try:
+        text = git("show", "--stdin", "--unified=0", f"--format={mark}%H", cwd=repo, stdin="\n".join(shas))
+    except GitError:
+        if len(shas) == 1:
+            return {}
+        half = len(shas) // 2  # one bad commit ends the pass
+        return diffs(repo, shas[:half]) | diffs(repo, shas[half:])
+    out = {}
+    for part in text.split(mark)[1:]:
+        sha, _, body = part.partition("\n")
+        out[sha] = body.lstrip("\n")
+    return out
+
+
+def blobs(repo: str, names: list[str]) -> dict[str, str]:
+    """The texts of objects (commit:path), in one process; missing ones are empty."""
+    raw, at, out = git_bytes("cat-file", "--batch", cwd=repo, stdin="\n".join(names) + "\n"), 0, {}
+    for name in names:
+        end = raw.index(b"\n", at)
+        head = raw[at:end].rsplit(b" ", 2)
+        if len(head) == 3 and head[1] == b"blob":
+            size = int(head[2])
+            out[name], at = raw[end + 1 : end + 1 + size].decode(errors="replace"), end + size + 2
+        else:
+            skip = int(head[2]) + 1 if len(head) == 3 and head[2].isdigit() else 0  # a folder, or no such object
+            out[name], at = "", end + 1 + skip
+    return out
+
+
+def with_changes(commits: DataFrame, want_blobs: bool = False) -> DataFrame:
+    """commits with diff_text and, for Python files, before_blobs and after_blobs; what can't be read is an empty text.
+
+    Two processes a repository and batch of rows, however many commits and files there are."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for repo, sha, parent, files in zip(f["repo_path"], f["commit_id"], f["parent_id"], f["changed_files"], strict=True):
-                own = [x for x in files if x.endswith(".py")] if blobs else []
-                before = {x: text("show", f"{parent or sha + '^'}:{x}", cwd=repo) for x in own}
-                rows.append((repo, sha, text("show", "--unified=0", "--format=", sha, cwd=repo), before, {x: text("show", f"{sha}:{x}", cwd=repo) for x in own}))
+            for repo, own in f.groupby("repo_path", sort=False):
+                texts = diffs(repo, own["commit_id"].tolist())
+                files = [[x for x in names if x.endswith(".py") and "\n" not in x] if want_blobs else [] for names in own["changed_files"]]
+                sides = [(parent or f"{sha}^", sha) for sha, parent in zip(own["commit_id"], own["parent_id"], strict=True)]
+                asked = list(dict.fromkeys(f"{side}:{x}" for pair, names in zip(sides, files, strict=True) for side in pair for x in names))
+                found = blobs(repo, asked) if asked else {}
+                for (before, after), sha, names in zip(sides, own["commit_id"], files, strict=True):
+                    rows.append((repo, sha, texts.get(sha, ""), {x: found[f"{before}:{x}"] for x in names}, {x: found[f"{after}:{x}"] for x in names}))
             yield pd.DataFrame(rows, columns=["repo_path", "commit_id", "diff_text", "before_blobs", "after_blobs"])
 
     extra = commits.select("repo_path", "commit_id", "parent_id", "changed_files").mapInPandas(

@@ -12,6 +12,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -66,45 +67,79 @@ def get(transport: Transport, url: str, params: dict, tries: int = 5, sleep: Cal
     return body
 
 
-def paginate(transport: Transport, url: str, params: dict | None = None, per_page: int = 100, max_pages: int = 50) -> Iterator[dict]:
-    """Rows of the pages until an empty or a non-list one."""
+def paginate(transport: Transport, url: str, params: dict | None = None, per_page: int = 100, max_pages: int = 10_000, stop: Callable[[dict], bool] | None = None) -> Iterator[dict]:
+    """Rows of the pages until an empty or a non-list one, or a row that stop holds for.
+
+    Pages beyond those allowed are an error, never left out."""
     for page in range(1, max_pages + 1):
         body = get(transport, url, {**(params or {}), "per_page": per_page, "page": page})
         if not isinstance(body, list) or not body:
             return
-        yield from body
+        for row in body:
+            if stop and stop(row):
+                return
+            yield row
+    raise ApiError(f"{url}: more than {max_pages} pages")
+
+
+def _moment(text: str) -> datetime:
+    at = datetime.fromisoformat(text)
+    return at if at.tzinfo else at.replace(tzinfo=timezone.utc)
 
 
-def resources(requests: DataFrame, transport: Transport, per_page: int = 100, max_pages: int = 50) -> DataFrame:
-    """key and JSON text of every row of each request (key, url, params as a map)."""
+def resources(requests: DataFrame, transport: Transport, per_page: int = 100, max_pages: int = 10_000, newest_first: str = "", since: str = "") -> DataFrame:
+    """key and JSON text of every row of each request (key, url, params as a map).
+
+    Where rows come newest first by a time field, reading ends with the first before since."""
+
+    def old(row: dict) -> bool:
+        return bool(row.get(newest_first)) and _moment(row[newest_first]) < _moment(since)
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for key, url, params in zip(f["key"], f["url"], f["params"], strict=True):
-                rows = [json.dumps(r) for r in paginate(transport, url, dict(params or {}), per_page, max_pages)]
+                rows = [json.dumps(r) for r in paginate(transport, url, dict(params or {}), per_page, max_pages, old if newest_first and since else None)]
                 yield pd.DataFrame({"key": [key] * len(rows), "body": rows})
 
     return requests.select("key", "url", "params").mapInPandas(task, "key string, body string")
 
 
-PULL = "number int, id bigint, state string, title string, user struct<login:string>, created_at string, updated_at string, closed_at string, merged_at string"
+def documents(requests: DataFrame, transport: Transport, lenient: bool = False) -> DataFrame:
+    """key and JSON text of the one object behind each request (key, url); where lenient, an error gives an empty one."""
+
+    def one(url: str) -> str:
+        try:
+            return json.dumps(get(transport, url, {}))
+        except (ApiError, OSError):
+            if lenient:
+                return "{}"
+            raise
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"key": f["key"], "body": [one(u) for u in f["url"]]})
+
+    return requests.select("key", "url").mapInPandas(task, "key string, body string")
 
 
 def pull_list(spark: SparkSession, repos: list[str], transport: Transport, since: str = "", base: str = "") -> DataFrame:
-    """repo and fields of PRs updated at or after since."""
+    """repo, number and updated_at of PRs updated at or after since; the list is read newest first and no further."""
     rows = spark.createDataFrame([(r, f"{base}/repos/{r}/pulls", {"state": "all", "sort": "updated", "direction": "desc"}) for r in repos], "key string, url string, params map<string,string>")
-    df = resources(rows, transport).select(F.col("key").alias("repo"), F.from_json("body", PULL).alias("p")).select("repo", "p.*")
-    return df.filter(F.col("updated_at") >= since) if since else df
+    df = resources(rows, transport, newest_first="updated_at", since=since)
+    return df.select(F.col("key").alias("repo"), F.from_json("body", "number int, updated_at string").alias("p")).select("repo", "p.*")
 
 
 def current_milestones(spark: SparkSession, repos: list[str], transport: Transport, prefix: str = "", days: int = 10, base: str = "") -> DataFrame:
-    """Each repository's open milestone with the prefix that is due first, and its dates."""
-    rows = spark.createDataFrame([(r, f"{base}/repos/{r}/milestones", {"state": "open"}) for r in repos], "key string, url string, params map<string,string>")
-    m = resources(rows, transport, max_pages=5).select(F.col("key").alias("repo"), F.from_json("body", "number int, title string, due_on string, state string").alias("m")).select("repo", "m.*")
-    m = m.filter((F.coalesce("state", F.lit("open")) == "open") & F.startswith("title", F.lit(prefix)))
-    top = m.groupBy("repo").agg(F.min_by(F.struct("number", "title", "due_on"), F.struct(F.col("due_on").isNull(), "due_on", "number")).alias("m"))
+    """Each repository's open milestone with the prefix that is due first, its dates and its JSON."""
+    rows = spark.createDataFrame([(r, f"{base}/repos/{r}/milestones", {"state": "open", "sort": "due_on", "direction": "asc"}) for r in repos], "key string, url string, params map<string,string>")
+    m = resources(rows, transport).select(F.col("key").alias("repo"), "body", F.from_json("body", "number int, title string, due_on string, state string").alias("m")).select("repo", "body", "m.*")
+    m = m.filter((F.coalesce("state", F.lit("open")) == "open") & F.startswith(F.coalesce("title", F.lit("")), F.lit(prefix)))
+    top = m.groupBy("repo").agg(F.min_by(F.struct("number", "title", "due_on", "body"), F.struct(F.col("due_on").isNull(), "due_on", "number")).alias("m"))
     end = F.coalesce(F.to_date("m.due_on"), F.current_date())
-    return top.select("repo", F.concat("repo", F.lit("#milestone-"), "m.number").alias("sprint_id"), "m.title", F.date_sub(end, days).alias("start_date"), end.alias("end_date"), F.lit(days + 1).alias("length_days"))
+    return top.select(
+        "repo", F.concat("repo", F.lit("#milestone-"), "m.number").alias("sprint_id"), F.col("m.number").alias("milestone_id"), F.coalesce("m.title", F.concat(F.lit("Milestone "), "m.number")).alias("title"),
+        F.date_sub(end, days).alias("start_date"), end.alias("end_date"), F.lit(days + 1).alias("length_days"), F.col("m.body").alias("raw_json"),
+    )
 
 
 def repo_id(transport: Transport, repo: str, base: str = "") -> int:
@@ -115,7 +150,7 @@ def repo_id(transport: Transport, repo: str, base: str = "") -> int:
     return int(body["id"])
 
 
-def issue_estimates(spark: SparkSession, issues: DataFrame, estimates: DataFrame) -> DataFrame:
-    """issues (repo, issue_number) with estimate_value, null where there is none."""
+def issue_estimates(issues: DataFrame, estimates: DataFrame) -> DataFrame:
+    """issues (repo, issue_number, ..) with estimate_value, null where there is none."""
     best = estimates.groupBy("repo", "issue_number").agg(F.max("estimate_value").alias("estimate_value"))
     return issues.join(best, ["repo", "issue_number"], "left")

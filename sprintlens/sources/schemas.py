@@ -8,7 +8,7 @@ PULL_REQUESTS = (
 SPRINT_INPUTS = (
     "sprint struct<sprint_id:string,start_date:date,length_days:int,working_days:array<int>>,"
     " capacity array<struct<person_id:string,day:date,delta_available_sch:double>>,"
-    " work_items array<struct<work_item_id:string,status:string,scope_factor:double,effort:struct<type:string,quantiles:map<string,double>>,model_version:string>>"
+    " work_items array<struct<work_item_id:string,status:string,scope_factor:double,story_points:double,effort:struct<type:string,quantiles:map<string,double>,weights:array<double>,means:array<double>,stds:array<double>,low:double,high:double>,model_version:string>>"
 )
 SPRINT_HISTORY = "sprint_id string, done_effort_hours double, workdays double"
 THROUGHPUT = "throughput_samples_sch_per_day array<double>"

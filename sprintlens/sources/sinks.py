@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import history as H
+from .storage import exists, names
 
 
 class KeyedTable:
@@ -17,13 +18,7 @@ class KeyedTable:
 
     def version(self) -> int:
         """The last whole version; 0 if there is none."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        whole = [int(n[1:]) for n in names if n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        whole = [int(n[1:]) for n in names(self.spark, self.path) if n[1:].isdigit() and exists(self.spark, f"{self.path}/{n}/_SUCCESS")]
         return max(whole, default=0)
 
     def read(self) -> DataFrame:

@@ -1,63 +1,137 @@
-"""The event bus as a stream: micro-batches extend a log, touched sprints are recomputed.
+"""The event bus as a stream: each micro-batch turns the last state into the next one.
 
-The batch state functions of operators.sprints do the work, so stream and batch can't
-drift apart. ``fold`` is the same state kept operator-side, for streams too long for a log.
+State is the sprints' configurations, their items, capacities and the latest efforts. A
+batch reads the state before it and its own events, never the log, by the same functions of
+operators.sprints that define state over a whole log, so stream and batch can't drift
+apart. Touched sprints are forecast anew if asked for, and subscribers get their events.
+``fold`` is the item state kept operator-side.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import dist as D
+from ..operators import forecast as M
 from ..operators import sprints as P
-
-EVENT = "seq bigint, type string, sprint_id bigint, item_id bigint, day date, delta double, new_status string, scope_factor double"
-TYPES = ("configured", "added", "removed", "status", "scope", "availability")
-STATE = "sprint_id bigint, item_id bigint, status string, factor double"
+from ..sources.storage import delete, exists, names
+
+log = logging.getLogger(__name__)
+
+#: An event's columns and their types.
+FIELDS = {
+    "seq": "bigint", "type": "string", "sprint_id": "bigint", "item_id": "bigint", "day": "date", "delta": "double", "new_status": "string", "scope_factor": "double",
+    "length_days": "int", "working_days": "array<int>", "payload": "string", "model_version": "string",
+}
+EVENT = ", ".join(f"{n} {t}" for n, t in FIELDS.items())
+#: Types that change the state, and two that are recorded only.
+TYPES = ("configured", "added", "removed", "status", "scope", "availability", "effort", "invalidated", "forecast")
+STATE = {
+    "conf": "sprint_id bigint, start_day date, length_days int, working_days array<int>",
+    "items": "sprint_id bigint, item_id bigint, status string, factor double",
+    "caps": "sprint_id bigint, day date, available double",
+    "effort": f"item_id bigint, payload {D.PAYLOAD}, seq bigint",
+}
+Handler = Callable[[DataFrame, int], None]
 
 
 class SprintStore:
-    """Log and states under a root folder: log/<batch>, state/<batch> and touched/<batch>."""
+    """Under a root folder: log/<batch>, rejects/<batch>, touched/<batch>, forecasts/<batch> and the last states, state/<batch>/<table>.
+
+    Events are numbered from 0 in the order in which they count, across batches. Each write
+    overwrites its own batch's folder and reads the state of an earlier batch, so a batch
+    that is repeated changes nothing. With ``forecasts`` (samples, n_sims, seed), sprints
+    that a batch touches are forecast anew, and each forecast is an event of type forecast."""
+
+    def __init__(self, spark: SparkSession, root: str, forecasts: dict | None = None):
+        self.spark, self.root, self.forecasts = spark, root.rstrip("/"), forecasts
+        self.handlers: list[tuple[str | None, Handler]] = []
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def subscribe(self, kind: str | None, handler: Handler) -> None:
+        """Calls handler(events, batch) with each batch's events of a type, or with all of them. What it raises is logged."""
+        self.handlers.append((kind, handler))
 
-    def log(self) -> DataFrame:
-        return self.spark.read.schema(EVENT).parquet(f"{self.root}/log/*")
+    def _versions(self) -> list[int]:
+        return sorted(int(n) for n in names(self.spark, f"{self.root}/state") if n.isdigit() and exists(self.spark, f"{self.root}/state/{n}/effort/_SUCCESS"))
+
+    def state(self, table: str, before: int | None = None) -> DataFrame:
+        """A state table after the last batch, or after the last one before a batch."""
+        known = [v for v in self._versions() if before is None or v < before]
+        return self.spark.read.schema(STATE[table]).parquet(f"{self.root}/state/{known[-1]}/{table}") if known else self.spark.createDataFrame([], STATE[table])
+
+    def current(self) -> DataFrame:
+        """The items of each sprint."""
+        return self.state("items")
+
+    def _kept(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.root}/{path}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{path}")
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Appends the batch, rejects unknown types, and writes the state of sprints it can have changed.
-
-        Each write overwrites its own batch's folder, so a repeated batch changes nothing."""
-        spark = batch.sparkSession
-        good = F.col("type").isin(*TYPES)
-        batch.filter(~F.coalesce(good, F.lit(False))).write.mode("overwrite").parquet(f"{self.root}/rejects/{batch_id}")
-        fields = [f.split(" ")[0] for f in EVENT.split(", ")]
-        batch.filter(good).select(*fields).write.mode("overwrite").parquet(f"{self.root}/log/{batch_id}")
-        new = spark.read.schema(EVENT).parquet(f"{self.root}/log/{batch_id}")
-        log = self.log()
+        """Records the batch, rejects unknown types, and writes the next state and what follows from it."""
+        good = F.coalesce(F.col("type").isin(*TYPES), F.lit(False))
+        self._kept(batch.filter(~good), f"rejects/{batch_id}")
+        columns = [(F.col(n) if n in batch.columns else F.lit(None)).cast(t).alias(n) for n, t in FIELDS.items()]
+        new = self._kept(batch.filter(good).select(*columns), f"log/{batch_id}")
+        conf, items, caps, effort = (self.state(t, batch_id) for t in STATE)
+
+        at = f"state/{batch_id}"
+        latest = P.configured(new).select("sprint_id", "start_day", "length_days", "working_days")
+        next_conf = self._kept(latest.unionByName(conf.join(latest, "sprint_id", "left_anti")), f"{at}/conf")
+        next_items = self._kept(P.item_state(new, items, conf), f"{at}/items")
+        next_caps = self._kept(P.capacity(new, caps, conf), f"{at}/caps")
+        told = new.filter("type = 'effort'").withColumn("payload", D.decoded(F.col("payload"))).select("seq", "item_id", "payload")
+        known = effort.unionByName(told.filter(D.payload_valid(F.col("payload"))).select("item_id", "payload", "seq"))
+        next_effort = self._kept(P.latest_effort(known).select("item_id", "payload", "seq"), f"{at}/effort")
+
         own = new.filter("type IN ('configured', 'added', 'removed')").select("sprint_id")
-        held = P.membership(log).join(new.filter("type IN ('status', 'scope')").select("item_id").distinct(), "item_id", "left_semi").select("sprint_id")
-        own.union(held).distinct().withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{self.root}/touched/{batch_id}")
-        touched = spark.read.schema("sprint_id bigint, batch int").parquet(f"{self.root}/touched/{batch_id}")
-        state = P.item_state(log).join(touched, "sprint_id")
-        state.write.mode("overwrite").parquet(f"{self.root}/state/{batch_id}")
+        about = new.filter("type IN ('status', 'scope', 'effort')").select("item_id").distinct()
+        held = items.unionByName(next_items).join(about, "item_id", "left_semi").select("sprint_id")
+        everyone = next_conf.select("sprint_id")
+        if new.filter("type = 'availability'").isEmpty():
+            everyone = everyone.limit(0)
+        touched = self._kept(own.union(held).union(everyone).distinct().join(next_conf, "sprint_id", "left_semi"), f"touched/{batch_id}")
+        if self.forecasts is not None:
+            some = {n: df.join(touched, "sprint_id", "left_semi") for n, df in (("items", next_items), ("conf", next_conf), ("caps", next_caps))}
+            with_effort = some["items"].join(next_effort.select("item_id", F.col("payload").alias("effort")), "item_id", "left")
+            f = self._kept(M.sprint_forecasts(with_effort, some["conf"], some["caps"], **self.forecasts), f"forecasts/{batch_id}")
+            # what was computed is an event too
+            computed = f.select(F.lit("forecast").alias("type"), "sprint_id", F.to_json(F.struct(*f.columns)).alias("payload"))
+            new = new.unionByName(computed, allowMissingColumns=True)
+        for kind, handler in self.handlers:
+            try:
+                handler(new if kind is None else new.filter(F.col("type") == kind), batch_id)
+            except Exception:
+                log.exception("a subscriber of %s failed in batch %s", kind, batch_id)
+        for old in self._versions():
+            if old < batch_id - 1:  # the one before stays, should this batch be repeated
+                delete(self.spark, f"{self.root}/state/{old}")
 
     def run(self, events: DataFrame, **trigger) -> None:
         """Feeds a streaming frame through, until it ends if the trigger says availableNow."""
         q = events.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", f"{self.root}/offsets").trigger(**(trigger or {"availableNow": True})).start()
         q.awaitTermination()
 
-    def current(self) -> DataFrame:
-        """The items of each sprint by the last batch that touched it."""
-        last = self.spark.read.schema("sprint_id bigint, batch int").parquet(f"{self.root}/touched/*").groupBy("sprint_id").agg(F.max("batch").alias("batch"))
-        state = self.spark.read.schema(STATE + ", batch int").parquet(f"{self.root}/state/*")
-        return state.join(last, ["sprint_id", "batch"], "left_semi").drop("batch")
+    def publish(self, events: DataFrame) -> None:
+        """Takes in a frame of events at once, as the batch after the last one."""
+        self.on_batch(events, max(self._versions(), default=-1) + 1)
+
+    def computed(self) -> DataFrame | None:
+        """Each sprint's last forecasts; None if there are none yet."""
+        own = sorted(int(n) for n in names(self.spark, f"{self.root}/forecasts") if n.isdigit())
+        if not own:
+            return None
+        df = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.root}/forecasts/{k}").withColumn("batch", F.lit(k)) for k in own])
+        last = df.groupBy("sprint_id").agg(F.max("batch").alias("batch"))
+        return df.join(last, ["sprint_id", "batch"], "left_semi").drop("batch")
 
 
 def step(state: dict, e: dict) -> None:

@@ -1,10 +1,12 @@
 """The engine's operators against oracles, folds, closed forms and fixtures."""
 
+import datetime as dt
 import json
 import math
 import os
 import random
 import subprocess
+import time
 
 import duckdb
 import numpy as np
@@ -20,12 +22,14 @@ from sprintlens.operators import forecast as M
 from sprintlens.operators import history as H
 from sprintlens.operators import models as N
 from sprintlens.operators import sprints as P
-from sprintlens.plans import catalogue, config, stages
-from sprintlens.sources import files, git, rest
+from sprintlens.plans import catalogue, config, demo, stages
+from sprintlens.sources import files, git, ingest, rest, storage, synthetic
 from sprintlens.streaming import bus
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"q45_ast_features", "q46_hawkes_fit", "q47_hmm_fit", "q48_mdn_train", "q49_multitask_train"}
+FITTED = {"q46_hawkes_fit", "q47_hmm_fit", "q48_mdn_train", "q49_multitask_train", "q60_synthetic_changes"}
+#: The events' columns that these tests fill.
+EVENT = "seq bigint, type string, sprint_id bigint, item_id bigint, day date, delta double, new_status string, scope_factor double"
 
 
 @pytest.fixture(scope="session")
@@ -52,7 +56,7 @@ def test_oracle(spark, duck, sf, name):
     assert sorted(repr([_plain(r[c]) for c in cols]) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(SLOW))
+@pytest.mark.parametrize("name", sorted(FITTED))
 def test_fitted_queries_run(spark, sf, name):
     assert catalogue.queries()[name](spark, sf).count() > 0
 
@@ -82,7 +86,7 @@ def test_fold_equals_sets(spark):
         for e in rows:
             bus.step(state, e)
         want = {(int(s), int(i)): tuple(v) for s, items in state.items() for i, v in items.items()}
-        df = spark.createDataFrame([Row(**r) for r in rows], bus.EVENT)
+        df = spark.createDataFrame([Row(**r) for r in rows], EVENT)
         assert {(r.sprint_id, r.item_id): (r.status, r.factor) for r in P.item_state(df).collect()} == want
 
 
@@ -90,28 +94,32 @@ def test_stream_in_several_batches(spark, tmp_path):
     rows, state = _events(random.Random(8), 120), {}
     src = tmp_path / "src"
     for k in range(0, 120, 40):
-        part = spark.createDataFrame([Row(**r) for r in rows[k : k + 40]], bus.EVENT).coalesce(1)
+        part = spark.createDataFrame([Row(**r) for r in rows[k : k + 40]], EVENT).coalesce(1)
         part.write.mode("append").parquet(str(src))
         for f in src.glob("part-*.parquet"):
             if f.name.startswith("part-"):
                 f.rename(src / f"{k:04d}-{f.name[5:]}")
-    bad = spark.createDataFrame([Row(seq=999, type="nonsense", sprint_id=0, item_id=0, day=None, delta=0.0, new_status="", scope_factor=0.0)], bus.EVENT).coalesce(1)
+    bad = spark.createDataFrame([Row(seq=999, type="nonsense", sprint_id=0, item_id=0, day=None, delta=0.0, new_status="", scope_factor=0.0)], EVENT).coalesce(1)
     bad.write.mode("append").parquet(str(src))
     store = bus.SprintStore(spark, str(tmp_path / "store"))
-    store.run(spark.readStream.schema(bus.EVENT).option("maxFilesPerTrigger", 1).parquet(str(src)))
+    store.run(spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(src)))
     for e in rows:
         bus.step(state, e)
     want = {(int(s), int(i)): tuple(v) for s, items in state.items() for i, v in items.items()}
     assert {(r.sprint_id, r.item_id): (r.status, r.factor) for r in store.current().collect()} == want
     assert spark.read.parquet(str(tmp_path / "store" / "rejects" / "*")).count() == 1
+    assert len(storage.names(spark, str(tmp_path / "store" / "state"))) <= 2  # older states go
+    store.on_batch(spark.read.schema(EVENT).parquet(str(src)).filter("seq >= 80"), 2)  # a batch that is repeated
+    last = sorted(n for n in storage.names(spark, str(tmp_path / "store" / "state")))[-1]
+    assert last == "3"
 
 
 def test_stateful_fold(spark, tmp_path):
     rows, state = _events(random.Random(9), 80), {}
     for e in rows:
         bus.step(state, e)
-    spark.createDataFrame([Row(tenant="t", **r) for r in rows], "tenant string, " + bus.EVENT).write.parquet(str(tmp_path / "src"))
-    raw = spark.readStream.schema("tenant string, " + bus.EVENT).parquet(str(tmp_path / "src"))
+    spark.createDataFrame([Row(tenant="t", **r) for r in rows], "tenant string, " + EVENT).write.parquet(str(tmp_path / "src"))
+    raw = spark.readStream.schema("tenant string, " + EVENT).parquet(str(tmp_path / "src"))
     q = bus.fold(raw).writeStream.outputMode("update").format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     last = spark.table("folded").orderBy(F.desc("last_seq")).first()
@@ -180,7 +188,7 @@ def test_fits():
     more = C.hmm_forward(y[None], np.full((1, 300), up), rates[1], np.array([0.4]), np.array([300]))[0]
     assert float(more[0] - ll[0]) / 1e-5 == pytest.approx(g, rel=1e-2)
     times = np.sort(np.concatenate([t + r.exponential(3, 8) for t in np.arange(0, 1000, 100.0)]))
-    mu, alpha, beta, ll = C.hawkes_fit(times, 1000.0)
+    mu, alpha, beta, ll = (v[0] for v in C.hawkes_fit([times], [1000.0]))
     plain = len(times) * math.log(len(times) / 1000) - len(times)
     assert ll > plain and mu > 0 and 0 < alpha / beta < 1
 
@@ -241,9 +249,14 @@ def test_rest_pages_limits_and_milestones(spark):
     assert rest.get(lambda u, p: answers.pop(0), "u", {}, sleep=waits.append) == [1] and waits == [2.0]
     with pytest.raises(rest.ApiError):
         rest.get(lambda u, p: (500, {}, ""), "u", {})
-    pages = rest.Fixtures({"/repos/a/b/pulls": [{"number": k, "updated_at": f"2024-01-{k:02d}"} for k in range(1, 8)], "/repos/a/b/milestones": [{"number": 2, "title": "S2", "due_on": "2024-03-01T00:00:00Z"}, {"number": 1, "title": "S1", "due_on": "2024-02-01T00:00:00Z"}]})
+    pages = rest.Fixtures({"/repos/a/b/pulls": [{"number": k, "updated_at": f"2024-01-{k:02d}T00:00:00Z"} for k in range(7, 0, -1)], "/repos/a/b/milestones": [{"number": 2, "title": "S2", "due_on": "2024-03-01T00:00:00Z"}, {"number": 1, "title": "S1", "due_on": "2024-02-01T00:00:00Z"}]})
     assert len(list(rest.paginate(pages, "/repos/a/b/pulls", per_page=3))) == 7
-    assert rest.pull_list(spark, ["a/b"], pages, since="2024-01-05").count() == 3
+    with pytest.raises(rest.ApiError):  # rows beyond the allowed pages are never left out in silence
+        list(rest.paginate(pages, "/repos/a/b/pulls", per_page=3, max_pages=2))
+    assert sorted(r.number for r in rest.pull_list(spark, ["a/b"], pages, since="2024-01-05T02:00:00+02:00").collect()) == [5, 6, 7]
+    asked = []
+    list(rest.paginate(lambda u, p: (asked.append(p["page"]), pages(u, p))[1], "/repos/a/b/pulls", per_page=2, stop=lambda r: r["number"] < 5))
+    assert asked == [1, 2]  # a descending scan ends early
     m = rest.current_milestones(spark, ["a/b"], pages, "S").first()
     assert (m.sprint_id, str(m.start_date), m.length_days) == ("a/b#milestone-1", "2024-01-22", 11)
 
@@ -253,10 +266,15 @@ def test_files(spark, tmp_path):
     prs = files.pull_requests(spark, str(tmp_path / "prs.json"))
     assert [(r.pr_id, r.review_rounds) for r in prs.collect()] == [("1", 0)]
     (tmp_path / "h.json").write_text(json.dumps([{"sprint_id": "a", "done_effort_hours": 10, "workdays": 0}, {"sprint_id": "b", "done_effort_hours": 10, "workdays": 5}]))
-    assert files.throughput_samples(spark, str(tmp_path / "h.json")) == M.DEFAULT_THROUGHPUT
+    samples = lambda *a: sorted(r.x for r in files.throughput_samples(spark, *a).collect())
+    assert samples(str(tmp_path / "h.json")) == list(M.DEFAULT_THROUGHPUT) == samples()
+    (tmp_path / "h.json").write_text(json.dumps([{"sprint_id": str(k), "done_effort_hours": k, "workdays": 5} for k in range(1, 20_001)]))
+    assert samples(str(tmp_path / "h.json"))[-1] == 4000.0 and len(samples(str(tmp_path / "h.json"))) == 20_000
+    (tmp_path / "t.json").write_text(json.dumps({"throughput_samples_sch_per_day": [3.0, 1.0]}))
+    assert samples(None, str(tmp_path / "t.json")) == [1.0, 3.0]
 
 
-def test_config(tmp_path):
+def test_config(spark, tmp_path):
     p = tmp_path / "c.toml"
     config.write_default(str(p))
     assert config.Config.load(str(p)) == config.Config()
@@ -265,10 +283,18 @@ def test_config(tmp_path):
     p.write_text("[filters.languages]\ninclude = ['toml']\n")
     with pytest.raises(ValueError):
         config.Config.load(str(p))
-    s = stages.RunState(str(tmp_path / "s" / "state.json"))
-    s.mark("mine", "fp1")
-    again = stages.RunState(str(tmp_path / "s" / "state.json"))
-    assert again.done("mine", "fp1") and not again.done("mine", "fp2")
+    for path in (str(tmp_path / "s" / "state.json"), f"file://{tmp_path}/t/state.json"):
+        assert not stages.RunState(spark, path).stages
+        s = stages.RunState(spark, path)
+        s.mark("mine", "fp0")
+        s.mark("mine", "fp1")
+        again = stages.RunState(spark, path)
+        assert again.done("mine", "fp1") and not again.done("mine", "fp2")
+    storage.write_text(spark, path, "not json")
+    again = stages.RunState(spark, path)
+    assert not again.stages and storage.read_text(spark, path) == "not json" and storage.names(spark, f"file://{tmp_path}/t") == ["state.json"]
+    r = config.Repos(include_paths=["a", "b"], more_include_paths=["b", "c"], include_remote=["x/y", "bad", "x/z"], exclude_remote=["*/z"])
+    assert r.paths() == ["a", "b", "c"] and r.remotes() == ["x/y"]
 
 
 def test_pipeline_over_a_repository(spark, tmp_path):
@@ -286,19 +312,35 @@ def test_pipeline_over_a_repository(spark, tmp_path):
         at = f"2024-01-01T{8 + k // 4:02d}:{k % 4 * 15:02d}:00+0000"
         run("commit", "-qm", f"c{k}", GIT_AUTHOR_DATE=at, GIT_COMMITTER_DATE=at)
     (tmp_path / "sprint.json").write_text(
-        json.dumps({"sprint": {"sprint_id": "S 1", "start_date": "2025-01-06", "length_days": 5, "working_days": [0, 1, 2, 3, 4]}, "capacity": [{"person_id": "p", "day": "2025-01-06", "delta_available_sch": -20.0}], "work_items": [{"work_item_id": "A", "status": "todo", "scope_factor": 1.0, "effort": {"type": "quantiles", "quantiles": {"0.5": 2, "0.9": 4}}}, {"work_item_id": "B", "status": "done"}]})
+        json.dumps({"sprint": {"sprint_id": "S 1", "start_date": "2025-01-06", "length_days": 5, "working_days": [0, 1, 2, 3, 4]}, "capacity": [{"person_id": "p", "day": "2025-01-06", "delta_available_sch": -20.0}], "work_items": [{"work_item_id": "A", "status": "todo", "scope_factor": 1.0, "effort": {"type": "quantiles", "quantiles": {"0.5": 2, "0.9": 4}}}, {"work_item_id": "B", "status": "done"}, {"work_item_id": "C", "story_points": 0.01}, {"work_item_id": "D", "effort": {"type": "gmm", "weights": [1.0], "means": [0.5], "stds": [0.1], "low": 0.0, "high": 1.0}}]})
     )
+    subprocess.run(["git", "clone", "-q", str(repo), str(tmp_path / "fork")], check=True)
     c = config.Config(
         repos=config.Repos(include_paths=[str(tmp_path / "*")]), outputs=config.Outputs(str(tmp_path / "out")), curves=config.Curves(min_commits_per_author=5), training=config.Training(label_samples_per_commit=3, epochs=2),
         forecasting=config.Forecasting(n_sims=100, sprint_inputs_path=str(tmp_path / "sprint.json")),
     )
     p = stages.Pipeline(spark, c)
     assert p.run() == list(stages.STAGES) and p.run() == []
-    assert p.read("mine", "commits").count() == 12 and p.read("train", "rows").count() == 33
+    # a fork's commits are changes of their own: 24 of them, 23 pairs of one author
+    assert p.read("mine", "commits").count() == 24 and p.read("train", "rows").count() == 69
+    counts = p.read("train", "features").groupBy("features").count().collect()
+    assert sum(r["count"] for r in counts) == 24 and all(r["count"] % 2 == 0 for r in counts)
+    changes = {r.sha: r for r in p.read("train", "changes").collect()}
+    second = changes[git.git("rev-parse", "HEAD~10", cwd=str(repo)).strip()]
+    assert second.diff_text == git.git("show", "--unified=0", "--format=", second.sha, cwd=str(repo)).lstrip("\n")
+    assert second.before_blobs["m.py"] == git.git("show", f"{second.sha}^:m.py", cwd=str(repo)) and second.after_blobs["m.py"].count("def ") == 2
+    first = changes[git.git("rev-parse", "HEAD~11", cwd=str(repo)).strip()]
+    assert first.before_blobs == {"m.py": ""} and first.after_blobs["m.py"].count("def ") == 1
+    assert git.blobs(str(repo), ["HEAD:m.py", "HEAD:none", "HEAD:", "HEAD~1:m.py"])["HEAD:none"] == ""
+    assert git.diffs(str(repo), ["f" * 40, second.sha]) == {second.sha: second.diff_text}
     s = stages.score(p.read("train", "rows").select("id", "x"), p.model()).collect()
     assert all(0 <= r.p50 <= r.p90 <= 1 for r in s)
+    asked = spark.createDataFrame([("new", "python", "+def f(): return g(1)", {"m.py": ""}, {"m.py": "def f(): return g(1)"})], "commit_id string, language string, diff_text string, before_blobs map<string,string>, after_blobs map<string,string>")
+    r = p.score(asked).first()
+    assert 0 <= r.mean <= 1 and json.loads(r.payload)["type"] == "gmm"
+    assert json.loads(storage.read_text(spark, p.path("train", "metadata.json")))["epochs"] == 2
     f = spark.read.json(p.path("forecast", "forecasts")).first()
-    assert f["p_day_1"] == 0.0 and f["p_end"] == 1.0
+    assert f["p_by_day"][0] == 0.0 and len(f["p_by_day"]) == 5 and f["p_end"] == 1.0
     with pytest.raises(ValueError):
         p.run(("nonsense",))
 
@@ -317,3 +359,163 @@ def test_keyed_table(spark, tmp_path):
     assert t.read().count() == 3 and t.version() == 2
     t.upsert(rows(("d", 1, "x")))
     assert t.read().count() == 4
+
+
+def test_bus_states_efforts_and_forecasts(spark, tmp_path):
+    """Batches against one fold over all events: items, capacities, efforts; subscribers, forecasts of touched sprints only."""
+    rng = random.Random(11)
+    rows = [{**e, "day": dt.date(2025, 1, 6 + rng.randrange(3))} for e in _events(rng, 160)]
+    df = spark.createDataFrame([Row(**r) for r in rows], EVENT)
+    q = json.dumps({"type": "quantiles", "quantiles": {"0.5": 1.0, "0.9": 2.0}})
+    efforts = [(200, "effort", 3, q, "v1"), (201, "effort", 3, json.dumps({"type": "gmm", "weights": [1.0], "means": [2.0], "stds": [0.5]}), "v2"), (202, "effort", 4, "{broken", "v1"), (203, "effort", 5, json.dumps({"type": "x"}), "v1"), (204, "invalidated", 3, None, None)]
+    store, seen = bus.SprintStore(spark, str(tmp_path / "bus"), {"samples": (2.0, 3.0), "n_sims": 20, "seed": 1}), []
+    store.subscribe("status", lambda e, k: seen.append((k, e.count())))
+    store.subscribe("added", lambda e, k: 1 / 0)
+    store.subscribe("forecast", lambda e, k: seen.append(("forecast", e.count())))
+    for k in range(0, 160, 80):
+        store.publish(df.filter((F.col("seq") >= k) & (F.col("seq") < k + 80)))
+    state, caps = {}, {}
+    for e in rows:
+        bus.step(state, e)
+        if e["type"] == "configured":
+            caps[e["sprint_id"]] = {}
+        elif e["type"] == "availability":
+            for c in caps.values():
+                c[e["day"]] = max(0.0, c.get(e["day"], 8.0) + e["delta"])
+    want = {(int(s), int(i)): tuple(v) for s, items in state.items() for i, v in items.items()}
+    assert {(r.sprint_id, r.item_id): (r.status, r.factor) for r in store.current().collect()} == want
+    assert {(r.sprint_id, r.day): r.available for r in store.state("caps").collect()} == {(s, d): x for s, c in caps.items() for d, x in c.items()}
+    assert {(r.sprint_id, r.day): r.available for r in P.capacity(df).collect()} == {(s, d): x for s, c in caps.items() for d, x in c.items()}
+    assert [x for x in seen if x[0] != "forecast"] == [(b, sum(e["type"] == "status" and b * 80 <= e["seq"] < b * 80 + 80 for e in rows)) for b in (0, 1)]
+    assert store.computed().count() == len(state)
+    n = len([x for x in seen if x[0] == "forecast"])
+    store.publish(spark.createDataFrame(efforts, "seq bigint, type string, item_id bigint, payload string, model_version string"))
+    assert [(r.item_id, r.payload.type, r.seq) for r in store.state("effort").collect()] == [(3, "gmm", 201)]
+    held = {s for (s, i) in want if i in (3, 4, 5)}
+    assert {r.sprint_id for r in spark.read.parquet(str(tmp_path / "bus" / "touched" / "2")).collect()} == held
+    assert len([x for x in seen if x[0] == "forecast"]) == n + 1 and {(r.sprint_id, r.day): r.available for r in store.state("caps").collect()} == {(s, d): x for s, c in caps.items() for d, x in c.items()}
+
+
+def test_ingested_pulls_and_labels_from_the_store(spark, tmp_path):
+    pulls = [{"number": k, "updated_at": f"2024-02-0{k}T00:00:00Z"} for k in (4, 3, 2, 1)]
+    rows = {"/repos/a/b/pulls": pulls}
+    for k in (1, 2, 3, 4):
+        rows[f"/repos/a/b/pulls/{k}"] = {"number": k, "id": 100 + k if k != 3 else 0, "user": {"login": "u"} if k != 2 else None, "created_at": f"2024-02-0{k}T00:00:00Z" if k != 4 else "", "merged_at": "2024-02-05T00:00:00Z" if k == 2 else None, "updated_at": f"2024-02-0{k}T00:00:00Z", "review_comments": k}
+        rows[f"/repos/a/b/pulls/{k}/commits"] = [{"sha": f"s{k}"}, {"sha": " s9 "}, {"sha": ""}, {}]
+        rows[f"/repos/a/b/pulls/{k}/reviews"] = [{"id": 7, "state": "A", "user": None}, {"id": 0}, {"id": 8}]
+    store = ingest.Store(spark, str(tmp_path / "store"))
+    assert ingest.ingest_pulls(store, ["a/b"], rest.Fixtures(rows), since="2024-02-02T00:00:00Z") == 3
+    assert sorted((r.pr_number, r.sha) for r in store.commits.read().collect()) == [(2, "s2"), (2, "s9"), (3, "s3"), (3, "s9"), (4, "s4"), (4, "s9")]
+    assert store.reviews.read().count() == 6
+    rows["/repos/a/b/pulls/2"]["title"] = "new"
+    assert ingest.ingest_pulls(store, ["a/b"], rest.Fixtures(rows)) == 4  # again, and one more
+    assert {r.number: r.title for r in store.pulls.read().collect()} == {1: None, 2: "new", 3: None, 4: None} and store.commits.read().count() == 8
+    prs = {r.pr_id: r for r in ingest.stored_prs(store).collect()}
+    assert prs.keys() == {"101", "102", "a/b#3"}  # without a creation time there is no PR
+    assert prs["102"].commits == ["s2", "s9"] and prs["102"].review_rounds == 2 and prs["102"].author_id == "" and prs["102"].metadata == {"pr_number": "2"}
+    assert {r.sha: r.pr_id for r in files.pr_by_commit(ingest.stored_prs(store)).collect()}["s2"] == "102"
+    # a merged PR raises its commit's label
+    pairs = spark.createDataFrame([(1, "c2", "s2", 100, 130, 30), (1, "c0", "s0", 130, 160, 30)], "author_id bigint, commit_id string, sha string, parent_minute bigint, child_minute bigint, gap_minutes bigint")
+    curves = C.with_sums(spark.createDataFrame([(1, 100, [1.0] * 20)], "author_id bigint, base_minute bigint, coding_prob array<double>"))
+    x = spark.createDataFrame([("c2", [0.0]), ("c0", [1.0])], "id string, features array<float>")
+    got = {r.commit_id: (r.y, r.z) for r in stages.training_rows(pairs, curves, x, 1, 1, 5, ingest.stored_prs(store)).collect()}
+    assert got["c0"] == (0.5, 0.5) and got["c2"][0] == 0.5 and got["c2"][1] > 0.6
+
+
+def test_backlog_of_the_tracker_is_forecast(spark, tmp_path):
+    hosting = rest.Fixtures({
+        "/repos/a/b": {"id": 5}, "/repos/c/d": {"id": 6}, "/repos/c/d/milestones": [{"number": 1, "title": "other", "due_on": None}],
+        "/repos/a/b/milestones": [{"number": 3, "title": "S3", "due_on": "2025-01-17T00:00:00Z"}, {"number": 4, "title": "S4", "due_on": "2025-02-17T00:00:00Z"}],
+        "/repos/a/b/issues": [{"number": 11}, {"number": 12, "pull_request": {}}, {"number": 13}, {"number": 13}, {"number": 14}],
+    })
+    tracker = rest.Fixtures({"/p1/repositories/5/issues/11": {"estimate": {"value": 0.1}, "pipeline": {"name": "doing"}, "is_epic": True}, "/p1/repositories/5/issues/13": {}})
+    c = config.Config(repos=config.Repos(source="remote", include_remote=["a/b", "c/d"]), hosting=config.Hosting(base_url=""), tracker=config.Tracker(enabled=True, title_prefix="S"), outputs=config.Outputs(f"file://{tmp_path}/out"), forecasting=config.Forecasting(n_sims=200))
+    p = stages.Pipeline(spark, c, hosting, tracker)
+    assert p.run(("forecast",)) == ["forecast"] and p.run(("forecast",)) == []
+    assert {r.issue_number: (r.estimate_value, r.pipeline_name, r.is_epic) for r in p.store.issues.read().collect()} == {11: (0.1, "doing", True), 13: (None, None, False), 14: (None, None, False)}
+    assert [(r.repo, r.milestone_id, str(r.start_date)) for r in p.store.milestones.read().collect()] == [("a/b", 3, "2025-01-07")]
+    f = spark.read.json(p.path("forecast", "forecasts")).collect()
+    assert [r.sprint_id for r in f] == ["a/b#milestone-3"] and len(f[0].p_by_day) == 11 and 0 < f[0].p_end <= 1
+
+
+def test_sprints_have_their_own_length_days_and_efforts(spark):
+    conf = spark.createDataFrame([("A", dt.date(2025, 1, 6), 3, [0, 1, 2]), ("B", dt.date(2025, 1, 6), 7, [5]), ("C", dt.date(2025, 1, 6), None, None)], "sprint_id string, start_day date, length_days int, working_days array<int>")
+    caps = spark.createDataFrame([], "sprint_id string, day date, available double")
+    e = lambda kind, **k: json.dumps({"type": kind, **k})
+    items = [("A", "x", e("gmm", weights=[1.0], means=[5.0], stds=[1e-9])), ("B", "y", e("quantiles", quantiles={"0.5": 3.0, "0.9": 3.0})), ("C", "z", e("quantiles", quantiles={"0.5": 3.0, "0.9": 1.0}))]
+    items = spark.createDataFrame([(s, i, "todo", 1.0, b) for s, i, b in items], "sprint_id string, item_id string, status string, factor double, body string").withColumn("effort", D.decoded(F.col("body")))
+    samples = spark.createDataFrame([(4.0,)] * 3, "x double")
+    got = {(r.scenario, r.sprint_id): r for r in M.sprint_forecasts(items, conf, caps, samples, 50, 1).collect()}
+    assert got["baseline", "A"].p_by_day == [0.0, 1.0, 1.0] and got["baseline", "B"].p_by_day == [0.0] * 5 + [1.0] * 2 and len(got["baseline", "C"].p_by_day) == 10
+    assert 0 < got["baseline", "C"].p_by_day[0] < 1  # not a distribution: drawn as an unknown effort
+    two = {"more": (lambda i: P.scope_growth(i, 3.0), lambda c: c), "off": (lambda i: i, lambda c: P.time_off(c, -8.0, P.on_days([dt.date(2025, 1, 6)])))}
+    got = {(r.scenario, r.sprint_id): r for r in M.sprint_forecasts(items, conf, caps, (4.0,), 50, 1, two).collect()}
+    assert {s for s, _ in got} == {"more", "off"} and got["more", "A"].p_end == 0.0 and got["off", "A"].p_by_day == [0.0, 1.0, 1.0]  # a day without a row keeps its default
+
+
+def test_kernels_are_linear_and_equal_their_loops(spark):
+    r = np.random.default_rng(4)
+    for n in (1, 2, 10, 101):
+        a, b, x, out = r.random(n), r.standard_normal(n), 0.0, []
+        for i in range(n):
+            x = a[i] * x + b[i]
+            out.append(x)
+        assert np.allclose(C.scan(a, b), out)
+    times = [np.sort(r.integers(0, 4000, n)).astype(float) for n in (60, 3, 200)]
+    for k, t in enumerate(times):  # company doesn't matter
+        together, alone = C.hawkes_fit(times, [4000.0] * 3), C.hawkes_fit([t], [4000.0])
+        assert np.allclose([v[k] for v in together], [v[0] for v in alone], rtol=1e-6)
+    y = np.zeros(100_000)
+    y[r.integers(0, len(y), 3000)] = 1
+    began = time.time()
+    m = C.ekf(y, 5)
+    C.scan(np.full(len(y), 0.9), y)
+    assert len(m) == len(y) and time.time() - began < 10
+    curve = spark.createDataFrame([(1, 0, [0.2, 0.9, 0.0, 1.0])], "author_id bigint, base_minute bigint, coding_prob array<double>")
+    pair = spark.createDataFrame([(1, "c", a, b, b - a) for a, b in ((0, 20), (5, 10), (12, 12), (-50, 900))], "author_id bigint, commit_id string, parent_minute bigint, child_minute bigint, gap_minutes bigint")
+    got = [(q.first, q.n, round(q.mean, 9), round(q.var, 9)) for q in C.pair_slices(pair, C.with_sums(curve), 5).orderBy("parent_minute").collect()]
+    assert got == [(0, 3, 5.5, 6.25), (0, 3, 5.5, 6.25), (1, 1, 4.5, 2.25), (2, 0, 0.0, 0.0)]
+
+
+def test_training_goes_on_from_a_checkpoint():
+    r, kept = np.random.default_rng(2), []
+    x, y = r.standard_normal((200, 4)), r.random(200)
+    whole = N.fit(x, {"y": y}, {"y": "mdn"}, epochs=6)
+    N.fit(x, {"y": y}, {"y": "mdn"}, epochs=4, checkpoint=N.Checkpoint(lambda: None, kept.append, 2))
+    assert len(kept) == 2
+    again = N.fit(x, {"y": y}, {"y": "mdn"}, epochs=6, checkpoint=N.Checkpoint(lambda: kept[-1], lambda s: None, 2))
+    assert np.allclose(again.losses, whole.losses) and all(np.allclose(again.weights[k], whole.weights[k]) for k in whole.weights)
+    other = N.fit(x[:, :3], {"y": y}, {"y": "mdn"}, epochs=1, checkpoint=N.Checkpoint(lambda: kept[-1], lambda s: None, 2))
+    assert len(other.losses) == 1  # of another shape: begun anew
+
+
+def test_synthetic_history(spark):
+    rows = synthetic.commits(spark, authors=2, days=7, seed=3)
+    got = sorted(synthetic.changes(rows, 3).collect(), key=lambda r: (r.author_id, r.authored_at))
+    assert len(got) == rows.count() > 20
+    for r in got:
+        before, after = r.before_blobs[synthetic.PATH], r.after_blobs[synthetic.PATH]
+        assert X.parsed(after) is not None and after != before and r.diff_text.startswith("--- a/")
+        added = [x[1:] for x in r.diff_text.split("\n")[3:] if x.startswith("+")]
+        assert all(x in after for x in added)
+    prs = synthetic.pull_requests(rows).collect()
+    assert sum(len(p.commits) for p in prs) == len(got) and all(p.merged_at > p.opened_at and len(p.commits) <= 8 for p in prs)
+
+
+def test_demo(spark):
+    got = demo.run(spark, samples=2, epochs=1, n_sims=100, predictor="multitask").collect()
+    assert {r.scenario for r in got} == {"scope +10 %", "team off 2 days"} and all(len(r.p_by_day) == 14 and 0 <= r.p_end <= 1 for r in got)
+
+
+def test_clone_and_fetch(tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    git.git("init", "-q", cwd=str(src))
+    git.git("-c", "user.name=a", "-c", "user.email=a@x", "commit", "-q", "--allow-empty", "-m", "one", cwd=str(src))
+    c = config.Config(repos=config.Repos(source="remote", include_remote=["o/r"], url_template=f"{tmp_path}/src"), outputs=config.Outputs(str(tmp_path / "out")))
+    p = stages.Pipeline.__new__(stages.Pipeline)
+    p.config, p.base = c, str(tmp_path / "out")
+    for _ in range(2):  # cloned, then fetched
+        assert p.repositories() == [f"{tmp_path}/out/repos/o__r"]
+    with pytest.raises(git.GitError):
+        git.clone_or_fetch(str(tmp_path / "nothing"), str(tmp_path / "x"))
