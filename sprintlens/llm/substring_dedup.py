@@ -8,7 +8,7 @@ indexed. The index lies under a folder and outlives the session that made it: a
 
 * runs: immutable tables of hashes and counts, and of postings (hash, batch, document,
   position), both bucketed and sorted by hash; the postings of heavy hashes, of which there
-  are few, lie apart, so that no bucket gathers one;
+  are few, are strewn over all buckets instead, so that none gathers them;
 * the texts of each batch, bucketed by document;
 * a manifest, written last, that names the tables which count.
 
@@ -266,18 +266,22 @@ def _keyed(docs: DataFrame, at: Scratch) -> DataFrame:
 
 @dataclass
 class _Run:
-    """Tables of a run by name: counts (h, n) and light postings, and the postings and list of heavy hashes."""
+    """Tables of a run by name: counts (h, n), postings, and the list of heavy hashes.
+
+    A posting's place is its hash, or a number of its own if the hash is heavy."""
 
     level: int
     total: int
     counts: str
-    light: str
+    postings: str
     heavy: str
-    heavy_list: str
+
+    def tables(self) -> tuple[str, str, str]:
+        return self.counts, self.postings, self.heavy
 
 
 #: Columns and bucket column of the index's tables, by kind.
-_TABLES = {"counts": ("h bigint, n bigint", "h"), "light": ("h bigint, batch int, id bigint, pos int", "h"), "found": ("h bigint, n bigint", "h"), "texts": ("id bigint, doc_id bigint, text string", "id")}
+_TABLES = {"counts": ("h bigint, n bigint", "h"), "postings": ("place bigint, h bigint, batch int, id bigint, pos int", "place"), "found": ("h bigint, n bigint", "h"), "texts": ("id bigint, doc_id bigint, text string", "id")}
 
 
 class FingerprintIndex:
@@ -315,7 +319,7 @@ class FingerprintIndex:
         d = {"window": self.window, "inner": self.inner, "buckets": self.buckets, "texts": self.texts, "runs": [asdict(r) for r in self.runs]}
         self.spark.createDataFrame([(json.dumps(d),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/{self.version + 1}")
         self.version += 1
-        used = {x for r in self.runs for x in (r.counts, r.light, r.heavy, r.heavy_list)} | set(self.texts)
+        used = {x for r in self.runs for x in r.tables()} | set(self.texts)
         for name in list(self._made - used):
             self._drop(name)
 
@@ -327,7 +331,7 @@ class FingerprintIndex:
 
     def close(self) -> None:
         """Deletes the index; only for one that nothing will use again."""
-        for name in self._made | set(self.texts) | {x for r in self.runs for x in (r.counts, r.light)}:
+        for name in self._made | set(self.texts) | {x for r in self.runs for x in r.tables()}:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         fs, p = self._fs(self.path)
         fs.delete(p, True)
@@ -349,7 +353,7 @@ class FingerprintIndex:
         """A table of the index; one that another session wrote is registered first."""
         kind = name.split("_")[1]
         if kind not in _TABLES:
-            return self.spark.read.schema("h bigint, batch int, id bigint, pos int" if kind == "heavy" else "h bigint").parquet(f"{self.path}/{name}")
+            return self.spark.read.schema("h bigint").parquet(f"{self.path}/{name}")
         if not self.spark.catalog.tableExists(name):
             columns, by = _TABLES[kind]
             self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
@@ -364,9 +368,10 @@ class FingerprintIndex:
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         # fewer than total / least hashes are heavy, so their list is broadcast
         least = min(total * HEAVY_SHARE, TASK_ROWS)
-        listed = self._write(counts.filter(F.col("n") > least).select("h"), "list")
-        heavy = F.broadcast(self._table(listed))
-        return _Run(level, total, name, self._write(postings.join(heavy, "h", "left_anti"), "light"), self._write(postings.join(heavy, "h", "left_semi"), "heavy"), listed)
+        heavy = self._write(counts.filter(F.col("n") > least).select("h"), "heavy")
+        marked = postings.join(F.broadcast(self._table(heavy).withColumn("is_heavy", F.lit(True))), "h", "left")
+        place = F.when(F.col("is_heavy"), F.xxhash64("batch", "id", "pos")).otherwise(F.col("h"))
+        return _Run(level, total, name, self._write(marked.select(place.alias("place"), "h", "batch", "id", "pos"), "postings"), heavy)
 
     def _repeated(self, run: _Run) -> DataFrame:
         """h and its count n over run and all older runs, of hashes of run that are met twice or more."""
@@ -378,9 +383,11 @@ class FingerprintIndex:
 
     def _met(self, run: _Run, found: DataFrame) -> DataFrame:
         """batch, id, pos and n of the run's postings whose hash is found."""
-        listed = found.join(F.broadcast(self._table(run.heavy_list)), "h", "left_semi")
-        both = self._table(run.light).join(found.hint("merge"), "h").unionByName(self._table(run.heavy).join(F.broadcast(listed), "h"))
-        return both.select("batch", "id", "pos", "n")
+        listed = found.join(F.broadcast(self._table(run.heavy)), "h", "left_semi").withColumnRenamed("n", "heavy_n")
+        rows = self._table(run.postings).join(found.select(F.col("h").alias("place"), F.col("n").alias("light_n")).hint("merge"), "place", "left")
+        rows = rows.join(F.broadcast(listed), "h", "left")
+        n = F.coalesce(F.when(F.col("h") == F.col("place"), F.col("light_n")), F.col("heavy_n"))
+        return rows.select("batch", "id", "pos", n.alias("n")).filter("n IS NOT NULL")
 
     def _compact(self) -> None:
         """Merges runs of one level, wherever there are enough of them, into one of the next."""
@@ -388,7 +395,7 @@ class FingerprintIndex:
         while any(r.level >= level for r in self.runs):
             own = [r for r in self.runs if r.level == level]
             if len(own) >= self.fanout:
-                postings = reduce(DataFrame.unionByName, [self._table(x) for r in own for x in (r.light, r.heavy)])
+                postings = reduce(DataFrame.unionByName, [self._table(r.postings).drop("place") for r in own])
                 counts = reduce(DataFrame.unionByName, [self._table(r.counts) for r in own]).groupBy("h").agg(F.sum("n").alias("n"))
                 self.runs = [r for r in self.runs if r.level != level] + [self._run(postings, counts, level + 1)]
             level += 1
