@@ -61,7 +61,7 @@ def write_warc(records: DataFrame, path: str) -> None:
     rows.repartitionByRange("v").sortWithinPartitions("v", "k").select("r").write.option("lineSep", "\r\n\r\n").text(path)
 
 
-_HEAD = re.compile(rb"WARC/1\.[01]\r?\n(?:[^\r\n]+\r?\n)*\r?\n")
+_HEAD = re.compile(rb"WARC/1\.[01]\r?\n(?:[^\r\n]+\r?\n)*(\r?\n)?")
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)\r?$", re.M)
 
 
@@ -82,15 +82,15 @@ def split_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
 
     The declared length tells where a record ends, so a block may hold anything. Only where
     a record is cut short or its length is wrong is the next version line searched for."""
-    at, head = 0, _HEAD.search(content)
+    head = _HEAD.search(content)
     while head:
         fields = {k.decode().lower(): v.decode(errors="replace") for k, v in _FIELD.findall(head.group())}
         at, size = head.end(), fields.get("content-length", "")
-        end = at + int(size) if size.isdigit() else -1
-        after = _HEAD.match(content, end + 4) if 0 <= end <= len(content) and content[end : end + 4] == b"\r\n\r\n" else None
-        if after or end >= 0 and content[end:].strip(b"\r\n") == b"" and end <= len(content):
+        end = at + int(size) if head[1] and size.isdigit() else -1
+        follows = content[end : end + 12] if 0 <= end <= len(content) else b"?"
+        if follows in (b"\r\n\r\nWARC/1.0", b"\r\n\r\nWARC/1.1") or not follows.strip(b"\r\n"):
             yield fields, content[at:end], True
-            head = after
+            head = _HEAD.search(content, end)
         else:
             head = _HEAD.search(content, at)
             yield fields, content[at : head.start() if head else len(content)].removesuffix(b"\r\n\r\n"), False
