@@ -8,6 +8,7 @@ the running sum of its daily throughput reaches its total effort.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,10 +27,30 @@ def bootstrap(samples: tuple[float, ...], *key) -> Column:
     return F.element_at(F.array(*[F.lit(float(x)) for x in samples]), (F.floor(uniform(*key) * len(samples)) + 1).cast("int"))
 
 
-def _drawn(days: DataFrame, samples: tuple[float, ...] | DataFrame, *key) -> DataFrame:
-    """days with a bootstrap draw in ``daily``; samples may be a table with a column x.
+@dataclass(frozen=True)
+class LogNormal:
+    """A throughput prior: scale is the median, sigma the deviation of the logarithm."""
+
+    scale: float
+    sigma: float
+
+
+def fitted_throughput(samples: DataFrame) -> LogNormal:
+    """The lognormal of most likelihood for samples x, of which there is at least one; values count as 1e-9 at least."""
+    x = F.log(F.greatest(F.lit(1e-9), F.col("x")))
+    row = samples.agg(F.exp(F.avg(x)).alias("scale"), F.stddev_pop(x).alias("sigma")).first()
+    return LogNormal(row["scale"], row["sigma"])
+
+
+Prior = tuple[float, ...] | DataFrame | LogNormal
+
+
+def _drawn(days: DataFrame, samples: Prior, *key) -> DataFrame:
+    """days with a draw in ``daily``: from a lognormal, or a bootstrap from samples, which may be a table with a column x.
 
     A table is numbered in the order of x, and draws meet their numbers in a join."""
+    if isinstance(samples, LogNormal):
+        return days.withColumn("daily", lognormal(F.log(F.lit(samples.scale)), F.lit(samples.sigma), *key))
     if not isinstance(samples, DataFrame):
         return days.withColumn("daily", bootstrap(samples, *key))
     n = samples.count()
@@ -43,7 +64,7 @@ def lognormal(mu: Column, sigma: Column, *key) -> Column:
     return F.exp(mu + sigma * normal(*key))
 
 
-def simulate(items: DataFrame, calendar: DataFrame, samples: tuple[float, ...] | DataFrame, n_sims: int, seed: int, effort: Column, by: list[str]) -> DataFrame:
+def simulate(items: DataFrame, calendar: DataFrame, samples: Prior, n_sims: int, seed: int, effort: Column, by: list[str]) -> DataFrame:
     """by, sim, total, done_day (null: not done) and remaining of each simulation.
 
     items: by, item_id, status, factor and what effort uses, ``sim`` included. calendar: by,
@@ -79,7 +100,7 @@ Scenario = tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFra
 BASELINE: dict[str, Scenario] = {"baseline": (lambda items: items, lambda caps: caps)}
 
 
-def sprint_forecasts(items: DataFrame, conf: DataFrame, caps: DataFrame, samples: tuple[float, ...] | DataFrame, n_sims: int, seed: int, scenarios: dict[str, Scenario] | None = None, length: int = 10) -> DataFrame:
+def sprint_forecasts(items: DataFrame, conf: DataFrame, caps: DataFrame, samples: Prior, n_sims: int, seed: int, scenarios: dict[str, Scenario] | None = None, length: int = 10) -> DataFrame:
     """The forecast of each sprint in each scenario; scenarios that are given take the baseline's place.
 
     Items carry ``effort``, a payload of quantiles or of a mixture; others are drawn from a

@@ -32,6 +32,8 @@ class Repos:
     mirror: bool = False
     prune: bool = True
     max_commits_per_repo: int = 20_000
+    #: Whose suffix gives a change's language: "any" file's, or the "first" one's alone.
+    language_by: str = "any"
 
     def paths(self) -> list[str]:
         """Both lists of globs in order; repeats go where both have any."""
@@ -110,6 +112,8 @@ class Forecasting:
     sprint_inputs_path: str = ""
     historical_sprints_path: str = ""
     historical_outcomes_path: str = ""
+    #: Daily throughput is drawn from the samples ("bootstrap") or from a "lognormal" fitted to them.
+    throughput: str = "bootstrap"
     story_points_to_hours: float = 4.0
     story_points_cv: float = 0.6
 

@@ -187,7 +187,9 @@ class Pipeline:
 
     def _mine(self) -> None:
         c = self.config
-        df = git.mined_commits(self.spark, self.repositories(), c.repos.max_commits_per_repo).withColumn("language", S.language(F.col("changed_files")))
+        df = git.mined_commits(self.spark, self.repositories(), c.repos.max_commits_per_repo)
+        language = {"any": S.language, "first": S.first_file_language}[c.repos.language_by]
+        df = df.withColumn("language", language(F.col("changed_files")))
         keep = S.matches(F.col("repo_path"), c.filters.repos.include, c.filters.repos.exclude)
         keep = keep & S.matches(F.col("language"), c.filters.languages.include, c.filters.languages.exclude) & S.matches(F.col("author_id"), c.filters.authors.include, c.filters.authors.exclude)
         df = H.last_write_wins(df.filter(keep), ["repo_path", "commit_id"], ["authored_at"])
@@ -223,7 +225,9 @@ class Pipeline:
         c = self.config
         prs = self._pull_requests()
         changes = keyed(git.with_changes(self.read("mine", "commits"), c.features.use_syntax))
-        changes.write.mode("overwrite").parquet(self.path("train", "changes"))
+        changes.write.mode("overwrite").parquet(self.path("train", "all_changes"))
+        found = self.read("train", "all_changes")
+        found.filter("readable").drop("readable").write.mode("overwrite").parquet(self.path("train", "changes"))
         features, vocab = change_features(self.read("train", "changes"), c)
         vocab.write.mode("overwrite").parquet(self.path("train", "vocabulary"))
         features.write.mode("overwrite").parquet(self.path("train", "features"))
@@ -234,7 +238,7 @@ class Pipeline:
         heads = {"mdn": {"y": "mdn"}, "quantile": {"y": "quantile"}, "multitask": {"y": "mdn", "z": "quantile"}}[c.training.predictor_kind]
         model = N.train(rows, heads, epochs=c.training.epochs, checkpoint=self._checkpoint())
         write_text(self.spark, self.path("train", "model.json"), model.to_json())
-        meta = {"predictor_kind": c.training.predictor_kind, "heads": heads, "epochs": len(model.losses), "loss": model.losses[-1] if model.losses else None, "rows": rows.count(), "vocabulary": self.read("train", "vocabulary").count(), "created_at": _now()}
+        meta = {"predictor_kind": c.training.predictor_kind, "heads": heads, "epochs": len(model.losses), "loss": model.losses[-1] if model.losses else None, "rows": rows.count(), "rejects": found.filter("NOT readable").count(), "vocabulary": self.read("train", "vocabulary").count(), "created_at": _now()}
         write_text(self.spark, self.path("train", "metadata.json"), json.dumps(meta, indent=1))
         return {"rows": meta["rows"]}
 
@@ -264,6 +268,8 @@ class Pipeline:
             got = self._backlog()
         else:
             raise ValueError("forecast needs forecasting.sprint_inputs_path or the tracker")
+        if c.throughput == "lognormal":
+            samples = M.fitted_throughput(samples)
         out = M.sprint_forecasts(got["items"], got["conf"], got["caps"], samples, c.n_sims, c.rng_seed)
         out.withColumn("file", S.safe_name(F.col("sprint_id"))).write.mode("overwrite").partitionBy("file").json(self.path("forecast", "forecasts"))
         return {"sprints": got["conf"].count()}

@@ -12,7 +12,6 @@ from fnmatch import fnmatch
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import schemas
@@ -125,9 +124,9 @@ def blobs(repo: str, names: list[str]) -> dict[str, str]:
 
 
 def with_changes(commits: DataFrame, want_blobs: bool = False) -> DataFrame:
-    """commits with diff_text and, for Python files, before_blobs and after_blobs; what can't be read is an empty text.
+    """commits with diff_text and, for Python files, before_blobs and after_blobs; readable is false where there is no such commit.
 
-    Two processes a repository and batch of rows, however many commits and files there are."""
+    Blobs that can't be read are empty texts. Two processes a repository and batch of rows, however many commits and files there are."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -139,10 +138,10 @@ def with_changes(commits: DataFrame, want_blobs: bool = False) -> DataFrame:
                 asked = list(dict.fromkeys(f"{side}:{x}" for pair, names in zip(sides, files, strict=True) for side in pair for x in names))
                 found = blobs(repo, asked) if asked else {}
                 for (before, after), sha, names in zip(sides, own["commit_id"], files, strict=True):
-                    rows.append((repo, sha, texts.get(sha, ""), {x: found[f"{before}:{x}"] for x in names}, {x: found[f"{after}:{x}"] for x in names}))
-            yield pd.DataFrame(rows, columns=["repo_path", "commit_id", "diff_text", "before_blobs", "after_blobs"])
+                    rows.append((repo, sha, sha in texts, texts.get(sha, ""), {x: found[f"{before}:{x}"] for x in names}, {x: found[f"{after}:{x}"] for x in names}))
+            yield pd.DataFrame(rows, columns=["repo_path", "commit_id", "readable", "diff_text", "before_blobs", "after_blobs"])
 
     extra = commits.select("repo_path", "commit_id", "parent_id", "changed_files").mapInPandas(
-        task, "repo_path string, commit_id string, diff_text string, before_blobs map<string,string>, after_blobs map<string,string>"
+        task, "repo_path string, commit_id string, readable boolean, diff_text string, before_blobs map<string,string>, after_blobs map<string,string>"
     )
-    return commits.join(extra, ["repo_path", "commit_id"]).withColumn("diff_text", F.coalesce("diff_text", F.lit("")))
+    return commits.join(extra, ["repo_path", "commit_id"])

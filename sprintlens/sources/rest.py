@@ -25,14 +25,20 @@ class ApiError(RuntimeError):
     pass
 
 
+#: The parameter whose value is posted as JSON.
+POST = "__body"
+
+
 class Http:
     def __init__(self, token: str = "", header: str = "Authorization"):
         self.headers = {header: token} if token else {}
 
     def __call__(self, url: str, params: dict) -> tuple[int, dict, object]:
-        full = f"{url}?{urllib.parse.urlencode(params)}" if params else url
+        """Reads url with params; a body in params (``POST``) is sent instead."""
+        body = json.dumps(params[POST]).encode() if POST in params else None
+        full = f"{url}?{urllib.parse.urlencode(params)}" if params and body is None else url
         try:
-            with urllib.request.urlopen(urllib.request.Request(full, headers=self.headers), timeout=60) as r:
+            with urllib.request.urlopen(urllib.request.Request(full, body, self.headers), timeout=60) as r:
                 return r.status, dict(r.headers), json.load(r)
         except urllib.error.HTTPError as e:
             return e.code, dict(e.headers), e.read().decode(errors="replace")
@@ -150,6 +156,21 @@ def repo_id(transport: Transport, repo: str, base: str = "") -> int:
     return int(body["id"])
 
 
+def graphql(transport: Transport, query: str, variables: dict | None = None, base: str = "") -> dict:
+    """The data of a GraphQL query; errors in its answer are errors here."""
+    body = get(transport, f"{base}/graphql", {POST: {"query": query, "variables": variables or {}}})
+    if not isinstance(body, dict) or body.get("errors") or "data" not in body:
+        raise ApiError(f"graphql: {body.get('errors') if isinstance(body, dict) else body}")
+    return body["data"]
+
+
+def tracker_resource(transport: Transport, repo_id: int, kind: str, base: str = "") -> object:
+    """A repository's board, milestones or epics in the tracker."""
+    if kind not in ("board", "milestones", "epics"):
+        raise ValueError(f"unknown resource: {kind}")
+    return get(transport, f"{base}/p1/repositories/{repo_id}/{kind}", {})
+
+
 def issue_estimates(issues: DataFrame, estimates: DataFrame) -> DataFrame:
     """issues (repo, issue_number, ..) with estimate_value, null where there is none."""
     best = estimates.groupBy("repo", "issue_number").agg(F.max("estimate_value").alias("estimate_value"))

@@ -257,6 +257,10 @@ def test_rest_pages_limits_and_milestones(spark):
     asked = []
     list(rest.paginate(lambda u, p: (asked.append(p["page"]), pages(u, p))[1], "/repos/a/b/pulls", per_page=2, stop=lambda r: r["number"] < 5))
     assert asked == [1, 2]  # a descending scan ends early
+    posted = rest.Fixtures({"/graphql": {"data": {"repository": {"id": "R1"}}}, "/p1/repositories/5/board": {"pipelines": []}})
+    assert rest.graphql(posted, "query { x }", {"a": 1}) == {"repository": {"id": "R1"}} and rest.tracker_resource(posted, 5, "board") == {"pipelines": []}
+    with pytest.raises(rest.ApiError):
+        rest.graphql(lambda u, p: (200, {}, {"errors": ["no"]}), "query { x }")
     m = rest.current_milestones(spark, ["a/b"], pages, "S").first()
     assert (m.sprint_id, str(m.start_date), m.length_days) == ("a/b#milestone-1", "2024-01-22", 11)
 
@@ -338,7 +342,10 @@ def test_pipeline_over_a_repository(spark, tmp_path):
     asked = spark.createDataFrame([("new", "python", "+def f(): return g(1)", {"m.py": ""}, {"m.py": "def f(): return g(1)"})], "commit_id string, language string, diff_text string, before_blobs map<string,string>, after_blobs map<string,string>")
     r = p.score(asked).first()
     assert 0 <= r.mean <= 1 and json.loads(r.payload)["type"] == "gmm"
-    assert json.loads(storage.read_text(spark, p.path("train", "metadata.json")))["epochs"] == 2
+    meta = json.loads(storage.read_text(spark, p.path("train", "metadata.json")))
+    assert meta["epochs"] == 2 and meta["rejects"] == 0
+    lost = git.with_changes(spark.createDataFrame([(str(repo), "f" * 40, None, ["m.py"]), (str(repo), second.sha, None, [])], "repo_path string, commit_id string, parent_id string, changed_files array<string>"), True)
+    assert {r.commit_id: r.readable for r in lost.collect()} == {"f" * 40: False, second.sha: True}
     f = spark.read.json(p.path("forecast", "forecasts")).first()
     assert f["p_by_day"][0] == 0.0 and len(f["p_by_day"]) == 5 and f["p_end"] == 1.0
     with pytest.raises(ValueError):
@@ -448,6 +455,9 @@ def test_sprints_have_their_own_length_days_and_efforts(spark):
     got = {(r.scenario, r.sprint_id): r for r in M.sprint_forecasts(items, conf, caps, samples, 50, 1).collect()}
     assert got["baseline", "A"].p_by_day == [0.0, 1.0, 1.0] and got["baseline", "B"].p_by_day == [0.0] * 5 + [1.0] * 2 and len(got["baseline", "C"].p_by_day) == 10
     assert 0 < got["baseline", "C"].p_by_day[0] < 1  # not a distribution: drawn as an unknown effort
+    prior = M.fitted_throughput(spark.createDataFrame([(4.0,), (4.0,)], "x double"))
+    assert prior.scale == pytest.approx(4.0) and prior.sigma == 0.0
+    assert [r.p_by_day for r in M.sprint_forecasts(items.filter("sprint_id = 'A'"), conf.filter("sprint_id = 'A'"), caps, prior, 20, 1).collect()] == [[0.0, 1.0, 1.0]]
     two = {"more": (lambda i: P.scope_growth(i, 3.0), lambda c: c), "off": (lambda i: i, lambda c: P.time_off(c, -8.0, P.on_days([dt.date(2025, 1, 6)])))}
     got = {(r.scenario, r.sprint_id): r for r in M.sprint_forecasts(items, conf, caps, (4.0,), 50, 1, two).collect()}
     assert {s for s, _ in got} == {"more", "off"} and got["more", "A"].p_end == 0.0 and got["off", "A"].p_by_day == [0.0, 1.0, 1.0]  # a day without a row keeps its default
