@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fixity, mixture, packing, quality_model, quality_rules, simhash, substring_dedup, toxicity, url_filters
+from . import exact_dedup, fixity, hard_negatives, mixture, packing, quality_model, quality_rules, secrets, simhash, spelling, substring_dedup, toxicity, url_filters
 
 
 def _pipeline(spark, sf_dir):
@@ -24,6 +24,9 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_merkle_fixity": fixity.op9_merkle_fixity,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_secret_scan": secrets.op13_secret_scan,
     }
 
 
@@ -34,4 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_exact_dedup": exact_dedup.sql(),
         "op9_merkle_fixity": fixity.sql(),
         "op10_quality_rules": quality_rules.sql(),
+        "op11_spelling_variants": spelling.sql(),
+        "op12_hard_negatives": hard_negatives.sql(),
     }
