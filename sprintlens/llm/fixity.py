@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, table
+from .common import HEAVY_SHARE, TASK_ROWS, Scratch, table
 
 FANOUT, FANOUT_BITS = 64, 6
 VOLUME, VOLUME_BITS = 4096, 12
@@ -65,16 +65,82 @@ _HEAD = re.compile(rb"WARC/1\.[01]\r?\n(?:[^\r\n]+\r?\n)*(\r?\n)?")
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)\r?$", re.M)
 
 
-def plain_warc(content: bytes) -> bytes:
-    """The bytes of a WARC file, gzip members (one a record, or any) undone."""
-    if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(wbits=31)
-        out.append(member.decompress(content) + member.flush())
-        content = member.unused_data.lstrip(b"\0")
-    return b"".join(out)
+_MAGIC = b"\x1f\x8b\x08"
+
+
+def _undone(content: bytes, at: int, most: int = -1) -> tuple[bytes, int, bool]:
+    """What the gzip member at a place holds (up to ``most`` bytes of it are enough), where it ends, and whether it is whole.
+
+    A damaged member comes as far as it can be undone: where a piece fails, byte by byte."""
+    member, out, size, step = zlib.decompressobj(wbits=31), [], 0, 1 << 14
+    while at < len(content) and not member.eof and not 0 <= most <= size:
+        piece = content[at : at + step]
+        before = member.copy() if step > 1 else None
+        try:
+            plain = member.decompress(piece)
+        except zlib.error:
+            if before is None:
+                return b"".join(out), at, False
+            member, step = before, 1
+            continue
+        out.append(plain)
+        size += len(plain)
+        at += len(piece) - len(member.unused_data)
+    return b"".join(out), at, member.eof
+
+
+def members(content: bytes) -> Iterator[tuple[bytes, bool]]:
+    """The plain bytes of a WARC file's gzip members, one after another, and whether each is whole; a plain file is one part.
+
+    Of a damaged member comes what can be undone, or its own bytes if nothing can. After it
+    reading goes on at the next member that begins with a record, and so it does after bytes
+    between members; zero bytes there are padding."""
+    if content[:2] != _MAGIC[:2]:
+        yield content, True
+        return
+    at = 0
+    while at < len(content):
+        plain, end, whole = _undone(content, at) if content.startswith(_MAGIC, at) else (b"", at, False)
+        if not whole:
+            end = content.find(_MAGIC, at + 1)
+            while end >= 0 and not _undone(content, end, 16)[0].startswith(b"WARC/1."):
+                end = content.find(_MAGIC, end + 1)
+            end = end if end >= 0 else len(content)
+            plain = plain or content[at:end]
+        if whole or plain.strip(b"\0"):
+            yield plain, whole
+        at = end
+
+
+def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """Header fields, block and whether it is whole, of each record of a file, member by member.
+
+    A record may span members. The last record of a damaged member isn't whole; a damaged
+    member without any is a record without fields."""
+    held: list[bytes] = []
+
+    def records(damaged: bool) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+        last = None
+        for record in split_warc(b"".join(held)):
+            if last is not None:
+                yield last
+            last = record
+        if last is None and damaged:
+            last = {}, held[-1], False
+        if last is not None:
+            yield (*last[:2], last[2] and not damaged)
+        held.clear()
+
+    for plain, whole in members(content):
+        if held and plain.startswith(b"WARC/1."):
+            yield from records(False)
+        if not whole and held and not plain.startswith(b"WARC/1."):
+            yield from records(False)
+        held.append(plain)
+        if not whole:
+            yield from records(True)
+    if held:
+        yield from records(False)
 
 
 def split_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
@@ -96,16 +162,21 @@ def split_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
             yield fields, content[at : head.start() if head else len(content)].removesuffix(b"\r\n\r\n"), False
 
 
+def _page(name: str) -> int | None:
+    """The 64-bit number of a page's record id."""
+    page = re.fullmatch(r"urn:page:(-?[0-9]{1,30})", name)
+    return int(page[1]) if page and -(1 << 63) <= int(page[1]) < 1 << 63 else None
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["key", "record_id", "type", "url", "body", "whole"]
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_()]
     for b in batches:
         for content in b.column(0).to_pylist():
             rows, held = [], 0
-            for fields, block, whole in split_warc(plain_warc(content)):
+            for fields, block, whole in warc_records(content):
                 name = fields.get("warc-record-id", "").strip("<>")
-                page = re.fullmatch(r"urn:page:(-?\d{1,18})", name)
-                rows.append((int(page[1]) if page else None, name, fields.get("warc-type", ""), fields.get("warc-target-uri", ""), block, whole))
+                rows.append((_page(name), name, fields.get("warc-type", ""), fields.get("warc-target-uri", ""), block, whole))
                 held += len(block)
                 if held > 16 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -117,8 +188,10 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """key (null unless the id is urn:page:<number>), record_id, type, url, body and whole of each record.
 
-    Reads WARC 1.0 and 1.1, plain or gzipped, with records of any type. A file is one task's
-    work, so files should have the usual size of up to about a gigabyte."""
+    Reads WARC 1.0 and 1.1, plain or gzipped, with records of any type. Damage makes rows
+    whose ``whole`` is false, never an error. A file is one task's work, which holds its bytes
+    and one member undone (of a plain file, or one gzipped in one piece, the whole text), so
+    files should have the usual size of up to about a gigabyte and a member a record."""
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_records, "key bigint, record_id string, type string, url string, body binary, whole boolean")
 
@@ -151,11 +224,11 @@ def manifest(records: DataFrame) -> DataFrame:
 
 
 def _slots(entries: DataFrame) -> DataFrame:
-    """side, keyed, n, length and digest of each slot, from sums over its records."""
+    """side, keyed, n, length, digest and number of rows of each slot, from sums over its records."""
     whole = F.sha2(F.concat_ws("*", "sha256", "length", "copies"), 256)
     words = [F.sum(F.conv(F.substr("h", F.lit(1 + 16 * k), F.lit(16)), 16, 10).cast("decimal(20,0)")) for k in range(4)]
     rows = entries.select("side", F.col("key").isNotNull().alias("keyed"), F.col("place").alias("n"), (F.col("length") * F.col("copies")).alias("bytes"), whole.alias("h"))
-    return rows.groupBy("side", "keyed", "n").agg(F.sum("bytes").alias("length"), F.sha2(F.concat_ws(":", *words), 256).alias("digest"))
+    return rows.groupBy("side", "keyed", "n").agg(F.sum("bytes").alias("length"), F.sha2(F.concat_ws(":", *words), 256).alias("digest"), F.count(F.lit(1)).alias("records"))
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
@@ -198,6 +271,20 @@ def damaged_slots(levels: list[DataFrame]) -> DataFrame:
     return found
 
 
+def _flagged(rows: DataFrame, slots: DataFrame, total: int) -> DataFrame:
+    """rows with ``flag``: whether their slot (keyed, place) is in ``slots``, which knows its number of ``records``.
+
+    Slots with over a thousandth of the ``total`` records, or with more than a task should
+    have, are fewer than total / limit and broadcast; the rest is a join of light keys."""
+    least = min(total * HEAVY_SHARE, TASK_ROWS)
+    heavy = slots.filter(F.col("records") > least).select("keyed", "place", F.lit(True).alias("__heavy"))
+    light = slots.filter(F.col("records") <= least).select("keyed", "place", F.lit(True).alias("__light"))
+    marked = rows.join(F.broadcast(heavy), ["keyed", "place"], "left")
+    rest = marked.filter(F.col("__heavy").isNull()).join(light.hint("merge"), ["keyed", "place"], "left")
+    flag = F.coalesce("__light", F.lit(False)).alias("flag")
+    return rest.select(*rows.columns, flag).unionByName(marked.filter("__heavy").select(*rows.columns, F.lit(True).alias("flag")))
+
+
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """key, volume, offset, length, sha256, copies and verdict of the records of two replicas.
 
@@ -208,11 +295,15 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     at = Scratch(left.sparkSession, "fixity")
     a, b = at.write(manifest(left), "left"), at.write(manifest(right), "right")
     both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
-    slots = at.write(damaged_slots(trees(both, at)).select("keyed", F.col("n").alias("place")), "slots")
+    total = both.count()
+    levels = trees(both, at)
+    sizes = levels[0].groupBy("keyed", "n").agg(F.sum("records").alias("records"))
+    slots = at.write(damaged_slots(levels).join(sizes, ["keyed", "n"]).withColumnRenamed("n", "place"), "slots")
     value = ["key", "volume", "offset", "length", "sha256", "copies"]
     spot = ["keyed", "place", "sha256"]
-    own = [x.withColumn("keyed", F.col("key").isNotNull()).join(slots, ["keyed", "place"], "left_semi") for x in (a, b)]
-    whole = a.withColumn("keyed", F.col("key").isNotNull()).join(slots, ["keyed", "place"], "left_anti").select(*value, F.lit("ok").alias("verdict"))
+    seen = [_flagged(x.withColumn("keyed", F.col("key").isNotNull()), slots, total) for x in (a, b)]
+    own = [at.write(x.filter("flag").drop("flag"), f"damaged{k}") for k, x in enumerate(seen)]
+    whole = seen[0].filter("NOT flag").select(*value, F.lit("ok").alias("verdict"))
     parts = []
     for mine, other in (own, own[::-1]):
         found = mine.join(other.select(*spot, F.col("copies").alias("there")), spot, "left")
@@ -222,10 +313,10 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
 
     def surplus(mine: DataFrame, other: DataFrame, matched: str, alone: str) -> DataFrame:
         # records without a key aren't versions of each other
-        others = other.filter("keyed").select("keyed", "place").distinct().withColumn("met", F.lit(True))
-        rows = mine.join(others, ["keyed", "place"], "left")
+        others = other.filter("keyed").select("keyed", "place").distinct().join(slots, ["keyed", "place"])
+        rows = _flagged(mine, others, total)
         offset = (F.col("offset") + F.col("length") * F.col("same")).alias("offset")
-        return rows.select("key", "volume", offset, "length", "sha256", (F.col("copies") - F.col("same")).alias("copies"), F.when(F.col("met"), matched).otherwise(alone).alias("verdict"))
+        return rows.select("key", "volume", offset, "length", "sha256", (F.col("copies") - F.col("same")).alias("copies"), F.when(F.col("flag"), matched).otherwise(alone).alias("verdict"))
 
     return whole.unionByName(shared).unionByName(surplus(here, there, "corrupt", "missing")).unionByName(surplus(there, here, "altered", "extra"))
 

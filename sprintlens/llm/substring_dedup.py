@@ -9,8 +9,8 @@ indexed. The index lies under a folder and outlives the session that made it: a
 * runs: immutable tables of hashes and counts, and of postings (hash, batch, document,
   position), both bucketed and sorted by hash; the postings of heavy hashes, of which there
   are few, are strewn over all buckets instead, so that none gathers them;
-* the texts of each batch, bucketed by document;
-* a manifest, written last, that names the tables which count.
+* the texts of each batch, bucketed by document, and the ranges of its repeated windows;
+* a manifest, written last, that names the tables which count and each batch's token.
 
 A batch of documents
 
@@ -18,9 +18,15 @@ A batch of documents
 2. is merge-joined with the older runs, bucket by bucket, for hashes seen before,
 3. is verified: around those hashes only, the real windows of the batch and of the older
    documents that hold them are compared by 128-bit digests of their words; all but the
-   first by (batch, document, start) are repeats,
-4. and wherever ``FANOUT`` runs of one level have piled up they are compacted into one of
-   the next level.
+   first by (batch, document, start) are repeats, whose ranges are written,
+4. wherever ``FANOUT`` runs of one level have piled up they are compacted into one of
+   the next level,
+5. and counts from the moment its manifest is whole.
+
+A batch that fails before that leaves nothing that counts, whatever it has written; the next
+batch clears it away. Afterwards its result can always be had again: it follows from its
+texts and ranges. A batch that is added under a token it had before gets that result and is
+not added twice, so a job that doesn't know whether it ended may simply run again.
 
 Decisions on older documents never change. A batch reads the older runs and texts in their
 buckets, without a shuffle; only postings of matched hashes and the texts that hold them go
@@ -282,6 +288,8 @@ class _Run:
 
 #: Columns and bucket column of the index's tables, by kind.
 _TABLES = {"counts": ("h bigint, n bigint", "h"), "postings": ("place bigint, h bigint, batch int, id bigint, pos int", "place"), "found": ("h bigint, n bigint", "h"), "texts": ("id bigint, doc_id bigint, text string", "id")}
+#: Columns of its tables without buckets.
+_PLAIN = {"heavy": "h bigint", "ranges": "id bigint, lo int, hi int"}
 
 
 class FingerprintIndex:
@@ -291,10 +299,10 @@ class FingerprintIndex:
         self.spark, self.fanout, self.hot = spark, fanout, hot
         self.path = (path or f"{shared_root(spark)}/fingerprints-{uuid.uuid4().hex}").rstrip("/")
         self.window, self.inner, self.buckets = window, inner, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[_Run] = []
-        self.texts: list[str] = []  # of each batch
-        self.version = 0
-        self._made: set[str] = set()
+        self.runs: list[_Run]
+        self.texts: list[str]  # of each batch, like the next two
+        self.ranges: list[str]
+        self.tokens: list[str]
         self._open()
 
     # -- manifest and tables -----------------------------------------------------------
@@ -303,44 +311,55 @@ class FingerprintIndex:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _names(self, path: str) -> list[str]:
+        fs, root = self._fs(path)
+        return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+
     def _open(self) -> None:
         """Takes up the last manifest that was written whole."""
-        fs, root = self._fs(f"{self.path}/manifest")
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        whole = [int(n) for n in names if n.isdigit() and fs.exists(self._fs(f"{self.path}/manifest/{n}/_SUCCESS")[1])]
+        fs = self._fs(self.path)[0]
+        self.runs, self.texts, self.ranges, self.tokens, self.version = [], [], [], [], 0
+        whole = [int(n) for n in self._names(f"{self.path}/manifest") if n.isdigit() and fs.exists(self._fs(f"{self.path}/manifest/{n}/_SUCCESS")[1])]
         if whole:
             self.version = max(whole)
             d = json.loads(self.spark.read.text(f"{self.path}/manifest/{self.version}").first()[0])
             self.window, self.inner, self.buckets = d["window"], d["inner"], d["buckets"]
-            self.texts, self.runs = d["texts"], [_Run(**r) for r in d["runs"]]
+            self.texts, self.ranges, self.tokens, self.runs = d["texts"], d["ranges"], d["tokens"], [_Run(**r) for r in d["runs"]]
 
     def _commit(self) -> None:
-        """Writes the manifest, from which on the batch counts; then drops tables that no manifest names."""
-        d = {"window": self.window, "inner": self.inner, "buckets": self.buckets, "texts": self.texts, "runs": [asdict(r) for r in self.runs]}
+        """Writes the manifest, from which on the batch counts."""
+        d = {"window": self.window, "inner": self.inner, "buckets": self.buckets, "texts": self.texts, "ranges": self.ranges, "tokens": self.tokens, "runs": [asdict(r) for r in self.runs]}
         self.spark.createDataFrame([(json.dumps(d),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/{self.version + 1}")
         self.version += 1
-        used = {x for r in self.runs for x in r.tables()} | set(self.texts)
-        for name in list(self._made - used):
-            self._drop(name)
+
+    def _sweep(self) -> None:
+        """Drops the tables that the last manifest doesn't name, also those of crashed sessions, and older manifests."""
+        used = {x for r in self.runs for x in r.tables()} | set(self.texts) | set(self.ranges)
+        for name in self._names(self.path):
+            if name.startswith("fingerprints_") and name not in used:
+                self._drop(name)
+        for name in self._names(f"{self.path}/manifest"):
+            if name != str(self.version):
+                fs, p = self._fs(f"{self.path}/manifest/{name}")
+                fs.delete(p, True)
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         fs, p = self._fs(f"{self.path}/{name}")
         fs.delete(p, True)
-        self._made.discard(name)
 
     def close(self) -> None:
         """Deletes the index; only for one that nothing will use again."""
-        for name in self._made | set(self.texts) | {x for r in self.runs for x in r.tables()}:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for name in self._names(self.path):
+            if name.startswith("fingerprints_"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         fs, p = self._fs(self.path)
         fs.delete(p, True)
-        self.runs, self.texts, self._made = [], [], set()
+        self.runs, self.texts, self.ranges, self.tokens = [], [], [], []
 
     def _write(self, df: DataFrame, kind: str) -> str:
         """Writes a table and returns its name: bucketed and sorted, or plain if the kind has no bucket column."""
         name = f"fingerprints_{kind}_{uuid.uuid4().hex}"
-        self._made.add(name)
         with drops_shuffles(self.spark):
             if kind in _TABLES:
                 by = _TABLES[kind][1]
@@ -353,7 +372,7 @@ class FingerprintIndex:
         """A table of the index; one that another session wrote is registered first."""
         kind = name.split("_")[1]
         if kind not in _TABLES:
-            return self.spark.read.schema("h bigint").parquet(f"{self.path}/{name}")
+            return self.spark.read.schema(_PLAIN[kind]).parquet(f"{self.path}/{name}")
         if not self.spark.catalog.tableExists(name):
             columns, by = _TABLES[kind]
             self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
@@ -402,52 +421,63 @@ class FingerprintIndex:
 
     # -- batches -----------------------------------------------------------------------
 
-    def find(self, docs: DataFrame, at: Scratch) -> tuple[int, DataFrame]:
-        """Adds a batch; its number, and the ranges (id, lo, hi) of starts of its repeated windows."""
-        k = len(self.texts)
-        name = self._write(_keyed(docs, at), "texts")
-        anchors = self._table(name).select("id", "text").mapInArrow(_anchors(self.window, self.inner), "h bigint, id bigint, pos int")
-        anchors = at.write(anchors.select("h", F.lit(k).alias("batch"), "id", "pos"), f"anchors{k}")
-        run = self._run(anchors, anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")), 0)
-        at.delete(f"anchors{k}")
-        found = self._repeated(run)
-        spots = reduce(DataFrame.unionByName, [self._met(r, found) for r in (*self.runs, run)])
-        spots = spots.groupBy("batch", "id").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n"))
-        spots = at.write(spots, f"spots{k}", "batch")
-        self.texts.append(name)
-        self.runs.append(run)
-        self._compact()
-        self._commit()
-
-        held = sorted(r["batch"] for r in spots.select("batch").distinct().collect())  # one row a batch
+    def find(self, docs: DataFrame, token: str | None = None) -> int:
+        """Adds a batch, unless one was added under the token before; its number."""
+        if token is not None and token in self.tokens:
+            return self.tokens.index(token)
+        at = Scratch(self.spark, "substring")
+        self._sweep()
+        try:
+            texts = self._write(_keyed(docs, at), "texts")
+            anchors = self._table(texts).select("id", "text").mapInArrow(_anchors(self.window, self.inner), "h bigint, id bigint, pos int")
+            anchors = at.write(anchors.select("h", F.lit(len(self.texts)).alias("batch"), "id", "pos"), "anchors")
+            run = self._run(anchors, anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")), 0)
+            at.delete("anchors")
+            found = self._repeated(run)
+            spots = reduce(DataFrame.unionByName, [self._met(r, found) for r in (*self.runs, run)])
+            spots = spots.groupBy("batch", "id").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n"))
+            spots = at.write(spots, "spots", "batch")
+            ranges = self._write(self._verified([*self.texts, texts], spots, at), "ranges")
+            at.delete()
+            self.texts, self.ranges, self.runs = [*self.texts, texts], [*self.ranges, ranges], [*self.runs, run]
+            self.tokens = [*self.tokens, token or uuid.uuid4().hex]
+            self._compact()
+            self._commit()
+        except BaseException:
+            self._open()  # what counts is what the last manifest names
+            raise
+        self._sweep()
+        return len(self.texts) - 1
+
+    def _verified(self, texts: list[str], spots: DataFrame, at: Scratch) -> DataFrame:
+        """The ranges (id, lo, hi) of starts of repeated windows of the last of the batches."""
+        k = len(texts) - 1
         parts = []
-        for j in held:
-            rows = self._table(self.texts[j]).join(spots.filter(F.col("batch") == j).select("id", "at", "n"), "id").select("id", "text", "at", "n")
+        for j in sorted(r["batch"] for r in spots.select("batch").distinct().collect()):  # one row a batch
+            rows = self._table(texts[j]).join(spots.filter(F.col("batch") == j).select("id", "at", "n"), "id").select("id", "text", "at", "n")
             rows = rows.mapInArrow(_windows(self.window, self.inner, self.hot), "key bigint, slot int, id bigint, start int, digests binary")
             parts.append(rows.select("key", "slot", F.lit(j).alias("batch"), "id", "start", "digests"))
-        schema = "batch int, id bigint, lo int, hi int, first binary"
         if not parts:
-            return k, self.spark.createDataFrame([], "id bigint, lo int, hi int")
+            return self.spark.createDataFrame([], _PLAIN["ranges"])
         rows = reduce(DataFrame.unionByName, parts).repartition("key", "slot").sortWithinPartitions("key", "slot", "batch", "id", "start")
-        marks = at.write(rows.mapInArrow(_repeats(k), schema), f"marks{k}")
-        at.delete(f"spots{k}")
+        marks = at.write(rows.mapInArrow(_repeats(k), "batch int, id bigint, lo int, hi int, first binary"), "marks")
+        at.delete("spots")
         among = Window.partitionBy("first").orderBy("batch", "id", "lo")
         late = marks.filter("first IS NOT NULL").withColumn("k", F.dense_rank().over(among)).filter("k > 1")
-        return k, marks.filter("first IS NULL").unionByName(late.drop("k")).filter(F.col("batch") == k).select("id", "lo", "hi")
+        return marks.filter("first IS NULL").unionByName(late.drop("k")).filter(F.col("batch") == k).select("id", "lo", "hi")
 
-    def kept(self, batch: int, ranges: DataFrame) -> DataFrame:
+    def kept(self, batch: int) -> DataFrame:
         """doc_id, n_words, n_removed and kept_text of every row of a batch."""
-        gone = ranges.groupBy("id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+        gone = self._table(self.ranges[batch]).groupBy("id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
         rows = self._table(self.texts[batch]).join(gone, "id", "left").select("doc_id", "text", "lo", "hi")
         return rows.mapInArrow(_kept(self.window), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_words, n_removed and kept_text of every row of docs, judged after all that was added before."""
-        at = Scratch(self.spark, "substring")
-        k, ranges = self.find(docs, at)
-        out = at.write(self.kept(k, ranges), "kept")
-        at.delete(f"marks{k}")
-        return out
+    def add(self, docs: DataFrame, token: str | None = None) -> DataFrame:
+        """doc_id, n_words, n_removed and kept_text of every row of docs, judged after all that was added before.
+
+        token: a name of the batch. Under a name that the index knows nothing is added, and
+        the result is that of the batch which had it. The result is read from the index."""
+        return self.kept(self.find(docs, token))
 
 
 def substring_dedup(docs: DataFrame, batches: int = BATCHES, **options) -> DataFrame:
@@ -455,21 +485,18 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, **options) -> DataF
 
     The rows go through an index of its own in batches of rising doc_id (null last); options
     are those of the index. All but the result is deleted in the end."""
-    at, result = Scratch(docs.sparkSession, "substring"), Scratch(docs.sparkSession, "substring-kept")
+    result = Scratch(docs.sparkSession, "substring-kept")
     index = FingerprintIndex(docs.sparkSession, **options)
     try:
         last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
         cuts = docs.select(F.percentile_approx(last, [k / batches for k in range(1, batches)]).alias("c")).first()["c"] if batches > 1 else []
         bounds = [None, *sorted(set(cuts or [])), None]
-        found = []
         for lo, hi in zip(bounds, bounds[1:], strict=False):
-            upto = docs if hi is None else docs.filter(last <= hi)
-            found.append(index.find(upto if lo is None else upto.filter(last > lo), at))
-        parts = [result.write(index.kept(k, ranges), f"kept{k}") for k, ranges in found]
-        return reduce(DataFrame.unionByName, parts)
+            own = docs if lo is None else docs.filter((F.col("doc_id") > lo) | F.col("doc_id").isNull())
+            index.find(own if hi is None else own.filter(last <= hi if hi == (1 << 63) - 1 else F.col("doc_id") <= hi))
+        return reduce(DataFrame.unionByName, [result.write(index.kept(k), f"kept{k}") for k in range(len(index.texts))])
     finally:
         index.close()
-        at.delete()
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

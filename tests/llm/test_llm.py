@@ -298,8 +298,8 @@ def test_substrings_against_brute_force(spark, sf, options):
     assert substrings(docs, **options) == brute_substrings([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def _added(index, df):
-    return {r.doc_id: [(r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest())] for r in index.add(df).collect()}
+def _added(index, df, token=None):
+    return {r.doc_id: [(r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest())] for r in index.add(df, token).collect()}
 
 
 def test_substrings_batch_after_batch(spark, sf):
@@ -309,7 +309,7 @@ def test_substrings_batch_after_batch(spark, sf):
     path, got, levels = substring_dedup.FingerprintIndex(spark).path, {}, []
     for lo, hi in ((-1, 60), (60, 90), (90, 130), (130, 170), (170, 10**9)):
         index = substring_dedup.FingerprintIndex(spark, path)
-        for name in {r.counts for r in index.runs} | set(index.texts):  # another session's catalog doesn't know the tables
+        for name in {x for r in index.runs for x in (r.counts, r.postings)} | set(index.texts):  # another session's catalog doesn't know the tables
             spark.sql(f"DROP TABLE {name}")
         got |= _added(index, docs.filter((F.col("doc_id") > lo) & (F.col("doc_id") <= hi)))
         levels.append([r.level for r in index.runs])
@@ -317,21 +317,66 @@ def test_substrings_batch_after_batch(spark, sf):
     # old postings and texts stay in their buckets: only what matched is dealt anew
     plan = index._met(index.runs[0], index._repeated(index.runs[-1]))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
-    texts = index.kept(0, spark.createDataFrame([(1, 0, 3)], "id bigint, lo int, hi int").repartition(3).hint("merge"))._jdf.queryExecution().executedPlan().toString()
+    texts = index.kept(4)._jdf.queryExecution().executedPlan().toString()
     assert texts.count("Exchange hashpartitioning") == 1
+    assert index._names(f"{path}/manifest") == ["5"]
+    named = {x for r in index.runs for x in r.tables()} | set(index.texts) | set(index.ranges)
+    index._sweep()  # what the plan above wrote
+    assert {x for x in index._names(path) if x != "manifest"} == named
     index.close()
     assert not spark._jvm.java.io.File(path.removeprefix("file://")).exists()
 
 
-def test_substrings_batch_that_fails_does_not_count(spark):
+def _fails_at(index, step):
+    """Makes the index fail at its step-th write, or at its commit before or after the manifest is whole."""
+    write, commit, left = index._write, index._commit, [step]
+
+    def failing(df, kind):
+        left[0] -= 1
+        if left[0] == 0:
+            raise ZeroDivisionError(kind)
+        return write(df, kind)
+
+    def committing():
+        if step == "after":
+            commit()
+        raise ZeroDivisionError
+
+    index._write, index._commit = (failing, commit) if isinstance(step, int) else (write, committing)
+
+
+@pytest.mark.parametrize("step", [1, 5, 6, "before", "after"])
+def test_substrings_batch_that_fails(spark, step):
+    """Whatever write fails, the batch counts once and can be added again: nothing is removed as a repeat of itself."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    own = spark.createDataFrame([(2, f"x {a}"), (3, b), (4, f"{b} {b}")], "doc_id bigint, text string")
+    index = substring_dedup.FingerprintIndex(spark)
+    index.add(spark.createDataFrame([(1, a)], "doc_id bigint, text string"), "first")
+    _fails_at(index, step)
+    with pytest.raises(ZeroDivisionError):
+        index.add(own, "second")
+    if step in (1, 6, "after"):  # the same session goes on
+        del index._write, index._commit
+    else:
+        index = substring_dedup.FingerprintIndex(spark, index.path)
+    got = _added(index, own, "second")
+    assert {k: v[0][:2] for k, v in got.items()} == {2: (61, 60), 3: (60, 0), 4: (120, 120)} and index.tokens == ["first", "second"]
+    index = substring_dedup.FingerprintIndex(spark, index.path)
+    assert _added(index, own, "second") == got and len(index.texts) == 2
+    assert {k: v[0][1] for k, v in _added(index, own, "third").items()} == {2: 61, 3: 60, 4: 120}
+    index.close()
+
+
+def test_substrings_lost_result(spark):
+    """A result that was lost after the batch counted comes again under its token."""
     a = " ".join(f"a{i}" for i in range(60))
+    own = spark.createDataFrame([(1, a), (2, f"{a} tail")], "doc_id bigint, text string")
     index = substring_dedup.FingerprintIndex(spark)
-    index.add(spark.createDataFrame([(1, a)], "doc_id bigint, text string"))
-    index._commit = lambda: 1 / 0
+    index.kept = lambda batch: 1 / 0
     with pytest.raises(ZeroDivisionError):
-        index.add(spark.createDataFrame([(2, a)], "doc_id bigint, text string"))
+        index.add(own, "only")
     again = substring_dedup.FingerprintIndex(spark, index.path)
-    assert len(again.texts) == 1 and _added(again, spark.createDataFrame([(3, f"x {a}")], "doc_id bigint, text string"))[3][0][:2] == (61, 60)
+    assert {k: v[0][:2] for k, v in _added(again, own, "only").items()} == {1: (60, 0), 2: (61, 60)} and len(again.texts) == 1
     again.close()
 
 
@@ -662,7 +707,8 @@ def test_very_long_urls(spark):
 
 
 def test_warc_round_trip(spark, sf, tmp_path):
-    odd = [(900, "u", "a\r\n\r\nb"), (901, None, None), (902, "u", "WARC/1.0\r\nWARC-Type: resource\r\n\r\nx\r\n\r\nWARC/1.0\r\n\r\n"), (None, "v", "no key")]
+    large = [(k, "u", "large") for k in (2**60, 10**18, -(2**63), 2**63 - 1)]
+    odd = [*large, (900, "u", "a\r\n\r\nb"), (901, None, None), (902, "u", "WARC/1.0\r\nWARC-Type: resource\r\n\r\nx\r\n\r\nWARC/1.0\r\n\r\n"), (None, "v", "no key")]
     pages = table(spark, sf, "pages").unionByName(spark.createDataFrame(odd, "page_id bigint, url string, html string"))
     fixity.write_warc(fixity.as_records(pages), str(tmp_path / "warc"))
     back = fixity.read_warc(spark, str(tmp_path / "warc"))
@@ -688,6 +734,70 @@ def test_warc_versions_members_and_damage(spark, tmp_path):
     }
 
 
+def test_warc_damaged_members(spark, tmp_path):
+    """A flipped byte, a cut member, bytes between members and files that only look gzipped are rows; reading goes on behind them."""
+    import gzip
+
+    def record(k, block):
+        return f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{k}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    blocks = {k: hashlib.sha512(bytes([k])).digest() * 900 + bytes(range(256)) * k for k in range(1, 8)}
+    members = {k: gzip.compress(record(k, b), mtime=0) for k, b in blocks.items()}
+    flipped = bytearray(members[2])
+    flipped[len(flipped) // 2] ^= 0xFF
+    head = bytearray(members[4])
+    head[12] ^= 0xFF  # right behind the member's head
+    crc = bytearray(members[5])
+    crc[-6] ^= 1
+    (tmp_path / "a.warc.gz").write_bytes(members[1] + bytes(flipped) + members[3] + bytes(head) + bytes(crc) + b"\0" * 9 + members[6] + b"between" + members[7][:-20])
+    (tmp_path / "b.warc.gz").write_bytes(b"\x1f\x8b and no more")
+    (tmp_path / "c.warc.gz").write_bytes(b"\x1f\x8b\x08\x00" + b"\xff" * 50 + members[1])
+    (tmp_path / "d.warc.gz").write_bytes(b"")
+    (tmp_path / "e.warc.gz").write_bytes(gzip.compress(record(1, blocks[1])[:1000]) + gzip.compress(record(1, blocks[1])[1000:] + record(2, blocks[2])))
+    got = defaultdict(list)
+    for r in spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content").collect():
+        for fields, block, whole in fixity.warc_records(bytes(r.content)):
+            got[r.path[-9:-8]].append((fields.get("warc-record-id", "")[10:-1], block, whole))
+    a = got["a"]
+    assert [(k, w) for k, _, w in a if w] == [("1", True), ("3", True), ("6", True)]
+    assert all(b == blocks[int(k)] for k, b, w in a if w)
+    assert {k for k, _, w in a if not w} >= {"2", "5", "7", ""}
+    for k in ("2", "5", "7"):  # what could be undone is there
+        assert all(blocks[int(k)].startswith(b[: len(b) // 2]) and b for x, b, w in a if x == k)
+    assert got["b"] == [("", b"\x1f\x8b and no more", False)]
+    assert [(k, w) for k, _, w in got["c"]] == [("", False), ("1", True)] and "d" not in got
+    assert [(k, b == blocks[int(k)], w) for k, b, w in got["e"]] == [("1", True, True), ("2", True, True)]
+    df = fixity.read_warc(spark, str(tmp_path))
+    assert df.filter("whole").groupBy("key").count().orderBy("key").collect() == [(1, 3), (2, 1), (3, 1), (6, 1)]
+    assert df.filter("NOT whole").count() == sum(not w for x in got.values() for *_, w in x)
+
+
+@given(st.binary(max_size=200), st.integers(0, 400), st.integers(0, 255))
+@settings(max_examples=200, deadline=None)
+def test_warc_never_crashes(junk, at, byte):
+    import gzip
+
+    good = gzip.compress(b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", mtime=0)
+    content = bytearray(good + junk + good)
+    content[at % len(content)] = byte
+    list(fixity.warc_records(bytes(content)))
+    list(fixity.warc_records(b"\x1f\x8b" + junk))
+
+
+def test_fixity_of_hot_damaged_key(spark):
+    """A damaged key with most of the records is not gathered: its rows meet the slot in a broadcast."""
+    left = spark.range(6000).select(F.when(F.col("id") % 4 > 0, 11).otherwise(F.col("id")).cast("bigint").alias("key"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("record"))
+    right = left.withColumn("record", F.when(F.col("record").isin("r9", "r12", "r5001"), "changed").otherwise(F.col("record"))).filter("record <> 'r4003'")
+    got = fixity.audit(left, right)
+    pairs = [[(r.key, r.record) for r in x.collect()] for x in (left, right)]
+    assert sorted((str(r.key), r.sha256, r.verdict, r.copies) for r in got.collect()) == slow_audit(*pairs)
+    slots = spark.createDataFrame([(True, 11, 4500), (True, 12, 1)], "keyed boolean, place bigint, records bigint")
+    rows_ = spark.range(6000).select(F.lit(True).alias("keyed"), F.when(F.col("id") % 4 > 0, 11).otherwise(F.col("id")).alias("place"))
+    seen = fixity._flagged(rows_, slots, 12000)
+    assert seen.groupBy("flag").count().orderBy("flag").collect() == [(False, 1499), (True, 4501)]
+    assert "BroadcastHashJoin" in seen._jdf.queryExecution().executedPlan().toString()
+
+
 def slow_audit(a, b):
     """Verdicts with copies of each (key, record), by counting."""
     from collections import Counter
