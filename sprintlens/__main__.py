@@ -1,4 +1,4 @@
-"""python -m sprintlens demo | init-config PATH | pipeline --config PATH [--stages A,B]"""
+"""python -m sprintlens demo | init-config PATH | pipeline --config PATH [--stages A,B] [--again]"""
 
 from __future__ import annotations
 
@@ -20,6 +20,7 @@ def main(argv: list[str] | None = None) -> int:
     pipe = sub.add_parser("pipeline", help="run stages")
     pipe.add_argument("--config", required=True)
     pipe.add_argument("--stages", default="mine,infer,train,forecast")
+    pipe.add_argument("--again", action="store_true", help="run the stages even if they are done; authors without new commits keep their fits")
     a = p.parse_args(argv)
     if a.command == "init-config":
         from .plans.config import write_default
@@ -36,7 +37,7 @@ def main(argv: list[str] | None = None) -> int:
         from .plans.config import Config
         from .plans.stages import Pipeline
 
-        print("ran:", *Pipeline(spark, Config.load(a.config)).run(tuple(a.stages.split(","))))
+        print("ran:", *Pipeline(spark, Config.load(a.config)).run(tuple(a.stages.split(",")), a.again))
     return 0
 
 

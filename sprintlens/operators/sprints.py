@@ -29,74 +29,114 @@ def membership(events: DataFrame, prior: DataFrame | None = None, prior_conf: Da
     """sprint_id, item_id and start_seq of the items that sprints hold in the end.
 
     prior (sprint_id, item_id) and prior_conf (sprint_id) are the state before the events,
-    whose numbers are not negative; items held since then start at -1. One pass: removals
-    and additions of an item meet in one aggregate by sprint and item."""
+    whose numbers are not negative; items held since then start at -1. The last removal and
+    the first addition after it are aggregates that combine before the shuffle, so an item
+    with very many moves gathers in no task."""
     conf = configured(events).select("sprint_id", "conf_seq")
     moves = events.filter("type IN ('added', 'removed')").select("sprint_id", "item_id", "type", "seq")
     if prior_conf is not None:
         conf = conf.unionByName(prior_conf.select("sprint_id", F.lit(_PRIOR_CONF).cast("bigint").alias("conf_seq"))).groupBy("sprint_id").agg(F.max("conf_seq").alias("conf_seq"))
     if prior is not None:
         moves = moves.unionByName(prior.select("sprint_id", "item_id", F.lit("added").alias("type"), F.lit(_PRIOR_ADD).cast("bigint").alias("seq")))
-    own = moves.join(conf, "sprint_id").filter("seq > conf_seq")
-    w = Window.partitionBy("sprint_id", "item_id")
-    own = own.withColumn("drop_seq", F.max(F.when(F.col("type") == "removed", F.col("seq"))).over(w))
-    added = own.filter((F.col("type") == "added") & (F.col("seq") > F.coalesce("drop_seq", F.lit(_FIRST))))
+    dropped = moves.filter("type = 'removed'").groupBy("sprint_id", "item_id").agg(F.max("seq").alias("drop_seq"))
+    limits = moves.select("sprint_id", "item_id").distinct().join(conf, "sprint_id").join(dropped, ["sprint_id", "item_id"], "left")
+    limits = limits.select("sprint_id", "item_id", F.greatest("conf_seq", F.coalesce("drop_seq", F.lit(_FIRST))).alias("limit_seq"))
+    added = moves.filter("type = 'added'").join(limits, ["sprint_id", "item_id"]).filter("seq > limit_seq")
     return added.groupBy("sprint_id", "item_id").agg(F.min("seq").alias("start_seq"))
 
 
 def item_state(events: DataFrame, prior: DataFrame | None = None, prior_conf: DataFrame | None = None) -> DataFrame:
-    """sprint_id, item_id, status and factor of held items; prior has these columns too."""
+    """sprint_id, item_id, status and factor of held items; prior has these columns too.
+
+    An item's last status and last scope are the same for every sprint that holds it: they
+    count where they come after the sprint's start with the item. So changes become one row
+    an item before they meet the sprints."""
     held = membership(events, prior, prior_conf)
     if prior is None:
         held = held.withColumns({"old_status": F.lit("todo"), "old_factor": F.lit(1.0)})
     else:
         old = prior.select("sprint_id", "item_id", F.lit(_PRIOR_ADD).cast("bigint").alias("start_seq"), F.col("status").alias("old_status"), F.col("factor").alias("old_factor"))
         held = held.join(old, ["sprint_id", "item_id", "start_seq"], "left")
-    changes = events.filter("type IN ('status', 'scope')").select(F.col("item_id").alias("about"), F.col("seq").alias("at"), "type", "new_status", "scope_factor")
-    j = held.join(changes, (F.col("item_id") == F.col("about")) & (F.col("at") > F.col("start_seq")), "left")
-    status = F.max_by(F.when(F.col("type") == "status", F.col("new_status")), F.when(F.col("type") == "status", F.col("at")))
-    factor = F.max_by(F.when(F.col("type") == "scope", F.col("scope_factor")), F.when(F.col("type") == "scope", F.col("at")))
-    old = F.coalesce(F.any_value("old_status"), F.lit("todo")), F.coalesce(F.any_value("old_factor"), F.lit(1.0))
-    return j.groupBy("sprint_id", "item_id").agg(F.coalesce(status, old[0]).alias("status"), F.greatest(F.lit(0.0), F.coalesce(factor, old[1])).alias("factor"))
+    last = lambda c, kind: [F.max(F.when(F.col("type") == kind, F.struct("seq", c))).alias(kind)]
+    changes = events.filter("type IN ('status', 'scope')").groupBy("item_id").agg(*last("new_status", "status"), *last("scope_factor", "scope"))
+    j = held.join(changes, "item_id", "left")
+    status = F.when(F.col("status.seq") > F.col("start_seq"), F.col("status.new_status"))
+    factor = F.when(F.col("scope.seq") > F.col("start_seq"), F.col("scope.scope_factor"))
+    status, factor = F.coalesce(status, "old_status", F.lit("todo")), F.coalesce(factor, "old_factor", F.lit(1.0))
+    return j.select("sprint_id", "item_id", status.alias("status"), F.greatest(F.lit(0.0), factor).alias("factor"))
+
+
+#: Event numbers of a block; no more events of a day than that are in one window.
+BLOCK = 1 << 16
+
+
+def _scan(steps: DataFrame, by: list[str], order: str) -> DataFrame:
+    """by, order, and ``walk``: sum and lowest prefix of all steps (sum, low) of a group from each on.
+
+    Steps combine as (s, l) + (t, m) = (s + t, min(l, s + m)); over running totals that is a
+    sum and a minimum."""
+    up = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumn("before", F.sum("sum").over(up) - F.col("sum"))
+    total, low = F.sum("sum").over(down), F.min(F.col("before") + F.col("low")).over(down) - F.col("before")
+    return steps.select(*by, order, F.struct(total.alias("sum"), low.alias("low")).alias("walk"))
 
 
-def capacity(events: DataFrame, prior: DataFrame | None = None, prior_conf: DataFrame | None = None) -> DataFrame:
+def _then(first: Column, second: Column) -> Column:
+    """The walk of two walks in turn; either may be null."""
+    both = F.struct((first["sum"] + second["sum"]).alias("sum"), F.least(first["low"], first["sum"] + second["low"]).alias("low"))
+    return F.when(first.isNull(), second).when(second.isNull(), first).otherwise(both)
+
+
+def capacity(events: DataFrame, prior: DataFrame | None = None, prior_conf: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """sprint_id, day and available hours after all deltas, clamped at 0 at each step.
 
-    The walk x = max(0, x + delta) from x0 has the closed form S + max(x0, -min S), with S the
-    running sum of deltas since the sprint was configured. Each day's deltas are summed once,
-    forwards and backwards; a sprint looks up the first one after its configuration, by a
-    window over its day. So the work is deltas plus results, never deltas times sprints.
-    prior (sprint_id, day, available) is where days of sprints in prior_conf start from, else 8."""
+    The walk x = max(0, x + delta) from x0 has the closed form S + max(x0, -L), with S the sum
+    and L the lowest running sum of the deltas since the sprint was configured. Both come
+    from a scan on two levels: from each delta to the end of its block of ``block`` event
+    numbers, and from each block of a day to the day's end. A sprint looks up the first delta
+    after its configuration inside its block and the first block after it. So a day that
+    holds all events spreads over as many groups as it has blocks, and the work is deltas plus
+    results, never deltas times sprints. prior (sprint_id, day, available) is where days of
+    sprints in prior_conf start from, else 8."""
     conf = configured(events).select("sprint_id", "conf_seq", F.lit(False).alias("kept"))
     if prior_conf is not None:
         old = prior_conf.select("sprint_id").join(conf, "sprint_id", "left_anti")
         conf = conf.unionByName(old.select("sprint_id", F.lit(_PRIOR_CONF).cast("bigint").alias("conf_seq"), F.lit(True).alias("kept")))
-    av = events.filter("type = 'availability'").select("seq", "day", "delta")
-    up = Window.partitionBy("day").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("day").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    sums = av.withColumn("total", F.sum("delta").over(up))
-    sums = sums.select("day", "seq", F.struct((F.col("total") - F.col("delta")).alias("before"), F.min("total").over(down).alias("low"), F.first("total").over(down).alias("end")).alias("at"))
+    of_block = lambda c: F.floor(F.col(c) / block).alias("block")
+    steps = events.filter("type = 'availability'").select("day", of_block("seq"), "seq", F.col("delta").alias("sum"), F.col("delta").alias("low"))
+    inside = _scan(steps, ["day", "block"], "seq")
+    # a block's own walk is that of its first step
+    blocks = inside.groupBy("day", "block").agg(F.min_by("walk", "seq").alias("w")).select("day", "block", "w.sum", "w.low")
+    later = _scan(blocks, ["day"], "block")
+
     # the days of all deltas: one array, at most as long as the calendar
-    days = av.agg(F.collect_set("day").alias("days")).scalar()
-    asked = conf.select("sprint_id", "kept", F.explode(days).alias("day"), F.col("conf_seq").alias("seq"))
-    both = sums.select("day", "seq", "at", F.lit(None).cast(asked.schema["sprint_id"].dataType).alias("sprint_id"), F.lit(None).cast("boolean").alias("kept")).unionByName(
-        asked.select("day", "seq", F.lit(None).cast(sums.schema["at"].dataType).alias("at"), "sprint_id", "kept")
-    )
-    later = Window.partitionBy("day").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    met = both.withColumn("met", F.last("at", ignorenulls=True).over(later)).filter("kept IS NOT NULL AND met IS NOT NULL")
+    days = events.filter("type = 'availability'").agg(F.collect_set("day").alias("days")).scalar()
+    asked = conf.select("sprint_id", "kept", F.explode(days).alias("day"), F.col("conf_seq").alias("seq"), of_block("conf_seq"))
+    ahead = _next(inside, asked.filter("seq >= 0").select("day", "block", "seq").distinct(), ["day", "block"], "seq").withColumnRenamed("walk", "near")
+    behind = _next(later, asked.select("day", "block").distinct(), ["day"], "block").withColumnRenamed("walk", "far")
+    met = asked.join(ahead, ["day", "block", "seq"], "left").join(behind, ["day", "block"], "left")
+    met = met.withColumn("walk", _then(F.col("near"), F.col("far"))).filter("walk IS NOT NULL")
     start = F.lit(DEFAULT_CAPACITY)
     if prior is not None:
         met = met.join(prior.select("sprint_id", "day", "available"), ["sprint_id", "day"], "left")
         start = F.when(F.col("kept"), F.coalesce("available", start)).otherwise(start)
-    total, low = F.col("met.end") - F.col("met.before"), F.col("met.low") - F.col("met.before")
-    new = met.select("sprint_id", "day", F.round(total + F.greatest(start, -low), 4).alias("available"))
+    new = met.select("sprint_id", "day", F.round(F.col("walk.sum") + F.greatest(start, -F.col("walk.low")), 4).alias("available"))
     if prior is None:
         return new
     still = prior.join(conf.filter("kept").select("sprint_id"), "sprint_id", "left_semi").join(new, ["sprint_id", "day"], "left_anti")
     return new.unionByName(still.select("sprint_id", "day", "available"))
 
 
+def _next(walks: DataFrame, asked: DataFrame, by: list[str], order: str) -> DataFrame:
+    """asked (by, order; distinct) with the walk of the first step of its group behind it; null if there is none."""
+    none = F.lit(None).cast(walks.schema["walk"].dataType).alias("walk")
+    both = walks.withColumn("asks", F.lit(False)).unionByName(asked.select(*by, order, none, F.lit(True).alias("asks")))
+    # at an equal place the step itself isn't behind: asked rows come first going down
+    down = Window.partitionBy(*by).orderBy(F.desc(order), F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("walk", F.when(F.col("asks"), F.last("walk", ignorenulls=True).over(down))).filter("asks").select(*by, order, "walk")
+
+
 def latest_effort(events: DataFrame) -> DataFrame:
     """item_id and payload of each item's last valid estimate (events with seq, item_id, payload)."""
     ok = events.filter("payload.type IN ('quantiles', 'gmm')")

@@ -11,8 +11,10 @@ from ..functions.scalars import minute
 from ..operators import curves as C
 from ..operators import features as X
 from ..operators import history as H
+from ..operators.fits import AuthorFits
 from ..sources import synthetic as SYN
 from ..sources import tables as T
+from ..sources.storage import shared_dir
 
 HOUR = 60
 MU, ALPHA, BETA = 0.05, 0.02, 0.01
@@ -168,6 +170,28 @@ k AS (SELECT author_id, -1::BIGINT AS i, 0.0::DOUBLE AS f0, 0.0::DOUBLE AS f1, 0
     FROM k JOIN gg ON gg.author_id = k.author_id AND gg.i = k.i + 1))
 SELECT author_id, round(arg_max(ll, i), 5) AS log_likelihood, round(arg_max(f0, i), 6) AS coding_now FROM k WHERE i >= 0 GROUP BY author_id"""
 
+def q61(spark, sf):
+    """Fits kept by author: the histories up to the last day first, then all; which authors the second run had to fit."""
+    commits = T.commits(spark, sf)
+    last_day = commits.agg(F.max(F.to_date("authored_at"))).scalar()
+    fits = AuthorFits(spark, shared_dir(spark, "fits"), "state_space", HOUR)
+    fits.fit(C.grids(commits.filter(F.to_date("authored_at") < last_day), HOUR))
+    grid = C.grids(commits, HOUR)
+    own = shared_dir(spark, "refitted")
+    fits.missing(grid).select("author_id", F.lit(True).alias("refitted")).write.parquet(own)
+    fits.fit(grid)
+    total = F.aggregate("coding_prob", F.lit(0.0), lambda a, q: a + q)
+    out = fits.curves(grid).join(spark.read.parquet(own), "author_id", "left")
+    return out.select("author_id", F.coalesce("refitted", F.lit(False)).alias("refitted"), F.size("coding_prob").alias("steps"), F.round("last", 6).alias("last_log_intensity"), F.round(total / F.size("coding_prob"), 6).alias("mean_prob"))
+
+
+def _q61_sql() -> str:
+    head, tail = Q17.rsplit("SELECT k.author_id, steps", 1)
+    return head.rstrip() + """,
+q AS (SELECT k.author_id, steps""" + tail + """)
+SELECT author_id, EXISTS (SELECT 1 FROM events e WHERE e.user_id = q.author_id AND e.ts::DATE = (SELECT max(ts::DATE) FROM events)) AS refitted, steps, last_log_intensity, mean_prob FROM q"""
+
+
 AUTHORS, DAYS, CHANCE = SYN.AUTHORS, SYN.DAYS, SYN.CHANCE
 
 
@@ -199,5 +223,5 @@ def q47(spark, sf):
 
 QUERIES = {
     "q16_time_histogram": (q16, Q16), "q17_ekf_curve": (q17, Q17), "q18_hawkes_excitation": (q18, Q18), "q19_expected_minutes": (q19, Q19), "q20_label_samples": (q20, Q20),
-    "q21_time_features": (q21, Q21), "q22_hmm_forward": (q22, Q22), "q43_synthetic_commits": (q43, Q43), "q60_synthetic_changes": (q60, None), "q46_hawkes_fit": (q46, None), "q47_hmm_fit": (q47, None),
+    "q21_time_features": (q21, Q21), "q22_hmm_forward": (q22, Q22), "q61_fits_by_author": (q61, _q61_sql()), "q43_synthetic_commits": (q43, Q43), "q60_synthetic_changes": (q60, None), "q46_hawkes_fit": (q46, None), "q47_hmm_fit": (q47, None),
 }

@@ -26,6 +26,7 @@ from ..operators import features as X
 from ..operators import forecast as M
 from ..operators import history as H
 from ..operators import models as N
+from ..operators.fits import AuthorFits
 from ..sources import files, git, ingest, rest
 from ..sources.storage import read_text, write_text
 from .config import Config
@@ -143,15 +144,15 @@ class Pipeline:
     def read(self, stage: str, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(stage, table))
 
-    def run(self, stages: tuple[str, ...] = STAGES) -> list[str]:
-        """Runs the stages that aren't done; returns those that ran."""
+    def run(self, stages: tuple[str, ...] = STAGES, again: bool = False) -> list[str]:
+        """Runs the stages that aren't done, or all of these again, as after new commits; returns those that ran."""
         steps: dict[str, Callable[[], dict | None]] = {s: getattr(self, f"_{s}") for s in STAGES}
         if unknown := [s for s in stages if s not in steps]:
             raise ValueError(f"unknown stage: {', '.join(unknown)}")
         ran = []
         for s in stages:
             mark = self.config.fingerprint(*self.SECTIONS[s])
-            if not self.state.done(s, mark):
+            if again or not self.state.done(s, mark):
                 self.state.mark(s, mark, **(steps[s]() or {}))
                 ran.append(s)
         return ran
@@ -198,17 +199,21 @@ class Pipeline:
     def _commits(self) -> DataFrame:
         return keyed(self.read("mine", "commits"))
 
-    def _infer(self) -> None:
+    def fits(self) -> AuthorFits:
+        """The authors' fits under the settings of their curves, whatever was mined when."""
         c = self.config.curves
+        return AuthorFits(self.spark, f"{self.base}/fits/{self.config.fingerprint('curves')[:16]}", c.kind, c.step_minutes, **({"epochs": c.epochs} if c.kind == "hmm" else {}))
+
+    def _infer(self) -> dict:
+        """Fits the authors whose history has no fit yet; a run that broke off goes on."""
+        c, fits = self.config.curves, self.fits()
         grid = C.grids(self._commits(), c.step_minutes, c.min_commits_per_author, 0 if c.kind == "hmm" else 1)
-        if c.kind in ("hmm", "hawkes"):
-            curves = C.fitted(grid, c.kind, c.step_minutes, **({"epochs": c.epochs} if c.kind == "hmm" else {}))
-        elif c.kind == "state_space":
-            curves = C.filtered(grid, c.step_minutes).withColumns({"step_minutes": F.lit(c.step_minutes), "model_version": F.lit(c.kind)})
-        else:
-            raise ValueError(f"unknown curves.kind: {c.kind}")
-        curves.write.mode("overwrite").parquet(self.path("infer", "curves"))
+        grid.write.mode("overwrite").parquet(self.path("infer", "grid"))
+        grid = self.read("infer", "grid")
+        n = fits.fit(grid)
+        fits.curves(grid).write.mode("overwrite").parquet(self.path("infer", "curves"))
         C.with_sums(self.read("infer", "curves")).write.mode("overwrite").parquet(self.path("infer", "sums"))
+        return {"authors": grid.count(), "fitted": n}
 
     def _pull_requests(self) -> DataFrame | None:
         """The PRs that delivery labels come from: ingested ones, else those of a file."""

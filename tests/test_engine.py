@@ -1,5 +1,6 @@
 """The engine's operators against oracles, folds, closed forms and fixtures."""
 
+import dataclasses
 import datetime as dt
 import json
 import math
@@ -10,6 +11,7 @@ import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -22,9 +24,11 @@ from sprintlens.operators import forecast as M
 from sprintlens.operators import history as H
 from sprintlens.operators import models as N
 from sprintlens.operators import sprints as P
+from sprintlens.operators.fits import AuthorFits
 from sprintlens.plans import catalogue, config, demo, stages
 from sprintlens.sources import files, git, ingest, rest, storage, synthetic
-from sprintlens.streaming import bus
+from sprintlens.streaming import bus, keyed
+from sprintlens.streaming.keyed import KeyedItems
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 FITTED = {"q46_hawkes_fit", "q47_hmm_fit", "q48_mdn_train", "q49_multitask_train", "q60_synthetic_changes"}
@@ -105,13 +109,67 @@ def test_stream_in_several_batches(spark, tmp_path):
     store.run(spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(src)))
     for e in rows:
         bus.step(state, e)
-    want = {(int(s), int(i)): tuple(v) for s, items in state.items() for i, v in items.items()}
+    want = {(s, i): tuple(v) for s, items in state.items() for i, v in items.items()}
     assert {(r.sprint_id, r.item_id): (r.status, r.factor) for r in store.current().collect()} == want
     assert spark.read.parquet(str(tmp_path / "store" / "rejects" / "*")).count() == 1
     assert len(storage.names(spark, str(tmp_path / "store" / "state"))) <= 2  # older states go
-    store.on_batch(spark.read.schema(EVENT).parquet(str(src)).filter("seq >= 80"), 2)  # a batch that is repeated
-    last = sorted(n for n in storage.names(spark, str(tmp_path / "store" / "state")))[-1]
-    assert last == "3"
+    seen = []
+    store.subscribe(None, lambda e, n: seen.append((n, e.count())))
+    store.on_batch(spark.read.schema(EVENT).parquet(str(src)).filter("seq >= 80"), 3)  # the last batch comes again
+    store.on_batch(spark.read.schema(EVENT).parquet(str(src)).filter("seq >= 80"), 2)  # and an older one
+    assert sorted(storage.names(spark, str(tmp_path / "store" / "state")))[-1] == "3" and seen == [(3, 0)]
+    assert {(r.sprint_id, r.item_id): (r.status, r.factor) for r in store.current().collect()} == want
+
+
+def test_stream_and_published_events_in_turn(spark, tmp_path):
+    """A stream, a published frame, the stream again after a restart: nothing takes another's number."""
+    src, root = tmp_path / "src", str(tmp_path / "store")
+    e = lambda seq, kind, item: Row(seq=seq, type=kind, sprint_id=1, item_id=item, day=dt.date(2025, 1, 6), delta=0.0, new_status="done", scope_factor=1.0)
+    feed = lambda rows: spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(str(src))
+    read = lambda: spark.readStream.schema(EVENT).parquet(str(src))
+    feed([e(0, "configured", 0), e(1, "added", 10)])
+    bus.SprintStore(spark, root).run(read())
+    bus.SprintStore(spark, root).publish(spark.createDataFrame([e(2, "added", 20)], EVENT))
+    feed([e(3, "added", 30), e(4, "status", 20)])
+    store = bus.SprintStore(spark, root)
+    store.run(read())
+    store.publish(spark.createDataFrame([e(5, "removed", 10), e(6, "added", 40)], EVENT))
+    assert {(r.item_id, r.status) for r in store.current().collect()} == {("20", "done"), ("30", "todo"), ("40", "todo")}
+    assert spark.read.parquet(f"{root}/log/*").count() == 7
+
+
+def test_batch_that_breaks_off_is_written_anew(spark, tmp_path):
+    e = lambda seq, kind, item: Row(seq=seq, type=kind, sprint_id=1, item_id=item, day=dt.date(2025, 1, 6), delta=0.0, new_status="done", scope_factor=1.0)
+    store = bus.SprintStore(spark, str(tmp_path / "bus"))
+    store.on_batch(spark.createDataFrame([e(0, "configured", 0), e(1, "added", 10)], EVENT), 0)
+    kept = store._kept
+    for path in ("log/1", "state/1/items", "state/1/effort", "touched/1"):
+        def failing(df, to, path=path):
+            out = kept(df, to)
+            return 1 / 0 if to == path else out
+
+        store._kept = failing
+        with pytest.raises(ZeroDivisionError):
+            store.on_batch(spark.createDataFrame([e(2, "added", 20), e(3, "status", 10)], EVENT), 1)
+        assert {r.item_id for r in store.current().collect()} == {"10"}
+    store._kept = kept
+    store.on_batch(spark.createDataFrame([e(2, "added", 20), e(3, "status", 10)], EVENT), 1)
+    assert {(r.item_id, r.status) for r in store.current().collect()} == {("10", "done"), ("20", "todo")}
+
+
+def test_scores_of_real_keys_reach_a_forecast(spark, tmp_path):
+    """Keys of the library's own stages, <commit>@<repository> and <repo>#milestone-<n>, go through the bus to a forecast."""
+    scored = spark.createDataFrame([("sha1@/r/a", 1.0, 1.0, 2.0, json.dumps({"type": "gmm", "weights": [1.0], "means": [4.0], "stds": [1e-9]})), ("a/b#13", 1.0, 1.0, 2.0, json.dumps({"type": "quantiles", "quantiles": {"0.5": 12.0, "0.9": 12.0}}))], "id string, mean double, p50 double, p90 double, payload string")
+    sprint, day = "a/b#milestone-3", dt.date(2025, 1, 6)
+    rows = [(0, "configured", sprint, None, day, 5, [0, 1, 2, 3, 4]), (1, "added", sprint, "sha1@/r/a", None, None, None), (2, "added", sprint, "a/b#13", None, None, None)]
+    head = spark.createDataFrame(rows, "seq bigint, type string, sprint_id string, item_id string, day date, length_days int, working_days array<int>")
+    store = bus.SprintStore(spark, str(tmp_path / "bus"), {"samples": (8.0,), "n_sims": 10, "seed": 1})
+    store.publish(head)
+    store.publish(stages.estimates(scored, 100, "v1"))
+    assert [tuple(r.p_by_day) for r in store.forecast(sprint).collect()] == [(0.0, 1.0, 1.0, 1.0, 1.0)] and store.forecast("other").count() == 0
+    # a later batch that touches another sprint leaves this one's forecast in the state
+    store.publish(spark.createDataFrame([(200, "configured", "other", day)], "seq bigint, type string, sprint_id string, day date"))
+    assert store.computed().count() == 2 and store.forecast(sprint).first().p_by_day[1] == 1.0
 
 
 def test_stateful_fold(spark, tmp_path):
@@ -126,6 +184,77 @@ def test_stateful_fold(spark, tmp_path):
     assert json.loads(last["state"]) == state
 
 
+def test_state_variables_over_batches_and_restarts(spark, tmp_path):
+    """Keyed state variables against a sequential fold, batch by batch, over restarts; what a batch passes on is what changed."""
+    rows, src, root = _events(random.Random(21), 240), tmp_path / "src", str(tmp_path / "keyed")
+    own, state, seen = [], {}, []
+    for k in range(0, 240, 60):
+        part = rows[k : k + 60]
+        random.Random(k).shuffle(part)  # any order inside a batch
+        spark.createDataFrame([Row(**r) for r in part], EVENT).repartition(1).write.mode("append").parquet(str(src))
+        if k % 120 == 0 and k < 180:
+            continue  # the next run meets two files
+        store = KeyedItems(spark, root)
+        store.run(spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(src)), lambda df, n: seen.append(df.collect()))
+        for e in rows[len(own) : k + 60]:
+            bus.step(state, e)
+        own = rows[: k + 60]
+        want = {(s, i): tuple(v) for s, items in state.items() for i, v in items.items()}
+        assert {(r.sprint_id, r.item_id): (r.status, r.factor) for r in store.current().collect()} == want
+    assert len([b for b in seen if b]) == 4
+    told = {}
+    for b in seen:
+        assert len({(r.sprint_id, r.item_id) for r in b}) == len(b)
+        told |= {(r.sprint_id, r.item_id): (r.status, r.factor) if r.held else None for r in b}
+    assert {k: v for k, v in told.items() if v} == want
+    assert spark.conf.get(keyed.STORE, None) != keyed.ROCKS
+
+
+def test_state_variables_by_hand():
+    """The processors over a store in memory: clearing, adding again, statuses before and after the start, values that are null."""
+
+    class Held:
+        def __init__(self):
+            self.d = {}
+
+        getValue = lambda self, k: self.d.get(k)
+        updateValue = lambda self, k, v: self.d.__setitem__(k, v)
+        containsKey = lambda self, k: k in self.d
+        removeKey = lambda self, k: self.d.pop(k)
+        keys = lambda self: iter(list(self.d))
+        iterator = lambda self: iter(list(self.d.items()))
+        clear = lambda self: self.d.clear()
+
+    class Value:
+        v = None
+        exists = lambda self: self.v is not None
+        get = lambda self: self.v
+        update = lambda self, v: setattr(self, "v", v)
+
+    class Handle:
+        getMapState = lambda self, *a: Held()
+        getValueState = lambda self, *a: Value()
+
+    def fed(p, key, *rows, columns):
+        out = pd.concat(list(p.handleInputRows((key,), iter([pd.DataFrame([r], columns=columns) for r in rows]), None)))
+        return [tuple(None if x is None or x != x else x for x in r) for r in out.itertuples(index=False)]
+
+    h = keyed.Holdings()
+    h.init(Handle())
+    moved = lambda *rows: [(r[0], r[2], r[3]) for r in fed(h, "s", *rows, columns=["seq", "type", "item_id"])]
+    assert moved((0, "added", "a")) == []  # not configured yet
+    assert moved((3, "added", "a"), (1, "configured", None), (2, "added", "b"), (4, "removed", "c"), (5, "added", "a")) == [("b", 2, "held"), ("a", 3, "held")]
+    assert moved((6, "removed", "a"), (7, "added", "a"), (8, "configured", None), (9, "added", "b")) == [("a", 6, "dropped"), ("a", 7, "held"), ("b", 8, "dropped"), ("a", 8, "dropped"), ("b", 9, "held")]
+    assert h.held.d == {("b",): (9,)} and h.conf.v == (8,)
+    i = keyed.Items()
+    i.init(Handle())
+    columns = ["seq", "type", "sprint_id", "new_status", "scope_factor"]
+    got = fed(i, "a", (1, "held", "s", None, None), (2, "status", None, "done", None), (3, "held", "t", None, None), (4, "scope", None, None, -2.0), columns=columns)
+    assert sorted(got) == [("s", "a", "done", 0.0, True, 4), ("t", "a", "todo", 0.0, True, 4)]
+    assert sorted(fed(i, "a", (5, "status", None, None, None), (6, "dropped", "t", None, None), columns=columns)) == [("s", "a", "todo", 0.0, True, 6), ("t", "a", None, None, False, 6)]
+    assert fed(i, "a", (7, "held", "t", None, None), columns=columns) == [("t", "a", "todo", 1.0, True, 7)]  # untouched sprints aren't told
+
+
 def test_capacity_walk_against_loop(spark):
     rng, rows, want = random.Random(3), [(0, "configured", None, 0.0)], 8.0
     for k in range(1, 60):
@@ -136,6 +265,46 @@ def test_capacity_walk_against_loop(spark):
     assert P.capacity(df).first()["available"] == pytest.approx(want)
 
 
+def test_capacity_scan_over_blocks(spark):
+    """Walks from configurations anywhere among the deltas of one hot day, whatever the blocks; with a state before, too."""
+    rng = random.Random(5)
+    rows, days = [], [dt.date(2025, 1, 6)] * 8 + [dt.date(2025, 1, 7), dt.date(2025, 1, 8)]
+    for k in range(400):
+        rows.append((k, "configured", rng.randrange(12), dt.date(2025, 1, 6), 0.0) if rng.random() < 0.1 else (k, "availability", None, rng.choice(days), float(rng.randrange(-9, 9))))
+    schema = "seq bigint, type string, sprint_id bigint, day date, delta double"
+    df, caps = spark.createDataFrame(rows, schema), {}
+    for _, kind, s, d, x in rows:
+        if kind == "configured":
+            caps[s] = {}
+        else:
+            for c in caps.values():
+                c[d] = max(0.0, c.get(d, 8.0) + x)
+    want = {(s, d): x for s, c in caps.items() for d, x in c.items()}
+    for block in (1, 7, 64, 1 << 16):
+        assert {(r.sprint_id, r.day): r.available for r in P.capacity(df, block=block).collect()} == pytest.approx(want)
+        first = df.filter("seq < 250")
+        prior, conf = P.capacity(first, block=block), P.configured(first).select("sprint_id")
+        assert {(r.sprint_id, r.day): r.available for r in P.capacity(df.filter("seq >= 250"), prior, conf, block).collect()} == pytest.approx(want)
+    # no window holds more of a day than a block: the plan's windows are by day and block, or over one row a block
+    hot = spark.range(5000).select(F.col("id").alias("seq"), F.when(F.col("id") == 0, "configured").otherwise("availability").alias("type"), F.lit(1).cast("bigint").alias("sprint_id"), F.lit(dt.date(2025, 1, 6)).alias("day"), F.lit(1.0).alias("delta"))
+    assert P.capacity(hot, block=100).collect() == [(1, dt.date(2025, 1, 6), 8.0 + 4999)]
+    steps = hot.filter("seq > 0").select("day", F.floor(F.col("seq") / 100).alias("block"), "seq", F.col("delta").alias("sum"), F.col("delta").alias("low"))
+    assert P._scan(steps, ["day", "block"], "seq").groupBy("day", "block").count().agg(F.max("count")).first()[0] <= 100
+
+
+def test_state_of_a_hot_item(spark):
+    """An item with most of the events in many sprints: its changes become one row before they meet the sprints."""
+    n = 4000
+    ev = spark.range(n).select(
+        F.col("id").alias("seq"), F.when(F.col("id") < 20, "configured").when(F.col("id") < 40, "added").when(F.col("id") % 2 == 0, "status").otherwise("scope").alias("type"), (F.col("id") % 20).alias("sprint_id"), F.lit(7).cast("bigint").alias("item_id"),
+        F.lit(dt.date(2025, 1, 6)).alias("day"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("new_status"), F.col("id").cast("double").alias("scope_factor"),
+    )
+    got = P.item_state(ev)
+    assert {tuple(r) for r in got.collect()} == {(s, 7, f"s{n - 2}", float(n - 1)) for s in range(20)}
+    joins = [line for line in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line]
+    assert joins and not any("at#" in line or "(seq#" in line and "start_seq" in line for line in joins)  # no range join of changes and holdings
+
+
 def test_forecast_hand_case(spark):
     """Two items of 10 hours, draws of 8, 10 or 12: day 1 never, day 2 in 6 of 9 cases, day 3 always."""
     conf = spark.sql("SELECT 'S' AS sprint_id, DATE '2025-01-06' AS start_day")
@@ -352,6 +521,94 @@ def test_pipeline_over_a_repository(spark, tmp_path):
         p.run(("nonsense",))
 
 
+def _histories(spark, sizes):
+    rows = [(a, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=17 * k)) for a, n in sizes.items() for k in range(n)]
+    return spark.createDataFrame(rows, "author_id bigint, authored_at timestamp_ntz")
+
+
+@pytest.mark.parametrize("kind,options", [("state_space", {}), ("hawkes", {"iterations": 5}), ("hmm", {"epochs": 2})])
+def test_fits_by_author(spark, tmp_path, kind, options):
+    """A changed history refits its own author; fits of others, of other settings and of other places are told apart."""
+    grid = lambda **sizes: C.grids(_histories(spark, {int(k[1:]): n for k, n in sizes.items()}), 30, 5, 0 if kind == "hmm" else 1)
+    fits = AuthorFits(spark, str(tmp_path / "fits"), kind, 30, **options)
+    first = grid(a1=20, a2=30, a3=40, a4=3)
+    assert fits.fit(first) == 3 and fits.fit(first) == 0
+    second = grid(a1=20, a2=31, a3=40, a4=6)
+    assert sorted(r.author_id for r in fits.missing(second).collect()) == [2, 4]
+    assert fits.fit(second) == 2 and fits.saved().count() == 5
+    whole = {r.author_id: r for r in (C.filtered(second, 30) if kind == "state_space" else C.fitted(second, kind, 30, **options)).collect()}
+    got = {r.author_id: r for r in fits.curves(second).collect()}
+    assert got.keys() == whole.keys() == {1, 2, 3, 4}
+    for a, r in got.items():
+        assert r.coding_prob == pytest.approx(whole[a].coding_prob) and (r.model_version, r.step_minutes) == (kind, 30)
+    # the old history's fit is still there, should it come back
+    assert fits.fit(first) == 0 and fits.curves(first).count() == 3
+    other = AuthorFits(spark, str(tmp_path / "other"), kind, 30, **options)
+    fits.saved().write.parquet(str(tmp_path / "export"))
+    other.take(spark.read.parquet(str(tmp_path / "export")))
+    other.take(spark.read.parquet(str(tmp_path / "export")))
+    assert other.fit(second) == 0 and other.curves(second).count() == 4
+    changed = AuthorFits(spark, str(tmp_path / "other"), kind, 30, **{k: v + 1 for k, v in options.items()}, **({"process_var": 0.1} if not options else {}))
+    assert changed.missing(second).count() == 4
+    with pytest.raises(ValueError):
+        other.take(spark.range(1))
+
+
+def test_fits_that_break_off_go_on(spark, tmp_path, monkeypatch):
+    """Chunks that were whole stay; the next run fits the rest. Superseded fits go when parts are gathered."""
+    grid = C.grids(_histories(spark, {a: 10 + a for a in range(40)}), 30, 5)
+    fits = AuthorFits(spark, str(tmp_path / "fits"), "state_space", 30, chunk=10)
+    append, left = fits._append, [2]
+
+    def failing(df):
+        if not left[0]:
+            raise ZeroDivisionError
+        left[0] -= 1
+        append(df)
+
+    fits._append = failing
+    with pytest.raises(ZeroDivisionError):
+        fits.fit(grid)
+    again = AuthorFits(spark, str(tmp_path / "fits"), "state_space", 30, chunk=10)
+    done = again.saved().count()
+    assert 0 < done < 40 and again.fit(grid) == 40 - done and again.curves(grid).count() == 40
+    monkeypatch.setattr("sprintlens.operators.fits.PARTS", 1)
+    grown = C.grids(_histories(spark, {a: 11 + a for a in range(40)}), 30, 5)
+    assert again.fit(grown) == 40 and len(again._parts()) == 1 and again.saved().count() == 40
+    empty = AuthorFits(spark, str(tmp_path / "none"), "state_space", 30)
+    assert empty.fit(grid.limit(0)) == 0 and empty.curves(grid).count() == 0
+
+
+def test_infer_fits_changed_authors_only(spark, tmp_path):
+    """After one author's new commit, mining and inferring again fit one author."""
+    repo = tmp_path / "repo"
+    repo.mkdir()
+
+    def commit(k, author):
+        at = f"2024-01-01T{8 + k // 4:02d}:{k % 4 * 15:02d}:00+0000"
+        env = {**os.environ, "GIT_AUTHOR_NAME": author, "GIT_AUTHOR_EMAIL": f"{author}@x", "GIT_COMMITTER_NAME": "c", "GIT_COMMITTER_EMAIL": "c@x", "GIT_AUTHOR_DATE": at, "GIT_COMMITTER_DATE": at}
+        (repo / "m.py").write_text(f"x = {k}\n")
+        for args in (["add", "-A"], ["commit", "-qm", f"c{k}"]):
+            subprocess.run(["git", *args], cwd=repo, env=env, check=True, capture_output=True)
+
+    subprocess.run(["git", "init", "-q"], cwd=repo, check=True, capture_output=True)
+    for k in range(18):
+        commit(k, "abc"[k % 3])
+    c = config.Config(repos=config.Repos(include_paths=[str(repo)]), outputs=config.Outputs(str(tmp_path / "out")), curves=config.Curves(min_commits_per_author=5, kind="state_space"))
+    p = stages.Pipeline(spark, c)
+    meta = lambda: {k: v for k, v in stages.RunState(spark, f"{p.base}/checkpoints/state.json").stages["infer"]["meta"].items() if k in ("authors", "fitted")}
+    assert p.run(("mine", "infer")) == ["mine", "infer"] and meta() == {"authors": 3, "fitted": 3}
+    before = {r.author_id: r.coding_prob for r in p.read("infer", "curves").collect()}
+    commit(18, "a")
+    assert p.run(("mine", "infer")) == []
+    assert p.run(("mine", "infer"), again=True) == ["mine", "infer"] and meta() == {"authors": 3, "fitted": 1}
+    after = {r.author_id: r.coding_prob for r in p.read("infer", "curves").collect()}
+    assert before.keys() == after.keys() and sum(before[a] != after[a] for a in before) == 1
+    # other settings fit all authors
+    q = stages.Pipeline(spark, dataclasses.replace(c, curves=dataclasses.replace(c.curves, step_minutes=10)))
+    assert q.run(("infer",)) == ["infer"] and meta() == {"authors": 3, "fitted": 3}
+
+
 def test_keyed_table(spark, tmp_path):
     from sprintlens.sources.sinks import KeyedTable
 
@@ -389,18 +646,18 @@ def test_bus_states_efforts_and_forecasts(spark, tmp_path):
         elif e["type"] == "availability":
             for c in caps.values():
                 c[e["day"]] = max(0.0, c.get(e["day"], 8.0) + e["delta"])
-    want = {(int(s), int(i)): tuple(v) for s, items in state.items() for i, v in items.items()}
+    want = {(s, i): tuple(v) for s, items in state.items() for i, v in items.items()}
     assert {(r.sprint_id, r.item_id): (r.status, r.factor) for r in store.current().collect()} == want
-    assert {(r.sprint_id, r.day): r.available for r in store.state("caps").collect()} == {(s, d): x for s, c in caps.items() for d, x in c.items()}
+    assert {(int(r.sprint_id), r.day): r.available for r in store.state("caps").collect()} == {(s, d): x for s, c in caps.items() for d, x in c.items()}
     assert {(r.sprint_id, r.day): r.available for r in P.capacity(df).collect()} == {(s, d): x for s, c in caps.items() for d, x in c.items()}
     assert [x for x in seen if x[0] != "forecast"] == [(b, sum(e["type"] == "status" and b * 80 <= e["seq"] < b * 80 + 80 for e in rows)) for b in (0, 1)]
     assert store.computed().count() == len(state)
     n = len([x for x in seen if x[0] == "forecast"])
     store.publish(spark.createDataFrame(efforts, "seq bigint, type string, item_id bigint, payload string, model_version string"))
-    assert [(r.item_id, r.payload.type, r.seq) for r in store.state("effort").collect()] == [(3, "gmm", 201)]
-    held = {s for (s, i) in want if i in (3, 4, 5)}
+    assert [(r.item_id, r.payload.type, r.seq) for r in store.state("effort").collect()] == [("3", "gmm", 201)]
+    held = {s for (s, i) in want if i in ("3", "4", "5")}
     assert {r.sprint_id for r in spark.read.parquet(str(tmp_path / "bus" / "touched" / "2")).collect()} == held
-    assert len([x for x in seen if x[0] == "forecast"]) == n + 1 and {(r.sprint_id, r.day): r.available for r in store.state("caps").collect()} == {(s, d): x for s, c in caps.items() for d, x in c.items()}
+    assert len([x for x in seen if x[0] == "forecast"]) == n + 1 and {(int(r.sprint_id), r.day): r.available for r in store.state("caps").collect()} == {(s, d): x for s, c in caps.items() for d, x in c.items()}
 
 
 def test_ingested_pulls_and_labels_from_the_store(spark, tmp_path):
