@@ -15,8 +15,8 @@ from ..functions.rng import normal, uniform
 from ..functions.scalars import minute
 
 STEP, MIN_MINUTES = 5, 50
-#: Chains that are fitted in one numpy batch.
-TOGETHER = 64
+#: Chains that are fitted in one numpy batch, and their steps.
+TOGETHER, STEPS = 64, 1 << 20
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -213,12 +213,38 @@ def time_features(base: int, steps: int, step: int) -> np.ndarray:
     return np.stack([np.sin(day), np.cos(day), np.sin(week), np.cos(week), np.arange(steps) / max(1, steps - 1)], 1)
 
 
+def _runs(m: np.ndarray, back: bool = False) -> np.ndarray:
+    """Products of 2x2 matrices (4, chain, step) from the start of each block up to each step, or from each step to its block's end.
+
+    All blocks of all chains move together, about sqrt(steps) vector steps. Products are
+    scaled to a greatest entry of 1: they give directions. Result: (4, chain, block, step)."""
+    _, k, n = m.shape
+    w = max(1, math.isqrt(max(0, n - 1)) + 1)
+    blocks = -(-n // w)
+    padded = np.zeros((4, k, blocks * w))
+    padded[[0, 3]] = 1.0
+    padded[:, :, :n] = m
+    m = np.ascontiguousarray(padded.reshape(4, k, blocks, w).transpose(3, 0, 1, 2))
+    out = np.empty_like(m)
+    at = m[w - 1 if back else 0].copy()
+    for j in range(w - 1, -1, -1) if back else range(w):
+        if j != (w - 1 if back else 0):
+            (a, b, c, d), (e, f, g, h) = (m[j], at) if back else (at, m[j])
+            at = np.stack((a * e + b * g, a * f + b * h, c * e + d * g, c * f + d * h))
+        at = at / at.max(0)
+        out[j] = at
+    return out.transpose(1, 2, 3, 0)
+
+
 def hmm_forward(y: np.ndarray, s: np.ndarray, e: np.ndarray, c: np.ndarray, lengths: np.ndarray, eps: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log likelihoods, posteriors of coding and expected transitions of many two-state chains at once.
 
     Arrays are (chain, step), padded after each chain's length. State 0 codes and commits
     with probability c; s and e are the chances to start and to end coding at each step.
-    Scaled forward and backward recursions; padding passes states on unchanged."""
+    A step is a 2x2 matrix, so both recursions are products of matrices: scanned inside
+    blocks, carried from block to block, and applied to all steps at once. Directions are
+    enough, as scaled forward vectors sum to 1, and so do their products with the backward
+    ones. Padding passes states on unchanged."""
     k, n = y.shape
     inside = np.arange(n) < lengths[:, None]
     b = np.stack([np.where(y > 0, c[:, None], 1 - c[:, None]), np.where(y > 0, eps, 1 - eps)], 2)
@@ -227,19 +253,35 @@ def hmm_forward(y: np.ndarray, s: np.ndarray, e: np.ndarray, c: np.ndarray, leng
     a = np.empty((k, n, 2, 2))
     a[..., 0, 0], a[..., 0, 1], a[..., 1, 0], a[..., 1, 1] = 1 - e, e, s, 1 - s
     a[~goes] = np.eye(2)
-    f, scale = np.empty((k, n, 2)), np.empty((k, n))
-    cur = np.full((k, 2), 0.5)
-    for t in range(n):
-        if t:
-            cur = cur[:, :1] * a[:, t - 1, 0] + cur[:, 1:] * a[:, t - 1, 1]
-        cur = cur * b[:, t]
-        scale[:, t] = cur.sum(1)
-        cur = cur / scale[:, t, None]
-        f[:, t] = cur
+    step = (a[:, :-1] * b[:, 1:, None, :]).reshape(k, n - 1, 4).transpose(2, 0, 1)  # from each step to the next one
+
+    first = 0.5 * b[:, 0]
+    f = np.empty((k, n, 2))
+    f[:, 0] = first / first.sum(1, keepdims=True)
+    if n > 1:
+        p = _runs(step)
+        cur, at = f[:, 0], np.empty((*p.shape[1:], 2))
+        for j in range(p.shape[2]):
+            x, z = cur[:, :1], cur[:, 1:]
+            v = np.stack((x * p[0, :, j] + z * p[2, :, j], x * p[1, :, j] + z * p[3, :, j]), 2)
+            at[:, j] = v / v.sum(2, keepdims=True)
+            cur = at[:, j, -1]
+        f[:, 1:] = at.reshape(k, -1, 2)[:, : n - 1]
+    scale = np.empty((k, n))
+    scale[:, 0] = first.sum(1)
+    scale[:, 1:] = f[:, :-1, 0] * (step[0] + step[1]) + f[:, :-1, 1] * (step[2] + step[3])
+
     back = np.ones((k, n, 2))
-    for t in range(n - 2, -1, -1):
-        w = b[:, t + 1] * back[:, t + 1] / scale[:, t + 1, None]
-        back[:, t] = a[:, t, :, 0] * w[:, :1] + a[:, t, :, 1] * w[:, 1:]
+    if n > 1:
+        q = _runs(step, back=True)
+        cur, at = np.ones((k, 2)), np.empty((*q.shape[1:], 2))
+        for j in range(q.shape[2] - 1, -1, -1):
+            x, z = cur[:, :1], cur[:, 1:]
+            v = np.stack((q[0, :, j] * x + q[1, :, j] * z, q[2, :, j] * x + q[3, :, j] * z), 2)
+            at[:, j] = v / v.max(2, keepdims=True)
+            cur = at[:, j, 0]
+        back[:, :-1] = at.reshape(k, -1, 2)[:, : n - 1]
+        back[:, :-1] /= (f[:, :-1] * back[:, :-1]).sum(2, keepdims=True)
     gamma = f * back
     moves = f[:, :-1, :, None] * a[:, :-1] * (b[:, 1:] * back[:, 1:])[:, :, None, :] / scale[:, 1:, None, None]
     moves[~goes[:, :-1]] = 0.0
@@ -313,8 +355,14 @@ def fitted(grid: DataFrame, model: str, step: int = STEP, **options) -> DataFram
 
     def hmm(f: pd.DataFrame) -> Iterator[tuple]:
         f = f.iloc[np.argsort([len(c) for c in f["counts"]], kind="stable")]  # chains of like length share their padding
-        for i in range(0, len(f), TOGETHER):
-            part = f.iloc[i : i + TOGETHER]
+        steps = [len(c) for c in f["counts"]]
+        i = 0
+        while i < len(f):
+            n = 1
+            while n < TOGETHER and i + n < len(f) and (n + 1) * steps[i + n] <= STEPS:
+                n += 1
+            part = f.iloc[i : i + n]
+            i += n
             ll, probs = hmm_fit([np.minimum(np.asarray(c, float), 1) for c in part["counts"]], [int(x) for x in part["base_minute"]], step, **options)
             for a, base, x, p in zip(part["author_id"], part["base_minute"], ll.tolist(), probs, strict=True):
                 yield a, base, step, p.tolist(), None, None, None, x, "hmm"

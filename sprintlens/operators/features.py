@@ -55,6 +55,14 @@ def token_counts(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     return exploded_tokens(docs).join(F.broadcast(vocab.select("term", "col")), "term").groupBy("id", "col").agg(F.count(F.lit(1)).alias("n"))
 
 
+def token_features(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """id and features, the counts of the vocabulary's terms in the order of their columns, of each text; ids are unique."""
+    width = vocab.count()
+    counts = token_counts(docs, vocab).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col").cast("int"), F.col("n").cast("float")))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(max(0, width - 1))), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0).cast("float")))
+    return docs.select("id").join(counts, "id", "left").select("id", (dense if width else F.array().cast("array<float>")).alias("features"))
+
+
 def graph_delta(before: Column, after: Column) -> list[Column]:
     """Sizes and differences of two edge arrays (structs src, dst) and of their nodes."""
 
@@ -149,6 +157,45 @@ def code_features(changes: DataFrame) -> DataFrame:
     return own.unionByName(rest)
 
 
+@F.udtf(returnType="kind string, is_after boolean, src string, dst string")
+class _Edges:
+    """The import and call edges of both sides of a change, each once."""
+
+    def eval(self, before, after):
+        before, after = before or {}, after or {}
+        sets = {(kind, side): set() for kind in ("imports", "calls") for side in (False, True)}
+        for path in before.keys() | after.keys():
+            stem, dot, _ = path.rpartition(".")
+            module = (stem if dot else path).replace("/", ".")
+            for side, texts in ((False, before), (True, after)):
+                for kind, found in zip(("imports", "calls"), _edges(module, parsed(texts.get(path) or "")), strict=True):
+                    sets[kind, side] |= found
+        for (kind, side), found in sets.items():
+            for src, dst in sorted(found):
+                yield kind, side, src, dst
+
+
+def change_edges(changes: DataFrame) -> DataFrame:
+    """id, kind (imports or calls), is_after, src and dst of the edges of Python changes (id, language, before_blobs, after_blobs)."""
+    own = changes.filter("language = 'python'").select("id", "before_blobs", "after_blobs")
+    return own.lateralJoin(_Edges(F.col("before_blobs").outer(), F.col("after_blobs").outer())).select("id", "kind", "is_after", "src", "dst")
+
+
+def graph_deltas(edges: DataFrame) -> DataFrame:
+    """What each id's change does to each kind of graph that it has edges of: the counts of ``graph_delta``, over an edge table of any size a change.
+
+    Edges and nodes become one row each with the sides that have them, then counts."""
+    sides = lambda df, *key: df.groupBy("id", "kind", *key).agg(F.bool_or(~F.col("is_after")).alias("b"), F.bool_or("is_after").alias("a"))
+    nodes = edges.select("id", "kind", "is_after", F.explode(F.array("src", "dst")).alias("node"))
+
+    def counts(df: DataFrame, what: str) -> DataFrame:
+        n = lambda hit, name: F.count_if(hit).alias(name)
+        b, a = F.col("b"), F.col("a")
+        return df.groupBy("id", "kind").agg(n(b, f"{what}_before"), n(a, f"{what}_after"), n(a & ~b, f"{what}_added"), n(b & ~a, f"{what}_removed"))
+
+    return counts(sides(edges, "src", "dst"), "edges").join(counts(sides(nodes, "node"), "nodes"), ["id", "kind"])
+
+
 def assembled(parts: list[DataFrame]) -> DataFrame:
     """The features arrays of several (id, features) tables, concatenated in order."""
     out = parts[0].withColumnRenamed("features", "f0")

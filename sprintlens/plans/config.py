@@ -103,6 +103,8 @@ class Training:
     epochs: int = 60
     save_every_epochs: int = 5
     pull_requests_path: str = ""
+    sample: int = 50_000
+    steps_per_epoch: int = 16
 
 
 @dataclass(frozen=True)

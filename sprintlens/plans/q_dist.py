@@ -144,6 +144,12 @@ def q49(spark, sf):
     return N.predict(rows, N.train(rows, {"y": "mdn", "z": "quantile"}, epochs=8))
 
 
+def q63(spark, sf):
+    """A mixture head learnt from all rows in tasks, two steps an epoch."""
+    rows = _training(spark, sf)
+    return N.predict(rows, N.train_all(rows, {"y": "mdn"}, epochs=4, steps=2)).withColumn("p90", D.mixture_quantile(0.9)(F.col("y_mdn")))
+
+
 def q54(spark, sf):
     """A draw from each event's quantile distribution, null where it isn't one, and the lognormal with its p50 and p90."""
     d = T.table(spark, sf, "events").select("event_id", _quantiles().alias("d"))
@@ -205,5 +211,5 @@ QUERIES = {
     "q56_mixture_quantiles": (q56, _q56_sql()), "q57_payload_round_trip": (q57, Q57),
     "q54_quantile_samples": (q54, Q54), "q55_mixture_samples": (q55, Q55),
     "q25_quantile_dist": (q25, Q25), "q26_clipped_mixture_mean": (q26, Q26), "q27_truncated_cdf": (q27, Q27), "q28_lognormal_fit": (q28, Q28), "q29_story_points": (q29, Q29),
-    "q31_pinball_loss": (q31, Q31), "q32_mdn_nll": (q32, Q32), "q33_quantile_head": (q33, Q33), "q48_mdn_train": (q48, None), "q49_multitask_train": (q49, None),
+    "q31_pinball_loss": (q31, Q31), "q32_mdn_nll": (q32, Q32), "q33_quantile_head": (q33, Q33), "q48_mdn_train": (q48, None), "q49_multitask_train": (q49, None), "q63_data_parallel_train": (q63, None),
 }

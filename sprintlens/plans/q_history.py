@@ -50,14 +50,15 @@ WHERE (regexp_matches(lower(r_name || '/' || n_name || '/' || s_name), '^(asia|e
 
 
 def q04(spark, sf):
-    g = T.paths(spark, sf).groupBy("brand", "kind").agg(F.array_sort(F.collect_set("path")).alias("files"))
-    return g.select("brand", "kind", F.size("files").cast("bigint").alias("n_files"), S.language(F.col("files")).alias("language"), S.first_file_language(F.col("files")).alias("first_language"))
+    """The language of each change by its files."""
+    g = T.paths(spark, sf).groupBy("change").agg(F.array_sort(F.collect_set("path")).alias("files"))
+    return g.select("change", F.size("files").cast("bigint").alias("n_files"), S.language(F.col("files")).alias("language"), S.first_file_language(F.col("files")).alias("first_language"))
 
 
 PATH = "p_brand || '/' || replace(p_name, ' ', '_') || (['.py', '.java', '.js', '.ts', '.md'])[p_size % 5 + 1]"
 Q04 = f"""
-WITH g AS (SELECT p_brand AS brand, p_type AS kind, list_sort(list(DISTINCT {PATH})) AS files FROM part GROUP BY ALL)
-SELECT brand, kind, len(files)::BIGINT AS n_files,
+WITH g AS (SELECT p_partkey // {T.FILES} AS change, list_sort(list(DISTINCT {PATH})) AS files FROM part GROUP BY ALL)
+SELECT change, len(files)::BIGINT AS n_files,
   CASE WHEN len(list_filter(files, lambda f: ends_with(lower(f), '.py'))) > 0 THEN 'python' WHEN len(list_filter(files, lambda f: ends_with(lower(f), '.java'))) > 0 THEN 'java'
     WHEN len(list_filter(files, lambda f: ends_with(lower(f), '.js') OR ends_with(lower(f), '.ts'))) > 0 THEN 'javascript' ELSE 'unknown' END AS language,
   CASE WHEN ends_with(files[1], '.py') THEN 'python' WHEN ends_with(files[1], '.java') THEN 'java' WHEN ends_with(files[1], '.js') THEN 'javascript' ELSE 'unknown' END AS first_language
@@ -258,17 +259,17 @@ WITH p AS (SELECT p_partkey, {PATH} AS path FROM part), l AS (SELECT *, CASE WHE
 SELECT p_partkey, path, language, translate(path, '/#: ', '____') AS file, sha1(path) AS hash FROM l WHERE NOT (path GLOB '*Brand#1[0-9]/*' OR path GLOB '*.md') AND language IN ('python', 'java')"""
 
 def q59(spark, sf):
-    """Two lists of paths of each brand, merged in order."""
+    """Two lists of paths of each change, merged in order."""
     late = F.col("p_partkey") % 7 >= 4
-    g = T.paths(spark, sf).groupBy("brand").agg(F.array_sort(F.collect_set(F.when(~late, F.col("path")))).alias("a"), F.array_sort(F.collect_set(F.when(late, F.col("path")))).alias("b"))
+    g = T.paths(spark, sf).groupBy("change").agg(F.array_sort(F.collect_set(F.when(~late, F.col("path")))).alias("a"), F.array_sort(F.collect_set(F.when(late, F.col("path")))).alias("b"))
     m = S.merged_paths(F.col("a"), F.col("b"))
-    return g.select("brand", F.size(m).cast("bigint").alias("n_paths"), F.md5(F.array_join(m, ",")).alias("paths_md5"))
+    return g.select("change", F.size(m).cast("bigint").alias("n_paths"), F.md5(F.array_join(m, ",")).alias("paths_md5"))
 
 
 Q59 = f"""
-WITH g AS (SELECT p_brand AS brand, coalesce(list_sort(list(DISTINCT {PATH}) FILTER (p_partkey % 7 < 4)), []) AS a, coalesce(list_sort(list(DISTINCT {PATH}) FILTER (p_partkey % 7 >= 4)), []) AS b FROM part GROUP BY p_brand),
-m AS (SELECT brand, list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))) AS m FROM g)
-SELECT brand, len(m)::BIGINT AS n_paths, md5(array_to_string(m, ',')) AS paths_md5 FROM m"""
+WITH g AS (SELECT p_partkey // {T.FILES} AS change, coalesce(list_sort(list(DISTINCT {PATH}) FILTER (p_partkey % 7 < 4)), []) AS a, coalesce(list_sort(list(DISTINCT {PATH}) FILTER (p_partkey % 7 >= 4)), []) AS b FROM part GROUP BY 1),
+m AS (SELECT change, list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))) AS m FROM g)
+SELECT change, len(m)::BIGINT AS n_paths, md5(array_to_string(m, ',')) AS paths_md5 FROM m"""
 
 QUERIES = {
     "q59_merged_paths": (q59, Q59),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import features as X
 from ..sources import tables as T
+from ..sources.storage import shared_dir
+from . import ml as ML
 
 TOKEN_SQL = S.TOKEN_ASCII
 
@@ -61,36 +64,52 @@ SELECT l_orderkey, nb AS nodes_before, eb AS edges_before, na AS nodes_after, ea
 
 
 def q24(spark, sf):
-    g = T.paths(spark, sf).groupBy("brand").agg(
+    g = T.paths(spark, sf).groupBy("change").agg(
         F.collect_set(F.when(F.col("kind") < "M", F.col("path"))).alias("b"), F.collect_set(F.when(F.col("kind") >= "L", F.col("path"))).alias("a")
     )
     u = F.array_sort(F.array_union("b", "a"))
-    return g.select("brand", F.size(u).cast("bigint").alias("n_paths"), F.md5(F.array_join(F.array_sort(F.array_distinct(F.transform(u, S.module_name))), ",")).alias("modules_md5"))
+    return g.select("change", F.size(u).cast("bigint").alias("n_paths"), F.md5(F.array_join(F.array_sort(F.array_distinct(F.transform(u, S.module_name))), ",")).alias("modules_md5"))
 
 
 _P = "p_brand || '/' || replace(p_name, ' ', '_') || (['.py', '.java', '.js', '.ts', '.md'])[p_size % 5 + 1]"
 Q24 = f"""
-WITH p AS (SELECT DISTINCT p_brand AS brand, {_P} AS path FROM part)
-SELECT brand, count(*) AS n_paths, md5(array_to_string(list_sort(list(DISTINCT translate(regexp_replace(path, '\\.[^./]*$', ''), '/', '.'))), ',')) AS modules_md5 FROM p GROUP BY brand"""
+WITH p AS (SELECT DISTINCT p_partkey // {T.FILES} AS change, {_P} AS path FROM part)
+SELECT change, count(*) AS n_paths, md5(array_to_string(list_sort(list(DISTINCT translate(regexp_replace(path, '\\.[^./]*$', ''), '/', '.'))), ',')) AS modules_md5 FROM p GROUP BY change"""
 
 #: What parts a text into statements.
 _STOP = "[.\\n]+"
 
 
-def q45(spark, sf):
-    """Two versions of a module for each document, a statement a sentence of the whole text; its node counts and graph deltas."""
+def _modules(spark, sf):
+    """Two versions of a module for each document, a statement a sentence of the whole text, as a change of a Python or a Java file."""
     parts = F.filter(F.split(F.coalesce("text", F.lit("")), _STOP), lambda x: x.rlike("[A-Za-z]"))
     names = F.transform(parts, lambda x: F.concat(F.lit("v_"), F.regexp_replace(F.lower(x), "[^a-z0-9]+", "_")))
     before = F.concat(F.lit("import os\ndef f(x):\n"), F.array_join(F.transform(names, lambda w: F.concat(F.lit("    "), w, F.lit(" = g(x)\n"))), ""), F.lit("    return x\n"))
     after = F.concat(F.lit("import os\nfrom a.b import c\ndef f(x):\n"), F.array_join(F.transform(names, lambda w: F.concat(F.lit("    if x:\n        "), w, F.lit(" = h(x)\n"))), ""), F.lit("    return x\n"))
-    rows = T.spread_table(spark, sf, "documents", "doc_id").select(
+    return T.spread_table(spark, sf, "documents", "doc_id").select(
         F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 == 0, "java").otherwise("python").alias("language"), F.create_map(F.lit("m.py"), before).alias("before_blobs"), F.create_map(F.lit("m.py"), after).alias("after_blobs")
     )
-    f = X.code_features(rows)
+
+
+def q45(spark, sf):
+    """Node counts and graph deltas of the documents' modules."""
+    f = X.code_features(_modules(spark, sf))
     counts = F.array_join(F.transform(F.slice("tree", 1, 3 * len(X.NODE_TYPES)), lambda x: x.cast("int").cast("string")), ",")
     return f.select(F.col("id").alias("doc_id"), counts.alias("node_counts"), F.array_join(F.transform("graph", lambda x: x.cast("int").cast("string")), ",").alias("graph_delta"))
 
 
+def q65(spark, sf):
+    """The modules' import and call edges as a table, and what each change does to its graphs, from that table."""
+    deltas = X.graph_deltas(X.change_edges(_modules(spark, sf)))
+    return deltas.select(F.col("id").alias("doc_id"), "kind", *[c for c in deltas.columns if c not in ("id", "kind")])
+
+
+Q65 = """
+WITH d AS (SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.\n]+'), lambda x: regexp_matches(x, '[A-Za-z]'))) AS n FROM documents WHERE doc_id % 7 <> 0)
+SELECT doc_id, 'imports' AS kind, 2::BIGINT AS nodes_before, 1::BIGINT AS edges_before, 3::BIGINT AS nodes_after, 2::BIGINT AS edges_after, 1::BIGINT AS edges_added, 0::BIGINT AS edges_removed, 1::BIGINT AS nodes_added, 0::BIGINT AS nodes_removed FROM d
+UNION ALL SELECT doc_id, 'calls', 2, 1, 2, 1, 1, 1, 1, 1 FROM d WHERE n > 0"""
+
+
 def _q45_sql() -> str:
     n = "n"
     before = {"FunctionDef": "1", "Call": n, "Assign": n, "Return": "1", "Import": "1"}
@@ -104,6 +123,17 @@ SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '{",".join(["0"] * 3 * len(X.NODE_T
   CASE WHEN doc_id % 7 = 0 THEN '{",".join(["0"] * 16)}' ELSE '2,1,3,2,1,0,1,0,' || {calls} END AS graph_delta FROM d"""
 
 
+def q64(spark, sf):
+    """Effort of documents from their tokens by a pipeline that is fitted, saved, loaded and applied; the label is a text's share of long words."""
+    docs = T.spread_table(spark, sf, "documents", "doc_id").select("doc_id", "text")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "\\s+"), lambda w: w != "")
+    long = F.size(F.filter(words, lambda w: F.length(w) >= 8)) / F.greatest(F.size(words), F.lit(1))
+    stages = [ML.TokenVectorizer(idCol="doc_id", inputCol="text", outputCol="features", vocabSize=64), ML.EffortPredictor(idCol="doc_id", epochs=2, steps=2)]
+    path = shared_dir(spark, "effort-model")
+    Pipeline(stages=stages).fit(docs.withColumn("y", long)).write().save(path)
+    return PipelineModel.load(path).transform(docs).select("doc_id", "mean", "p50", "p90", "payload")
+
+
 QUERIES = {
-    "q13_tokenise": (q13, Q13), "q14_vocabulary": (q14, Q14), "q15_token_vectors": (q15, Q15), "q23_graph_delta": (q23, Q23), "q24_path_union": (q24, Q24), "q45_ast_features": (q45, _q45_sql()),
+    "q13_tokenise": (q13, Q13), "q14_vocabulary": (q14, Q14), "q15_token_vectors": (q15, Q15), "q23_graph_delta": (q23, Q23), "q24_path_union": (q24, Q24), "q45_ast_features": (q45, _q45_sql()), "q64_ml_pipeline": (q64, None), "q65_edge_table": (q65, Q65),
 }

@@ -15,7 +15,7 @@ import zlib
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dist as D
@@ -88,10 +88,7 @@ def change_features(changes: DataFrame, config: Config, vocab: DataFrame | None
     docs = changes.select(F.col("commit_id").alias("id"), F.col("diff_text").alias("text"))
     if vocab is None:
         vocab = X.vocabulary(docs, config.features.tokens_max_features, config.features.tokens_min_df)
-    width = vocab.count()
-    counts = X.token_counts(docs, vocab).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col").cast("int"), F.col("n").cast("float")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(max(0, width - 1))), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0).cast("float")))
-    out = docs.select("id").join(counts, "id", "left").select("id", (dense if width else F.array().cast("array<float>")).alias("features"))
+    out = X.token_features(docs, vocab)
     if config.features.use_syntax:
         code = X.code_features(changes.select(F.col("commit_id").alias("id"), "language", "before_blobs", "after_blobs"))
         out = X.assembled([out, code.select("id", F.concat("tree", "graph").alias("features"))])
@@ -229,10 +226,10 @@ class Pipeline:
     def _train(self) -> dict:
         c = self.config
         prs = self._pull_requests()
-        changes = keyed(git.with_changes(self.read("mine", "commits"), c.features.use_syntax))
-        changes.write.mode("overwrite").parquet(self.path("train", "all_changes"))
-        found = self.read("train", "all_changes")
-        found.filter("readable").drop("readable").write.mode("overwrite").parquet(self.path("train", "changes"))
+        changes = keyed(git.with_changes(git.in_ranges(self.read("mine", "commits")), c.features.use_syntax))
+        seen = Observation()
+        changes = changes.observe(seen, F.count_if(~F.col("readable")).alias("rejects"))
+        changes.filter("readable").drop("readable").write.mode("overwrite").parquet(self.path("train", "changes"))
         features, vocab = change_features(self.read("train", "changes"), c)
         vocab.write.mode("overwrite").parquet(self.path("train", "vocabulary"))
         features.write.mode("overwrite").parquet(self.path("train", "features"))
@@ -241,9 +238,12 @@ class Pipeline:
         rows.write.mode("overwrite").parquet(self.path("train", "rows"))
         rows = self.read("train", "rows")
         heads = {"mdn": {"y": "mdn"}, "quantile": {"y": "quantile"}, "multitask": {"y": "mdn", "z": "quantile"}}[c.training.predictor_kind]
-        model = N.train(rows, heads, epochs=c.training.epochs, checkpoint=self._checkpoint())
+        if c.training.sample:
+            model = N.train(rows, heads, c.training.sample, epochs=c.training.epochs, checkpoint=self._checkpoint())
+        else:
+            model = N.train_all(rows, heads, epochs=c.training.epochs, steps=c.training.steps_per_epoch, checkpoint=self._checkpoint())
         write_text(self.spark, self.path("train", "model.json"), model.to_json())
-        meta = {"predictor_kind": c.training.predictor_kind, "heads": heads, "epochs": len(model.losses), "loss": model.losses[-1] if model.losses else None, "rows": rows.count(), "rejects": found.filter("NOT readable").count(), "vocabulary": self.read("train", "vocabulary").count(), "created_at": _now()}
+        meta = {"predictor_kind": c.training.predictor_kind, "heads": heads, "epochs": len(model.losses), "loss": model.losses[-1] if model.losses else None, "rows": rows.count(), "rejects": seen.get["rejects"], "vocabulary": self.read("train", "vocabulary").count(), "created_at": _now()}
         write_text(self.spark, self.path("train", "metadata.json"), json.dumps(meta, indent=1))
         return {"rows": meta["rows"]}
 

@@ -30,11 +30,15 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Files of a change.
+FILES = 8
+
+
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p_partkey, brand, type and a file path whose suffix follows from the size."""
+    """p_partkey, change (FILES parts in a row), brand, type and a file path whose suffix follows from the size."""
     suffix = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), F.col("p_size") % 5 + 1)
     return table(spark, sf_dir, "part").select(
-        "p_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.concat("p_brand", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), suffix).alias("path")
+        "p_partkey", F.floor(F.col("p_partkey") / FILES).alias("change"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.concat("p_brand", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), suffix).alias("path")
     )
 
 
