@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rng import normal, uniform
+from ..functions.rng import key as rng_key
+from ..functions.rng import normal
 from ..functions.scalars import minute
 
 STEP, MIN_MINUTES = 5, 50
@@ -75,11 +78,38 @@ def pair_slices(pairs: DataFrame, curves: DataFrame, step: int) -> DataFrame:
     return j.select(*pairs.columns, "first", "n", (between("mean_sums") * step).alias("mean"), (between("var_sums") * (step * step)).alias("var"), part.alias("part"))
 
 
-def sample_minutes(step: int, gap: Column, *key) -> Column:
-    """A draw of coding minutes for a row of pair_slices: a coin a step up to COINS steps, beyond that a clipped normal."""
-    coins = F.aggregate(F.transform("part", lambda p, i: F.when(uniform(*key, i) < p, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) * float(step)
-    bell = F.greatest(F.lit(0.0), F.least(gap, F.col("mean") + F.sqrt(F.greatest(F.lit(0.0), F.col("var"))) * normal(*key)))
-    return F.when(F.col("n") <= 0, F.lit(0.0)).when(F.col("n") <= COINS, coins).otherwise(bell)
+def _coins(step: int, draws: int):
+    """Arrow kernel: for each row so many sums of a coin a step, null where there is no slice.
+
+    A coin's number is that of ``functions.rng.uniform`` under the key <prefix>|<draw>|<step>."""
+
+    def toss(prefix: pa.Array, part: pa.Array) -> pa.Array:
+        out, scale, md5 = [], 16.0**12, hashlib.md5
+        for p, slice_ in zip(prefix.to_pylist(), part.to_pylist(), strict=True):
+            if slice_ is None:
+                out.append(None)
+                continue
+            row = []
+            for k in range(draws):
+                started = md5(f"{p}|{k}|".encode())
+                hits = 0
+                for i, chance in enumerate(slice_):
+                    h = started.copy()
+                    h.update(b"%d" % i)
+                    hits += int.from_bytes(h.digest()[:6]) < (chance or 0.0) * scale
+                row.append(hits * float(step))
+            out.append(row)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return F.arrow_udf(toss, "array<double>")
+
+
+def sample_minutes(step: int, gap: Column, draws: int, *key) -> Column:
+    """For a row of pair_slices an array of draws of coding minutes, keyed by key and their place: a coin a step up to COINS steps, beyond that a clipped normal."""
+    places = F.sequence(F.lit(0), F.lit(draws - 1))
+    bell = F.transform(places, lambda k: F.greatest(F.lit(0.0), F.least(gap, F.col("mean") + F.sqrt(F.greatest(F.lit(0.0), F.col("var"))) * normal(*key, k))))
+    coins = _coins(step, draws)(rng_key(*key), F.col("part"))
+    return F.when(F.col("n") <= 0, F.transform(places, lambda k: F.lit(0.0))).when(F.col("n") <= COINS, coins).otherwise(bell)
 
 
 # -- kernels over whole curves: linear in the steps, in batches of authors ------------

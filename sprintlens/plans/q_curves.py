@@ -116,9 +116,9 @@ DRAWS = 3
 
 
 def q20(spark, sf):
-    j = C.spread(_slices(spark, sf), "commit_id").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
-    minutes = C.sample_minutes(5, F.col("gap_minutes").cast("double"), 1, "label", F.col("commit_id"), F.col("sample"))
-    return j.withColumn("x", minutes).select("commit_id", "sample", F.round("x", 4).alias("minutes"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("x") / 60)), 6).alias("y_hours"))
+    draws = C.sample_minutes(5, F.col("gap_minutes").cast("double"), DRAWS, 1, "label", F.col("commit_id"))
+    j = C.spread(_slices(spark, sf), "commit_id").select("commit_id", draws.alias("draws")).select("commit_id", F.posexplode("draws").alias("sample", "x"))
+    return j.select("commit_id", "sample", F.round("x", 4).alias("minutes"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("x") / 60)), 6).alias("y_hours"))
 
 
 Q20 = f"""

@@ -70,8 +70,9 @@ def training_rows(pairs: DataFrame, curves: DataFrame, features: DataFrame, samp
     x is joined last. z is the delivery label: y without a merged PR, else raised by its
     review friction."""
     j = C.pair_slices(pairs, curves, step)
-    draws = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: S.clipped(C.sample_minutes(step, F.col("gap_minutes").cast("double"), seed, "label", F.col("commit_id"), k) / 60))
-    j = j.select("commit_id", "sha", F.posexplode(draws).alias("sample", "y"))
+    draws = C.sample_minutes(step, F.col("gap_minutes").cast("double"), samples, seed, "label", F.col("commit_id"))
+    j = j.select("commit_id", "sha", draws.alias("draws")).select("commit_id", "sha", F.posexplode("draws").alias("sample", "x"))
+    j = j.select("commit_id", "sha", "sample", S.clipped(F.col("x") / 60).alias("y"))
     if prs is None:
         j = j.withColumn("z", F.col("y"))
     else:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import parse_iso
 from ..operators import history as H
 from . import rest
+from .paged import followed
 from .sinks import KeyedTable
 from .storage import shared_dir
 
@@ -52,7 +53,25 @@ def _split(key: str = "key") -> list[Column]:
 
 
 def ingest_pulls(store: Store, repos: list[str], transport: rest.Transport, since: str = "", reviews: bool = True, base: str = "") -> int:
-    """Brings the PRs updated since up to date, with their commits and reviews; returns how many there were.
+    """Brings the PRs updated since up to date, with their commits and reviews; returns how many there were."""
+    return _bring(store, rest.pull_list(store.spark, repos, transport, since, base), transport, reviews, base)
+
+
+def follow_pulls(store: Store, repos: list[str], transport: rest.Transport, root: str, since: str = "", reviews: bool = True, base: str = "", **trigger) -> None:
+    """The same as a stream with its checkpoint under root: each trigger brings what was updated since the last one.
+
+    A trigger that is repeated brings the same PRs again, which changes nothing."""
+    lists = [(r, f"{base}/repos/{r}/pulls", {"state": "all", "sort": "updated", "direction": "desc"}) for r in repos]
+
+    def bring(rows: DataFrame, _: int) -> None:
+        _bring(store, rows.select(F.col("key").alias("repo"), F.get_json_object("body", "$.number").cast("int").alias("number")), transport, reviews, base)
+
+    stream = followed(store.spark, lists, transport, since)
+    stream.writeStream.foreachBatch(bring).option("checkpointLocation", f"{root}/offsets").trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
+
+
+def _bring(store: Store, listed: DataFrame, transport: rest.Transport, reviews: bool, base: str) -> int:
+    """Reads the listed PRs (repo, number) and what belongs to them into the store.
 
     Answers are written once before they are used, so that no request is made twice."""
     spark = store.spark
@@ -62,7 +81,7 @@ def ingest_pulls(store: Store, repos: list[str], transport: rest.Transport, sinc
         df.write.parquet(f"{at}/{name}")
         return spark.read.schema(df.schema).parquet(f"{at}/{name}")
 
-    listed = kept(rest.pull_list(spark, repos, transport, since, base).select("repo", "number").distinct(), "listed")
+    listed = kept(listed.select("repo", "number").distinct(), "listed")
     key = F.concat_ws("#", "repo", "number")
     url = F.concat(F.lit(f"{base}/repos/"), "repo", F.lit("/pulls/"), F.col("number").cast("string"))
     got = kept(rest.documents(_asked(listed, key, url), transport), "details")

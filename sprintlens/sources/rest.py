@@ -54,12 +54,14 @@ class Fixtures:
         body = self.rows.get(url)
         if isinstance(body, list) and "page" in params:
             n, k = int(params["per_page"]), int(params["page"])
-            body = body[(k - 1) * n : k * n]
+            last, body = -(-len(body) // n), body[(k - 1) * n : k * n]
+            if k < last:
+                return 200, {"Link": f'<{url}?per_page={n}&page={k + 1}>; rel="next", <{url}?per_page={n}&page={last}>; rel="last"'}, body
         return (404, {}, "") if body is None else (200, {}, body)
 
 
-def get(transport: Transport, url: str, params: dict, tries: int = 5, sleep: Callable[[float], None] = time.sleep) -> object:
-    """The body of a good answer; waits out rate limits, raises on other errors."""
+def answer(transport: Transport, url: str, params: dict, tries: int = 5, sleep: Callable[[float], None] = time.sleep) -> tuple[dict, object]:
+    """Headers (lower-cased names) and body of a good answer; waits out rate limits, raises on other errors."""
     for _ in range(tries):
         status, headers, body = transport(url, params)
         limited = status == 429 or status == 403 and "rate limit" in str(body).lower()
@@ -70,7 +72,12 @@ def get(transport: Transport, url: str, params: dict, tries: int = 5, sleep: Cal
         sleep(min(3600.0, max(1.0, wait)))
     if status >= 400:
         raise ApiError(f"{url}: {status}")
-    return body
+    return {k.lower(): v for k, v in headers.items()}, body
+
+
+def get(transport: Transport, url: str, params: dict, tries: int = 5, sleep: Callable[[float], None] = time.sleep) -> object:
+    """The body of a good answer."""
+    return answer(transport, url, params, tries, sleep)[1]
 
 
 def paginate(transport: Transport, url: str, params: dict | None = None, per_page: int = 100, max_pages: int = 10_000, stop: Callable[[dict], bool] | None = None) -> Iterator[dict]:

@@ -28,7 +28,7 @@ from sprintlens.operators import sprints as P
 from sprintlens.operators.fits import AuthorFits
 from sprintlens.plans import catalogue, config, demo, stages
 from sprintlens.plans import ml as ML
-from sprintlens.sources import files, git, ingest, rest, storage, synthetic
+from sprintlens.sources import files, git, ingest, paged, rest, storage, synthetic
 from sprintlens.streaming import bus, keyed
 from sprintlens.streaming.keyed import KeyedItems
 
@@ -506,6 +506,62 @@ def test_rest_pages_limits_and_milestones(spark):
     assert (m.sprint_id, str(m.start_date), m.length_days) == ("a/b#milestone-1", "2024-01-22", 11)
 
 
+def _counted(rows, path):
+    """Fixtures that write down what is asked; in a file, as tasks ask too."""
+    inner = rest.Fixtures(rows)
+
+    def ask(url, params):
+        with open(path, "a") as f:
+            f.write(f"{url} {params.get('page', '')}\n")
+        return inner(url, params)
+
+    return ask
+
+
+def test_paged_lists_as_a_source(spark, tmp_path):
+    """Pages as partitions, the bound on time pushed into planning: of a long list only the new end is asked for."""
+    row = lambda k: {"number": k, "updated_at": (dt.datetime(2024, 1, 1) + dt.timedelta(hours=k)).isoformat() + "Z"}
+    rows, asked = {"/a": [row(k) for k in range(999, -1, -1)], "/b": [row(5)], "/c": []}, tmp_path / "asked"
+    lists = [("a", "/a", {}), ("b", "/b", {}), ("c", "/c", {})]
+    df = paged.paged(spark, lists, _counted(rows, str(asked)), per_page=10, span=4)
+    assert df.rdd.getNumPartitions() == 26 and sorted(r.key for r in df.select("key").distinct().collect()) == ["a", "b"]
+    assert df.count() == 1001
+    for since, want, most in ((dt.datetime(2024, 2, 11, 8), 8, 14), (dt.datetime(2024, 1, 1, 4), 997, 130), (dt.datetime(2030, 1, 1), 0, 14)):
+        asked.write_text("")
+        new = df.filter(F.col("updated_at") >= F.lit(since))
+        assert len(new.collect()) == want and len(asked.read_text().split("\n")) <= most
+    plan = df.filter(F.col("updated_at") >= F.lit(dt.datetime(2024, 2, 1)))._jdf.queryExecution().executedPlan().toString()
+    assert "updated_at" in plan.split("PushedFilters")[-1] if "PushedFilters" in plan else True
+    untold = paged.paged(spark, [("a", "/a", {})], lambda u, p: (200, {}, rows[u][(p["page"] - 1) * p["per_page"] : p["page"] * p["per_page"]]), per_page=10)
+    assert untold.rdd.getNumPartitions() == 1 and untold.count() == 1000  # a service that doesn't tell its last page
+
+
+def test_pulls_are_followed_as_a_stream(spark, tmp_path):
+    """The offset is the last update: a later trigger, by another stream of the checkpoint, asks for what is new only."""
+    pull = lambda k, day, title: {"number": k, "id": k, "title": title, "updated_at": f"2024-03-{day:02d}T00:00:00Z", "created_at": "2024-01-01T00:00:00Z"}
+    rows = {}
+
+    def serve(*pulls):
+        rows["/repos/a/b/pulls"] = sorted(pulls, key=lambda p: p["updated_at"], reverse=True)
+        for p in pulls:
+            rows[f"/repos/a/b/pulls/{p['number']}"] = p
+            rows[f"/repos/a/b/pulls/{p['number']}/commits"] = [{"sha": f"s{p['number']}"}]
+
+    store, asked = ingest.Store(spark, str(tmp_path / "store")), tmp_path / "asked"
+    follow = lambda: ingest.follow_pulls(store, ["a/b"], _counted(rows, str(asked)), str(tmp_path / "follow"), since="2024-03-02T00:00:00Z", reviews=False)
+    have = lambda: {r.number: r.title for r in store.pulls.read().collect()}
+    serve(pull(1, 1, "old"), pull(2, 2, "two"), pull(3, 3, "three"))
+    follow()
+    assert have() == {2: "two", 3: "three"}
+    asked.write_text("")
+    follow()
+    assert have() == {2: "two", 3: "three"} and not any("/pulls/" in x for x in asked.read_text().split("\n"))
+    serve(pull(1, 1, "old"), pull(2, 9, "again"), pull(3, 3, "three"), pull(4, 8, "four"))
+    follow()
+    assert have() == {2: "again", 3: "three", 4: "four"} and "/repos/a/b/pulls/1 " not in asked.read_text()
+    assert {(r.pr_number, r.sha) for r in store.commits.read().collect()} == {(2, "s2"), (3, "s3"), (4, "s4")}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "prs.json").write_text(json.dumps([{"pr_id": "1", "repo": "r", "author_id": "a", "opened_at": "2024-01-01T00:00:00Z", "merged_at": "2024-01-02T06:00:00Z", "commits": ["x"]}, {"repo": "r"}]))
     prs = files.pull_requests(spark, str(tmp_path / "prs.json"))
