@@ -22,13 +22,15 @@ without a pattern or date are ignored. Extra columns are carried; the result's o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, join_groups, table
 
-#: (host suffix, path prefix, action, from day). The production list of the query.
+#: (host suffix, path prefix, action, from day). The fixed part of the query's list.
 ENTRIES = (
     ("spam-farm.example.org", "", "block", "2024-02-01"),
     ("cheap-pills.example.com", "", "block", "2024-01-15"),
@@ -128,25 +130,56 @@ def entry_table(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(suffix, prefix, action, since)")
 
 
+def _drawn(text: Column) -> Column:
+    """A number that follows from a text."""
+    return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(6)), 16, 10).cast("bigint")
+
+
+def derived_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries that grow with the pages: by a hash, a quarter of their addresses as patterns, a third of these reversed on another day, and a third of their hosts, half of these reversed."""
+    seen = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).filter("host <> ''").distinct()
+    day = lambda n: F.date_add(F.to_date(F.lit(FIRST_DAY)), (n % DAYS).cast("int")).alias("since")
+    h = F.col("h")
+    paths = seen.withColumn("h", _drawn(F.concat("host", "path"))).filter(h % 4 == 0)
+    act = F.when(h % 8 == 0, "block").otherwise("allow").alias("action")
+    back = F.when(h % 8 == 0, "allow").otherwise("block").alias("action")
+    hosts = seen.select("host").distinct().withColumn("h", _drawn(F.col("host"))).filter(h % 3 == 0)
+    own = [
+        paths.select("host", "path", act, day(h)),
+        paths.filter(h % 12 == 0).select("host", "path", back, day(F.floor(h / 64))),
+        hosts.select("host", F.lit("").alias("path"), F.lit("block").alias("action"), day(h)),
+        hosts.filter(h % 6 == 0).select("host", F.lit("").alias("path"), F.lit("allow").alias("action"), day(F.floor(h / 64))),
+    ]
+    return reduce(DataFrame.unionByName, own).select(F.col("host").alias("suffix"), F.col("path").alias("prefix"), "action", "since")
+
+
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages have no fetch time: the day is a function of page_id."""
+    """pages have no fetch time and no list: the day is a function of page_id, the list one of the pages' addresses and a few fixed entries."""
     day = F.date_add(F.to_date(F.lit(FIRST_DAY)), F.pmod(F.col("page_id") * 7919, F.lit(DAYS)).cast("int"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched_on"))
-    return url_filter(pages, entry_table(spark)).drop("url")
+    return url_filter(pages, derived_entries(pages).unionByName(entry_table(spark))).drop("url")
 
 
 def sql(pages: str = "pages") -> str:
     rows = ", ".join(f"('{s}', '{p}', '{a}', DATE '{d}')" for s, p, a, d in ENTRIES)
     scheme = "^[A-Za-z][A-Za-z0-9+.-]*://"
+    day = lambda n: f"DATE '{FIRST_DAY}' + CAST({n} % {DAYS} AS INTEGER)"
     return f"""
-WITH e AS (SELECT DISTINCT * FROM (VALUES {rows}) t(suffix, prefix, action, since)),
-v AS (SELECT *, lead(since) OVER (PARTITION BY suffix, prefix ORDER BY since, action DESC) AS until FROM e),
-c AS (
+WITH c AS (
   SELECT page_id, DATE '{FIRST_DAY}' + CAST(((page_id * 7919) % {DAYS} + {DAYS}) % {DAYS} AS INTEGER) AS fetched_on,
     lower(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '{scheme}([^/?#]*)', 1), '^.*@', ''), '\\.?(:[0-9]*)?$', '')) AS host,
     CASE WHEN regexp_extract(coalesce(url, ''), '{scheme}[^/?#]*([^?#]*)', 1) = '' THEN '/'
       ELSE regexp_extract(coalesce(url, ''), '{scheme}[^/?#]*([^?#]*)', 1) END AS path
   FROM {pages}),
+p AS (SELECT *, ('0x' || substr(md5(host || path), 1, 6))::BIGINT AS h FROM (SELECT DISTINCT host, path FROM c WHERE host <> '')),
+o AS (SELECT *, ('0x' || substr(md5(host), 1, 6))::BIGINT AS h FROM (SELECT DISTINCT host FROM c WHERE host <> '')),
+e AS (
+  SELECT suffix, prefix, action, CAST(since AS DATE) AS since FROM (VALUES {rows}) t(suffix, prefix, action, since)
+  UNION SELECT host, path, CASE WHEN h % 8 = 0 THEN 'block' ELSE 'allow' END, {day('h')} FROM p WHERE h % 4 = 0
+  UNION SELECT host, path, CASE WHEN h % 8 = 0 THEN 'allow' ELSE 'block' END, {day('(h // 64)')} FROM p WHERE h % 12 = 0
+  UNION SELECT host, '', 'block', {day('h')} FROM o WHERE h % 3 = 0
+  UNION SELECT host, '', 'allow', {day('(h // 64)')} FROM o WHERE h % 6 = 0),
+v AS (SELECT *, lead(since) OVER (PARTITION BY suffix, prefix ORDER BY since, action DESC) AS until FROM e),
 m AS (
   SELECT page_id, v.*, row_number() OVER (PARTITION BY page_id ORDER BY length(suffix) DESC, length(prefix) DESC, suffix, prefix, action, since) AS k
   FROM c JOIN v ON (c.host = v.suffix OR ends_with(c.host, '.' || v.suffix)) AND starts_with(c.path, v.prefix)
