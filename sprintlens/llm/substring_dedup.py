@@ -157,11 +157,17 @@ def _anchors(window: int, inner: int):
     return task
 
 
-def _windows(window: int, inner: int, hot: int):
-    """The digests of the windows around candidate positions: a row a position, or a row a window where hot."""
+#: Windows of older batches that a task remembers to have passed on.
+PASSED = 300_000
+
+
+def _windows(window: int, inner: int, hot: int, older: bool):
+    """The digests of the windows around candidate positions: a row a position, or a row a window where hot.
+
+    Of an older batch it only counts that there is such a window, so a task passes each on once."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        digest, passed = xxhash.xxh3_128_digest, set()
         for b in batches:
             key, slot, ids, starts, blobs, held = [], [], [], [], [], 0
 
@@ -185,6 +191,15 @@ def _windows(window: int, inner: int, hot: int):
                 body, first, ends = laid.body, laid.starts.tolist(), laid.ends[window - 1 :].tolist()
                 for i, j, x, n in zip(lo[met].tolist(), hi[met].tolist(), h[p].tolist(), n_of[p].tolist(), strict=True):
                     own = [digest(body[u:v]) for u, v in zip(first[i:j], ends[i:j], strict=True)]
+                    if older:
+                        new = [m for m, x in enumerate(own) if x not in passed]
+                        if not new:
+                            continue
+                        if len(passed) > PASSED:
+                            passed.clear()
+                        passed.update(own)
+                        # a row may repeat windows that were passed on; it begins and ends with new ones
+                        i, own = i + new[0], own[new[0] : new[-1] + 1]
                     if n <= hot:
                         key.append(x), slot.append(-1), ids.append(d), starts.append(i), blobs.append(b"".join(own))
                     else:
@@ -455,7 +470,7 @@ class FingerprintIndex:
         parts = []
         for j in sorted(r["batch"] for r in spots.select("batch").distinct().collect()):  # one row a batch
             rows = self._table(texts[j]).join(spots.filter(F.col("batch") == j).select("id", "at", "n"), "id").select("id", "text", "at", "n")
-            rows = rows.mapInArrow(_windows(self.window, self.inner, self.hot), "key bigint, slot int, id bigint, start int, digests binary")
+            rows = rows.mapInArrow(_windows(self.window, self.inner, self.hot, j < k), "key bigint, slot int, id bigint, start int, digests binary")
             parts.append(rows.select("key", "slot", F.lit(j).alias("batch"), "id", "start", "digests"))
         if not parts:
             return self.spark.createDataFrame([], _PLAIN["ranges"])
@@ -488,12 +503,13 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, **options) -> DataF
     result = Scratch(docs.sparkSession, "substring-kept")
     index = FingerprintIndex(docs.sparkSession, **options)
     try:
-        last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+        top = (1 << 63) - 1
+        last = F.coalesce("doc_id", F.lit(top))
         cuts = docs.select(F.percentile_approx(last, [k / batches for k in range(1, batches)]).alias("c")).first()["c"] if batches > 1 else []
-        bounds = [None, *sorted(set(cuts or [])), None]
+        bounds = [None, *sorted({c for c in cuts or [] if c < top}), None]
         for lo, hi in zip(bounds, bounds[1:], strict=False):
             own = docs if lo is None else docs.filter((F.col("doc_id") > lo) | F.col("doc_id").isNull())
-            index.find(own if hi is None else own.filter(last <= hi if hi == (1 << 63) - 1 else F.col("doc_id") <= hi))
+            index.find(own if hi is None else own.filter(F.col("doc_id") <= hi))
         return reduce(DataFrame.unionByName, [result.write(index.kept(k), f"kept{k}") for k in range(len(index.texts))])
     finally:
         index.close()
