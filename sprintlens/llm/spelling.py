@@ -104,15 +104,21 @@ def _grams(word: Column, size: Column, least: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
+#: Which letters a word has, as bits.
+_LETTERS = "aggregate(split(word, ''), 0L, (m, c) -> m | shiftleft(1L, cast(ascii(c) % 61 AS int)))"
+
+
 def near_pairs(words: DataFrame, least: int = LEAST_LENGTH) -> DataFrame:
     """a, a_n, b, b_n: each pair of words, once, that one inserted, deleted or replaced code point turns into each other.
 
     words: distinct ``word``, of ``least`` code points or more, and its count ``n``."""
     size = F.length("word")
-    left = words.select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.explode(_chunks(F.col("word"), size)).alias("key"))
-    right = words.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.explode(_grams(F.col("word"), size, least)).alias("key"))
+    words = words.withColumn("letters", F.expr(_LETTERS))
+    left = words.select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("letters").alias("a_letters"), F.explode(_chunks(F.col("word"), size)).alias("key"))
+    right = words.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("letters").alias("b_letters"), F.explode(_grams(F.col("word"), size, least)).alias("key"))
     once = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
-    met = left.hint("merge").join(right, (left.key == right.key) & once & (F.levenshtein("a", "b", 1) == 1))
+    alike = F.bit_count(F.col("a_letters").bitwiseXOR(F.col("b_letters"))) <= 2  # one edit takes one letter and brings one at most
+    met = left.hint("merge").join(right, (left.key == right.key) & alike & once & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "a_n", "b", "b_n").distinct()
 
 
