@@ -157,7 +157,7 @@ def code_features(changes: DataFrame) -> DataFrame:
     return own.unionByName(rest)
 
 
-@F.udtf(returnType="kind string, is_after boolean, src string, dst string")
+@F.udtf(returnType="kind string, is_after boolean, src string, dst string", useArrow=True)
 class _Edges:
     """The import and call edges of both sides of a change, each once."""
 
