@@ -289,7 +289,7 @@ def _keyed(docs: DataFrame, at: Scratch) -> DataFrame:
 class _Run:
     """Tables of a run by name: counts (h, n), postings, and the list of heavy hashes.
 
-    A posting's place is its hash, or a number of its own if the hash is heavy."""
+    A posting's place is its hash, and h is null; or a number of its own, with h, if the hash is heavy."""
 
     level: int
     total: int
@@ -303,6 +303,8 @@ class _Run:
 
 #: Columns and bucket column of the index's tables, by kind.
 _TABLES = {"counts": ("h bigint, n bigint", "h"), "postings": ("place bigint, h bigint, batch int, id bigint, pos int", "place"), "found": ("h bigint, n bigint", "h"), "texts": ("id bigint, doc_id bigint, text string", "id")}
+#: Columns of these whose values are mostly distinct.
+_DISTINCT = ("h", "place", "id")
 #: Columns of its tables without buckets.
 _PLAIN = {"heavy": "h bigint", "ranges": "id bigint, lo int, hi int"}
 
@@ -378,7 +380,9 @@ class FingerprintIndex:
         with drops_shuffles(self.spark):
             if kind in _TABLES:
                 by = _TABLES[kind][1]
-                df.repartition(self.buckets, by).write.bucketBy(self.buckets, by).sortBy(by).option("path", f"{self.path}/{name}").saveAsTable(name)
+                # hashes and positions hardly repeat: a dictionary of them would only be given up
+                writer = df.repartition(self.buckets, by).write.bucketBy(self.buckets, by).sortBy(by).options(**{f"parquet.enable.dictionary#{c}": "false" for c in _DISTINCT})
+                writer.option("path", f"{self.path}/{name}").saveAsTable(name)
             else:
                 df.write.parquet(f"{self.path}/{name}")
         return name
@@ -405,7 +409,8 @@ class FingerprintIndex:
         heavy = self._write(counts.filter(F.col("n") > least).select("h"), "heavy")
         marked = postings.join(F.broadcast(self._table(heavy).withColumn("is_heavy", F.lit(True))), "h", "left")
         place = F.when(F.col("is_heavy"), F.xxhash64("batch", "id", "pos")).otherwise(F.col("h"))
-        return _Run(level, total, name, self._write(marked.select(place.alias("place"), "h", "batch", "id", "pos"), "postings"), heavy)
+        own = F.when(F.col("is_heavy"), F.col("h"))
+        return _Run(level, total, name, self._write(marked.select(place.alias("place"), own.alias("h"), "batch", "id", "pos"), "postings"), heavy)
 
     def _repeated(self, run: _Run) -> DataFrame:
         """h and its count n over run and all older runs, of hashes of run that are met twice or more."""
@@ -420,7 +425,7 @@ class FingerprintIndex:
         listed = found.join(F.broadcast(self._table(run.heavy)), "h", "left_semi").withColumnRenamed("n", "heavy_n")
         rows = self._table(run.postings).join(found.select(F.col("h").alias("place"), F.col("n").alias("light_n")).hint("merge"), "place", "left")
         rows = rows.join(F.broadcast(listed), "h", "left")
-        n = F.coalesce(F.when(F.col("h") == F.col("place"), F.col("light_n")), F.col("heavy_n"))
+        n = F.coalesce(F.when(F.col("h").isNull(), F.col("light_n")), F.col("heavy_n"))
         return rows.select("batch", "id", "pos", n.alias("n")).filter("n IS NOT NULL")
 
     def _compact(self) -> None:
@@ -429,7 +434,7 @@ class FingerprintIndex:
         while any(r.level >= level for r in self.runs):
             own = [r for r in self.runs if r.level == level]
             if len(own) >= self.fanout:
-                postings = reduce(DataFrame.unionByName, [self._table(r.postings).drop("place") for r in own])
+                postings = reduce(DataFrame.unionByName, [self._table(r.postings).withColumn("h", F.coalesce("h", "place")).drop("place") for r in own])
                 counts = reduce(DataFrame.unionByName, [self._table(r.counts) for r in own]).groupBy("h").agg(F.sum("n").alias("n"))
                 self.runs = [r for r in self.runs if r.level != level] + [self._run(postings, counts, level + 1)]
             level += 1
