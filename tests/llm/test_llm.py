@@ -17,7 +17,7 @@ import corpus_pipeline
 from sprintlens.llm import components, exact_dedup, fixity, mixture, packing, quality_model, quality_rules, queries, simhash, substring_dedup, toxicity, url_filters
 from sprintlens.llm.common import Scratch, join_groups, passing, running_sums, spread_table, table, tokenizer_path
 
-TABLES = "documents pages labels".split()
+TABLES = "documents pages labels embeddings".split()
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Nulls, blanks, ties, a very long text, a repeated row, and extra columns whose names clash.
 ODD = [
