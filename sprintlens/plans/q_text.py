@@ -16,7 +16,7 @@ TOKEN_SQL = S.TOKEN_ASCII
 
 def q13(spark, sf):
     t = S.tokens(F.col("text"))
-    return T.spread_table(spark, sf, "documents", "doc_id").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("token_md5"))
+    return T.spread_table(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("token_md5"))
 
 
 Q13 = f"""
@@ -25,7 +25,7 @@ FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{TOKEN_SQL}') AS t
 
 
 def q14(spark, sf):
-    return X.vocabulary(T.spread_table(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("id"), "text"))
+    return X.vocabulary(T.spread_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 Q14 = f"""
@@ -35,7 +35,7 @@ SELECT term, tf, df, row_number() OVER (ORDER BY term) - 1 AS col FROM v"""
 
 
 def q15(spark, sf):
-    docs = T.spread_table(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("id"), "text")
+    docs = T.spread_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return X.token_counts(docs, X.vocabulary(docs)).select(F.col("id").alias("doc_id"), "col", "n")
 
 
@@ -86,7 +86,7 @@ def _modules(spark, sf):
     names = F.transform(parts, lambda x: F.concat(F.lit("v_"), F.regexp_replace(F.lower(x), "[^a-z0-9]+", "_")))
     before = F.concat(F.lit("import os\ndef f(x):\n"), F.array_join(F.transform(names, lambda w: F.concat(F.lit("    "), w, F.lit(" = g(x)\n"))), ""), F.lit("    return x\n"))
     after = F.concat(F.lit("import os\nfrom a.b import c\ndef f(x):\n"), F.array_join(F.transform(names, lambda w: F.concat(F.lit("    if x:\n        "), w, F.lit(" = h(x)\n"))), ""), F.lit("    return x\n"))
-    return T.spread_table(spark, sf, "documents", "doc_id").select(
+    return T.spread_table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 == 0, "java").otherwise("python").alias("language"), F.create_map(F.lit("m.py"), before).alias("before_blobs"), F.create_map(F.lit("m.py"), after).alias("after_blobs")
     )
 
@@ -125,7 +125,7 @@ SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '{",".join(["0"] * 3 * len(X.NODE_T
 
 def q64(spark, sf):
     """Effort of documents from their tokens by a pipeline that is fitted, saved, loaded and applied; the label is a text's share of long words."""
-    docs = T.spread_table(spark, sf, "documents", "doc_id").select("doc_id", "text")
+    docs = T.spread_table(spark, sf, "documents").select("doc_id", "text")
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "\\s+"), lambda w: w != "")
     long = F.size(F.filter(words, lambda w: F.length(w) >= 8)) / F.greatest(F.size(words), F.lit(1))
     stages = [ML.TokenVectorizer(idCol="doc_id", inputCol="text", outputCol="features", vocabSize=64), ML.EffortPredictor(idCol="doc_id", epochs=2, steps=2)]

@@ -16,11 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table for work on single rows: dealt by key if its files give fewer tasks than there are cores."""
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work on single rows: dealt by the rows' places if its files give fewer tasks than there are cores.
+
+    A place follows from the files alone, so a repeated task reads the same rows, and no
+    value that many rows share, nulls included, gathers them in one task."""
     df = table(spark, sf_dir, name)
     n = spark.sparkContext.defaultParallelism
-    return df.repartition(n, key) if df.rdd.getNumPartitions() < n else df
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.withColumn("__place", F.monotonically_increasing_id()).repartition(n, "__place").drop("__place")
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from sprintlens.operators.fits import AuthorFits
 from sprintlens.plans import catalogue, config, demo, stages
 from sprintlens.plans import ml as ML
 from sprintlens.sources import files, git, ingest, paged, rest, storage, synthetic
+from sprintlens.sources import tables as T
 from sprintlens.streaming import bus, keyed
 from sprintlens.streaming.keyed import KeyedItems
 
@@ -461,6 +462,15 @@ def test_ml_pipeline_scores_as_the_stages(spark, tmp_path):
         ML.EffortPredictor(kind="x").fit(got.withColumn("y", F.lit(0.5)))
 
 
+def test_tables_are_dealt_evenly(spark, tmp_path):
+    """Rows without an id, or with one and the same, don't gather in a task; only the columns that are used are read."""
+    spark.range(1000).select(F.when(F.col("id") < 600, F.lit(None)).when(F.col("id") < 900, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text"), F.lit("x").alias("more")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = T.spread_table(spark, str(tmp_path), "documents")
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert df.count() == 1000 and len(sizes) == 4 and max(sizes) < 330
+    assert "ReadSchema: struct<text:string>" in df.select("text")._jdf.queryExecution().toString()
+
+
 def test_tokens_and_languages(spark):
     df = spark.createDataFrame([("a===b1 <=x_2　é 7",), ("",), (None,)], "text string")
     assert [r[0] for r in df.select(S.tokens(F.col("text"))).collect()] == [["a", "==", "=", "b1", "<=", "x_2", "é", "7"], [], []]
