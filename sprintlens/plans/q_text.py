@@ -110,6 +110,28 @@ SELECT doc_id, 'imports' AS kind, 2::BIGINT AS nodes_before, 1::BIGINT AS edges_
 UNION ALL SELECT doc_id, 'calls', 2, 1, 2, 1, 1, 1, 1, 1 FROM d WHERE n > 0"""
 
 
+def q66(spark, sf):
+    """Edit totals between the syntax trees of an import list, a line a sentence of a document, and the list with up to three more lines."""
+    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), _STOP), lambda x: x.rlike("[A-Za-z]")))
+    lines = lambda k: F.create_map(F.lit("m.py"), F.repeat(F.lit("import os\n"), k))
+    more = F.pmod("doc_id", F.lit(4)).cast("int")
+    rows = T.spread_table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 == 0, "java").otherwise("python").alias("language"), lines(n).alias("before_blobs"), lines(n + more).alias("after_blobs")
+    )
+    tree, first = F.col("tree"), 3 * len(X.NODE_TYPES)
+    return X.code_features(rows).select(F.col("id").alias("doc_id"), *[F.get(tree, F.lit(first + k)).cast("bigint").alias(f"n_{e}") for k, e in enumerate(X.EDITS)])
+
+
+# A list of k imports is walked as a module, k imports, k names. The matcher keeps 1 + 2k nodes and
+# inserts the rest, but from 200 nodes on it no longer starts matches at frequent ones: then it keeps
+# what follows the module, 1 + k nodes, and replaces all names.
+Q66 = """
+WITH d AS (SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.\n]+'), lambda x: regexp_matches(x, '[A-Za-z]'))) AS k, doc_id % 4 AS j FROM documents),
+w AS (SELECT *, j > 0 AND k > 0 AND 1 + 2 * (k + j) >= 200 AS many, doc_id % 7 = 0 AS other FROM d)
+SELECT doc_id, (CASE WHEN other OR many THEN 0 ELSE 2 * j END)::BIGINT AS n_insert, 0::BIGINT AS n_delete, (CASE WHEN many AND NOT other THEN 2 * k + 2 * j ELSE 0 END)::BIGINT AS n_replace,
+  (CASE WHEN other THEN 0 WHEN many THEN 2 * (1 + k) ELSE 2 * (1 + 2 * k) END)::BIGINT AS n_equal FROM w"""
+
+
 def _q45_sql() -> str:
     n = "n"
     before = {"FunctionDef": "1", "Call": n, "Assign": n, "Return": "1", "Import": "1"}
@@ -135,5 +157,5 @@ def q64(spark, sf):
 
 
 QUERIES = {
-    "q13_tokenise": (q13, Q13), "q14_vocabulary": (q14, Q14), "q15_token_vectors": (q15, Q15), "q23_graph_delta": (q23, Q23), "q24_path_union": (q24, Q24), "q45_ast_features": (q45, _q45_sql()), "q64_ml_pipeline": (q64, None), "q65_edge_table": (q65, Q65),
+    "q13_tokenise": (q13, Q13), "q14_vocabulary": (q14, Q14), "q15_token_vectors": (q15, Q15), "q23_graph_delta": (q23, Q23), "q24_path_union": (q24, Q24), "q45_ast_features": (q45, _q45_sql()), "q64_ml_pipeline": (q64, None), "q65_edge_table": (q65, Q65), "q66_edit_totals": (q66, Q66),
 }

@@ -7,7 +7,7 @@ from sprintlens.sources import tables as T
 
 RELATIONAL = [q for q in catalogue.oracle_sql() if q not in {"q43_synthetic_commits", "q50_bus_stream", "q58_bus_capacity"}]
 #: Queries with a kernel over curves, a parser or a bisection: Arrow batches, never single rows.
-KERNELS = {"q17_ekf_curve", "q18_hawkes_excitation", "q19_expected_minutes", "q20_label_samples", "q45_ast_features", "q56_mixture_quantiles", "q65_edge_table"}
+KERNELS = {"q17_ekf_curve", "q18_hawkes_excitation", "q19_expected_minutes", "q20_label_samples", "q45_ast_features", "q56_mixture_quantiles", "q65_edge_table", "q66_edit_totals"}
 
 
 def plan(df):
