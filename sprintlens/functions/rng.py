@@ -17,6 +17,22 @@ def uniform(*parts) -> Column:
     return F.conv(F.substring(F.md5(key(*parts)), 1, 12), 16, 10).cast("bigint") / F.lit(_SCALE)
 
 
+def stem(*parts) -> Column:
+    """A key's beginning, before its last part."""
+    return F.concat(key(*parts), F.lit("|"))
+
+
+def mark(p: Column) -> Column:
+    """What ``below`` compares with for the chance p: the least digits that are too large."""
+    digits = F.lpad(F.lower(F.hex(F.ceil(p * F.lit(_SCALE)).cast("bigint"))), 12, "0")
+    return F.when(p <= 0, F.lit("")).when(p > 1 - 1 / _SCALE, F.lit("g")).otherwise(F.when(p.isNotNull(), digits))
+
+
+def below(marked: Column, begun: Column, last: Column) -> Column:
+    """uniform of the key of stem and last part < p, by the md5's digits themselves; no digest where p is 0."""
+    return (marked != "") & (F.md5(F.concat(begun, last.cast("string"))) < marked)
+
+
 def normal(*parts) -> Column:
     """Standard normal by Box-Muller on two keyed uniforms."""
     u1, u2 = uniform(*parts, "a"), uniform(*parts, "b")

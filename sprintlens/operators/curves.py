@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rng import normal, uniform
+from ..functions.rng import below, mark, normal, stem
 from ..functions.scalars import minute
 
 STEP, MIN_MINUTES = 5, 50
@@ -59,27 +59,58 @@ def slice_bounds(a: Column, b: Column, base: Column, step: int, length: Column)
 COINS = 256
 
 
-def pair_slices(pairs: DataFrame, curves: DataFrame, step: int) -> DataFrame:
-    """The pairs of authors with a curve (``with_sums``), with first, n, mean and var of their minutes, and part.
+#: Pairs of an author that lie in one row at most.
+BLOCK = 1 << 16
 
-    Mean and variance are differences of the curve's running sums, two look-ups whatever the
-    gap; part, the slice itself, is there for up to COINS steps only. So no row carries more."""
-    j = pairs.join(curves.select("author_id", "base_minute", "coding_prob", "mean_sums", "var_sums"), "author_id")
-    first, n = slice_bounds(F.col("parent_minute"), F.col("child_minute"), F.col("base_minute"), step, F.size("coding_prob"))
-    j = j.select(*pairs.columns, first.alias("first"), n.alias("n"), "coding_prob", "mean_sums", "var_sums")
 
-    def between(sums: str) -> Column:
-        return F.get(sums, F.col("first") + F.col("n")) - F.get(sums, F.col("first"))
+def _let(value: Column, fn) -> Column:
+    """fn(value), where value is worked out once however often fn names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
-    part = F.when(F.col("n").between(1, COINS), F.slice("coding_prob", F.col("first") + 1, F.greatest(F.lit(0), F.col("n"))))
-    return j.select(*pairs.columns, "first", "n", (between("mean_sums") * step).alias("mean"), (between("var_sums") * (step * step)).alias("var"), part.alias("part"))
 
+def pair_slices(pairs: DataFrame, curves: DataFrame, step: int, prob: Column | None = None, parts: bool = True) -> DataFrame:
+    """The pairs of authors with a curve (author_id, base_minute and what prob, by default coding_prob, is made of), with first, n, mean and var of their minutes, and part.
 
-def sample_minutes(step: int, gap: Column, *key) -> Column:
-    """A draw of coding minutes for a row of pair_slices: a coin a step up to COINS steps, beyond that a clipped normal."""
-    coins = F.aggregate(F.transform("part", lambda p, i: F.when(uniform(*key, i) < p, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) * float(step)
-    bell = F.greatest(F.lit(0.0), F.least(gap, F.col("mean") + F.sqrt(F.greatest(F.lit(0.0), F.col("var"))) * normal(*key)))
-    return F.when(F.col("n") <= 0, F.lit(0.0)).when(F.col("n") <= COINS, coins).otherwise(bell)
+    An author's pairs meet the curve as a list, BLOCK pairs a row, so a curve is shuffled as
+    what prob is made of, is there once for all of them and leaves with none. Pairs of
+    neighbouring commits share no step: summing their slices is linear in the curve. part, the
+    slice itself, is there for up to COINS steps only, and not at all without parts."""
+    kept = [c for c in pairs.columns if c != "author_id"]
+    block = F.floor(F.monotonically_increasing_id() / BLOCK).alias("block")
+    lists = spread(pairs, "author_id").select("author_id", block, F.struct(*kept).alias("pair")).groupBy("author_id", "block").agg(F.collect_list("pair").alias("pairs"))
+    prob = F.col("coding_prob") if prob is None else prob
+
+    def met(curve: Column) -> Column:
+        def found(pair: Column) -> Column:
+            first, n = slice_bounds(pair["parent_minute"], pair["child_minute"], F.col("base_minute"), step, F.size(curve))
+
+            def summed(at: Column) -> Column:
+                own = F.slice(curve, at["first"] + 1, F.greatest(F.lit(0), at["n"]))
+                total = lambda f: F.aggregate(own, F.lit(0.0), lambda s, p: s + f(p))
+                out = [at["first"].alias("first"), at["n"].alias("n"), (total(lambda p: p) * step).alias("mean"), (total(lambda p: p * (1 - p)) * (step * step)).alias("var")]
+                return F.struct(pair.alias("pair"), *out, *([F.when(at["n"].between(1, COINS), own).alias("part")] if parts else []))
+
+            return _let(F.struct(first.alias("first"), n.alias("n")), summed)
+
+        return F.transform("pairs", found)
+
+    out = lists.join(curves, "author_id").select("author_id", F.explode(_let(prob, met)).alias("s"))
+    own = ["first", "n", "mean", "var", *(["part"] if parts else [])]
+    return out.select(*[F.col(c) if c == "author_id" else F.col(f"s.pair.{c}").alias(c) for c in pairs.columns], *[f"s.{c}" for c in own])
+
+
+def sample_minutes(step: int, gap: Column, samples: int, *key) -> Column:
+    """Draws 0 to samples - 1 of coding minutes for a row of pair_slices: a coin a step up to COINS steps, beyond that a clipped normal."""
+
+    def coins(marks: Column) -> Column:
+        def draw(k: Column) -> Column:
+            bell = F.greatest(F.lit(0.0), F.least(gap, F.col("mean") + F.sqrt(F.greatest(F.lit(0.0), F.col("var"))) * normal(*key, k)))
+            hits = _let(stem(*key, k), lambda s: F.size(F.filter(marks, lambda m, i: below(m, s, i))))
+            return F.when(F.col("n") <= 0, F.lit(0.0)).when(F.col("n") <= COINS, hits * float(step)).otherwise(bell)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), draw)
+
+    return _let(F.transform("part", mark), coins)
 
 
 # -- kernels over whole curves: linear in the steps, in batches of authors ------------

@@ -40,7 +40,7 @@ def run(spark: SparkSession, seed: int = 7, inference: str = "state_space", pred
     curves = C.filtered(grid, step) if inference == "state_space" else C.fitted(grid, inference, step)
     features, vocab = change_features(changes, config)
     features = kept(features, "features")
-    labels = training_rows(H.commit_pairs(commits, ("sha",)), C.with_sums(curves), features, samples, seed, step, synthetic.pull_requests(rows, seed))
+    labels = training_rows(H.commit_pairs(commits, ("sha",)), curves, features, samples, seed, step, synthetic.pull_requests(rows, seed))
     model = N.train(labels, HEADS[predictor], epochs=epochs, seed=seed)
 
     last = changes.select("commit_id", "authored_at").orderBy(F.desc("authored_at"), F.desc("commit_id")).limit(SCOPE)

@@ -78,18 +78,18 @@ SELECT author_id, round(sum(1 - exp(-{ALPHA}::DOUBLE * g / {MU}::DOUBLE)) / max(
 FROM k JOIN ss USING (author_id) WHERE i >= 0 GROUP BY author_id"""
 
 
-def _slices(spark, sf):
+def _slices(spark, sf, parts=True):
     """Pairs of authors with a curve; the curve of step i is (i mod 12) / 12 on 5-minute steps."""
     commits = T.commits(spark, sf)
     at = minute(F.col("authored_at"))
-    ends = commits.groupBy("author_id").agg(F.min(at).alias("base_minute"), F.max(at).alias("last"), F.count_distinct(at).alias("n")).filter(F.col("n") >= 50)
+    ends = commits.groupBy("author_id").agg(F.min(at).alias("base_minute"), F.max(at).alias("last"), F.count_distinct(at).alias("n_minutes")).filter(F.col("n_minutes") >= 50)
     steps = F.ceil(F.greatest(F.lit(1), F.col("last") - F.col("base_minute")) / 5).cast("int")
-    curves = ends.select("author_id", "base_minute", F.transform(F.sequence(F.lit(0), steps), lambda i: (i % 12) / F.lit(12.0)).alias("coding_prob"))
-    return C.pair_slices(H.commit_pairs(commits), C.with_sums(curves), 5)
+    prob = F.transform(F.sequence(F.lit(0), F.col("steps")), lambda i: (i % 12) / F.lit(12.0))
+    return C.pair_slices(H.commit_pairs(commits), ends.select("author_id", "base_minute", steps.alias("steps")), 5, prob, parts)
 
 
 def q19(spark, sf):
-    return _slices(spark, sf).select("commit_id", "first", "n", F.round("mean", 4).alias("mean_minutes"), F.round("var", 4).alias("var_minutes"))
+    return _slices(spark, sf, parts=False).select("commit_id", "first", "n", F.round("mean", 4).alias("mean_minutes"), F.round("var", 4).alias("var_minutes"))
 
 
 SLICES = f"""
@@ -116,9 +116,9 @@ DRAWS = 3
 
 
 def q20(spark, sf):
-    j = C.spread(_slices(spark, sf), "commit_id").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
-    minutes = C.sample_minutes(5, F.col("gap_minutes").cast("double"), 1, "label", F.col("commit_id"), F.col("sample"))
-    return j.withColumn("x", minutes).select("commit_id", "sample", F.round("x", 4).alias("minutes"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("x") / 60)), 6).alias("y_hours"))
+    minutes = C.sample_minutes(5, F.col("gap_minutes").cast("double"), DRAWS, 1, "label", F.col("commit_id"))
+    j = _slices(spark, sf).select("commit_id", F.posexplode(minutes).alias("sample", "x"))
+    return j.select("commit_id", "sample", F.round("x", 4).alias("minutes"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("x") / 60)), 6).alias("y_hours"))
 
 
 Q20 = f"""

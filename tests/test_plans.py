@@ -50,3 +50,11 @@ def test_results_do_not_depend_on_partitions(spark, sf):
 
 def test_tables_exist(spark, sf):
     assert T.pull_requests(spark, sf).count() == T.table(spark, sf, "orders").count()
+
+
+@pytest.mark.parametrize("name", ["q19_expected_minutes", "q20_label_samples"])
+def test_curves_are_not_shuffled(spark, sf, name):
+    """Curves are made beside their author's pairs: no exchange and no sort carries an array of chances."""
+    text = catalogue.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    arrays = [line for line in text.splitlines() if ("Exchange" in line or "Sort" in line) and any(x in line for x in ("coding_prob", "sums", "part#"))]
+    assert not arrays and "MapInPandas" not in text
