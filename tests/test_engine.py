@@ -18,6 +18,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sprintlens.functions import dist as D
+from sprintlens.functions import rng as R
 from sprintlens.functions import scalars as S
 from sprintlens.operators import curves as C
 from sprintlens.operators import features as X
@@ -1058,3 +1059,28 @@ def test_clone_and_fetch(tmp_path):
         assert p.repositories() == [f"{tmp_path}/out/repos/o__r"]
     with pytest.raises(git.GitError):
         git.clone_or_fetch(str(tmp_path / "nothing"), str(tmp_path / "x"))
+
+
+def test_coins_by_digits(spark):
+    """A coin by the md5's digits is the one by the number that they make, at 0, at 1, next to both and without a chance."""
+    ps = [0.0, -0.5, 2**-48, 2**-49, 1 / 3, 0.5, 1 - 2**-48, 1 - 2**-53, 1.0, 1.5, None]
+    df = spark.createDataFrame([(k, p) for k in range(200) for p in ps], "k int, p double")
+    df = df.select(F.coalesce(R.below(R.mark(F.col("p")), R.stem(1, "x", F.col("k")), F.lit(7)), F.lit(False)).alias("got"), F.coalesce(R.uniform(1, "x", F.col("k"), 7) < F.col("p"), F.lit(False)).alias("want"))
+    assert df.filter("got <> want").count() == 0 and 700 < df.filter("got").count() < 1100
+    edge = R.uniform(1, "x", 3, 7)  # the chance that equals the draw, and the next ones
+    one = spark.range(1).select(*[R.below(R.mark(edge + d), R.stem(1, "x", 3), F.lit(7)) for d in (0.0, 2**-48, -(2**-48))]).first()
+    assert tuple(one) == (False, True, False)
+
+
+def test_many_pairs_of_an_author(spark, monkeypatch):
+    """An author's pairs come in rows of a bounded number, with the same results."""
+    curve = spark.createDataFrame([(1, 0, [k % 7 / 7 for k in range(400)])], "author_id bigint, base_minute bigint, coding_prob array<double>")
+    pairs = spark.range(500).select(F.lit(1).cast("bigint").alias("author_id"), F.col("id").alias("commit_id"), (F.col("id") * 3).alias("parent_minute"), (F.col("id") * 3 + F.col("id") % 1500).alias("child_minute"))
+    rows = lambda: sorted((r.commit_id, r.first, r.n, round(r.mean, 9), round(r.var, 9), r.part and len(r.part)) for r in C.pair_slices(pairs, curve, 5).collect())
+    whole = rows()
+    monkeypatch.setattr(C, "BLOCK", 7)
+    assert rows() == whole and len(whole) == 500
+    p = [k % 7 / 7 for k in range(400)]
+    for _, first, n, mean, var, part in whole:
+        own = p[first : first + n]
+        assert round(5 * sum(own), 6) == round(mean, 6) and round(25 * sum(x * (1 - x) for x in own), 6) == round(var, 6) and part == (n if 1 <= n <= C.COINS else None)
