@@ -1084,3 +1084,21 @@ def test_many_pairs_of_an_author(spark, monkeypatch):
     for _, first, n, mean, var, part in whole:
         own = p[first : first + n]
         assert round(5 * sum(own), 6) == round(mean, 6) and round(25 * sum(x * (1 - x) for x in own), 6) == round(var, 6) and part == (n if 1 <= n <= C.COINS else None)
+
+
+def test_deltas_read_the_edges_once(spark):
+    """The parser of an edge table runs once for edges and nodes."""
+    df = spark.createDataFrame([(1, "python", {"m.py": "import os\n"}, {"m.py": "import os\nimport re\n"})], "id bigint, language string, before_blobs map<string,string>, after_blobs map<string,string>")
+    deltas = X.graph_deltas(X.change_edges(df))
+    assert deltas._jdf.queryExecution().optimizedPlan().toString().count("_Edges(") == 1
+    assert [tuple(r) for r in deltas.collect()] == [(1, "imports", 1, 2, 1, 0, 2, 3, 1, 0)]
+
+
+def test_features_without_edits(spark):
+    """The matcher is left out where no edits are asked for; all else stays."""
+    code = "import os\nclass A:\n    @g()\n    def m(self, x=h()):\n        for i in x:\n            with f(i) as y:\n                k = lambda: [g(z) for z in y if g(z)]\n        return {None: k()}\n"
+    df = spark.createDataFrame([(1, "python", {"m.py": code}, {"m.py": code.replace("for i", "async def n(): pass\n        for i")})], "id bigint, language string, before_blobs map<string,string>, after_blobs map<string,string>")
+    whole, less = X.code_features(df).first(), X.code_features(df, edits=False).first()
+    assert less.tree[:-4] == whole.tree[:-4] and less.tree[-4:] == [0] * 4 and sum(whole.tree[-4:]) > 0 and less.graph == whole.graph
+    n = len(X.NODE_TYPES)
+    assert dict(zip(X.NODE_TYPES, whole.tree[:n], strict=True)) == {"FunctionDef": 1, "AsyncFunctionDef": 0, "ClassDef": 1, "If": 0, "For": 1, "While": 0, "Try": 0, "With": 1, "Call": 6, "Assign": 1, "Return": 1, "Import": 1, "ImportFrom": 0}
