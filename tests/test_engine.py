@@ -12,6 +12,7 @@ import time
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Row
@@ -1102,3 +1103,12 @@ def test_features_without_edits(spark):
     assert less.tree[:-4] == whole.tree[:-4] and less.tree[-4:] == [0] * 4 and sum(whole.tree[-4:]) > 0 and less.graph == whole.graph
     n = len(X.NODE_TYPES)
     assert dict(zip(X.NODE_TYPES, whole.tree[:n], strict=True)) == {"FunctionDef": 1, "AsyncFunctionDef": 0, "ClassDef": 1, "If": 0, "For": 1, "While": 0, "Try": 0, "With": 1, "Call": 6, "Assign": 1, "Return": 1, "Import": 1, "ImportFrom": 0}
+
+
+def test_features_come_in_small_parts():
+    """A batch of many changes is taken apart, not listed as a whole."""
+    kind = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
+    n = 2 * X.AT_ONCE + 1
+    blobs = pa.array([[{"key": "m.py", "value": "f()\n"}]] * n, kind)
+    out = list(X._featured(False, iter([pa.RecordBatch.from_arrays([pa.array(range(n)), blobs, blobs], ["id", "b", "a"])])))
+    assert [b.num_rows for b in out] == [X.AT_ONCE, X.AT_ONCE, 1] and [i for b in out for i in b.column(0).to_pylist()] == list(range(n))
