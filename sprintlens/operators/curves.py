@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,8 +15,8 @@ from ..functions.rng import below, mark, normal, stem
 from ..functions.scalars import minute
 
 STEP, MIN_MINUTES = 5, 50
-#: Chains that are fitted in one numpy batch, and their steps.
-TOGETHER, STEPS = 64, 1 << 20
+#: Authors that are fitted in one numpy batch, the steps of their chains, and the steps of the curves that a task gives out at a time.
+TOGETHER, STEPS, GIVEN = 64, 1 << 17, 1 << 18
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -27,9 +27,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def grids(commits: DataFrame, step: int = STEP, min_minutes: int = MIN_MINUTES, span_extra: int = 1) -> DataFrame:
-    """author_id, base_minute, n_minutes, steps and counts (one a step) of authors with enough distinct minutes.
+    """author_id, base_minute, n_minutes, steps, met (structs at, k of the steps that have any) and counts (one a step) of authors with enough distinct minutes.
 
-    A distinct minute counts once; the array is dense but no empty step is ever a row. span_extra tells the two grid lengths apart: 1 for the
+    Kernels get met, which is as long as the history, and make the dense array in their task. A distinct minute counts once; the array is dense but no empty step is ever a row. span_extra tells the two grid lengths apart: 1 for the
     point-process models, 0 for the hidden Markov model."""
     m = commits.select("author_id", minute(F.col("authored_at")).alias("m")).distinct()
     own = Window.partitionBy("author_id")
@@ -42,7 +42,7 @@ def grids(commits: DataFrame, step: int = STEP, min_minutes: int = MIN_MINUTES,
     # the zeros since the last met step, then its count; the zeros after the last one
     runs = F.transform("met", lambda x, i: F.concat(F.array_repeat(F.lit(0), x["at"] - F.coalesce(F.get("met", i - 1)["at"], F.lit(-1)) - 1), F.array(x["k"])))
     tail = F.array_repeat(F.lit(0), F.col("steps") - 1 - F.try_element_at("met", F.lit(-1))["at"])
-    return g.select("author_id", "base_minute", "n_minutes", "steps", F.concat(F.flatten(runs), tail).alias("counts"))
+    return g.select("author_id", "base_minute", "n_minutes", "steps", "met", F.concat(F.flatten(runs), tail).alias("counts"))
 
 
 def slice_bounds(a: Column, b: Column, base: Column, step: int, length: Column) -> tuple[Column, Column]:
@@ -151,47 +151,100 @@ def _above(x: np.ndarray, base: float) -> np.ndarray:
     return 1 - np.exp(-np.maximum(0.0, x - base) / max(1e-6, base))
 
 
-def _mapped(grid: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
-    """fn over numpy arrays of each row's columns, dealt by author; the first column is kept as the key."""
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [fn(*row) for row in zip(*(f[c] for c in columns), strict=True)]
-            yield pd.DataFrame(rows, columns=[x.strip().split(" ")[0] for x in schema.split(",")])
-
-    return spread(grid.select(*columns), columns[0]).mapInPandas(task, schema)
-
-
-def filtered(grid: DataFrame, step: int = STEP, process_var: float = 0.05) -> DataFrame:
+def dense(steps: int, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+    y = np.zeros(steps)
+    y[at] = k
+    return y
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    def column(values, kind: pa.DataType) -> pa.Array:
+        if not pa.types.is_list(kind):
+            return pa.array(values, kind)
+        return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32), pa.array(np.concatenate(values), kind.value_type))
+
+    return pa.RecordBatch.from_arrays([column(v, f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _mapped(grid: DataFrame, fn, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """fn over the rows of a grid, dealt by author: bunches of (author_id, base_minute, steps, at, k) become rows of the schema, which carry's columns follow.
+
+    A bunch is up to TOGETHER authors of like length, whose padded steps are up to STEPS if
+    they are several. What leaves a task holds about GIVEN values at a time, so that its memory
+    grows with neither the number of authors nor all their curves."""
+    names = {x.strip().split(" ")[0]: x.strip().split(" ")[1] for x in schema.split(",")}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+    met = F.col("met") if "met" in grid.columns else F.filter(F.transform("counts", lambda k, i: F.struct(i.alias("at"), k.alias("k"))), lambda x: x["k"] > 0)
+    steps = F.col("steps") if "steps" in grid.columns else F.size("counts")
+    rows = grid.select("author_id", "base_minute", steps.alias("steps"), F.transform(met, lambda x: x["at"]).alias("at"), F.transform(met, lambda x: x["k"]).alias("k"), *carry)
+    arrow = pa.schema([(n, kinds[k]) for n, k in names.items()])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column(2).to_numpy()
+            order, out, held, i = np.argsort(size, kind="stable"), [], 0, 0
+
+            def given(out=out, b=b):
+                done = _batch([row for _, row in out], arrow)
+                more = b.take(pa.array([j for j, _ in out])) if carry else b
+                return pa.RecordBatch.from_arrays([*done.columns, *(more.column(5 + c) for c in range(len(carry)))], names=[*names, *carry])
+
+            while i < len(order):
+                n = 1
+                while n < TOGETHER and i + n < len(order) and (n + 1) * size[order[i + n]] <= STEPS:
+                    n += 1
+                own = order[i : i + n]
+                i += n
+                bunch = [(b.column(0)[j].as_py(), b.column(1)[j].as_py(), int(size[j]), *(np.asarray(b.column(c)[j].values) for c in (3, 4))) for j in own.tolist()]
+                for j, row in zip(own.tolist(), fn(bunch), strict=True):
+                    out.append((j, row))
+                    held += int(size[j])
+                    if held >= GIVEN:
+                        yield given()
+                        held = 0
+                        out.clear()
+            if out:
+                yield given()
+
+    types = dict(rows.dtypes)
+    return spread(rows, "author_id").mapInArrow(task, ", ".join([schema, *(f"{c} {types[c]}" for c in carry)]))
+
+
+def filtered(grid: DataFrame, step: int = STEP, process_var: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
     """author_id, base_minute, steps, last (log intensity), baseline (its 20 % quantile as intensity, at least 1e-6) and coding_prob by the filter."""
 
-    def one(author, base, counts):
-        m = ekf(np.asarray(counts, float), step, process_var)
-        x = np.exp(m)
-        low = max(1e-6, float(np.quantile(x, 0.2)))
-        return author, base, len(m), float(m[-1]), low, _above(x, low)
+    def fits(bunch: list[tuple]) -> Iterator[tuple]:
+        for author, base, steps, at, k in bunch:
+            m = ekf(dense(steps, at, k), step, process_var)
+            x = np.exp(m)
+            low = max(1e-6, float(np.quantile(x, 0.2)))
+            yield author, base, len(m), float(m[-1]), low, _above(x, low)
 
-    return _mapped(grid, ["author_id", "base_minute", "counts"], one, "author_id bigint, base_minute bigint, steps int, last double, baseline double, coding_prob array<double>")
+    return _mapped(grid, fits, "author_id bigint, base_minute bigint, steps int, last double, baseline double, coding_prob array<double>", carry)
 
 
 def excited(grid: DataFrame, mu: float, alpha: float, beta: float, step: int = STEP) -> DataFrame:
     """author_id, base_minute, steps and coding_prob from a decaying sum of counts (intensity above its base)."""
 
-    def one(author, base, counts):
-        g = scan(np.full(len(counts), math.exp(-beta * step)), np.asarray(counts, float))
-        return author, base, len(g), 1 - np.exp(-np.minimum(700.0, alpha * g / max(1e-6, mu)))
+    def curves(bunch: list[tuple]) -> Iterator[tuple]:
+        for author, base, steps, at, k in bunch:
+            g = scan(np.full(steps, math.exp(-beta * step)), dense(steps, at, k))
+            yield author, base, steps, 1 - np.exp(-np.minimum(700.0, alpha * g / max(1e-6, mu)))
 
-    return _mapped(grid, ["author_id", "base_minute", "counts"], one, "author_id bigint, base_minute bigint, steps int, coding_prob array<double>")
+    return _mapped(grid, curves, "author_id bigint, base_minute bigint, steps int, coding_prob array<double>")
 
 
 def with_sums(curves: DataFrame) -> DataFrame:
-    """author_id, base_minute, coding_prob, and running sums of p and p (1 - p) with a 0 in front."""
+    """author_id, base_minute, coding_prob, and running sums of p and p (1 - p) with a 0 in front, for look-ups at any two steps."""
+    schema = "author_id bigint, base_minute bigint, coding_prob array<double>, mean_sums array<double>, var_sums array<double>"
 
-    def one(author, base, prob):
-        p = np.asarray(prob, float)
-        return author, base, p, np.concatenate(([0.0], np.cumsum(p))), np.concatenate(([0.0], np.cumsum(p * (1 - p))))
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+            p = np.asarray(row.column(2)[0].values, float)
+            sums = [pa.array([np.concatenate(([0.0], np.cumsum(x)))], pa.list_(pa.float64())) for x in (p, p * (1 - p))]
+            yield pa.RecordBatch.from_arrays([*row.columns, *sums], names=["author_id", "base_minute", "coding_prob", "mean_sums", "var_sums"])
 
-    return _mapped(curves, ["author_id", "base_minute", "coding_prob"], one, "author_id bigint, base_minute bigint, coding_prob array<double>, mean_sums array<double>, var_sums array<double>")
+    return spread(curves.select("author_id", "base_minute", "coding_prob"), "author_id").mapInArrow(task, schema)
 
 
 # -- fitted models: one author a group, numpy inside ---------------------------------
@@ -369,40 +422,23 @@ def hmm_fit(ys: list[np.ndarray], bases: list[int], step: int, epochs: int = 60,
     return ll, [gamma[i, :q, 0] for i, q in enumerate(lengths)]
 
 
-def fitted(grid: DataFrame, model: str, step: int = STEP, **options) -> DataFrame:
+def fitted(grid: DataFrame, model: str, step: int = STEP, carry: tuple[str, ...] = (), **options) -> DataFrame:
     """author_id, base_minute, step_minutes, coding_prob, mu, alpha, beta, log_likelihood, model_version by grouped fits.
 
-    One row an author comes in, so authors are dealt over tasks and fitted in batches."""
-
-    def hawkes(f: pd.DataFrame) -> Iterator[tuple]:
-        for i in range(0, len(f), TOGETHER):
-            part = f.iloc[i : i + TOGETHER]
-            ys = [np.asarray(c, float) for c in part["counts"]]
-            times = [np.repeat(np.arange(len(y)), y.astype(int)) * float(step) for y in ys]
-            values = hawkes_fit(times, [max(1.0, float((len(y) - 1) * step)) for y in ys], **options)
-            for a, base, y, mu, alpha, beta, ll in zip(part["author_id"], part["base_minute"], ys, *(v.tolist() for v in values), strict=True):
-                g = scan(np.full(len(y), math.exp(-beta * step)), y)
-                yield a, base, step, 1 - np.exp(-np.minimum(700.0, alpha * g / max(1e-6, mu))), mu, alpha, beta, ll, "hawkes"
-
-    def hmm(f: pd.DataFrame) -> Iterator[tuple]:
-        f = f.iloc[np.argsort([len(c) for c in f["counts"]], kind="stable")]  # chains of like length share their padding
-        steps = [len(c) for c in f["counts"]]
-        i = 0
-        while i < len(f):
-            n = 1
-            while n < TOGETHER and i + n < len(f) and (n + 1) * steps[i + n] <= STEPS:
-                n += 1
-            part = f.iloc[i : i + n]
-            i += n
-            ll, probs = hmm_fit([np.minimum(np.asarray(c, float), 1) for c in part["counts"]], [int(x) for x in part["base_minute"]], step, **options)
-            for a, base, x, p in zip(part["author_id"], part["base_minute"], ll.tolist(), probs, strict=True):
-                yield a, base, step, p.tolist(), None, None, None, x, "hmm"
-
-    names = ["author_id", "base_minute", "step_minutes", "coding_prob", "mu", "alpha", "beta", "log_likelihood", "model_version"]
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame(list((hawkes if model == "hawkes" else hmm)(f)), columns=names)
+    One row an author comes in, so authors are dealt over tasks and fitted in bunches."""
+
+    def hawkes(bunch: list[tuple]) -> Iterator[tuple]:
+        times = [np.repeat(at, k) * float(step) for _, _, _, at, k in bunch]
+        values = hawkes_fit(times, [max(1.0, float((steps - 1) * step)) for _, _, steps, _, _ in bunch], **options)
+        for (a, base, steps, at, k), mu, alpha, beta, ll in zip(bunch, *(v.tolist() for v in values), strict=True):
+            g = scan(np.full(steps, math.exp(-beta * step)), dense(steps, at, k))
+            yield a, base, step, 1 - np.exp(-np.minimum(700.0, alpha * g / max(1e-6, mu))), mu, alpha, beta, ll, "hawkes"
+
+    def hmm(bunch: list[tuple]) -> Iterator[tuple]:
+        ys = [dense(steps, at, np.minimum(k, 1)) for _, _, steps, at, k in bunch]
+        ll, probs = hmm_fit(ys, [base for _, base, _, _, _ in bunch], step, **options)
+        for (a, base, _, _, _), x, p in zip(bunch, ll.tolist(), probs, strict=True):
+            yield a, base, step, p, None, None, None, x, "hmm"
 
     schema = "author_id bigint, base_minute bigint, step_minutes int, coding_prob array<double>, mu double, alpha double, beta double, log_likelihood double, model_version string"
-    return spread(grid.select("author_id", "base_minute", "counts"), "author_id").mapInPandas(task, schema)
+    return _mapped(grid, hawkes if model == "hawkes" else hmm, schema, carry)
