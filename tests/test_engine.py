@@ -1112,3 +1112,25 @@ def test_features_come_in_small_parts():
     blobs = pa.array([[{"key": "m.py", "value": "f()\n"}]] * n, kind)
     out = list(X._featured(False, iter([pa.RecordBatch.from_arrays([pa.array(range(n)), blobs, blobs], ["id", "b", "a"])])))
     assert [b.num_rows for b in out] == [X.AT_ONCE, X.AT_ONCE, 1] and [i for b in out for i in b.column(0).to_pylist()] == list(range(n))
+
+
+def _executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("model", ["excited", "filtered", "hawkes", "hmm"])
+def test_kernels_get_what_the_history_has(spark, model):
+    """No empty step goes to a kernel, and more authors than a bunch holds give what each gives by itself; a grid of plain counts does as well."""
+    grid = C.grids(_histories(spark, {a: 12 + a % 9 for a in range(C.TOGETHER + 9)}), 30, 5, 0 if model == "hmm" else 1)
+    run = {"excited": lambda g: C.excited(g, 0.05, 0.02, 0.01, 30), "filtered": lambda g: C.filtered(g, 30), "hawkes": lambda g: C.fitted(g, "hawkes", 30, iterations=3), "hmm": lambda g: C.fitted(g, "hmm", 30, epochs=1)}[model]
+    assert "flatten" not in _executed(run(grid)) and "flatten" in _executed(grid)
+    got = {r.author_id: r.coding_prob for r in run(grid).collect()}
+    assert got.keys() == set(range(C.TOGETHER + 9))
+    plain = grid.filter("author_id in (3, 70)").select("author_id", "base_minute", "counts")
+    for r in run(plain).collect():
+        assert r.coding_prob == pytest.approx(got[r.author_id], rel=1e-6)
+    y = np.array(plain.filter("author_id = 3").first().counts, float)
+    if model == "excited":
+        assert got[3] == pytest.approx(1 - np.exp(-0.4 * C.scan(np.full(len(y), math.exp(-0.3)), y)))
+    if model == "hmm":
+        assert got[3] == pytest.approx(C.hmm_fit([np.minimum(y, 1)], [plain.first().base_minute], 30, epochs=1)[1][0], rel=1e-6)
