@@ -1134,3 +1134,8 @@ def test_kernels_get_what_the_history_has(spark, model):
         assert got[3] == pytest.approx(1 - np.exp(-0.4 * C.scan(np.full(len(y), math.exp(-0.3)), y)))
     if model == "hmm":
         assert got[3] == pytest.approx(C.hmm_fit([np.minimum(y, 1)], [plain.first().base_minute], 30, epochs=1)[1][0], rel=1e-6)
+
+
+def test_batches_of_curves():
+    b = C._batch([(1, [0.5, 0.25]), (2, [])], pa.schema([("a", pa.int64()), ("p", pa.list_(pa.float64()))]))
+    assert b.to_pydict() == {"a": [1, 2], "p": [[0.5, 0.25], []]}
