@@ -16,7 +16,7 @@ from ..sources.storage import delete, exists, names
 from . import curves as C
 
 #: Authors that are fitted in one job, after which their fits count.
-CHUNK = 10_000
+CHUNK = 100_000
 #: Parts from which on they are written together.
 PARTS = 32
 FITS = "author_id bigint, digest bigint, base_minute bigint, step_minutes int, coding_prob array<double>, mu double, alpha double, beta double, log_likelihood double, last double, baseline double, model_version string"
@@ -43,27 +43,31 @@ class AuthorFits:
         n = max(self._parts(), default=-1) + 1
         fits.select(*[c.split(" ")[0] for c in FITS.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/part-{n}")
 
-    def saved(self) -> DataFrame:
-        """All fits there are, also of histories that have changed since."""
+    def saved(self, *columns) -> DataFrame:
+        """All fits there are, also of histories that have changed since; with columns, just these beside author_id and digest, so that no curve is shuffled for them."""
         parts = self._parts()
         df = self.spark.read.schema(FITS).parquet(*[f"{self.path}/part-{n}" for n in parts]) if parts else self.spark.createDataFrame([], FITS)
+        df = df.select("author_id", "digest", *columns) if columns else df
         return df.dropDuplicates(["author_id", "digest"]) if len(parts) > 1 else df
 
     def missing(self, grid: DataFrame) -> DataFrame:
-        """The rows of a grid, with their digest, that have no fit."""
-        return grid.withColumn("digest", self._digest()).join(self.saved().select("author_id", "digest"), ["author_id", "digest"], "left_anti")
+        """The rows of a grid, with their digest, that have no fit; a step that has no count is no part of them."""
+        own = grid.withColumn("digest", self._digest())
+        own = own.drop("counts") if {"met", "steps"} <= set(grid.columns) else own
+        return own.join(self.saved().select("author_id", "digest"), ["author_id", "digest"], "left_anti")
 
-    def curves(self, grid: DataFrame) -> DataFrame:
-        """The fits of just these histories."""
-        return self.saved().join(grid.select("author_id", self._digest().alias("digest")), ["author_id", "digest"], "left_semi")
+    def curves(self, grid: DataFrame, *columns) -> DataFrame:
+        """The fits of just these histories; with columns, just these beside author_id and digest."""
+        return self.saved(*columns).join(grid.select("author_id", self._digest().alias("digest")), ["author_id", "digest"], "left_semi")
 
     def _fit(self, grid: DataFrame) -> DataFrame:
+        """The fits of rows of ``missing``, whose digest goes with them."""
         if self.kind == "state_space":
-            out = C.filtered(grid, self.step, **self.options).withColumns({"step_minutes": F.lit(self.step), "model_version": F.lit(self.kind)})
+            out = C.filtered(grid, self.step, carry=("digest",), **self.options).withColumns({"step_minutes": F.lit(self.step), "model_version": F.lit(self.kind)})
         else:
-            out = C.fitted(grid, self.kind, self.step, **self.options)
+            out = C.fitted(grid, self.kind, self.step, carry=("digest",), **self.options)
         types = dict(c.split(" ", 1) for c in FITS.split(", "))
-        return out.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in out.columns and c != "digest"})
+        return out.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in out.columns})
 
     def fit(self, grid: DataFrame) -> int:
         """Fits the authors of a grid that have no fit, chunk by chunk; how many those were."""
@@ -73,8 +77,7 @@ class AuthorFits:
         n = left.count()
         chunks = -(-n // self.chunk)
         for k in range(chunks):
-            own = left.filter(F.pmod(F.xxhash64("author_id", F.lit(3)), F.lit(chunks)) == k) if chunks > 1 else left
-            self._append(self._fit(own).join(own.select("author_id", "digest"), "author_id"))
+            self._append(self._fit(left.filter(F.pmod(F.xxhash64("author_id", F.lit(3)), F.lit(chunks)) == k) if chunks > 1 else left))
         delete(self.spark, todo)
         if len(self._parts()) > PARTS:
             self._gather(grid)

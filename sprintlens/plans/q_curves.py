@@ -180,9 +180,9 @@ def q61(spark, sf):
     own = shared_dir(spark, "refitted")
     fits.missing(grid).select("author_id", F.lit(True).alias("refitted")).write.parquet(own)
     fits.fit(grid)
-    total = F.aggregate("coding_prob", F.lit(0.0), lambda a, q: a + q)
-    out = fits.curves(grid).join(spark.read.parquet(own), "author_id", "left")
-    return out.select("author_id", F.coalesce("refitted", F.lit(False)).alias("refitted"), F.size("coding_prob").alias("steps"), F.round("last", 6).alias("last_log_intensity"), F.round(total / F.size("coding_prob"), 6).alias("mean_prob"))
+    steps, total = F.size("coding_prob"), F.aggregate("coding_prob", F.lit(0.0), lambda a, q: a + q)
+    out = fits.curves(grid, steps.alias("steps"), F.round("last", 6).alias("last_log_intensity"), F.round(total / steps, 6).alias("mean_prob"))
+    return out.join(spark.read.parquet(own), "author_id", "left").select("author_id", F.coalesce("refitted", F.lit(False)).alias("refitted"), "steps", "last_log_intensity", "mean_prob")
 
 
 def _q61_sql() -> str:

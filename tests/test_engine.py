@@ -1139,3 +1139,15 @@ def test_kernels_get_what_the_history_has(spark, model):
 def test_batches_of_curves():
     b = C._batch([(1, [0.5, 0.25]), (2, [])], pa.schema([("a", pa.int64()), ("p", pa.list_(pa.float64()))]))
     assert b.to_pydict() == {"a": [1, 2], "p": [[0.5, 0.25], []]}
+
+
+def test_fits_are_looked_up_without_their_curves(spark, tmp_path):
+    """What is asked of kept fits is taken from them before they are told apart and joined; the histories to fit go without their empty steps."""
+    grid = C.grids(_histories(spark, {a: 10 + a for a in range(6)}), 30, 5)
+    fits = AuthorFits(spark, str(tmp_path / "fits"), "state_space", 30, chunk=3)
+    assert "counts" not in fits.missing(grid).columns
+    assert fits.fit(grid) == 6 and len(fits._parts()) > 1
+    few = fits.curves(grid, F.size("coding_prob").alias("n"))
+    lines = _executed(few).splitlines()
+    assert not any("coding_prob" in x for x in lines if "Exchange" in x or "Sort" in x or "Aggregate" in x)
+    assert {r.author_id: r.n for r in few.collect()} == {r.author_id: len(r.coding_prob) for r in fits.curves(grid).collect()}
