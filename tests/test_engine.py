@@ -1151,3 +1151,30 @@ def test_fits_are_looked_up_without_their_curves(spark, tmp_path):
     lines = _executed(few).splitlines()
     assert not any("coding_prob" in x for x in lines if "Exchange" in x or "Sort" in x or "Aggregate" in x)
     assert {r.author_id: r.n for r in few.collect()} == {r.author_id: len(r.coding_prob) for r in fits.curves(grid).collect()}
+
+
+def test_terms_without_a_row_a_text(spark):
+    """The vocabulary's terms from least and greatest ids, with repeated and missing ids, are those of its counts; texts and terms don't meet in a shuffle."""
+    rows = [(1, "a a b c"), (1, "a b d"), (2, "b c e e e"), (3, "f f"), (3, "f")]
+    docs = spark.createDataFrame(rows, "id bigint, text string")
+    want = [(r.term, r.col) for r in X.vocabulary(docs, 2, 2).orderBy("col").collect()]
+    few = X.frequent_terms(docs, 2, 2)
+    assert [(r.term, r.col) for r in few.orderBy("col").collect()] == want == [("b", 0), ("c", 1)]
+    assert "hashpartitioning(id" not in _executed(few)
+    for n in (1, 3):
+        assert [(r.term, r.col) for r in X.frequent_terms(docs, 3, n).orderBy("col").collect()] == [(r.term, r.col) for r in X.vocabulary(docs, 3, n).orderBy("col").collect()]
+    lost = spark.createDataFrame([(None, "z z z"), (5, "z y"), (6, "y")], "id bigint, text string")
+    assert [r.term for r in X.frequent_terms(lost, 5, 2).collect()] == ["y"]  # as count(DISTINCT id) has it
+    named = docs.select(F.col("id").cast("string").alias("id"), "text")
+    assert [(r.term, r.col) for r in X.frequent_terms(named, 2, 2).orderBy("col").collect()] == want
+
+
+def test_token_vectors_without_a_shuffle(spark):
+    """A text's vector is its row's own work: against the counted tokens, for more texts than are taken at once, without text and without terms."""
+    docs = spark.range(3 * X.AT_ONCE + 5).select("id", F.when(F.col("id") % 9 > 0, F.concat(F.repeat(F.lit("a == bé "), (F.col("id") % 4).cast("int")), F.lit("c d"), F.lit("x").substr(F.lit(1), (F.col("id") % 2).cast("int")))).alias("text")).coalesce(1)
+    vocab = spark.createDataFrame([("==", 0), ("a", 1), ("dx", 2), ("é", 3), ("none", 4)], "term string, col bigint")
+    x = X.token_features(docs, vocab)
+    assert "Exchange" not in _executed(x)
+    got = {(r.id, k): n for r in x.collect() for k, n in enumerate(r.features) if n}
+    assert got == {(r.id, r.col): r.n for r in X.token_counts(docs, vocab).collect()} and len(got) > 1000
+    assert X.token_features(docs, vocab.limit(0)).first().features == []
