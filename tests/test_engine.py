@@ -1178,3 +1178,24 @@ def test_token_vectors_without_a_shuffle(spark):
     got = {(r.id, k): n for r in x.collect() for k, n in enumerate(r.features) if n}
     assert got == {(r.id, r.col): r.n for r in X.token_counts(docs, vocab).collect()} and len(got) > 1000
     assert X.token_features(docs, vocab.limit(0)).first().features == []
+
+
+def test_statements_of_one_shape_are_parsed_once(monkeypatch):
+    """Statement by statement against the whole tree, and without parsing what is alike."""
+    lines = ["x = 1", "if x:", "    y = g(x)", "    def h(a=k()):", "        return q(a)", "else:", "  z", "# c", "", "@d", "class A(b()):", "def f(x):", "    import os.path as p", "from . import u", "from a.b import c", "x = (", "1)", "try:", "    pass"]
+    lines += ["except E:", "        g(1)", "async def m():", "match x:", "    case 1:", "s = 'a#b' # d", "v = f'{g(x)}'", "1if x else y", "type T = int", "print 'a'", "(g)(0x1F)", "_0(1)", "a; import b", "t = '''", "é = g(1)"]
+    draw, told = random.Random(3), 0
+    for _ in range(20_000):
+        code = "\n".join(draw.choice(lines) for _ in range(draw.randint(1, 6))) + draw.choice(["", "\n"])
+        if (own := X._by_statement(code)) is not None:
+            whole = X._walked(X.parsed(code))
+            told += 1
+            assert own[1:] == whole[1:] and [own[0][t] for t in X._KINDS] == [whole[0][t] for t in X._KINDS], code
+    assert told > 500
+    n, real = [], X.parsed
+    monkeypatch.setattr(X, "parsed", lambda code: n.append(len(code)) or real(code))
+    code = "import os\nclass C:\n    def run(self):\n" + "".join(f"        if x{i}:\n            v_{i} = send(x{i})\n" for i in range(3000))
+    values, edges = X.file_features("m", "", code, edits=False)
+    assert max(n) < 200 and len(n) < 20
+    assert dict(zip(X.NODE_TYPES, values[13:26], strict=True)) == dict.fromkeys(X.NODE_TYPES, 0) | {"FunctionDef": 1, "ClassDef": 1, "If": 3000, "Call": 3000, "Assign": 3000, "Import": 1}
+    assert edges == (set(), set(), {("m", "os")}, {("m:run", "m:send")})
