@@ -1199,3 +1199,24 @@ def test_statements_of_one_shape_are_parsed_once(monkeypatch):
     assert max(n) < 200 and len(n) < 20
     assert dict(zip(X.NODE_TYPES, values[13:26], strict=True)) == dict.fromkeys(X.NODE_TYPES, 0) | {"FunctionDef": 1, "ClassDef": 1, "If": 3000, "Call": 3000, "Assign": 3000, "Import": 1}
     assert edges == (set(), set(), {("m", "os")}, {("m:run", "m:send")})
+
+
+def test_tokens_over_bytes(spark):
+    """Tokens in vector steps against the expression; counts without a shuffle, whole where ids repeat or lack."""
+    draw, some = random.Random(5), ["a", "B", "_", "7", "0", " ", "\n", "\x1c", "=", "=", "!", "<", ">", "é", " ", " ", "　", "\U0001d4b3", "\x00", "\x85", "٣", "᠎", "\x0b"]
+    texts = ["".join(draw.choice(some) for _ in range(draw.randint(0, 12))) for _ in range(5000)] + [None, "", "==="]
+    want = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", S.tokens(F.col("x")).alias("t")).orderBy("i").collect()]
+    for k in (0, 3):
+        own, row = X.token_array(pa.array(texts).slice(k))
+        got = [[] for _ in texts[k:]]
+        for t, i in zip(own.to_pylist(), row.tolist(), strict=True):
+            got[i].append(t)
+        assert got == want[k:]
+    docs = spark.createDataFrame([(1, "x y x"), (2, "y 7z"), (3, None)], "id bigint, text string")
+    vocab = spark.createDataFrame([("x", 0), ("y", 4)], "term string, col bigint")
+    alone = X.token_counts(docs, vocab)
+    assert "Exchange hash" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, alone.collect())) == [(1, 0, 2), (1, 4, 1), (2, 4, 1)]
+    more = docs.union(spark.createDataFrame([(1, "x"), (None, "x"), (None, "x x")], docs.schema))
+    assert sorted(map(tuple, X.token_counts(more, vocab).collect()), key=str) == [(1, 0, 3), (1, 4, 1), (2, 4, 1), (None, 0, 3)]
+    assert [tuple(r) for r in X.frequent_terms(more, 5, 2).collect()] == [("y", 0)] and X.token_counts(docs, vocab.limit(0)).count() == 0
